@@ -13,8 +13,11 @@ unless they are named like an output column, which then replaces them.
 from __future__ import annotations
 
 import base64
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +28,7 @@ from pyspark.sql import types as T
 from .common import text_bytes
 
 #: Bytes of words whose ids a worker remembers.
-CACHE_BYTES = 64 << 20
-#: Characters of documents that are cut into words at a time.
-BLOCK_CHARS = 4 << 20
+CACHE_BYTES = 128 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,114 +38,172 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class MergeReplay:
-    """Replays the merges of a rank table over many words at once."""
+    """Replays the merges of a rank table over many words at once.
+
+    A merge can create a pair of a lower rank than its own; the few words where that happens are replayed
+    alone, lowest rank and leftmost place first.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
-        self.byte = [ranks[bytes([b])] for b in range(256)]
-        self.pair: dict[int, int] = {}
-
-    def _rank(self, a: int, b: int) -> int:
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        found = [
+            (ranks[t[:i]] << 32 | ranks[t[i:]], r)
+            for t, r in ranks.items()
+            for i in range(1, len(t))
+            if t[:i] in ranks and t[i:] in ranks
+        ]
+        table = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
+        self.keys, self.merged = np.ascontiguousarray(table[:, 0]), np.ascontiguousarray(table[:, 1])
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair, -1 where it has none."""
         key = a << 32 | b
-        r = self.pair.get(key)
-        if r is None:
-            r = self.pair[key] = self.ranks.get(self.token[a] + self.token[b], -1)
-        return r
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word. A word that is a token is that token."""
-        out: list[list[int]] = [[] for _ in words]
-        ids: list[int] = []
-        begins: list[tuple[int, int]] = []
-        last: list[int] = []
-        for i, w in enumerate(words):
-            whole = self.ranks.get(w)
-            if whole is not None:
-                out[i] = [whole]
-            elif w:
-                begins.append((i, len(ids)))
-                ids.extend([self.byte[b] for b in w])
-                last.append(len(ids) - 1)
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for (_, lo), hi in zip(begins, last, strict=True):
-            before[lo] = after[hi] = -1
-        where: dict[int, list[int]] = {}
-        rank = self._rank
-        for p in range(n):
-            q = after[p]
-            if q >= 0 and (r := rank(ids[p], ids[q])) >= 0:
-                where.setdefault(r, []).append(p)
-        order = list(where)
-        heapify(order)
+        if not len(self.keys):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.merged[at], -1)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as little-endian unsigned 32-bit integers. A word that is a token is that token."""
+        whole = self.ranks.get
+        out = [b"" if (r := whole(w)) is None else r.to_bytes(4, "little") for w in words]
+        split = [i for i, w in enumerate(words) if w and not out[i]]
+        if not split:
+            return out
+        size = np.fromiter((len(words[i]) for i in split), np.int64, len(split))
+        ids = self.byte[np.frombuffer(b"".join([words[i] for i in split]), np.uint8)]
+        n, ends = len(ids), np.cumsum(size)
+        ids = np.append(ids, -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[ends - 1] = n
+        before[ends - size] = n
+        now = np.full(n + 1, -1)  # the rank of the pair that starts at each place
+        first = np.flatnonzero(after[:n] < n)
+        now[first] = self._rank(ids[first], ids[first + 1])
+        where: dict[int, list[np.ndarray]] = {}
+        order: list[int] = []
+        odd: list[np.ndarray] = []
+
+        def note(places: np.ndarray) -> None:
+            places = places[now[places] >= 0]
+            by = places[np.argsort(now[places], kind="stable")]
+            cuts = np.flatnonzero(np.diff(now[by], prepend=-1))
+            for r, part in zip(now[by[cuts]].tolist(), np.split(by, cuts[1:]), strict=True) if len(by) else ():
+                if r in where:
+                    where[r].append(part)
+                else:
+                    where[r] = [part]
+                    heappush(order, r)
+
+        note(first)
         while order:
-            r = order[0]
-            places = where[r]
-            lower = False
-            while places and not lower:
-                p = heappop(places)
-                a, q = ids[p], after[p]
-                if a < 0 or q < 0 or rank(a, ids[q]) != r:
-                    continue
-                ids[p], ids[q] = r, -1
-                after[p] = z = after[q]
-                if z >= 0:
-                    before[z] = p
-                    if (x := rank(r, ids[z])) >= 0:
-                        lower |= self._note(where, order, x, p, r)
-                if (y := before[p]) >= 0 and (x := rank(ids[y], r)) >= 0:
-                    lower |= self._note(where, order, x, y, r)
-            if not places and order[0] == r:
-                heappop(order)
-                del where[r]
-        for i, p in begins:
-            row = out[i]
-            while p >= 0:
-                row.append(ids[p])
-                p = after[p]
+            r = heappop(order)
+            p = np.unique(np.concatenate(where.pop(r)))
+            p = p[now[p] == r]
+            if len(p) > 1:  # of overlapping places every second one, from the left
+                run = np.flatnonzero(np.append(True, after[p[:-1]] != p[1:]))
+                at = np.arange(len(p))
+                p = p[(at - run[np.searchsorted(run, at, side="right") - 1]) % 2 == 0]
+            if not len(p):
+                continue
+            q = after[p]
+            z = after[q]
+            ids[p] = r
+            after[p] = z
+            before[z] = p
+            ids[q] = now[q] = -1
+            y = before[p]
+            touched = np.concatenate([p, y[y < n]])
+            nexts = after[touched]
+            new = np.where(nexts < n, self._rank(ids[touched], ids[nexts]), -1)
+            now[touched] = new
+            if (low := (new >= 0) & (new < r)).any():
+                odd.append(touched[low])
+            note(touched)
+        alive = np.flatnonzero(ids[:n] >= 0)
+        packed, stops = ids[alive].astype("<u4").tobytes(), 4 * np.searchsorted(alive, ends)
+        lo = 0
+        for i, hi in zip(split, stops.tolist(), strict=True):
+            out[i] = packed[lo:hi]
+            lo = hi
+        for k in set(np.searchsorted(ends, np.concatenate(odd), side="right").tolist()) if odd else ():
+            out[split[k]] = np.array(self.encode_alone(words[split[k]]), "<u4").tobytes()
         return out
 
-    @staticmethod
-    def _note(where: dict[int, list[int]], order: list[int], x: int, at: int, now: int) -> bool:
-        if x in where:
-            heappush(where[x], at)
-        else:
-            where[x] = [at]
-            heappush(order, x)
-        return x < now
+    def encode_alone(self, word: bytes) -> list[int]:
+        """The same for one word, one merge after the other."""
+        rank = lambda a, b: self.ranks.get(self.token[a] + self.token[b], -1)
+        ids = self.byte[np.frombuffer(word, np.uint8)].tolist()
+        n = len(ids)
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        heap = [(r, p) for p in range(n - 1) if (r := rank(ids[p], ids[p + 1])) >= 0]
+        heapify(heap)
+        while heap:
+            r, p = heappop(heap)
+            q = after[p]
+            if ids[p] < 0 or q >= n or rank(ids[p], ids[q]) != r:
+                continue
+            ids[p], ids[q] = r, -1
+            after[p] = z = after[q]
+            if z < n:
+                before[z] = p
+                if (x := rank(r, ids[z])) >= 0:
+                    heappush(heap, (x, p))
+            if (y := before[p]) >= 0 and (x := rank(ids[y], r)) >= 0:
+                heappush(heap, (x, y))
+        return [i for i in ids if i >= 0]
+
+
+class _Words(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def narrow(pattern: str, below: int = 0x250) -> re.Pattern:
+    r"""``pattern`` for texts whose code points are all under ``below``: \p{L}, \p{N}, \s, \S written out as ranges."""
+    import regex
+
+    def ranges(escape: str) -> str:
+        out, cs = [], [c for c in range(below) if regex.match(escape, chr(c))]
+        for c in cs:
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+        return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in out)
+
+    for escape in (r"\p{L}", r"\p{N}", r"\s"):
+        pattern = re.sub(rf"(\[[^\]]*){re.escape(escape)}", lambda m, e=escape: m[1] + ranges(e), pattern)
+        pattern = pattern.replace(escape, f"[{ranges(escape)}]")
+    return re.compile(pattern.replace(r"\S", rf"[^{ranges(r'\s')}]"))
 
 
 def _encoder(ranks: dict[bytes, int], pattern: str, text: str, keep: list[str], schema: pa.Schema):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        cut, replay = regex.compile(pattern).findall, MergeReplay(ranks)
-        cache: dict[str, bytes] = {}
-        held = 0
+        wide, near, only_near = regex.compile(pattern).findall, narrow(pattern).findall, re.compile("[\x00-\u024f]*").fullmatch
+        replay, known, ids, held = MergeReplay(ranks), _Words(), [], 0
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
-            ids: list[bytes] = []
-            lo = 0
-            while lo < len(texts):
-                block, chars = [], 0
-                while lo < len(texts) and chars < BLOCK_CHARS:
-                    s = texts[lo].as_py().decode("utf-8", "replace")
-                    block.append(cut(s))
-                    chars += len(s)
-                    lo += 1
-                new = list({w for words in block for w in set(words)} - cache.keys())
-                if held > CACHE_BYTES:
-                    cache, held = {}, 0
-                    new = list({w for words in block for w in words})
-                raw = [w.encode() for w in new]
-                for w, b, found in zip(new, raw, replay.encode(raw), strict=True):
-                    cache[w] = np.array(found, dtype="<u4").tobytes()
-                    held += len(b) + 4 * len(found) + 150
-                look = cache.__getitem__
-                ids += [b"".join(map(look, words)) for words in block]
+            if held > CACHE_BYTES:
+                known, ids, held = _Words(), [], 0
+            rows = []
+            for value in texts:
+                s = value.as_py().decode("utf-8", "replace")
+                rows.append(array("I", map(known.__getitem__, (near if only_near(s) else wide)(s))))
+            raw = [w.encode() for w in islice(known, len(ids), None)]
+            ids += replay.encode(raw)
+            held += sum(map(len, raw)) + 200 * len(raw)
+            look = ids.__getitem__
+            found = [b"".join(map(look, row)) for row in rows]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], schema=schema)
 
     return run
 
