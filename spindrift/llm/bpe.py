@@ -24,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import text_bytes
+from .common import flat, row_chunks, text_bytes
 
 #: Bytes of words whose ids a worker remembers.
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 96 << 20
+#: Bytes of documents, or of ids, that are worked on at a time.
+PIECE_BYTES = 4 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -183,14 +186,26 @@ def narrow(pattern: str, below: int = 0x250) -> re.Pattern:
     return re.compile(pattern.replace(r"\S", rf"[^{ranges(r'\s')}]"))
 
 
+def _pieces(batches: Iterable[pa.RecordBatch], name: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Batches cut to about PIECE_BYTES of the binary column ``name``, with that column."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(name))
+        for lo, hi in row_chunks(flat(column)[1], PIECE_BYTES):
+            yield batch.slice(lo, hi - lo), column.slice(lo, hi - lo)
+
+
+def _made(batch: pa.RecordBatch, keep: list[str], values: list[bytes], schema: pa.Schema) -> pa.RecordBatch:
+    columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(values, pa.binary())], schema=schema)
+
+
 def _encoder(ranks: dict[bytes, int], pattern: str, text: str, keep: list[str], schema: pa.Schema):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         wide, near, only_near = regex.compile(pattern).findall, narrow(pattern).findall, re.compile("[\x00-\u024f]*").fullmatch
         replay, known, ids, held = MergeReplay(ranks), _Words(), [], 0
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text))
+        for batch, texts in _pieces(batches, text):
             if held > CACHE_BYTES:
                 known, ids, held = _Words(), [], 0
             rows = []
@@ -199,48 +214,52 @@ def _encoder(ranks: dict[bytes, int], pattern: str, text: str, keep: list[str],
                 rows.append(array("I", map(known.__getitem__, (near if only_near(s) else wide)(s))))
             raw = [w.encode() for w in islice(known, len(ids), None)]
             ids += replay.encode(raw)
-            held += sum(map(len, raw)) + 200 * len(raw)
+            held += sum(map(len, raw)) + 250 * len(raw)
             look = ids.__getitem__
-            found = [b"".join(map(look, row)) for row in rows]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], schema=schema)
+            yield _made(batch, keep, [b"".join(map(look, row)) for row in rows], schema)
+
+    return run
+
+
+def _decoder(ranks: dict[bytes, int], ids: str, keep: list[str], schema: pa.Schema):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = {i: t for t, i in ranks.items()}.__getitem__
+        for batch, column in _pieces(batches, ids):
+            yield _made(batch, keep, [b"".join(map(look, np.frombuffer(v.as_py(), "<u4").tolist())) for v in column], schema)
 
     return run
 
 
+def _schemas(df: DataFrame, drop: set[str], added: str) -> tuple[list[str], T.StructType, pa.Schema]:
+    keep = [c for c in df.columns if c not in drop]
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(added, T.BinaryType())])
+    return keep, schema, to_arrow_schema(schema)
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Replaces ``text`` by ``ids``: the token ids as little-endian unsigned 32-bit integers in one binary."""
-    keep = [c for c in docs.columns if c not in (text, ids)]
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(ids, T.BinaryType())])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    run = _encoder(ranks, pattern, text, keep, to_arrow_schema(schema))
-    return docs.select(*keep, text_bytes(text).alias(text)).mapInArrow(run, schema)
+    keep, schema, arrow = _schemas(docs, {text, ids}, ids)
+    return docs.select(*keep, text_bytes(text).alias(text)).mapInArrow(_encoder(ranks, pattern, text, keep, arrow), schema)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds ``text``: the bytes that the ids stand for."""
-    keep = [c for c in encoded.columns if c != text]
-    schema = T.StructType([*(encoded.schema[c] for c in keep), T.StructField(text, T.BinaryType())])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out = to_arrow_schema(schema)
-    table = {i: t for t, i in ranks.items()}
+    keep, schema, arrow = _schemas(encoded, {text}, text)
+    return encoded.select(*(text_bytes(c).alias(c) if c == ids else c for c in keep)).mapInArrow(_decoder(ranks, ids, keep, arrow), schema)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = table.__getitem__
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids))
-            found = [b"".join(map(look, np.frombuffer(x, "<u4").tolist())) for x in (v.as_py() or b"" for v in column)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], schema=out)
 
-    return encoded.select(*keep).mapInArrow(run, schema)
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one pass over the documents: replaces ``text`` by ids and decoded."""
+    keep, schema, arrow = _schemas(docs, {text, "ids", "decoded"}, "ids")
+    both = T.StructType([*schema.fields, T.StructField("decoded", T.BinaryType())])
+    first = _encoder(ranks, pattern, text, keep, arrow)
+    second = _decoder(ranks, "ids", [*keep, "ids"], to_arrow_schema(both))
+    return docs.select(*keep, text_bytes(text).alias(text)).mapInArrow(lambda batches: second(first(batches)), both)
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, by an encoding and a decoding of the ids."""
-    both = decode(encode(docs.select("doc_id", "text"), ranks, pattern), ranks)
-    return both.select(
+    return round_trip(docs.select("doc_id", "text"), ranks, pattern).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -7,18 +7,36 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
-from .common import documents
+from . import bpe, language, mixing, spotsigs
+from .common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_with_next(documents(spark, sf_dir))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    dictionaries = language.learn(docs.where(~held_out()))
+    out = language.identify(docs.select("doc_id", held_out().alias("held_out"), "text"), dictionaries)
+    return out.select("doc_id", "held_out", "lang_pred", "score", "reliable")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.digests(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
 QUERIES: dict[str, Query] = {
+    "op2_spot_signatures": op2_spot_signatures,
+    "op6_language": op6_language,
+    "op10_mixing": op10_mixing,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
