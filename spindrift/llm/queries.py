@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, mixing, spotsigs
+from . import bpe, language, linededup, mixing, spotsigs
 from .common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digests(documents(spark, sf_dir))
+
+
 def op2_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_with_next(documents(spark, sf_dir))
 
@@ -34,10 +38,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_spot_signatures": op2_spot_signatures,
     "op6_language": op6_language,
     "op10_mixing": op10_mixing,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": linededup.ORACLE,
+}
