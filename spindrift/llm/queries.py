@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, language, linededup, mixing, spotsigs, toxicity
+from . import bpe, language, linededup, mixing, spotsigs, topk, toxicity
 from .common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,11 @@ def op2_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_with_next(documents(spark, sf_dir))
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     dictionaries = language.learn(docs.where(~held_out()))
@@ -47,6 +53,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_spot_signatures": op2_spot_signatures,
+    "op4_top_k": op4_top_k,
     "op6_language": op6_language,
     "op8_toxicity": op8_toxicity,
     "op10_mixing": op10_mixing,
@@ -55,4 +62,5 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": linededup.ORACLE,
+    "op4_top_k": topk.ORACLE,
 }
