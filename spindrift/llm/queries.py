@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, linededup, mixing, spotsigs, topk, toxicity
+from . import bpe, language, linededup, mixing, ngrams, spotsigs, topk, toxicity
 from .common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op2_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_with_next(documents(spark, sf_dir))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.groups(documents(spark, sf_dir), n=4, percent=85)
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
@@ -53,6 +57,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_spot_signatures": op2_spot_signatures,
+    "op3_ngram_join": op3_ngram_join,
     "op4_top_k": op4_top_k,
     "op6_language": op6_language,
     "op8_toxicity": op8_toxicity,
