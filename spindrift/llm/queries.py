@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, linededup, mixing, ngrams, spotsigs, topk, toxicity
+from . import bpe, language, linededup, mixing, ngrams, recompression, spotsigs, suffixes, topk, toxicity
 from .common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,14 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
 
 
+def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.dedup(documents(spark, sf_dir), digest=True)
+
+
+def op7_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(documents(spark, sf_dir), digest=True)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     dictionaries = language.learn(docs.where(~held_out()))
@@ -59,6 +67,8 @@ QUERIES: dict[str, Query] = {
     "op2_spot_signatures": op2_spot_signatures,
     "op3_ngram_join": op3_ngram_join,
     "op4_top_k": op4_top_k,
+    "op5_recompression": op5_recompression,
+    "op7_suffix_family": op7_suffix_family,
     "op6_language": op6_language,
     "op8_toxicity": op8_toxicity,
     "op10_mixing": op10_mixing,
