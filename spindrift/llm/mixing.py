@@ -92,9 +92,9 @@ def plan(docs: DataFrame, seed: int = 7, block: int = BLOCK, slots: int = SLOTS,
     inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = sized.withColumn("until", F.sum("size").over(inside)).withColumn("k", F.row_number().over(inside))
     s, b = laid.alias("s"), begins.alias("b")
-    laid = s.join(b, F.col("s.source").eqNullSafe(F.col("b.source")) & (F.col("s.bucket") == F.col("b.bucket")))
+    laid = s.join(b.hint("merge"), F.col("s.source").eqNullSafe(F.col("b.source")) & (F.col("s.bucket") == F.col("b.bucket")))
     laid = laid.select(
-        "b.n", "s.bucket", "s.k", "s.doc_id", "s.source", "s.size", "b.source_size", "b.target",
+        "b.n", "s.bucket", "s.k", "s.doc_id", "s.source", "s.tie", "s.size", "b.source_size", "b.target",
         (F.col("b.base") + F.col("s.until") - F.col("s.size")).alias("at"),
     )
     placed = written(laid, "mix-places")
@@ -120,7 +120,7 @@ def plan(docs: DataFrame, seed: int = 7, block: int = BLOCK, slots: int = SLOTS,
     )
     lo = F.greatest(F.col("block") * block - F.col("at"), F.lit(0))
     hi = F.least(F.col("block") * block + block - F.col("at"), F.col("size"))
-    pieces = cut.select(*ROW, "block", lo.alias("lo"), hi.alias("hi")).join(taken, ["n", "block"]).select(*ROW, "lo", "hi", "times")
+    pieces = cut.select(*ROW, "block", lo.alias("lo"), hi.alias("hi")).join(taken.hint("merge"), ["n", "block"]).select(*ROW, "lo", "hi", "times")
     return placed.drop("at"), pieces
 
 
@@ -128,5 +128,28 @@ def mix(docs: DataFrame, seed: int = 7, block: int = BLOCK, weights: tuple[int,
     """doc_id, size, source_size, target (its source's), taken (words the mix takes, repeats counted)."""
     placed, pieces = plan(docs, seed, block, weights=weights, text=text)
     taken = pieces.groupBy(*ROW).agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
-    out = placed.join(taken, list(ROW), "left")
+    out = placed.join(taken.hint("merge"), list(ROW), "left")
     return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixture(docs: DataFrame, seed: int = 7, block: int = BLOCK, weights: tuple[int, ...] = (1, 2, 3), text: str = "text") -> DataFrame:
+    """``docs`` as mixed: a row for each pass over a document that takes words of it, ``text`` holding the words taken.
+
+    A pass that takes all words keeps the text as it is; otherwise the words are joined by one space. The rows of a source are
+    as many words as its mix takes. Documents without words are taken by no pass.
+    """
+    placed, pieces = plan(docs, seed, block, weights=weights, text=text)
+    each = pieces.select(*ROW, "lo", "hi", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("pass"))
+    spans = each.groupBy(*ROW, "pass").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"), F.sum(F.col("hi") - F.col("lo")).alias("words"))
+    tie = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rank = Window.partitionBy("doc_id", "source", "tie").orderBy(F.lit(0))
+    keyed = docs.withColumn("tie", tie).withColumn("again", F.row_number().over(rank))
+    order = Window.partitionBy("doc_id", "source", "tie").orderBy("bucket", "k")
+    taken = placed.withColumn("again", F.row_number().over(order)).join(spans.hint("merge"), list(ROW))
+    taken = taken.select("doc_id", "source", "tie", "again", "size", "spans", "words")
+    d, t = keyed.alias("d"), taken.alias("t")
+    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.tie") == F.col("t.tie")) & (F.col("d.again") == F.col("t.again"))
+    all_words = F.array_remove(F.split(F.col(f"d.{text}"), r"[\x20\x09-\x0D]+"), "")
+    cut = F.flatten(F.transform("t.spans", lambda s: F.slice(all_words, (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int"))))
+    made = F.when(F.col("t.words") == F.col("t.size"), F.col(f"d.{text}")).otherwise(F.array_join(cut, " "))
+    return d.join(t.hint("merge"), same).select(*(made.alias(text) if c == text else F.col(f"d.`{c}`") for c in docs.columns))
