@@ -6,6 +6,7 @@ import zlib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 
 class CodecError(ValueError):
@@ -23,11 +24,11 @@ def decompress_text(raw: bytes) -> str:
         raise CodecError(str(e)) from e
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def compress(texts: pd.Series) -> pd.Series:
     return texts.map(compress_text, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decompress(raws: pd.Series) -> pd.Series:
     return raws.map(lambda r: decompress_text(bytes(r)), na_action="ignore")
