@@ -213,12 +213,11 @@ def rerank(df: DataFrame, query: str, key: str, text: str, name: str = "lexical"
     return slices.select(key, run("part").alias("s")).groupBy(key).agg(F.max("s").alias("rerank_score"))
 
 
-def hashed_counts(text: Column, dimension: int = 512) -> Column:
-    """The hashing embedder natively, not scaled: array of (bucket, count) in order of buckets."""
-    found = F.filter(F.split(F.lower(text), r"[^a-z0-9]+", -1), lambda w: w != "")
-    bucket = lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % dimension).cast("int")
-    all_ = F.transform(found, bucket)
-    return F.transform(F.array_sort(F.array_distinct(all_)), lambda b: F.struct(b.alias("bucket"), F.size(F.filter(all_, lambda x: x == b)).alias("n")))
+def hashed_counts(df: DataFrame, key: str, text: str, dimension: int = 512) -> DataFrame:
+    """key, bucket, n: the hashing embedder natively, not scaled. Words are counted per row and bucket before they move."""
+    words = df.select(key, F.explode(F.split(F.lower(text), r"[^a-z0-9]+", -1)).alias("w")).where("w <> ''")
+    bucket = (F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("long") % dimension).cast("int")
+    return words.groupBy(key, bucket.alias("bucket")).agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
 def batch_numbers(df: DataFrame, group: str, order: str, tokens: str, most_tokens: int) -> DataFrame:
