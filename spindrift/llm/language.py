@@ -37,19 +37,19 @@ def learn(labelled: DataFrame, key: str = "doc_id", rows: int = SAMPLE_ROWS, cha
     """A raw-content dictionary for each language of ``labelled`` (text, lang).
 
     At most ``rows`` rows of a language are taken, those with the smallest hashes of their key, so the sample is
-    the same whatever the partitions; each gives ``chars`` code points. The limit by rank is applied before the
-    shuffle as well, and the driver gets ``rows * chars`` characters of each language at most.
+    the same whatever the partitions; each gives ``chars`` code points. The driver gets ``rows * chars`` characters of each
+    language at most.
     """
-    order = F.xxhash64(F.col(key).cast("string"), F.length("text"))
-    spread = Window.partitionBy("lang", "deal").orderBy("h", "part")
-    best = Window.partitionBy("lang").orderBy("h", "part")
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    have = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not have:
+        return {}
+    # a share by hash that holds more than enough rows of each language, so the ranks below see few
+    share = F.create_map(*(F.lit(x) for lang, n in have.items() for x in (lang, min(1.0, (4 * rows + 100) / n))))
     picked = (
-        labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-        .select("lang", order.alias("h"), F.substring("text", 1, chars).alias("part"))
-        .withColumn("deal", F.pmod("h", F.lit(16)))
-        .withColumn("rank", F.row_number().over(spread))
-        .where(F.col("rank") <= rows)
-        .withColumn("rank", F.row_number().over(best))
+        known.select("lang", F.xxhash64(F.col(key).cast("string"), F.length("text")).alias("h"), F.substring("text", 1, chars).alias("part"))
+        .where(F.pmod("h", F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "h", "part")))
         .where(F.col("rank") <= rows)
         .select("lang", "rank", "part")
     )
