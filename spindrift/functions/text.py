@@ -142,8 +142,8 @@ def filter_binary(diff: Column, split_at: str = "diff --git ") -> Column:
     if split_at.startswith("===="):
         named = lambda s: F.nullif(F.regexp_extract(s, r"^==== (//[^#\n]+)", 1), F.lit(""))
     else:
-        named = lambda s: F.element_at(F.filter(F.transform(F.split(s, "\n", -1), diff_filename), lambda x: x.isNotNull()), 1)
-    found = F.transform(sections, lambda s: F.struct(s.alias("text"), F.get(F.array(named(s)), F.lit(0)).alias("path"), is_binary(s).alias("binary")))
+        named = lambda s: F.get(F.filter(F.transform(F.split(s, "\n", -1), diff_filename), lambda x: x.isNotNull()), F.lit(0))
+    found = F.transform(sections, lambda s: F.struct(s.alias("text"), named(s).alias("path"), is_binary(s).alias("binary")))
     gone = lambda x: x["binary"] & x["path"].isNotNull()
     note = lambda x: F.concat(F.lit("diff --git a/"), x["path"], F.lit(" b/"), x["path"], F.lit("\n[binary file: "), x["path"], F.lit("]"))
     kept = F.array_join(F.transform(found, lambda x: F.when(gone(x), note(x)).otherwise(x["text"])), "\n")
