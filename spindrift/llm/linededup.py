@@ -159,7 +159,7 @@ def probe(hashes: DataFrame, index: DataFrame, shards: int, min_docs: int = MIN_
             order = np.lexsort((shard, row))
             row, shard, pairs = row[order], shard[order], pairs[order]
             cuts = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(shard) != 0))) if len(row) else np.zeros(0, np.int64)
-            raw, stops = pairs.tobytes(), np.append(cuts[1:], len(row)) * 16
+            raw, stops = pairs.tobytes(), (np.append(cuts[1:], len(row)) * 16)[: len(cuts)]
             parts = [raw[lo:hi] for lo, hi in zip((cuts * 16).tolist(), stops.tolist(), strict=True)]
             columns = [pa.array(shard[cuts].astype(np.int32)), b.column(0).take(pa.array(row[cuts])), pa.array(parts, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=to_arrow_schema(sent))
@@ -204,7 +204,7 @@ def probe(hashes: DataFrame, index: DataFrame, shards: int, min_docs: int = MIN_
                     drop = known & ~own
                     row, raw = row[drop], pairs[drop].tobytes()
                     cuts = np.flatnonzero(np.append(True, np.diff(row) != 0)) if len(row) else np.zeros(0, np.int64)
-                    stops = np.append(cuts[1:], len(row)) * 16
+                    stops = (np.append(cuts[1:], len(row)) * 16)[: len(cuts)]
                     parts = [raw[i:j] for i, j in zip((cuts * 16).tolist(), stops.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([b.column(3).take(pa.array(row[cuts])), pa.array(parts, pa.binary())], schema=to_arrow_schema(out))
                 lo = hi

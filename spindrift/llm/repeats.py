@@ -9,7 +9,7 @@ are a run. Then:
 2. The runs of the remaining windows travel to the bucket of their anchor's key; of equal runs in a block only the
    earliest does.
 3. Each bucket finds, among all windows of its runs, those whose content starts earlier in the order of (doc_id, start).
-4. The intervals they cover come back to their documents.
+4. The intervals they cover come back to their documents. Texts move twice: to their repeated anchors and to their intervals.
 
 ``finish`` makes the result of a document from its bytes and the covered intervals.
 """
@@ -74,10 +74,7 @@ def _slices(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return values[at]
 
 
-MADE = T.StructType(
-    [T.StructField("kind", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("text", T.BinaryType()), T.StructField("bucket", T.IntegerType())]
-    + [T.StructField(c, T.BinaryType()) for c in ("docs", "starts", "lengths", "units")]
-)
+MADE = T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("docs", "starts", "lengths", "units"))])
 COVERED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())])
 
 
@@ -104,14 +101,12 @@ def without_repeats(docs: DataFrame, scheme: Scheme, out: T.StructType, finish:
 
     places = repeated_places(docs, keys, buckets_for(docs, scheme.bytes_per_anchor))
     hits = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    joined = docs.join(hits, "doc_id", "left").select("doc_id", "text", F.coalesce("places", F.array().cast("array<int>")).alias("places"))
+    joined = docs.join(hits, "doc_id").select("doc_id", "text", "places")
     made = to_arrow_schema(MADE)
     buckets = max(1, buckets_for(docs, scheme.bytes_per_unit * BUCKET_WINDOWS / (1 << 20)))
 
-    def rows_of(kind: int, columns: list[list]) -> pa.RecordBatch:
-        n = len(columns[0])
-        full = [[kind] * n, *columns] + [[None] * n] * (7 - len(columns))
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(full, made, strict=True)], schema=made)
+    def rows_of(columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, made, strict=True)], schema=made)
 
     def block(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         ids, starts, lengths, keys_, prints, units, sizes = (np.concatenate([h[i] for h in held]) for i in range(7))
@@ -119,20 +114,20 @@ def without_repeats(docs: DataFrame, scheme: Scheme, out: T.StructType, finish:
         same = np.append(False, (np.diff(prints[order]) == 0) & (np.diff(lengths[order]) == 0))
         known, sent = order[same], order[~same]
         if len(known):
-            yield rows_of(3, [[None], [None], [0], [ids[known].tobytes()], [starts[known].tobytes()], [lengths[known].tobytes()]])
+            yield rows_of([[None], [ids[known].tobytes()], [starts[known].tobytes()], [lengths[known].tobytes()], [None]])
         at = np.cumsum(sizes) - sizes
         edges = np.array([-(-(i << 64) // buckets) for i in range(1, buckets)], _U)
         bucket = np.searchsorted(edges, keys_[sent], side="right")
         sent = sent[np.argsort(bucket, kind="stable")]
         bucket = np.sort(bucket)
         cuts = np.flatnonzero(np.append(True, np.diff(bucket) != 0))
-        columns: list[list] = [[], [], [], [], [], [], []]
+        columns: list[list] = [[], [], [], [], []]
         for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sent)], strict=True):
             own = sent[lo:hi]
-            values = (None, None, int(bucket[lo]), *(x[own].tobytes() for x in (ids, starts, lengths)), _slices(units, at[own], sizes[own]).tobytes())
+            values = (int(bucket[lo]), *(x[own].tobytes() for x in (ids, starts, lengths)), _slices(units, at[own], sizes[own]).tobytes())
             for column, v in zip(columns, values, strict=True):
                 column.append(v)
-        yield rows_of(2, columns)
+        yield rows_of(columns)
 
     def sift(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -140,33 +135,22 @@ def without_repeats(docs: DataFrame, scheme: Scheme, out: T.StructType, finish:
         for rows, raw, offsets in pieces(batches, 1):
             ids, wanted = rows.column(0).to_numpy(), rows.column(2)
             counts = wanted.value_lengths().to_numpy()
-            doubtful = counts > 0
-            if doubtful.any():
-                runs, units = scheme.runs(raw, offsets)
-                pair = lambda d, p: (d.astype(np.int64) << 32) | p.astype(np.int64)
-                asked = pair(np.repeat(np.arange(len(ids)), counts), wanted.flatten().to_numpy())
-                at = np.flatnonzero(np.isin(pair(runs.doc, runs.place), asked))
-                start, length = runs.start[at], runs.length[at]
-                sizes = length + size - 1
-                held.append(
-                    (ids[runs.doc[at]], start - runs.first[runs.doc[at]], length, runs.key[at], rolling(units, start, start + sizes), _slices(units, start, sizes), sizes)
-                )
-                n += int(length.sum())
-                if n > BLOCK_WINDOWS:
-                    yield from block(held)
-                    held, n = [], 0
-            texts = rows.column(1)
-            passed = np.flatnonzero(doubtful)
-            if len(passed):
-                yield rows_of(1, [ids[passed].tolist(), texts.take(pa.array(passed)).to_pylist()])
-            clean = np.flatnonzero(~doubtful)
-            if len(clean):
-                yield rows_of(0, [ids[clean].tolist(), [_pack(finish(texts[i].as_py(), np.zeros((0, 2), np.int64)), out) for i in clean.tolist()]])
+            runs, units = scheme.runs(raw, offsets)
+            pair = lambda d, p: (d.astype(np.int64) << 32) | p.astype(np.int64)
+            asked = pair(np.repeat(np.arange(len(ids)), counts), wanted.flatten().to_numpy())
+            at = np.flatnonzero(np.isin(pair(runs.doc, runs.place), asked))
+            start, length = runs.start[at], runs.length[at]
+            sizes = length + size - 1
+            held.append((ids[runs.doc[at]], start - runs.first[runs.doc[at]], length, runs.key[at], rolling(units, start, start + sizes), _slices(units, start, sizes), sizes))
+            n += int(length.sum())
+            if n > BLOCK_WINDOWS:
+                yield from block(held)
+                held, n = [], 0
         if held:
             yield from block(held)
 
     table = written(joined.mapInArrow(sift, MADE), "repeats")
-    known = table.where("kind = 3").select("docs", "starts", "lengths").mapInArrow(_known(size), COVERED)
+    known = table.where("bucket is null").select("docs", "starts", "lengths").mapInArrow(_known(size), COVERED)
 
     def judge(group: pa.Table) -> pa.Table:
         read = lambda c, t: np.frombuffer(b"".join(v.as_py() for v in group.column(c)), t)
@@ -181,9 +165,9 @@ def without_repeats(docs: DataFrame, scheme: Scheme, out: T.StructType, finish:
         start = np.arange(len(found))[found] - (np.cumsum(lengths) - lengths)[run] + starts[run]
         return pa.Table.from_batches([_covered(*_stretches(ids[run], start), size)], schema=to_arrow_schema(COVERED))
 
-    judged = table.where("kind = 2").select("bucket", "docs", "starts", "lengths", "units").groupBy("bucket").applyInArrow(judge, COVERED)
+    judged = table.where("bucket is not null").groupBy("bucket").applyInArrow(judge, COVERED)
     gone = known.union(judged).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
-    doubtful = table.where("kind = 1").select("doc_id", "text").join(gone, "doc_id", "left")
+    told = docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone")
     fields = T.StructType([T.StructField("doc_id", T.LongType()), *out.fields])
     arrow = to_arrow_schema(fields)
 
@@ -198,12 +182,7 @@ def without_repeats(docs: DataFrame, scheme: Scheme, out: T.StructType, finish:
                 results.append(finish(text.as_py(), pairs))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in results], f.type) for i, f in enumerate(to_arrow_schema(out)))], schema=arrow)
 
-    def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            results = [_unpack(v.as_py(), out) for v in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in results], f.type) for i, f in enumerate(to_arrow_schema(out)))], schema=arrow)
-
-    result = doubtful.mapInArrow(end, fields).union(table.where("kind = 0").select("doc_id", "text").mapInArrow(unpack, fields))
+    result = told.mapInArrow(end, fields)
     if rest is not None:
         result = result.union(rest.withColumn("gone", F.lit(None).cast("array<struct<lo:int,hi:int>>")).mapInArrow(end, fields))
     return result
@@ -232,16 +211,3 @@ def _union(spans: np.ndarray) -> np.ndarray:
     reach = np.maximum.accumulate(spans[:, 1])
     new = np.flatnonzero(np.append(True, spans[1:, 0] > reach[:-1]))
     return np.stack([spans[new, 0], reach[np.append(new[1:], len(spans)) - 1]], axis=1)
-
-
-def _pack(values: tuple, out: T.StructType) -> bytes:
-    """A finished row as bytes: longs as they are, the last column is text or bytes."""
-    *numbers, last = values
-    raw = last.encode() if isinstance(last, str) else last
-    return np.array(numbers, np.int64).tobytes() + raw
-
-
-def _unpack(raw: bytes, out: T.StructType) -> tuple:
-    n = len(out.fields) - 1
-    last = raw[8 * n :]
-    return (*np.frombuffer(raw[: 8 * n], np.int64).tolist(), last.decode() if isinstance(out.fields[-1].dataType, T.StringType) else last)
