@@ -47,6 +47,15 @@ class Runs:
         self.place = (anchors[at] - 4 * first[self.doc]).astype(np.int32)
         self.first = first
 
+    @classmethod
+    def of(cls, start: np.ndarray, length: np.ndarray, anchors: np.ndarray, keys: np.ndarray, first: np.ndarray) -> Runs:
+        """From runs as such, in any order."""
+        self, by = cls.__new__(cls), np.argsort(start)
+        self.start, self.length, self.key, self.first = start[by], length[by], keys[by], first
+        self.doc = np.searchsorted(first, self.start, side="right") - 1
+        self.place = (anchors[by] - 4 * first[self.doc]).astype(np.int32)
+        return self
+
 
 class Scheme:
     window: int

@@ -26,10 +26,10 @@ from .repeats import Runs, Scheme, without_repeats
 from .shared import rolling
 
 WINDOW = 100
-#: Bytes of an anchor, and one of how many of them is sampled, coarse and fine.
-GRAM, COARSE, FINE = 16, 48, 16
+#: Bytes of an anchor, and one of how many of them is sampled, coarse and fine: powers of two.
+GRAM, COARSE, FINE = 16, 64, 16
 #: Batches that a bucket's runs make.
-BATCHES = 4
+BATCHES = 3
 
 _U = np.uint64
 
@@ -76,6 +76,7 @@ class Family:
 
     def add(self, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Whether the ``depth`` bytes at each start stand in an earlier batch, or at an earlier one of ``starts``."""
+        self._merge()
         order, equal = suffix_order(text, starts, self.depth)
         group = np.cumsum(~equal) - 1
         suffixes = starts[order[~equal]]  # the earliest of each group of equals
@@ -86,16 +87,26 @@ class Family:
             old[fresh] = same[mine]  # within a level and within the batch all differ, so an equal before is the level's
         again = np.zeros(len(starts), bool)
         again[order] = equal | old[group]
-        self._push(text, suffixes[~old])
+        self.levels.append(Level(text, suffixes[~old], 0))
         return again
 
-    def _push(self, text: np.ndarray, suffixes: np.ndarray) -> None:
-        new = Level(text, suffixes, 0)
-        while self.levels and self.levels[-1].rank == new.rank:
-            last = self.levels.pop()
+    def _merge(self) -> None:
+        """Merges levels of one size, the last ones first."""
+        while len(self.levels) > 1 and self.levels[-2].rank == self.levels[-1].rank:
+            new, last = self.levels.pop(), self.levels.pop()
             both, ordered, _, _ = self._scan(last, new.text, new.suffixes)
-            new = Level(both, ordered, new.rank + 1)
-        self.levels.append(new)
+            self.levels.append(Level(both, ordered, new.rank + 1))
+
+
+def _grams(raw: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes (two words of eight) at each place."""
+    words = np.ndarray(shape=(len(raw) - 7,), dtype="<u8", buffer=np.ascontiguousarray(raw), strides=(1,))
+    h = words[:-8] * _U(0x9E3779B97F4A7C15)
+    h ^= h >> _U(31)
+    h += words[8:]
+    h *= _U(0xD6E8FEB86659FD93)
+    h ^= h >> _U(32)
+    return h
 
 
 class Bytes(Scheme):
@@ -105,31 +116,41 @@ class Bytes(Scheme):
         self.window, self.bytes_per_unit, self.bytes_per_anchor = window, 1.0, 28.0
 
     def runs(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[Runs, np.ndarray]:
-        sizes = np.diff(offsets)
-        fits = np.maximum(sizes - self.window + 1, 0)
-        windows = np.arange(int(fits.sum())) + np.repeat(offsets[:-1] - (np.cumsum(fits) - fits), fits)
-        anchors, keys = windows * 4, np.zeros(len(windows), _U)
-        if not len(windows):
-            return Runs(windows, anchors, keys, offsets), raw
-        at = np.arange(len(raw) - GRAM + 1)
-        h = rolling(raw, at, at + GRAM)
-        # a class of the hash's high bits; the first sampled place at or after a window's start
-        waiting = np.ones(len(windows), bool)
+        lo, hi = offsets[:-1], offsets[1:] - self.window  # of each text the first window and the last
+        lo, hi = lo[hi >= lo], hi[hi >= lo]
+        h = _grams(raw) if len(lo) else np.zeros(0, _U)
+        parts: list[tuple[np.ndarray, ...]] = []
         for tier, one_of in ((1, COARSE), (2, FINE)):
-            sampled = np.flatnonzero((h >> _U(32)) % _U(one_of) == 0)
-            if not len(sampled):
-                continue
-            own = np.flatnonzero(waiting)
-            i = np.searchsorted(sampled, windows[own])
-            place = sampled[np.minimum(i, len(sampled) - 1)]
-            ok = (i < len(sampled)) & (place <= windows[own] + self.window - GRAM)
-            own, place = own[ok], place[ok]
-            anchors[own], keys[own] = place * 4 + tier, mix(h[place] + _U(tier))
-            waiting[own] = False
-        rest = windows[waiting]
+            sampled = np.flatnonzero((h & _U(one_of - 1)) == 0)
+            start, length, place, lo, hi = self._cover(lo, hi, sampled)
+            parts.append((start, length, place * 4 + tier, mix(h[place] + _U(tier))))
+        size = hi - lo + 1
+        rest = np.arange(int(size.sum())) + np.repeat(lo - (np.cumsum(size) - size), size)
         if len(rest):
-            keys[waiting] = rolling(raw, rest, rest + self.window)
-        return Runs(windows, anchors, keys, offsets), raw
+            parts.append((rest, np.ones(len(rest), np.int64), rest * 4, rolling(raw, rest, rest + self.window)))
+        return Runs.of(*(np.concatenate([p[i] for p in parts]) for i in range(4)), offsets), raw
+
+    def _cover(self, lo: np.ndarray, hi: np.ndarray, sampled: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Runs (start, length, place) of the windows in the intervals [lo, hi] that have a sampled place, the first of it; and the
+        intervals of the others."""
+        reach = self.window - GRAM
+        a, b = np.searchsorted(sampled, lo), np.searchsorted(sampled, hi + reach, side="right")
+        count = b - a
+        own = np.repeat(np.arange(len(lo)), count)
+        place = sampled[np.arange(int(count.sum())) + np.repeat(a - (np.cumsum(count) - count), count)]
+        opens = np.append(True, own[1:] != own[:-1])[: len(own)]
+        after = np.where(opens, lo[own], np.append(0, place[:-1] + 1)[: len(own)])  # the first window not anchored before
+        start, end = np.maximum(after, place - reach), np.minimum(place, hi[own])
+        runs = end >= start
+        gap = np.minimum(start - 1, hi[own])
+        gaps = gap >= after
+        last = np.append(own[1:] != own[:-1], True)[: len(own)]
+        tail_lo = lo.copy()
+        tail_lo[own[last]] = place[last] + 1
+        tails = hi >= tail_lo
+        rest = np.concatenate([after[gaps], tail_lo[tails]]), np.concatenate([gap[gaps], hi[tails]])
+        by = np.argsort(rest[0])
+        return start[runs], (end - start + 1)[runs], place[runs], rest[0][by], rest[1][by]
 
     def repeated(self, docs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, units: np.ndarray, ends: np.ndarray) -> np.ndarray:
         family, found = Family(self.window), []
