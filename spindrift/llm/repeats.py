@@ -29,7 +29,7 @@ from .common import written
 from .shared import Entries, buckets_for, pieces, repeated_places, rolling, unique_documents
 
 #: Windows of a bucket if every window were a candidate; runs' windows of a block.
-BUCKET_WINDOWS, BLOCK_WINDOWS = 4 << 20, 2 << 20
+BUCKET_WINDOWS, BLOCK_WINDOWS = 4 << 20, 1 << 19
 
 _U = np.uint64
 

@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import flat, mix, row_chunks, text_bytes
 
 #: Entries of a block, entries of a bucket, bytes of texts that are worked on at a time.
-BLOCK_KEYS, BUCKET_KEYS, PIECE_BYTES = 1 << 20, 1 << 20, 4 << 20
+BLOCK_KEYS, BUCKET_KEYS, PIECE_BYTES = 1 << 19, 1 << 20, 1 << 20
 
 Entries = tuple[np.ndarray, np.ndarray, np.ndarray]  # keys (uint64), doc_ids (int64), places (int32)
 
