@@ -6,7 +6,7 @@ texts agree on them without asking each other, and a symbol depends only on the
 stretches of text get equal symbols, but for a margin. After ``ROUNDS`` rounds a window is anchored at the
 symbol that lies in it with its whole reach, the longest of them, of these the one with the least name; a window without such a
 symbol (inside a very long run) is its own anchor. Symbols that several places share reveal where texts may repeat; the
-windows there are compared by 64-bit hashes under 64-bit anchors.
+windows there are compared by 64-bit hashes, among those with anchors of one bucket.
 
 Null and empty texts have no words. For null and repeated doc_ids see ``repeats``. Extra columns are ignored.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import mix
-from .repeats import Runs, Scheme, without_repeats
+from .repeats import Runs, Scheme, slices, without_repeats
 from .shared import rolling, word_hashes
 
 WINDOW = 20
@@ -103,13 +103,18 @@ class Words(Scheme):
             keys[alone] = rolling(words, windows[alone], windows[alone] + self.window)
         return Runs(windows, anchors, keys, first), words
 
-    def repeated(self, docs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, units: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        begin = np.repeat(ends - (lengths + self.window - 1), lengths)
-        at = begin + np.arange(len(begin)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        h = rolling(units, at, at + self.window)
-        order = np.argsort(h, kind="stable")
-        again = np.zeros(len(h), bool)
-        again[order] = np.append(False, h[order][1:] == h[order][:-1])[: len(h)]
+    def sizes(self, lengths: np.ndarray) -> np.ndarray:
+        return lengths
+
+    def values(self, units: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """A hash of each window."""
+        at = slices(np.arange(len(units)), starts, lengths)
+        return rolling(units, at, at + self.window)
+
+    def repeated(self, lengths: np.ndarray, values: np.ndarray) -> np.ndarray:
+        order = np.argsort(values, kind="stable")
+        again = np.zeros(len(values), bool)
+        again[order] = np.append(False, values[order][1:] == values[order][:-1])[: len(values)]
         return again
 
 

@@ -66,17 +66,22 @@ class Scheme:
         """(runs, units): the units are bytes, or the hashes of words."""
         raise NotImplementedError
 
-    def repeated(self, docs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, units: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """For runs in order of (doc, start): which of their windows, all in one row, starts earlier with equal content.
+    def sizes(self, lengths: np.ndarray) -> np.ndarray:
+        """How many values travel for runs of these many windows."""
+        raise NotImplementedError
+
+    def values(self, units: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """What travels of the runs, one after the other."""
+        raise NotImplementedError
 
-        ``units``: the runs' units one after the other, that end at ``ends``.
-        """
+    def repeated(self, lengths: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """For runs in order of (doc, start): which of their windows, all in one row, starts earlier with equal content."""
         raise NotImplementedError
 
     dtype: np.dtype
 
 
-def _slices(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def slices(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The slices of ``values`` one after the other."""
     ends = np.cumsum(sizes)
     at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
@@ -133,7 +138,7 @@ def without_repeats(docs: DataFrame, scheme: Scheme, out: T.StructType, finish:
         columns: list[list] = [[], [], [], [], []]
         for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sent)], strict=True):
             own = sent[lo:hi]
-            values = (int(bucket[lo]), *(x[own].tobytes() for x in (ids, starts, lengths)), _slices(units, at[own], sizes[own]).tobytes())
+            values = (int(bucket[lo]), *(x[own].tobytes() for x in (ids, starts, lengths)), slices(units, at[own], sizes[own]).tobytes())
             for column, v in zip(columns, values, strict=True):
                 column.append(v)
         yield rows_of(columns)
@@ -149,8 +154,8 @@ def without_repeats(docs: DataFrame, scheme: Scheme, out: T.StructType, finish:
             asked = pair(np.repeat(np.arange(len(ids)), counts), wanted.flatten().to_numpy())
             at = np.flatnonzero(np.isin(pair(runs.doc, runs.place), asked))
             start, length = runs.start[at], runs.length[at]
-            sizes = length + size - 1
-            held.append((ids[runs.doc[at]], start - runs.first[runs.doc[at]], length, runs.key[at], rolling(units, start, start + sizes), _slices(units, start, sizes), sizes))
+            prints = rolling(units, start, start + length + size - 1)
+            held.append((ids[runs.doc[at]], start - runs.first[runs.doc[at]], length, runs.key[at], prints, scheme.values(units, start, length), scheme.sizes(length)))
             n += int(length.sum())
             if n > BLOCK_WINDOWS:
                 yield from block(held)
@@ -164,12 +169,11 @@ def without_repeats(docs: DataFrame, scheme: Scheme, out: T.StructType, finish:
     def judge(group: pa.Table) -> pa.Table:
         read = lambda c, t: np.frombuffer(b"".join(v.as_py() for v in group.column(c)), t)
         ids, starts, lengths, units = read("docs", np.int64), read("starts", np.int64), read("lengths", np.int64), read("units", scheme.dtype)
-        sizes = lengths + size - 1
+        sizes = scheme.sizes(lengths)
         at = np.cumsum(sizes) - sizes
         order = np.lexsort((starts, ids))
-        ids, starts, lengths, sizes = ids[order], starts[order], lengths[order], sizes[order]
-        units = _slices(units, at[order], sizes)
-        found = scheme.repeated(ids, starts, lengths, units, np.cumsum(sizes))
+        ids, starts, lengths = ids[order], starts[order], lengths[order]
+        found = scheme.repeated(lengths, slices(units, at[order], sizes[order]))
         run = np.repeat(np.arange(len(ids)), lengths)[found]
         start = np.arange(len(found))[found] - (np.cumsum(lengths) - lengths)[run] + starts[run]
         return pa.Table.from_batches([_covered(*_stretches(ids[run], start), size)], schema=to_arrow_schema(COVERED))

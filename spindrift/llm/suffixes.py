@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import mix
-from .repeats import Runs, Scheme, without_repeats
+from .repeats import Runs, Scheme, slices, without_repeats
 from .shared import rolling
 
 WINDOW = 100
@@ -152,16 +152,21 @@ class Bytes(Scheme):
         by = np.argsort(rest[0])
         return start[runs], (end - start + 1)[runs], place[runs], rest[0][by], rest[1][by]
 
-    def repeated(self, docs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, units: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def sizes(self, lengths: np.ndarray) -> np.ndarray:
+        return lengths + self.window - 1
+
+    def values(self, units: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The runs' bytes."""
+        return slices(units, starts, self.sizes(lengths))
+
+    def repeated(self, lengths: np.ndarray, values: np.ndarray) -> np.ndarray:
         family, found = Family(self.window), []
-        begins = np.append(0, ends)
+        begins = np.append(0, np.cumsum(self.sizes(lengths)))
         total = np.cumsum(lengths)
         cuts = np.unique(np.searchsorted(total, np.linspace(0, total[-1], BATCHES + 1)[1:-1], side="right")) if len(total) else []
         for lo, hi in zip([0, *cuts], [*cuts, len(lengths)], strict=True):
             if hi > lo:
-                text, own = units[begins[lo] : begins[hi]], lengths[lo:hi]
-                at = np.repeat(begins[lo:hi] - begins[lo], own) + np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
-                found.append(family.add(text, at))
+                found.append(family.add(values[begins[lo] : begins[hi]], slices(np.arange(begins[hi] - begins[lo]), begins[lo:hi] - begins[lo], lengths[lo:hi])))
         return np.concatenate(found) if found else np.zeros(0, bool)
 
 
