@@ -27,8 +27,6 @@ from .common import mix, partitions, text_bytes, written
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys of a shard, and bits of the perfect hash for each key of a level.
 SHARD_KEYS, GAMMA = 1 << 17, 2
-#: Documents whose hashes a probing task gets from one shard.
-PROBE_DOCS = 1 << 15
 
 
 class PerfectHash:

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 BLOCK = 64
-SLOTS = 4096
+#: Slots of an output shard, unless that would make more shards than a source's counts can be summed over in one task.
+SLOTS, MOST_SHARDS = 4096, 65536
 MOST = 3
 #: Parts of a source that are laid end to end; fixed, so that the result doesn't depend on the session's settings.
 BUCKETS = 4096
@@ -103,7 +104,7 @@ def plan(docs: DataFrame, seed: int = 7, block: int = BLOCK, slots: int = SLOTS,
     share = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     drawn = per.withColumn("upto", F.sum("wanted").over(share)).withColumn("all", F.sum("wanted").over(Window.partitionBy()))
     drawn = drawn.where(F.col("blocks") > 0)
-    shards = F.ceil(F.col("all") / slots).cast("long")
+    shards = F.least(F.ceil(F.col("all") / slots), F.lit(MOST_SHARDS)).cast("long")
     drawn = drawn.withColumn("shards", shards).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
     offset = F.pmod(F.xxhash64("shard", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     upto = lambda c: F.floor(c / F.col("shards") + offset)

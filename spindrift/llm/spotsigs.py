@@ -61,16 +61,16 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both).cast("double"))
 
 
-def with_next(docs: DataFrame, carried: list[str], ranges: int | None = None, accuracy: int = 2000) -> DataFrame:
+def with_next(docs: DataFrame, carried: list[str], ranges: int | None = None) -> DataFrame:
     """Adds ``next_<c>`` of each carried column: its value in the next document, descending doc_id, the first after the last.
 
     Rows with null doc_id come last; ties go by text. Ids are cut into ranges at quantiles of theirs; the first row of each range
     is dealt to the range above as well, where it only ends the order, so no task needs more than its range.
     """
     spark = docs.sparkSession
-    ranges = ranges or min(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or min(16384, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = [i / ranges for i in range(1, ranges)]
-    quantiles, top = docs.agg(F.percentile_approx("doc_id", cuts or [0.5], accuracy), F.max("doc_id")).first()
+    quantiles, top = docs.agg(F.percentile_approx("doc_id", cuts or [0.5], max(2000, 4 * ranges)), F.max("doc_id")).first()
     splits = sorted(set(quantiles or []) - {top}) if cuts else []
     step = max(1, round(len(splits) ** 0.5))
     coarse = F.array(*map(F.lit, splits[::step])).cast("array<bigint>") if splits else None
