@@ -89,13 +89,14 @@ def slices(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 
 MADE = T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("docs", "starts", "lengths", "units"))])
-COVERED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())])
+#: A covered interval [lo, hi) of a document; span is lo * 2**32 + hi, which takes least room in lists.
+COVERED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("span", T.LongType())])
 
 
 def _covered(docs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, window: int) -> pa.RecordBatch:
     """Rows of COVERED for stretches of ``lengths`` windows."""
-    columns = [pa.array(docs), pa.array(starts.astype(np.int32)), pa.array((starts + lengths - 1 + window).astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, schema=to_arrow_schema(COVERED))
+    span = (starts << 32) | (starts + lengths - 1 + window)
+    return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(span)], schema=to_arrow_schema(COVERED))
 
 
 def without_repeats(docs: DataFrame, scheme: Scheme, out: T.StructType, finish: Callable[[bytes, np.ndarray], tuple]) -> DataFrame:
@@ -179,7 +180,7 @@ def without_repeats(docs: DataFrame, scheme: Scheme, out: T.StructType, finish:
         return pa.Table.from_batches([_covered(*_stretches(ids[run], start), size)], schema=to_arrow_schema(COVERED))
 
     judged = table.where("bucket is not null").groupBy("bucket").applyInArrow(judge, COVERED)
-    gone = known.union(judged).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
+    gone = known.union(judged).groupBy("doc_id").agg(F.collect_list("span").alias("gone"))
     told = docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone")
     fields = T.StructType([T.StructField("doc_id", T.LongType()), *out.fields])
     arrow = to_arrow_schema(fields)
@@ -190,14 +191,14 @@ def without_repeats(docs: DataFrame, scheme: Scheme, out: T.StructType, finish:
             for text, spans in zip(b.column(1), b.column(2), strict=True):
                 pairs = np.zeros((0, 2), np.int64)
                 if spans.is_valid:
-                    v = spans.values
-                    pairs = _union(np.stack([v.field("lo").to_numpy(), v.field("hi").to_numpy()], axis=1).astype(np.int64))
+                    v = spans.values.to_numpy()
+                    pairs = _union(np.stack([v >> 32, v & 0xFFFFFFFF], axis=1))
                 results.append(finish(text.as_py(), pairs))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in results], f.type) for i, f in enumerate(to_arrow_schema(out)))], schema=arrow)
 
     result = told.mapInArrow(end, fields)
     if rest is not None:
-        result = result.union(rest.withColumn("gone", F.lit(None).cast("array<struct<lo:int,hi:int>>")).mapInArrow(end, fields))
+        result = result.union(rest.withColumn("gone", F.lit(None).cast("array<bigint>")).mapInArrow(end, fields))
     return result
 
 

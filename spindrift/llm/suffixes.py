@@ -27,7 +27,7 @@ from .shared import rolling
 
 WINDOW = 100
 #: Bytes of an anchor, and one of how many of them is sampled, coarse and fine: powers of two.
-GRAM, COARSE, FINE = 16, 64, 16
+GRAM, COARSE, FINE = 16, 32, 16
 #: Batches that a bucket's runs make.
 BATCHES = 3
 
