@@ -21,11 +21,12 @@ _SEQ, _GONE = "batch_seq", "deleted"
 
 
 def latest(log: DataFrame, keys: tuple[str, ...], seq: str = _SEQ) -> DataFrame:
-    """The row of the latest write of each key. Rows of one key in one write are told apart by their other columns."""
+    """The row of the latest write of each key. Of rows of one key in one write a hash of their columns decides."""
     rest = [c for c in log.columns if c not in (*keys, seq)]
-    row = F.struct(seq, F.to_json(F.struct(*rest)).alias("__tie"), *rest) if rest else F.struct(seq)
-    flat = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(row[seq], *([row["__tie"]] if rest else []))).alias("r")) if rest else log.groupBy(*keys).agg(F.max(seq))
-    return flat.select(*keys, *(F.col(f"r.`{c}`").alias(c) for c in rest)) if rest else flat.select(*keys)
+    if not rest:
+        return log.select(*keys).distinct()
+    newest = F.max_by(F.struct(*rest), F.struct(seq, F.xxhash64(*rest).alias("tie")))
+    return log.groupBy(*keys).agg(newest.alias("r")).select(*keys, *(F.col(f"r.`{c}`").alias(c) for c in rest))
 
 
 def insert_new(existing: DataFrame, rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
