@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import written
-from .shared import Entries, buckets_for, pieces, repeated_places, rolling, unique_documents
+from .shared import Entries, buckets_for, pieces, repeated_places, rolling, squeezed, unique_documents, unsqueezed
 
 #: Windows of a bucket if every window were a candidate; runs' windows of a block.
 BUCKET_WINDOWS, BLOCK_WINDOWS = 4 << 20, 1 << 19
@@ -129,7 +129,7 @@ def without_repeats(docs: DataFrame, scheme: Scheme, out: T.StructType, finish:
         same = np.append(False, (np.diff(prints[order]) == 0) & (np.diff(lengths[order]) == 0))
         known, sent = order[same], order[~same]
         if len(known):
-            yield rows_of([[None], [ids[known].tobytes()], [starts[known].tobytes()], [lengths[known].tobytes()], [None]])
+            yield rows_of([[None], [squeezed(ids[known])], [squeezed(starts[known])], [squeezed(lengths[known])], [None]])
         at = np.cumsum(sizes) - sizes
         edges = np.array([-(-(i << 64) // buckets) for i in range(1, buckets)], _U)
         bucket = np.searchsorted(edges, keys_[sent], side="right")
@@ -139,7 +139,7 @@ def without_repeats(docs: DataFrame, scheme: Scheme, out: T.StructType, finish:
         columns: list[list] = [[], [], [], [], []]
         for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sent)], strict=True):
             own = sent[lo:hi]
-            values = (int(bucket[lo]), *(x[own].tobytes() for x in (ids, starts, lengths)), slices(units, at[own], sizes[own]).tobytes())
+            values = (int(bucket[lo]), *(squeezed(x[own]) for x in (ids, starts, lengths)), squeezed(slices(units, at[own], sizes[own])))
             for column, v in zip(columns, values, strict=True):
                 column.append(v)
         yield rows_of(columns)
@@ -168,7 +168,7 @@ def without_repeats(docs: DataFrame, scheme: Scheme, out: T.StructType, finish:
     known = table.where("bucket is null").select("docs", "starts", "lengths").mapInArrow(_known(size), COVERED)
 
     def judge(group: pa.Table) -> pa.Table:
-        read = lambda c, t: np.frombuffer(b"".join(v.as_py() for v in group.column(c)), t)
+        read = lambda c, t: unsqueezed(group.column(c), t)
         ids, starts, lengths, units = read("docs", np.int64), read("starts", np.int64), read("lengths", np.int64), read("units", scheme.dtype)
         sizes = scheme.sizes(lengths)
         at = np.cumsum(sizes) - sizes
@@ -206,7 +206,7 @@ def _known(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in zip(*b.columns, strict=True):
-                ids, starts, lengths = (np.frombuffer(v.as_py(), np.int64) for v in row)
+                ids, starts, lengths = (unsqueezed([v], np.int64) for v in row)
                 yield _covered(ids, starts, lengths, window)
 
     return run
