@@ -221,6 +221,30 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in language.identify(docs, {}).collect()} == {"und"} and language.learn(empty) == {}
 
 
+def test_language_learns_from_whole_texts(spark):
+    """Few long documents that open with the same other words fill a dictionary, from every part of them."""
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(3, 9)))
+    long = [["license terms apply to all of this " * 20, *(word("abcdefgh") for _ in range(20_000))] for _ in range(5)]
+    many = [[word("mnopqrst") for _ in range(60)] for _ in range(400)]
+    rows = [(i, " ".join(w), "few") for i, w in enumerate(long)] + [(10 + i, " ".join(w), "many") for i, w in enumerate(many)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    d = language.learn(train)
+    assert {k: len(v) for k, v in d.items()} == {"few": language.DICTIONARY_BYTES, "many": language.DICTIONARY_BYTES}
+    assert d == language.learn(train.repartition(7))
+    taught = set(d["few"].decode().split())
+    for w in long:
+        assert all(len(taught & set(w[a : a + 5000])) > 100 for a in range(1, 20_000, 5000))
+    assert d["few"].count(b"license") < 40
+
+
+def test_language_pieces():
+    text = " ".join(f"wort{chr(97 + i % 26)}é" for i in range(500)) + " " + "字" * 250 + " 12 \x00"
+    cut = language.pieces(text, -7, 100, 1 << 30)
+    assert sorted("".join(cut).replace(" ", "")) == sorted(c for c in text if c.isalpha()) and max(map(len, cut)) <= 100
+    assert language.pieces(text, -7, 100, 300) == cut[:3] and language.pieces("", 1, 100, 300) == []
+
+
 def test_toxicity(spark, docs, empty):
     bad = ["grumblewort", "snarfel", "blethergast", "moonwhelk"]
     data = []
