@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import models, text
@@ -404,10 +404,18 @@ _DIFFS = (
 )
 
 
-def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+_WHOLE_DIFFS = (
+    "df AS (SELECT doc_id, 'diff --git a/src/' || doc_id || '.py b/src/' || doc_id || '.py' || chr(10) || '--- a/src/' || doc_id || '.py' || chr(10) || '+++ b/lib/' || (doc_id % 7) || '.py' || chr(10) || "
+    "replace(coalesce(text, ''), 'diff', '') AS diff FROM documents)"
+)
+
+
+def _diffs(spark: SparkSession, sf_dir: str, body: Column | None = None) -> DataFrame:
+    """A diff of every document, of its whole text if ``body`` isn't given."""
+    body = F.col("text") if body is None else body
     i = F.col("doc_id").cast("string")
     head = F.concat(F.lit("diff --git a/src/"), i, F.lit(".py b/src/"), i, F.lit(".py\n--- a/src/"), i, F.lit(".py\n+++ b/lib/"), (F.col("doc_id") % 7).cast("string"), F.lit(".py\n"))
-    return _docs(spark, sf_dir).select("doc_id", F.concat(head, F.replace(F.substring("text", 1, 300), F.lit("diff"), F.lit(""))).alias("diff"))
+    return _docs(spark, sf_dir).select("doc_id", F.concat(head, F.replace(body, F.lit("diff"), F.lit(""))).alias("diff"))
 
 
 @query(f"WITH {_DIFFS} SELECT doc_id, 'lib/' || (doc_id % 7) || '.py|src/' || doc_id || '.py' AS names FROM df")
@@ -420,6 +428,17 @@ def diff_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT doc_id, CASE WHEN bin THEN 'diff --git a/src/' || doc_id || '.py b/src/' || doc_id || '.py' || chr(10) || '[binary file: src/' || doc_id || '.py]' ELSE diff END AS diff, CASE WHEN bin THEN 1 ELSE 0 END AS n FROM r"
 )
 def filter_binary_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the first 300 code points, as its SQL; ``filter_binary_whole_diffs`` takes whole texts."""
+    f = text.filter_binary(F.col("diff"))
+    return _diffs(spark, sf_dir, F.substring("text", 1, 300)).select("doc_id", f["diff"].alias("diff"), F.size(f["binary_files"]).alias("n"))
+
+
+@query(
+    f"WITH {_WHOLE_DIFFS}, b AS (SELECT *, regexp_extract_all(substr(hex(encode(diff)), 1, 16384), '..') AS b FROM df), "
+    "r AS (SELECT *, list_contains(b, '00') OR len(list_filter(b, lambda h: h BETWEEN '20' AND '7E' OR h IN ('09', '0A', '0D'))) / len(b)::DOUBLE < 0.85 AS bin FROM b) "
+    "SELECT doc_id, CASE WHEN bin THEN 'diff --git a/src/' || doc_id || '.py b/src/' || doc_id || '.py' || chr(10) || '[binary file: src/' || doc_id || '.py]' ELSE diff END AS diff, CASE WHEN bin THEN 1 ELSE 0 END AS n FROM r"
+)
+def filter_binary_whole_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = text.filter_binary(F.col("diff"))
     return _diffs(spark, sf_dir).select("doc_id", f["diff"].alias("diff"), F.size(f["binary_files"]).alias("n"))
 
