@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -32,8 +32,10 @@ from .common import text_bytes, written
 LABELLED = 20_000
 #: Lengths of the beginnings of words that patterns look at.
 HEADS = (4, 5, 6, 7)
-#: Most candidates whose clean documents are counted, most hits kept of each kind, least log-likelihood ratio, voters of each kind.
-CANDIDATES, ITEMS, LEAST_RATIO, VOTERS = 40_000, 400, 10.0, 12
+#: Most hits kept of each kind, least log-likelihood ratio, voters of each kind.
+ITEMS, LEAST_RATIO, VOTERS = 400, 10.0, 12
+#: Items that a worker counts before it hands its counts on.
+COUNTED = 200_000
 PREDICT_AT = 0.7
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -58,45 +60,55 @@ def _items(text: str, most: dict[str, int] | None = None) -> set[str]:
     return found
 
 
-def _counts(sample: DataFrame, toxic: bool, only: dict[str, int] | None) -> DataFrame:
-    """item and number of documents of one kind that hold it."""
-    schema = T.StructType([T.StructField("item", T.StringType()), T.StructField("docs", T.LongType())])
+def _counts(sample: DataFrame) -> DataFrame:
+    """item and numbers of toxic and of clean documents that hold it."""
+    schema = T.StructType([T.StructField("item", T.StringType()), T.StructField("toxic", T.LongType()), T.StructField("clean", T.LongType())])
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c: tuple[Counter[str], Counter[str]] = Counter(), Counter()
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for kind, have in enumerate(c):
+                if have:
+                    n, none = pa.array(list(have.values()), pa.int64()), pa.array(np.zeros(len(have), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.string()), *((n, none) if kind else (none, n))], schema=arrow)
+                have.clear()
+
         for b in batches:
-            c: Counter[str] = Counter()
-            for v in b.column(0):
-                c.update(_items(v.as_py().decode("utf-8", "replace"), only))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], schema=to_arrow_schema(schema))
+            for toxic, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                c[toxic].update(_items(v.as_py().decode("utf-8", "replace")))
+                if len(c[0]) + len(c[1]) >= COUNTED:
+                    yield from counted()
+        yield from counted()
 
-    one = sample.where(F.col("toxic") == int(toxic)).select("text").mapInArrow(run, schema)
-    return one.groupBy("item").agg(F.sum("docs").alias("docs"))
+    each = sample.select(F.col("toxic").cast("int"), "text").mapInArrow(run, schema)
+    return each.groupBy("item").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _ratio(p: int, n: int, share: float) -> float:
+def _ratio(p: Column, n: Column, share: float) -> Column:
     """How much likelier the marks of an item's documents are at its own share than at the common one."""
     own = p / (p + n)
-    if own <= share:
-        return 0.0
-    return p * math.log(own / share) + (n * math.log((1 - own) / (1 - share)) if n else 0.0)
+    ratio = p * F.log(own / share) + F.when(n > 0, n * F.log((1 - own) / (1 - share))).otherwise(0.0)
+    return F.when(own > share, ratio).otherwise(0.0)
 
 
 def mine(sample: DataFrame, toxic: int, clean: int) -> list[str]:
-    """The items that stand out in toxic documents, words and patterns, best first; no pattern that a shorter one covers."""
-    share = toxic / (toxic + clean)
-    top = _counts(sample, True, None).where("docs >= 3").orderBy(F.desc("docs"), "item").limit(CANDIDATES).collect()
-    p = {r.item: r.docs for r in top}
-    n = {r.item: r.docs for r in _counts(sample, False, p).collect()}
-    scored = sorted(((_ratio(p[x], n.get(x, 0), share), x) for x in p if p[x] >= 0.7 * (p[x] + n.get(x, 0))), key=lambda t: (-t[0], len(t[1]), t[1]))
-    kept: list[str] = []
-    many = Counter()
-    for ratio, x in scored:
-        kind = x[0] == "="
-        shorter = not kind and any(x[:k] + "*" in kept and p[x[:k] + "*"] >= p[x] for k in HEADS if k < len(x) - 1)
-        if ratio >= LEAST_RATIO and many[kind] < ITEMS and not shorter:
-            many[kind] += 1
-            kept.append(x)
-    return kept
+    """The items that stand out in toxic documents, words and patterns, best first; no pattern that a shorter one covers.
+
+    Every item of three toxic documents is scored; only those kept are bounded. A pattern is covered where one that it begins with
+    ranks before it: that one is kept, or is covered itself by a still shorter one.
+    """
+    p, n = F.col("toxic"), F.col("clean")
+    told = _counts(sample).where((p >= 3) & (p >= 0.7 * (p + n))).select("item", _ratio(p, n, toxic / (toxic + clean)).alias("ratio"))
+    scored = written(told.where(F.col("ratio") >= LEAST_RATIO), "toxic-items")
+    word = F.startswith("item", F.lit("="))
+    heads = F.array(*(F.when(F.length("item") - 1 > k, F.concat(F.substring("item", 1, k), F.lit("*"))) for k in HEADS))
+    longer = scored.where(~word).select(F.col("item").alias("long"), F.col("ratio").alias("least"), F.explode(heads).alias("item")).where("item is not null")
+    covered = longer.join(scored, "item").where("ratio >= least").select(F.col("long").alias("item"))
+    left = scored.join(covered, "item", "left_anti")
+    best = [left.where(kind).orderBy(F.desc("ratio"), F.length("item"), "item").limit(ITEMS) for kind in (word, ~word)]
+    return [r.item for r in sorted(best[0].union(best[1]).collect(), key=lambda r: (-r.ratio, len(r.item), r.item))]
 
 
 def votes(hits: np.ndarray, items: list[str]) -> tuple[np.ndarray, list[str]]:

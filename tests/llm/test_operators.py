@@ -264,6 +264,14 @@ def test_toxicity(spark, docs, empty):
     assert {r.predicted for r in toxicity.score(docs, none).collect()} == {0}
 
 
+def test_toxicity_scores_rare_items(spark):
+    """An item of five toxic and no clean documents, behind more common items than were ever scored."""
+    common = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(45_000))
+    texts = [(1, common + (" grumblewort" if i < 5 else "")) for i in range(8)] + [(0, common if i < 8 else prose(20)) for i in range(72)]
+    sample = spark.createDataFrame([(k, t.encode()) for k, t in texts], "toxic int, text binary").repartition(3)
+    assert toxicity.mine(sample, 8, 72) == ["grum*", "=grumblewort"]
+
+
 def test_label_model_discounts_voters_that_agree():
     rng = np.random.default_rng(6)
     y = rng.random(4000) < 0.3
