@@ -485,6 +485,15 @@ def current_state_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.state_message(chunks.withColumn("line_end", F.col("line_start")))
 
 
+@query(
+    f"WITH {_CHUNKS} SELECT file_path, string_agg('File: ' || file_path || ' (lines ' || (chunk_index + 1) || '-' || (chunk_index + 1) || ')' || chr(10) || '```markdown' || chr(10) || content || chr(10) || '```' || chr(10), chr(10) ORDER BY chunk_index) AS content "
+    "FROM ck GROUP BY 1"
+)
+def current_state_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of all documents, a row for each file."""
+    return conversation.state_files(_chunks(spark, sf_dir).withColumn("line_end", F.col("line_start")))
+
+
 @query(f"WITH {_LISTED} SELECT id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, author, message, len(files)::INTEGER AS n, files[1] AS first FROM m")
 def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results go to JSON and are read back."""

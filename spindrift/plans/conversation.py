@@ -58,10 +58,20 @@ def state_block(path: Column, first: Column, last: Column, content: Column) -> C
     return F.concat(F.lit("File: "), path, F.lit(" (lines "), first.cast("string"), F.lit("-"), last.cast("string"), F.lit(")\n```"), language_of(path), F.lit("\n"), content, F.lit("\n```\n"))
 
 
+def _state_rows() -> Column:
+    block = state_block(F.col("file_path"), F.col("line_start"), F.col("line_end"), F.col("content"))
+    return F.array_sort(F.collect_list(F.struct("file_path", "line_start", "line_end", block.alias("block"))))
+
+
+def state_files(chunks: DataFrame) -> DataFrame:
+    """Rows file_path, content by path: the blocks of each file by line."""
+    each = chunks.groupBy("file_path").agg(_state_rows().alias("rows"))
+    return each.select("file_path", F.array_join("rows.block", "\n").alias("content")).orderBy("file_path")
+
+
 def state_message(chunks: DataFrame) -> DataFrame:
     """One row ``content``: all chunks by path and line; no row without chunks."""
-    block = state_block(F.col("file_path"), F.col("line_start"), F.col("line_end"), F.col("content"))
-    rows = F.array_sort(F.collect_list(F.struct("file_path", "line_start", "line_end", block.alias("block"))))
+    rows = _state_rows()
     one = chunks.agg(rows.alias("rows")).where(F.size("rows") > 0)
     return one.select(F.concat_ws("\n", F.lit(STATE_HEAD), F.array_join("rows.block", "\n"), F.lit(STATE_TAIL)).alias("content"))
 

@@ -34,3 +34,15 @@ def test_diffs_of_whole_texts(spark, tmp_path):
         s = section(i, t or "")
         want[i] = (f"diff --git a/src/{i}.py b/src/{i}.py\n[binary file: src/{i}.py]", 1) if is_binary(s) else (s, 0)
     assert got == want and [i for i in want if want[i][1]] == [4, 5]
+
+
+def test_state_of_all_files(spark, tmp_path):
+    texts = [None, "", "short", "x" * 1000, "abcdefghij" * 1234]
+    got = QUERIES["current_state_files"](spark, tables(spark, tmp_path, texts)).collect()
+    want = []
+    for i, t in enumerate(texts):
+        path = f"src0/en/{i}.md"
+        parts = [t[a : a + 1000] for a in range(0, len(t), 1000)] if t else []
+        blocks = [f"File: {path} (lines {k}-{k})\n```markdown\n{part}\n```\n" for k, part in enumerate(parts, 1)]
+        want += [(path, "\n".join(blocks))] if blocks else []
+    assert [tuple(r) for r in got] == want
