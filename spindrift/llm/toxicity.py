@@ -35,7 +35,7 @@ HEADS = (4, 5, 6, 7)
 #: Most hits kept of each kind, least log-likelihood ratio, voters of each kind.
 ITEMS, LEAST_RATIO, VOTERS = 400, 10.0, 12
 #: Items that a worker counts before it hands its counts on.
-COUNTED = 200_000
+COUNTED = 25_000
 PREDICT_AT = 0.7
 
 _WORD = re.compile(r"[^\W\d_]+")
