@@ -2,18 +2,18 @@
 
 Every source's documents are laid end to end (by bucket, then doc_id) and cut into blocks of ``block`` words.
 Targets come from the weights by filling up: no source is asked for more than ``most`` times its size, what it
-would get above that goes to the others by weight. For every output shard the draw gives each source a number of
-slots: a multinomial draw by systematic sampling (one random offset a shard), whose counts stray from their
-expectation by less than one. A source's slots are numbered through all shards; slot j takes the block at place
-j modulo n of a pseudorandom permutation of its n blocks, so a block comes back only when all others have been
-taken. Slots and blocks meet in an equi-join on (source, block).
+would get above that goes to the others by weight. Every output shard draws how many of its slots each source gets: the whole part of
+the expected count is given, the rest is a multinomial draw over the sources' fractions, so counts are right on average and
+stray by a few slots a shard. A source's slots are numbered through all shards; slot j takes the block at place j modulo n
+of a pseudorandom permutation of its n blocks (a Feistel network with cycle walking, keyed by the source), so a block comes back
+only when all others have been taken. Slots and blocks meet in an equi-join on (source, block).
 
-DataFrame functions only. The prefix sums are two-level, so no task sees a whole source; only one row per
-(source, bucket) goes through a window of a source.
+DataFrame functions only. Prefix sums are two-level, so no task sees a whole source: only one row per (source, bucket) and per
+(source, chunk of shards) goes through a window of a source. Slots are made in tasks dealt by source and chunk.
 
 Null texts have size 0; a null source is a source of its own, last in order; sources are matched null-safely.
-Documents without words are kept with taken 0. Rows with equal doc_id are documents of their own. An empty table
-gives no rows. Extra columns are ignored by ``mix``.
+Documents without words are kept with taken 0. Rows with equal or null doc_id are documents of their own. An empty table
+gives no rows. Extra columns are ignored by ``mix`` and kept by ``mixture``, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,14 +21,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unused, written
 
 BLOCK = 64
-#: Slots of an output shard, unless that would make more shards than a source's counts can be summed over in one task.
-SLOTS, MOST_SHARDS = 4096, 65536
+#: Slots of an output shard, and shards of a chunk.
+SLOTS, CHUNK = 4096, 1024
 MOST = 3
 #: Parts of a source that are laid end to end; fixed, so that the result doesn't depend on the session's settings.
 BUCKETS = 4096
+#: Rounds of the Feistel network; steps of the cycle walk, of which the first two nearly always do.
+FEISTEL, WALK = 4, 24
 
 
 ROW = ("n", "bucket", "k")
@@ -59,13 +61,67 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return filled.withColumn("target", target).select("source", "source_size", "n", "weight", "target")
 
 
-def _place(slot: Column, blocks: Column, n: Column, seed: int) -> Column:
-    """Block at a place of a source's permutation: an affine map whose multiplier has no factor in common with ``blocks``."""
-    step = F.lit(1)
-    for p in (2147483647, 668265263, 374761393):
-        step = F.when(blocks % p != 0, F.lit(p)).otherwise(step)
-    shift = F.pmod(F.xxhash64(n, F.lit(seed)), blocks)
-    return F.pmod(slot % blocks * (step % blocks) + shift, blocks)
+def _fraction(*of: Column | int) -> Column:
+    """A number from 0 to 1 (exclusive) that hangs on the values alone."""
+    return F.pmod(F.xxhash64(*(x if isinstance(x, Column) else F.lit(x) for x in of)), F.lit(1 << 52)) / float(1 << 52)
+
+
+def _network(x: Column, wide: Column, high: Column, key: Column, seed: int) -> Column:
+    """A bijection of 0 .. wide * high - 1: a Feistel network over x % wide and x / wide."""
+    left, right = F.pmod(x, wide), F.floor(x / wide)
+    for r in range(FEISTEL):
+        if r % 2 == 0:
+            left = F.pmod(left + F.pmod(F.xxhash64(right, key, F.lit(seed * 31 + r)), wide), wide)
+        else:
+            right = F.pmod(right + F.pmod(F.xxhash64(left, key, F.lit(seed * 31 + r)), high), high)
+    return right * wide + left
+
+
+def _permuted(rows: DataFrame, place: str, blocks: str, key: str, out: str, seed: int) -> DataFrame:
+    """Adds ``out``: where a permutation of 0 .. blocks - 1, keyed by ``key``, sends ``place``.
+
+    The network's domain is the least rectangle with ``blocks`` cells, so fewer than sqrt(blocks) lie outside. From those the walk goes on:
+    at most as many steps as lie outside, so all of them for fewer than WALK ** 2 blocks; with more, WALK steps outside
+    one after the other are as likely as blocks ** (-WALK / 2), under 1e-33.
+    """
+    n = F.col(blocks)
+    wide = F.ceil(F.sqrt(n.cast("double")))
+    rows = rows.withColumn("__wide", wide).withColumn("__high", F.ceil(n / F.col("__wide")))
+    step = lambda x: _network(x, F.col("__wide"), F.col("__high"), F.col(key), seed)
+    rows = rows.withColumn("__once", step(F.col(place)))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.col("__once"), lambda x, _: F.when(x >= n, step(x)).otherwise(x))
+    return rows.withColumn(out, F.when(F.col("__once") < n, F.col("__once")).otherwise(walked)).drop("__wide", "__high", "__once")
+
+
+def draw(per: DataFrame, slots: int = SLOTS, most: int = MOST, seed: int = 7) -> DataFrame:
+    """n, block of every slot of the mix. ``per``: n, blocks, wanted (expected slots), one row per source.
+
+    A source gets the whole part of its expected count in every shard. What is left of the shard are some slots (rounded at
+    random, so that their number is right on average); each falls to a source with the probability of its fraction. Every row of
+    (source, shard) reads its own share of these throws, so nothing is dealt by shard. Slots beyond ``most`` times the blocks are left out.
+    """
+    order, all_ = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy()
+    per = per.where(F.col("blocks") > 0).withColumn("shards", F.greatest(F.ceil(F.sum("wanted").over(all_) / slots), F.lit(1)).cast("long"))
+    per = per.withColumn("base", F.floor(F.col("wanted") / F.col("shards"))).withColumn("part", F.col("wanted") / F.col("shards") - F.col("base"))
+    per = per.withColumn("hi", F.sum("part").over(order)).withColumn("parts", F.sum("part").over(all_))
+    per = per.select("n", "blocks", "shards", "base", (F.col("hi") - F.col("part")).alias("lo"), "hi", "parts")
+    chunks = per.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("shards") - 1) / CHUNK))))
+    # two-level prefix sums, and slots are made where their chunk is
+    chunks = chunks.repartition("n", "chunk")
+    first, last = F.col("chunk") * CHUNK, F.least(F.col("chunk") * CHUNK + CHUNK, F.col("shards")) - 1
+    rows = chunks.withColumn("shard", F.explode(F.sequence(first, last)))
+    thrown = F.floor(F.col("parts") + _fraction(F.col("shard"), seed)).cast("int")
+    throws = F.transform(F.sequence(F.lit(1), thrown), lambda i: _fraction(F.col("shard"), i, seed + 1) * F.col("parts"))
+    mine = F.size(F.filter(throws, lambda x: (x >= F.col("lo")) & (x < F.col("hi"))))
+    rows = rows.withColumn("count", (F.col("base") + F.when(thrown > 0, mine).otherwise(0)).cast("long"))
+    upto = Window.partitionBy("n").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("n", "chunk").agg(F.sum("count").alias("held")).select("n", "chunk", F.coalesce(F.sum("held").over(upto), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("n", "chunk").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("first", F.coalesce(F.sum("count").over(inside), F.lit(0))).join(before.hint("merge"), ["n", "chunk"]).where(F.col("count") > 0)
+    at = F.col("before") + F.col("first")
+    each = rows.select("n", "blocks", F.explode(F.sequence(at, at + F.col("count") - 1)).alias("slot")).where(F.col("slot") < F.col("blocks") * most)
+    placed = _permuted(each.withColumn("place", F.col("slot") % F.col("blocks")), "place", "blocks", "n", "block", seed)
+    return placed.select("n", "block")
 
 
 def plan(docs: DataFrame, seed: int = 7, block: int = BLOCK, slots: int = SLOTS, most: int = MOST, weights: tuple[int, ...] = (1, 2, 3), text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -76,7 +132,8 @@ def plan(docs: DataFrame, seed: int = 7, block: int = BLOCK, slots: int = SLOTS,
     unique even where doc_id is not.
     """
     sized = docs.select("doc_id", "source", word_count(text).alias("size"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie"))
-    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(BUCKETS)))
+    named = F.when(F.col("doc_id").isNull(), F.xxhash64("tie", F.lit(seed + 1))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
+    sized = sized.withColumn("bucket", F.pmod(named, F.lit(BUCKETS)))
     sized = written(sized, "mix-sizes")
     by_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("held"), F.count(F.lit(1)).alias("rows"))
     sizes = by_bucket.groupBy("source").agg(F.sum("held").alias("source_size"))
@@ -100,20 +157,7 @@ def plan(docs: DataFrame, seed: int = 7, block: int = BLOCK, slots: int = SLOTS,
     )
     placed = written(laid, "mix-places")
 
-    # the draw
-    share = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    drawn = per.withColumn("upto", F.sum("wanted").over(share)).withColumn("all", F.sum("wanted").over(Window.partitionBy()))
-    drawn = drawn.where(F.col("blocks") > 0)
-    shards = F.least(F.ceil(F.col("all") / slots), F.lit(MOST_SHARDS)).cast("long")
-    drawn = drawn.withColumn("shards", shards).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-    offset = F.pmod(F.xxhash64("shard", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    upto = lambda c: F.floor(c / F.col("shards") + offset)
-    drawn = drawn.withColumn("count", (upto(F.col("upto")) - upto(F.col("upto") - F.col("wanted"))).cast("long"))
-    so_far = Window.partitionBy("n").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = drawn.withColumn("first", F.coalesce(F.sum("count").over(so_far), F.lit(0))).where(F.col("count") > 0)
-    drawn = drawn.select("n", "shard", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("slot"))
-    drawn = drawn.where(F.col("slot") < F.col("blocks") * most)
-    taken = drawn.select("n", _place(F.col("slot"), F.col("blocks"), F.col("n"), seed).alias("block")).groupBy("n", "block").agg(F.count(F.lit(1)).alias("times"))
+    taken = draw(per.select("n", "blocks", "wanted"), slots, most, seed).groupBy("n", "block").agg(F.count(F.lit(1)).alias("times"))
 
     cut = placed.where(F.col("size") > 0).select(
         *ROW, "at", "size",
@@ -142,14 +186,18 @@ def mixture(docs: DataFrame, seed: int = 7, block: int = BLOCK, weights: tuple[i
     placed, pieces = plan(docs, seed, block, weights=weights, text=text)
     each = pieces.select(*ROW, "lo", "hi", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("pass"))
     spans = each.groupBy(*ROW, "pass").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"), F.sum(F.col("hi") - F.col("lo")).alias("words"))
-    tie = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    rank = Window.partitionBy("doc_id", "source", "tie").orderBy(F.lit(0))
-    keyed = docs.withColumn("tie", tie).withColumn("again", F.row_number().over(rank))
+    tie, again, id_, source = unused(docs.columns, "tie", "again", "id", "from")
+    keys = F.col("doc_id"), F.col("source"), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    keyed = docs.withColumns({id_: keys[0], source: keys[1], tie: keys[2]})
+    keyed = keyed.withColumn(again, F.row_number().over(Window.partitionBy(id_, source, tie).orderBy(F.lit(0))))
     order = Window.partitionBy("doc_id", "source", "tie").orderBy("bucket", "k")
     taken = placed.withColumn("again", F.row_number().over(order)).join(spans.hint("merge"), list(ROW))
     taken = taken.select("doc_id", "source", "tie", "again", "size", "spans", "words")
     d, t = keyed.alias("d"), taken.alias("t")
-    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.tie") == F.col("t.tie")) & (F.col("d.again") == F.col("t.again"))
+    pairs = ((id_, "doc_id"), (source, "source"), (tie, "tie"), (again, "again"))
+    same = F.lit(True)
+    for mine, theirs in pairs:
+        same = same & F.col(f"d.{mine}").eqNullSafe(F.col(f"t.{theirs}"))
     all_words = F.array_remove(F.split(F.col(f"d.{text}"), r"[\x20\x09-\x0D]+"), "")
     cut = F.flatten(F.transform("t.spans", lambda s: F.slice(all_words, (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int"))))
     made = F.when(F.col("t.words") == F.col("t.size"), F.col(f"d.{text}")).otherwise(F.array_join(cut, " "))

@@ -329,3 +329,34 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix(odd).count() == 6 and mixing.mix(empty).count() == 0
     plan = mixing.mix(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_permutation(spark):
+    for n in (1, 2, 3, 7, 257, 1000, 3 * 10**12):
+        some = spark.range(min(n, 2000)).selectExpr("id AS place", f"{n}L AS blocks", "5 AS k")
+        got = [r.b for r in mixing._permuted(some, "place", "blocks", "k", "b", 7).select("b").collect()]
+        assert len(set(got)) == len(got) and all(0 <= b < n for b in got)
+        if n > 100:
+            assert [b - a for a, b in zip(got, got[1:], strict=False)].count(got[1] - got[0]) < 50  # no stride
+
+
+def test_draw(spark):
+    """Counts on average as wanted, no block twice before all once, nothing beyond three times; sources of more than 2**32 blocks."""
+    per = spark.createDataFrame([(1, 50, 120.4), (2, 4000, 3000.7), (3, 10, 29.9), (4, 3 * 10**10, 5000.0), (5, 0, 0.0)], "n int, blocks long, wanted double")
+    got = defaultdict(list)
+    for r in mixing.draw(per, slots=100).collect():
+        got[r.n].append(r.block)
+    for n, blocks, wanted in ((1, 50, 120.4), (2, 4000, 3000.7), (3, 10, 29.9), (4, 3 * 10**10, 5000.0)):
+        times = brute.counts(got[n])
+        assert abs(len(got[n]) - wanted) < 4 * (wanted**0.5) ** 0.5 + 3 * (wanted / 100) ** 0.5 + 12
+        assert all(0 <= b < blocks for b in times) and max(times.values()) <= 3
+        assert max(times.values()) - (min(times.values()) if len(times) == blocks else 0) <= 1
+    assert 5 not in got
+
+
+def test_mixture_keeps_other_columns(spark):
+    rows = [(i, prose(30), "ab"[i % 2], i, f"x{i}", i / 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, tie int, again string, `_id` double")
+    for r in mixing.mixture(df).collect():
+        assert (r.tie, r.again, r["_id"]) == (r.doc_id, f"x{r.doc_id}", r.doc_id / 2)
+    assert mixing.mixture(df).schema["tie"].dataType.simpleString() == "int"
