@@ -1,16 +1,14 @@
-"""Latest-wins tables on plain Parquet.
+"""Latest-wins tables on plain Parquet: a compacted base and a log of later writes.
 
-A table is a log: rows with the number of the write that brought them and whether they are tombstones. A read gives the
-latest row of each key, if it is no tombstone. A write with a number that is already there replaces that write's
-rows (a replayed micro-batch leaves the table as it was). ``compact`` folds the log into one write; the log stays readable
-until the new one is complete.
+A log row has the number of the write that brought it and whether it is a tombstone. A read gives the latest row of each key,
+base and log together, if it is no tombstone: base rows whose keys the log doesn't hold are read as they lie, without a shuffle, and only
+the others meet. A write with a number that is already there replaces that write's rows (a replayed micro-batch leaves the table as
+it was). ``compact`` folds the log into a new base whose rows keep their numbers, so what is written later is newer exactly if its
+number is; base and log stay readable until the new base is complete.
 """
 
 from __future__ import annotations
 
-import time
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +16,8 @@ from pyspark.sql import types as T
 from spindrift.schemas import KEYS, TABLES
 
 _SEQ, _GONE = "batch_seq", "deleted"
+#: Columns that a table's files are laid out by.
+LAID_BY = {"vectors": ("collection",)}
 
 
 def latest(log: DataFrame, keys: tuple[str, ...], seq: str = _SEQ) -> DataFrame:
@@ -29,6 +29,11 @@ def latest(log: DataFrame, keys: tuple[str, ...], seq: str = _SEQ) -> DataFrame:
     return log.groupBy(*keys).agg(newest.alias("r")).select(*keys, *(F.col(f"r.`{c}`").alias(c) for c in rest))
 
 
+def numbered(log: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``latest``, with the number of each row's write."""
+    return latest(log.withColumn("__at", F.col(_SEQ)), keys).withColumnRenamed("__at", _SEQ)
+
+
 def insert_new(existing: DataFrame, rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """The rows whose keys aren't there yet, each key once."""
     return rows.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
@@ -46,6 +51,29 @@ class Store:
     def _schema(self, table: str) -> T.StructType:
         return T.StructType([*TABLES[table].fields, T.StructField(_GONE, T.BooleanType()), T.StructField(_SEQ, T.LongType())])
 
+    def _listed(self, path: str) -> list[str]:
+        """Names of the folders under ``path``."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()] if fs.exists(at) else []
+
+    def remove(self, path: str) -> None:
+        """Deletes a folder, if it is there."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def _complete(self, path: str) -> bool:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+    def _bases(self, table: str) -> list[int]:
+        """Numbers of the complete bases, the newest last."""
+        own = f"{self._path(table)}.base"
+        return sorted(int(n) for n in self._listed(own) if n.isdigit() and self._complete(f"{own}/{n}"))
+
+    def _numbers(self, table: str) -> list[int]:
+        return sorted(int(n.split("=")[1]) for n in self._listed(self._path(table)) if n.startswith(f"{_SEQ}="))
+
     def create(self) -> None:
         """Makes the tables that aren't there."""
         for table in TABLES:
@@ -53,41 +81,58 @@ class Store:
                 self._put(self.spark.createDataFrame([], TABLES[table]), table, 0, False)
 
     def exists(self, table: str) -> bool:
-        try:
-            self.spark.read.schema(self._schema(table)).parquet(self._path(table)).limit(0).collect()
-        except AnalysisException:
-            return False
-        return True
+        return bool(self._numbers(table) or self._bases(table))
 
     def log(self, table: str) -> DataFrame:
-        if not self.exists(table):
+        """The writes since the base."""
+        if not self._numbers(table):
             return self.spark.createDataFrame([], self._schema(table))
-        return self.spark.read.schema(self._schema(table)).parquet(self._path(table))
+        return self.spark.read.schema(self._schema(table)).parquet(self._path(table)).select(*self._schema(table).fieldNames())
+
+    def base(self, table: str) -> DataFrame | None:
+        """One row for each key, tombstones too, with its write's number."""
+        numbers = self._bases(table)
+        if not numbers:
+            return None
+        return self.spark.read.schema(self._schema(table)).parquet(f"{self._path(table)}.base/{numbers[-1]}").select(*self._schema(table).fieldNames())
+
+    def _rows(self, table: str, but: int | None = None) -> DataFrame:
+        """The latest row of each key, tombstones too; ``but``: without the rows of that write."""
+        keys, base = list(KEYS[table]), self.base(table)
+        log, others = self.log(table), [n for n in self._numbers(table) if n != but]
+        if but is not None:
+            log, base = log.where(F.col(_SEQ) != but), None if base is None else base.where(F.col(_SEQ) != but)
+        if base is None:
+            return numbered(log, KEYS[table])
+        if not others:
+            return base
+        touched = log.select(*keys)
+        same = base.join(touched, keys, "left_anti")  # the planner broadcasts the log's keys while its files are small
+        return same.unionByName(numbered(base.join(touched, keys, "left_semi").unionByName(log), KEYS[table]))
 
     def table(self, table: str) -> DataFrame:
         """The current rows."""
-        rows = latest(self.log(table), KEYS[table])
-        return rows.where(~F.col(_GONE)).select(*TABLES[table].fieldNames())
+        return self._rows(table).where(~F.col(_GONE)).select(*TABLES[table].fieldNames())
 
     def _put(self, rows: DataFrame, table: str, seq: int, gone: bool) -> None:
         full = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[table].fields), F.lit(gone).alias(_GONE))
-        full.write.mode("overwrite").parquet(f"{self._path(table)}/{_SEQ}={seq}")
+        full.write.mode("overwrite").partitionBy(*LAID_BY.get(table, ())).parquet(f"{self._path(table)}/{_SEQ}={seq}")
 
     def upsert(self, table: str, rows: DataFrame, seq: int | None = None) -> int:
         """Adds rows; those with a known key replace the old ones. Returns the write's number."""
-        seq = self._next() if seq is None else seq
+        seq = self._next(table) if seq is None else seq
         self._put(rows, table, seq, False)
         return seq
 
     def insert_or_ignore(self, table: str, rows: DataFrame, seq: int | None = None) -> int:
-        seq = self._next() if seq is None else seq
-        before = latest(self.log(table).where(F.col(_SEQ) != seq), KEYS[table]).where(~F.col(_GONE))
+        seq = self._next(table) if seq is None else seq
+        before = self._rows(table, but=seq).where(~F.col(_GONE))
         self._put(insert_new(before, rows, KEYS[table]), table, seq, False)
         return seq
 
     def delete(self, table: str, where: Column | DataFrame, seq: int | None = None) -> int:
         """Deletes by condition, or by a table of key columns; returns how many rows went. Unknown keys are ignored."""
-        seq = self._next() if seq is None else seq
+        seq = self._next(table) if seq is None else seq
         now = self.table(table)
         gone = now.where(where) if isinstance(where, Column) else now.join(where.distinct(), where.columns, "left_semi")
         n = gone.count()
@@ -97,16 +142,18 @@ class Store:
             self._put(keyed.select("*", *(F.lit(None).alias(c) for c in blank)), table, seq, True)
         return n
 
-    def _next(self) -> int:
-        return time.time_ns()
+    def _next(self, table: str) -> int:
+        """A number after all that the table has."""
+        base = self.base(table)
+        folded = base.agg(F.max(_SEQ)).first()[0] if base is not None else None
+        return max([*self._numbers(table), folded or 0]) + 1
 
     def compact(self, table: str) -> None:
-        """One write with the current rows takes the place of all writes before it."""
-        seq = self._next()
-        self._put(self.table(table), table, seq, False)
-        fs_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(table))
-        fs = fs_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        for s in fs.listStatus(fs_path):
-            name = s.getPath().getName()
-            if name.startswith(f"{_SEQ}=") and name != f"{_SEQ}={seq}":
-                fs.delete(s.getPath(), True)
+        """Folds the log into a new base; rows keep the numbers of their writes."""
+        bases, folded = self._bases(table), self._numbers(table)
+        new = f"{self._path(table)}.base/{bases[-1] + 1 if bases else 1}"
+        self._rows(table).write.mode("overwrite").partitionBy(*LAID_BY.get(table, ())).parquet(new)
+        for n in folded:
+            self.remove(f"{self._path(table)}/{_SEQ}={n}")
+        for n in bases:
+            self.remove(f"{self._path(table)}.base/{n}")

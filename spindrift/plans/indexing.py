@@ -14,6 +14,8 @@ from spindrift.operators.store import Store
 from spindrift.schemas import DIFFS, FILES, METADATA
 
 CHUNK_CHARS, LEAST_CHARS = 4096, 128
+#: A batch's writes are numbered by its place in the history, shifted by so many bits.
+SEQ_BITS = 20
 
 Contents = Callable[[DataFrame, str], DataFrame]  # (file_path rows, revision) -> file_path, content
 
@@ -43,9 +45,10 @@ def file_chunks(contents: DataFrame, revision: str) -> DataFrame:
 def index_batch(store: Store, commits: DataFrame, seq: int, name: str, contents: Contents | None, tracked: DataFrame | None, model: str = "hashing", sanitize: bool = True) -> int:
     """Writes one batch of changelists (ordinal, id, ts, author, message, diff, files) under the number ``seq``; returns how many.
 
-    A replay with the same number rewrites the same rows. Files are read as of the batch's last changelist; a touched file's old
+    A replay with the same number rewrites the same rows; between two batches there is room for other writes. Files are read as of the batch's last changelist; a touched file's old
     chunks all go, whether it is there still or not.
     """
+    at = seq << SEQ_BITS
     rows = commits.withColumn("diff", t.filter_binary(F.col("diff"))["diff"]).where(F.trim("diff") != "")
     rows = rows.withColumn("expert_name", F.lit(name)).withColumn("review_comments", F.lit(None).cast("string")).persist()
     try:
@@ -60,22 +63,22 @@ def index_batch(store: Store, commits: DataFrame, seq: int, name: str, contents:
             chunks = file_chunks(contents(there, last[0]), last[0]).persist()
             old = store.table("file_chunks").join(touched, "file_path", "left_semi").select("id")
             stale = old.join(chunks.select("id"), "id", "left_anti").persist()
-            store.delete("vectors", stale.withColumn("collection", F.lit(FILES)).select("collection", "id"), seq * 2 + 1)
-            store.delete("file_chunks", stale, seq * 2 + 1)
+            store.delete("vectors", stale.withColumn("collection", F.lit(FILES)).select("collection", "id"), at + 1)
+            store.delete("file_chunks", stale, at + 1)
             gone = store.table("file_contents").join(touched, "file_path", "left_semi").join(chunks.select("file_path"), "file_path", "left_anti").select("file_path")
-            store.delete("file_contents", gone, seq * 2 + 1)
+            store.delete("file_contents", gone, at + 1)
             summary = relational.file_summaries(chunks).withColumn("expert_name", F.lit(name)).withColumn("revision_id", F.lit(last[0])).withColumn("last_indexed_at", F.current_timestamp())
-            store.upsert("file_contents", summary, seq * 2)
-            store.upsert("file_chunks", chunks, seq * 2)
+            store.upsert("file_contents", summary, at)
+            store.upsert("file_chunks", chunks, at)
             vectors = _vectors(chunks, FILES, "id", "content", model, sanitize)
         else:
             vectors = None
-        store.upsert("changelists", rows, seq * 2)
-        store.insert_or_ignore("changelist_files", rows.select(F.col("id").alias("changelist_id"), F.explode("files").alias("file_path")), seq * 2)
+        store.upsert("changelists", rows, at)
+        store.insert_or_ignore("changelist_files", rows.select(F.col("id").alias("changelist_id"), F.explode("files").alias("file_path")), at)
         own = commit_vectors(rows, model, sanitize, *flags) if any(flags) else None
         both = own if vectors is None else vectors if own is None else own.union(vectors)
         if both is not None:
-            store.upsert("vectors", both, seq * 2)
+            store.upsert("vectors", both, at)
         return last[1]
     finally:
         rows.unpersist()
