@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from spindrift.sources.git import is_git
-from spindrift.sources.perforce import is_perforce
+from spindrift.sources.history import PROVIDERS
 
 
 def detect(path: str | None) -> str | None:
     """git, p4 or None; the first that recognises the path."""
     if not path or not path.strip():
         return None
-    return next((name for name, check in (("git", is_git), ("p4", is_perforce)) if check(path)), None)
+    return next((name for name, make in PROVIDERS.items() if make().detect(path)), None)

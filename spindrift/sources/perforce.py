@@ -1,6 +1,6 @@
 """Perforce history: listings, descriptions and file contents, from the text that ``p4`` prints.
 
-Parsing is separate from running the client, so the parsers work on any table of captured output (``describe_rows``).
+Parsing is separate from running the client (``Perforce``), so the parsers work on any table of captured output (``describe_rows``).
 """
 
 from __future__ import annotations
@@ -11,15 +11,17 @@ from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.text import filter_binary
+from spindrift.functions.text import filter_binary, perforce_timestamp
 from spindrift.sources.git import looks_binary
 
 DESCRIBED = "id string, ts timestamp, author string, message string, diff string, files array<string>"
 _HEADER = re.compile(r"^Change (\d+) by (\S+) on (\d{4}/\d\d/\d\d)(?: (\d\d:\d\d:\d\d))?.*$", re.M)
 _FILE = re.compile(r"^\.\.\. (//[^#\n]+)(?:#\d+)?", re.M)
+#: Actions that leave no file.
+GONE = ("delete", "move/delete", "purge", "archive")
 _SECTION = re.compile(r"(?m)^(?===== //)")
 
 
@@ -27,9 +29,13 @@ class PerforceError(RuntimeError):
     """p4 failed."""
 
 
-def p4(path: str, *args: str, stdin: bytes | None = None) -> str:
+class UnknownChangeError(ValueError):
+    """The cursor is no changelist number."""
+
+
+def p4(path: str, *args: str, command: str = "p4") -> str:
     try:
-        done = subprocess.run(["p4", *args], cwd=path, input=stdin, capture_output=True, check=False)
+        done = subprocess.run([command, *args], cwd=path, capture_output=True, check=False)
     except OSError as e:
         raise PerforceError(str(e)) from e
     if done.returncode:
@@ -42,15 +48,6 @@ def client_root(info: str) -> str | None:
     return m[1] if m else None
 
 
-def is_perforce(path: str) -> bool:
-    """The path lies in the root of the client that ``p4 info`` names."""
-    try:
-        root = client_root(p4(path, "info"))
-    except PerforceError:
-        return False
-    return root is not None and Path(path).resolve().is_relative_to(Path(root).resolve())
-
-
 def changelist_ids(listing: str) -> list[str]:
     """Distinct changelist numbers of ``p4 changes`` output, in numeric order."""
     return [str(n) for n in sorted({int(m[1]) for m in re.finditer(r"^Change (\d+)\b", listing, re.M)})]
@@ -114,9 +111,145 @@ def describe_rows(captured: DataFrame, column: str = "output", mapping: Mapping
     return rows.withColumn("diff", filter_binary(F.col("diff"), "==== //")["diff"]).where(F.trim("diff") != "")
 
 
+def listed_rows(captured: DataFrame, column: str = "output") -> DataFrame:
+    """cl, ts, author of every line of captured ``p4 changes`` output; times of day where the lines have them."""
+    line = F.explode(F.split(column, "\n")).alias("line")
+    part = lambda pattern, i: F.regexp_extract("line", pattern, i)
+    head = r"^Change (\d+) on (\d{4}/\d\d/\d\d)(?: (\d\d:\d\d:\d\d))? by (\S+)"
+    when = F.concat_ws(" ", part(head, 2), F.coalesce(F.nullif(part(head, 3), F.lit("")), F.lit("00:00:00")))
+    rows = captured.select(line).where(F.col("line").rlike(head))
+    return rows.select(part(head, 1).alias("cl"), perforce_timestamp(when).alias("ts"), part(head, 4).alias("author"))
+
+
+def tracked_rows(captured: DataFrame, mapping: Mapping, column: str = "output") -> DataFrame:
+    """The distinct local paths in captured ``p4 files`` output, without deleted files."""
+    line = captured.select(F.explode(F.split(column, "\n")).alias("line"))
+    found = line.select(*(F.regexp_extract("line", r"^(//[^#\n]+)#\d+ - (\S+)", i).alias(c) for i, c in ((1, "depot"), (2, "action"))))
+    kept = found.where((F.col("depot") != "") & ~F.col("action").isin(*GONE))
+    return kept.select(local_path(F.col("depot"), mapping).alias("file_path")).distinct()
+
+
+def local_path(depot: Column, mapping: Mapping) -> Column:
+    """``Mapping.to_local`` of a column."""
+    return F.when(F.startswith(depot, F.lit(f"{mapping.depot}/")), F.substring(depot, len(mapping.depot) + 2, F.lit(1 << 30))).otherwise(depot)
+
+
+def printed_rows(captured: DataFrame, mapping: Mapping, column: str = "output") -> DataFrame:
+    """file_path, content of the files in captured ``p4 print`` output."""
+
+    def run(frames: Iterable) -> Iterator:
+        import pandas as pd
+
+        for f in frames:
+            rows = [(mapping.to_local(p), t) for text in f[column] for p, t in printed_files(text or "")]
+            yield pd.DataFrame(rows, columns=["file_path", "content"])
+
+    return captured.select(column).mapInPandas(run, "file_path string, content string")
+
+
 def printed_files(output: str) -> Iterator[tuple[str, str | None]]:
     """(depot path, text) from ``p4 print`` output; None for binary and empty files."""
     parts = re.split(r"(?m)^(//[^#\n]+)#\d+ - .*?\(([^)]*)\)[^\n]*\n", output)
     for path, kind, text in zip(parts[1::3], parts[2::3], parts[3::3], strict=True):
         text = text.removesuffix("\n")
         yield path, None if "binary" in kind or not text or looks_binary(text.encode()) else text
+
+
+def tracked_files(listing: str) -> list[str]:
+    """Depot paths of ``p4 files`` output, without deleted ones."""
+    found = re.finditer(r"^(//[^#\n]+)#\d+ - (\S+)", listing, re.M)
+    return [m[1] for m in found if m[2] not in GONE]
+
+
+CONTENT_BATCH = 50
+
+
+class Perforce:
+    """A workspace's history through the ``p4`` client."""
+
+    def __init__(self, command: str = "p4"):
+        self.command = command
+        self._mappings: dict[str, Mapping] = {}
+
+    def _run(self, path: str, *args: str) -> str:
+        return p4(path, *args, command=self.command)
+
+    def detect(self, path: str) -> bool:
+        """The path lies in the root of the client that ``p4 info`` names."""
+        try:
+            root = client_root(self._run(path, "info"))
+        except PerforceError:
+            return False
+        return root is not None and Path(path).resolve().is_relative_to(Path(root).resolve())
+
+    def mapping(self, path: str) -> Mapping:
+        """The workspace's mapping; asked for once."""
+        if path not in self._mappings:
+            found = Mapping.of_where(self._run(path, "where", "//..."))
+            if found is None:
+                raise PerforceError(f"{path} is mapped to no depot")
+            self._mappings[path] = found
+        return self._mappings[path]
+
+    def _prefixes(self, path: str, subdirs: tuple[str, ...]) -> tuple[str, ...]:
+        own = self.mapping(path)
+        return tuple(f"{own.to_depot(s)}/" for s in subdirs or ("",))
+
+    def commit_ids(self, path: str, subdirs: tuple[str, ...] = ()) -> list[str]:
+        """Numbers of the submitted changelists under the subdirectories, in numeric order, each once."""
+        return changelist_ids("\n".join(self._run(path, "changes", "-s", "submitted", f"{p}...") for p in self._prefixes(path, subdirs)))
+
+    def ids_after(self, path: str, after: str | None, n: int, subdirs: tuple[str, ...] = ()) -> list[str]:
+        """The next ``n`` numbers after a changelist: none if it is outside the listing, an error if it is no number."""
+        if after is not None and not after.isdigit():
+            raise UnknownChangeError(after)
+        ids = self.commit_ids(path, subdirs)
+        if after is None:
+            return ids[: max(0, n)]
+        return ids[ids.index(after) + 1 :][: max(0, n)] if after in ids else []
+
+    def read_commits(self, path: str, ids: list[str], subdirs: tuple[str, ...] = (), full_message: bool = True) -> Iterator[tuple]:
+        """(id, ts, author, message, diff, files) of the changelists, in their order; only files under the subdirectories."""
+        if not ids:
+            return
+        found = described(self._run(path, "describe", "-du", *ids), self.mapping(path), self._prefixes(path, subdirs))
+        told = {row[0]: row for row in found}
+        for id in ids:
+            if id in told:
+                yield told[id] if full_message else (*told[id][:3], told[id][3].split("\n", 1)[0], *told[id][4:])
+
+    def tracked(self, path: str, revision: str = "HEAD", subdirs: tuple[str, ...] = ()) -> list[str]:
+        """Local paths of the files as of a changelist."""
+        at = "" if revision == "HEAD" else f"@{revision}"
+        own, out = self.mapping(path), []
+        for p in self._prefixes(path, subdirs):
+            try:
+                out += tracked_files(self._run(path, "files", f"{p}...{at}"))
+            except PerforceError as e:
+                if "no such file" not in str(e):
+                    raise
+        return sorted({own.to_local(p) for p in out})
+
+    def contents(self, path: str, paths: list[str], revision: str = "HEAD") -> Iterator[tuple[str, str | None]]:
+        """(path, text) as of a changelist, a row for each path; None for missing, empty and binary files."""
+        at, own = "" if revision == "HEAD" else f"@{revision}", self.mapping(path)
+        for lo in range(0, len(paths), CONTENT_BATCH):
+            some = paths[lo : lo + CONTENT_BATCH]
+            try:
+                found = dict(printed_files(self._run(path, "print", *(f"{own.to_depot(p)}{at}" for p in some))))
+            except PerforceError as e:
+                if "no such file" not in str(e):
+                    raise
+                found = {}
+            for p in some:
+                yield p, found.get(own.to_depot(p))
+
+    def latest_time(self, path: str) -> datetime | None:
+        return latest_time(self._run(path, "changes", "-t", "-m", "1", "-s", "submitted", f"{self.mapping(path).depot}/..."))
+
+    def count(self, path: str) -> int:
+        """How many submitted changelists; 0 where the client fails."""
+        try:
+            return len(self.commit_ids(path))
+        except PerforceError:
+            return 0

@@ -1,62 +1,81 @@
-"""Incremental indexing: a git stream in micro-batches, the checkpoint as cursor."""
+"""Incremental indexing: a history's stream in micro-batches, each from the index's cursor."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.operators import relational
 from spindrift.operators.relational import remaining
 from spindrift.operators.store import Store
 from spindrift.plans.indexing import advance, index_batch
-from spindrift.sources import git
+from spindrift.schemas import EXPERTS
+from spindrift.sources import history
+from spindrift.sources.git import UnknownCommitError
 
 
-def contents_at(path: str):
+def contents_at(path: str, kind: str = "git", command: str | None = None):
     """Reads files of a workspace at a revision, in partitions of their paths."""
 
     def read(paths: DataFrame, revision: str) -> DataFrame:
         def run(frames):
             import pandas as pd
 
+            own = history.provider(kind, command)
             for f in frames:
-                yield pd.DataFrame(list(git.contents(path, f["file_path"].tolist(), revision)), columns=["file_path", "content"])
+                yield pd.DataFrame(list(own.contents(path, f["file_path"].tolist(), revision)), columns=["file_path", "content"])
 
-        return paths.select("file_path").mapInPandas(run, git.SCHEMAS["content"])
+        return paths.select("file_path").mapInPandas(run, history.SCHEMAS["content"])
 
     return read
 
 
+def _cursor(store: Store, name: str, ids: list[str], start_after: str | None) -> int:
+    """The ordinal of the first changelist to index."""
+    if start_after is not None:
+        if start_after not in ids:
+            raise UnknownCommitError(start_after)
+        return ids.index(start_after) + 1
+    row = relational.cursor_of(store.table("experts"), name).first()
+    return ids.index(row.last_processed) + 1 if row is not None and row.last_processed in ids else 0
+
+
 def index_workspace(
     spark: SparkSession, store: Store, name: str, path: str, subdirs: tuple[str, ...] = (), batch_size: int = 500, max_commits: int = 10_000,
-    start_after: str | None = None, model: str = "hashing", sanitize: bool = True,
+    start_after: str | None = None, model: str = "hashing", sanitize: bool = True, kind: str = "git", command: str | None = None,
 ) -> int:
-    """Indexes what is new in a workspace; returns how many changelists. The stream's checkpoint lies beside the tables.
+    """Indexes what is new in a workspace; returns how many changelists.
 
-    Runs of the stream follow one another until the offset stays, so the whole feed is drained, and the
-    limit on changelists is checked between them. A batch that was written but not checkpointed is replayed under its own number.
+    Each batch is a run of a stream from the index's cursor, which the batch moves when it is written; its end is set beforehand, so a limit
+    skips nothing. The run's checkpoint lies beside the tables: a batch that was cut off is replayed under its own number.
     """
-    git.register(spark)
+    history.register(spark)
+    own = history.provider(kind, command)
     store.create()
-    done = 0
-    room = remaining(max_commits, len(git.commit_ids(path, subdirs)), store.table("changelists").count())
+    if store.table("experts").where(F.col("name") == name).isEmpty():
+        known = {"name": name, "workspace_path": path, "vcs_type": kind, "subdirs": list(subdirs), "max_commits": max_commits, "embedder": model}
+        store.upsert("experts", spark.createDataFrame([tuple(known.get(c) for c in EXPERTS.fieldNames())], EXPERTS))
+    ids = own.commit_ids(path, subdirs)
+    done, indexed, at = 0, store.table("changelists").count(), _cursor(store, name, ids, start_after)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        nonlocal done, room
-        rows = batch.orderBy("ordinal").limit(max(0, room)).persist()
+        nonlocal done
+        rows = batch.persist()
         ends = rows.agg(F.min_by("id", "ordinal"), F.max_by("id", "ordinal"), F.min("ordinal")).first()
         if ends[0] is not None:
-            tracked = spark.createDataFrame([(p,) for p in git.tracked(path, ends[1], subdirs)], "file_path string")
+            tracked = spark.createDataFrame([(p,) for p in own.tracked(path, ends[1], subdirs)], "file_path string")
             # numbered by position, so a replay and a restart with another checkpoint write in the order of the history
-            n = index_batch(store, rows, ends[2] + 1, name, contents_at(path), tracked, model, sanitize)
+            done += index_batch(store, rows, ends[2] + 1, name, contents_at(path, kind, command), tracked, model, sanitize)
             advance(store, name, ends[0], ends[1])
-            done, room = done + n, room - n
         rows.unpersist()
 
-    options = {"path": path, "subdirs": ",".join(subdirs), "batch_size": str(batch_size), **({"start_after": start_after} if start_after else {})}
-    before = -1
-    while room > 0 and before != done:
-        before = done
-        stream = spark.readStream.format("spindrift_git").options(**options).load()
-        run = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{store.root}/_cursor{'-' + start_after[:12] if start_after else ''}").trigger(availableNow=True).start()
+    options = {"provider": kind, **({"command": command} if command else {}), "path": path, "subdirs": ",".join(subdirs), "batch_size": str(batch_size)}
+    while at < len(ids) and (room := remaining(max_commits, len(ids), indexed + done)) > 0:
+        stop = min(at + min(batch_size, room), len(ids))
+        stream = spark.readStream.format("spindrift_history").options(**options, start=str(at), stop=str(stop)).load()
+        checkpoint = f"{store.root}/_run-{at}-{stop}"
+        run = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         run.awaitTermination()
+        store.remove(checkpoint)
+        at = stop
     return done
