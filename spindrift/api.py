@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import asyncio
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import AsyncIterator, Iterator, Sequence
+from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
+from functools import cached_property
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.functions.models import GENERATORS, Generated, create
+from spindrift.functions.generators import Logged
+from spindrift.functions.models import GENERATORS, Generated, TextGenerator, streamed
+from spindrift.functions.providers import Settings, generator
 from spindrift.operators.store import Store
 from spindrift.plans import conversation
 from spindrift.plans.search import Engine, QueryParams
@@ -56,60 +61,115 @@ def _open(spark: SparkSession, data_dir: str, name: str) -> Store:
     return Store(spark, str(folder.resolve()))
 
 
+@dataclass
+class Context:
+    """What the operations on one index need, each made when it is first asked for."""
+
+    spark: SparkSession
+    data_dir: str
+    name: str
+    settings: Settings = field(default_factory=Settings)
+    debug: bool = False
+
+    @cached_property
+    def store(self) -> Store:
+        """The index's tables; ExpertNotFoundError if there is no such index."""
+        return _open(self.spark, self.data_dir, self.name)
+
+    @cached_property
+    def engine(self) -> Engine:
+        row = self.store.table("experts").select("embedder").first()
+        return Engine(self.spark, self.store.root, row.embedder if row and row.embedder else "hashing")
+
+    @cached_property
+    def generator(self) -> TextGenerator:
+        own = generator(self.settings)
+        return Logged(own, self.spark, str(Path(self.data_dir) / "logs")) if self.debug else own
+
+    @property
+    def prompt_generator(self) -> TextGenerator:
+        return generator(self.settings, "promptgen")
+
+    def close(self) -> None:
+        """Lets go of what was made."""
+        for name in ("store", "engine", "generator"):
+            self.__dict__.pop(name, None)
+
+    def __enter__(self) -> Context:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+
 def populate(
-    spark: SparkSession, data_dir: str, name: str, workspace: str | None = None, subdirs: Sequence[str] = (), max_commits: int = 10_000, batch_size: int = 500, start_at: str | None = None
-) -> int:
-    """Makes or updates an index of a workspace; returns how many changelists are new. A known index keeps its workspace."""
+    spark: SparkSession, data_dir: str, name: str, workspace: str | None = None, subdirs: Sequence[str] = (), max_commits: int = 10_000, batch_size: int = 500, start_at: str | None = None,
+    vcs: str | None = None, embedder: str = "hashing",
+) -> int:
+    """Makes or updates an index of a workspace; returns how many changelists are new. A known index keeps its workspace and its embedder.
+
+    vcs: git or p4, else whichever recognises the workspace.
+    """
     folder = _folder(data_dir, name)
     store = Store(spark, str(folder.resolve()))
     row = store.table("experts").first() if (folder / "experts").is_dir() else None
     if row is not None:
         if workspace and Path(workspace).resolve() != Path(row.workspace_path):
             raise ValueError(f"{name} is an index of {row.workspace_path}")
-        workspace, subdirs = row.workspace_path, tuple(row.subdirs)
+        workspace, subdirs, vcs, embedder = row.workspace_path, tuple(row.subdirs), vcs or row.vcs_type, row.embedder or "hashing"
     elif not workspace or not Path(workspace).is_dir():
         raise ValueError("a new index needs a workspace that is there")
-    kind = detect(workspace)
-    if kind != "git":
-        raise ValueError(f"{workspace}: " + ("captured Perforce output is indexed with sources.perforce.describe_rows" if kind else "no version control found"))
+    kind = vcs or detect(workspace)
+    if kind is None:
+        raise ValueError(f"{workspace}: no version control found")
     store.create()
     if row is None:
-        new = (name, str(Path(workspace).resolve()), list(subdirs), kind, datetime.now(UTC), None, None, None, None, max_commits, True, True)
+        new = (name, str(Path(workspace).resolve()), list(subdirs), kind, datetime.now(UTC), None, None, None, None, max_commits, True, True, embedder)
         store.upsert("experts", spark.createDataFrame([new], EXPERTS))
-    return index_workspace(spark, store, name, str(workspace), tuple(subdirs), batch_size, max_commits, start_at)
+    return index_workspace(spark, store, name, str(workspace), tuple(subdirs), batch_size, max_commits, start_at, embedder, kind=kind)
 
 
 def query_expert(spark: SparkSession, data_dir: str, name: str, prompt: str, **settings: object) -> DataFrame:
     """Results of a search; ``settings`` are those of QueryParams."""
     params = QueryParams(prompt, **settings)
-    store = _open(spark, data_dir, name)
-    return Engine(spark, store.root).search(params)
+    return Context(spark, data_dir, name).engine.search(params)
 
 
 def prompt_expert_stream(
-    spark: SparkSession, data_dir: str, name: str, prompt: str, generator: str = "echo", playful: bool = False, paired: bool = False, **settings: object
-) -> Iterator[str | Generated]:
-    """A generator's answer to a conversation made of a search's results: its text, then the whole with its usage."""
-    store = _open(spark, data_dir, name)
-    results = Engine(spark, store.root).search(QueryParams(prompt, **settings)).persist()
-    try:
-        if results.isEmpty():
-            raise NoResultsError(prompt)
-        commits, chunks = conversation.split_results(results)
-        commits = commits.withColumnRenamed("result_id", "id")
-        if paired:
-            made = conversation.generated_prompts(commits, store.table("prompt_cache"), generator).persist()
-            store.upsert("prompt_cache", made.where(~F.col("hit")).select("id", "prompt"))
-            commits = commits.join(made.select("id", F.col("prompt").alias("generated_prompt")), "id")
-        system, messages = conversation.build(commits, prompt, chunks, playful, paired)
-    finally:
-        results.unpersist()
-    answer = create(GENERATORS, generator).generate(system, messages)
-    yield answer.content
-    yield answer
+    spark: SparkSession, data_dir: str, name: str, prompt: str, generator: str = "echo", playful: bool = False, paired: bool = False, settings: Settings | None = None, debug: bool = False,
+    **search: object,
+) -> Iterator[str | Generated]:
+    """A generator's answer to a conversation made of a search's results: pieces of its text as they come, then the whole with its usage.
+
+    generator: a registered one's or a provider's name, or auto. ``search``: settings of QueryParams.
+    """
+    with Context(spark, data_dir, name, replace(settings or Settings(), provider=generator), debug) as own:
+        results = own.engine.search(QueryParams(prompt, **search)).persist()
+        try:
+            if results.isEmpty():
+                raise NoResultsError(prompt)
+            commits, chunks = conversation.split_results(results)
+            commits = commits.withColumnRenamed("result_id", "id")
+            if paired:
+                make = generator if generator in GENERATORS else (lambda: own.prompt_generator)
+                made = conversation.generated_prompts(commits, own.store.table("prompt_cache"), make).persist()
+                own.store.upsert("prompt_cache", made.where(~F.col("hit")).select("id", "prompt"))
+                commits = commits.join(made.select("id", F.col("prompt").alias("generated_prompt")), "id")
+            system, messages = conversation.build(commits, prompt, chunks, playful, paired)
+        finally:
+            results.unpersist()
+        yield from streamed(own.generator, system, messages)
+
+
+async def prompt_expert_stream_async(*args: object, **settings: object) -> AsyncIterator[str | Generated]:
+    """``prompt_expert_stream`` for an event loop; each piece is waited for in a thread."""
+    stream, end = prompt_expert_stream(*args, **settings), object()
+    while (piece := await asyncio.to_thread(next, stream, end)) is not end:
+        yield piece
 
 
 def prompt_expert(spark: SparkSession, data_dir: str, name: str, prompt: str, **settings: object) -> Generated:
+    """The whole answer; the last usage told counts."""
     *_, last = prompt_expert_stream(spark, data_dir, name, prompt, **settings)
     return last
 

@@ -14,8 +14,10 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Tokens of one unit of cost, tokens for each GB of memory when embedding and reranking, GB that a CPU counts as.
 UNIT_TOKENS, EMBED_TOKENS_PER_GB, RERANK_TOKENS_PER_GB, CPU_GB = 256, 12_288, 6_144, 2
@@ -33,8 +35,22 @@ class Reranker(Protocol):
 
 
 class TextGenerator(Protocol):
+    """``stream`` gives pieces of text as they come, and last the whole with its usage; it may be missing (see ``streamed``)."""
+
     def generate(self, system: str, messages: list[dict[str, str]]) -> Generated: ...
 
+    def stream(self, system: str, messages: list[dict[str, str]]) -> Iterator[str | Generated]: ...
+
+
+def streamed(generator: TextGenerator, system: str, messages: list[dict[str, str]]) -> Iterator[str | Generated]:
+    """The generator's stream; the whole answer as one piece where it has none."""
+    if hasattr(generator, "stream"):
+        yield from generator.stream(system, messages)
+    else:
+        answer = generator.generate(system, messages)
+        yield answer.content
+        yield answer
+
 
 @dataclass(frozen=True)
 class Usage:
@@ -106,6 +122,12 @@ class EchoGenerator:
         n = sum(len(m["content"].encode()) for m in messages) // 4
         return Generated(last[: self.most], Usage(n, min(len(last), self.most) // 4), "echo", "end_turn")
 
+    def stream(self, system: str, messages: list[dict[str, str]]) -> Iterator[str | Generated]:
+        """Word by word."""
+        whole = self.generate(system, messages)
+        yield from re.findall(r"\s*\S+\s*", whole.content)
+        yield whole
+
 
 class GenerationError(RuntimeError):
     """A text generator failed."""
@@ -141,38 +163,41 @@ def create(registry: dict[str, Callable], name: str):
     return registry[name]()
 
 
-def pick_generator(environment: dict[str, str], on_path: Callable[[str], bool], cloud: bool = False, local: bool = False) -> str:
-    """Which kind of generator to use: the one provider with a key, else cloud credentials, a command-line client, a local server."""
-    keyed = [name for name, key in (("openai", "OPENAI_API_KEY"), ("openrouter", "OPENROUTER_API_KEY")) if environment.get(key)]
-    if len(keyed) > 1:
-        raise ValueError(f"several providers have keys: {', '.join(keyed)}; choose one")
-    options = [*keyed, *(["cloud"] if cloud else []), *(["cli"] if on_path("claude") else []), *(["local"] if local else [])]
-    if not options:
-        raise ValueError("no text generator is configured")
-    return options[0]
-
-
 def budget(tokens_per_gb: int, gpu_gb: float | None = None) -> int:
     """Tokens of a batch on this much memory."""
     return int(tokens_per_gb * gpu_gb) if gpu_gb else tokens_per_gb * CPU_GB
 
 
+class Packer:
+    """Numbers batches: greedy in order, attention cost (tokens / unit) squared, whatever exceeds the capacity alone."""
+
+    def __init__(self, most_tokens: int):
+        self.capacity, self.next, self.open, self.used = most_tokens / UNIT_TOKENS, 0, -1, 0.0
+
+    def place(self, tokens: int) -> int:
+        """The number of the batch that the next item belongs to."""
+        cost = max(1.0, tokens / UNIT_TOKENS) ** 2
+        if cost > self.capacity:
+            self.next += 1
+            return self.next - 1
+        if self.open < 0 or self.used + cost > self.capacity:
+            self.open, self.used, self.next = self.next, 0.0, self.next + 1
+        self.used += cost
+        return self.open
+
+
 def pack(tokens: Iterable[int], most_tokens: int) -> list[list[int]]:
-    """Places of ``tokens`` in batches: greedy in order, attention cost (tokens / unit) squared, whatever exceeds the capacity alone."""
-    capacity = most_tokens / UNIT_TOKENS
-    done: list[list[int]] = []
-    held: list[int] = []
-    used = 0.0
+    """Places of ``tokens`` in their batches, in the order in which batches are full; what is alone comes before the batch that is still open."""
+    packer, done, held, number = Packer(most_tokens), [], [], -1
     for i, n in enumerate(tokens):
-        cost = max(1.0, n / UNIT_TOKENS) ** 2
-        if cost > capacity:
+        place = packer.place(n)
+        if place != packer.open:
             done.append([i])
-        elif held and used + cost > capacity:
-            done.append(held)
-            held, used = [i], cost
-        else:
+        elif place == number:
             held.append(i)
-            used += cost
+        else:
+            done += [held] if held else []
+            held, number = [i], place
     return [*done, held] if held else done
 
 
@@ -214,36 +239,33 @@ def rerank(df: DataFrame, query: str, key: str, text: str, name: str = "lexical"
 
 
 def hashed_counts(df: DataFrame, key: str, text: str, dimension: int = 512) -> DataFrame:
-    """key, bucket, n: the hashing embedder natively, not scaled. Words are counted per row and bucket before they move."""
-    words = df.select(key, F.explode(F.split(F.lower(text), r"[^a-z0-9]+", -1)).alias("w")).where("w <> ''")
-    bucket = (F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("long") % dimension).cast("int")
-    return words.groupBy(key, bucket.alias("bucket")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    """key, bucket, n: the hashing embedder natively, not scaled. Words are counted inside their row, nothing is shuffled."""
+    number = lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % dimension).cast("int")
+    words = F.filter(F.split(F.lower(text), r"[^a-z0-9]+", -1), lambda w: w != "")
+    sorted_ = df.select(key, F.array_sort(F.transform(words, number)).alias("b"))
+    # a bucket's count is the distance between the places where it begins and where the next one does
+    starts = F.filter(F.transform("b", lambda x, i: F.when((i == 0) | (F.get("b", i - 1) != x), i)), lambda i: i.isNotNull())
+    cut = sorted_.select(key, "b", starts.alias("s"), F.size("b").alias("size"))
+    each = F.transform("s", lambda i, k: F.struct(F.get("b", i).alias("bucket"), (F.coalesce(F.get("s", k + 1), F.col("size")) - i).cast("int").alias("n")))
+    return cut.select(key, F.inline(each))
 
 
 def batch_numbers(df: DataFrame, group: str, order: str, tokens: str, most_tokens: int) -> DataFrame:
-    """group, order and batch_no of every row, packed in order inside its group (a group is what one worker would embed)."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).cast("double").alias("n"))))
-    capacity = most_tokens / UNIT_TOKENS
-    zero = F.struct(F.lit(0).alias("next"), F.lit(-1).alias("open"), F.lit(0.0).alias("used"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        cost = F.pow(F.greatest(F.lit(1.0), x["n"] / UNIT_TOKENS), F.lit(2.0))
-        alone = cost > capacity
-        fits = (s["open"] >= 0) & (s["used"] + cost <= capacity)
-        place = F.when(~alone & fits, s["open"]).otherwise(s["next"])
-        return F.struct(
-            F.when(~alone & fits, s["next"]).otherwise(s["next"] + 1).alias("next"),
-            F.when(alone, s["open"]).otherwise(place).alias("open"),
-            F.when(alone, s["used"]).when(fits, s["used"] + cost).otherwise(cost).alias("used"),
-            F.concat(s["out"], F.array(place)).alias("out"),
-        )
-
-    folded = df.groupBy(group).agg(rows.alias("rows")).withColumn("f", F.aggregate("rows", zero, step))
-    flat = folded.select(group, F.explode(F.arrays_zip(F.col("rows.o").alias("o"), F.col("f.out").alias("b"))).alias("z"))
-    return flat.select(group, F.col("z.o").alias(order), F.col("z.b").alias("batch_no"))
-
-
-def first_rows(df: DataFrame, key: list[str], order: list[Column], n: int = 1) -> DataFrame:
-    """The first ``n`` rows of each key."""
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return df.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+    """group, order and batch_no of every row, packed in order inside its group (a group is what one worker would embed).
+
+    Groups are dealt to tasks and sorted; a task reads its rows as a stream and holds the open batch's cost alone.
+    """
+    names = (group, order, "batch_no")
+    schema = T.StructType([df.schema[group], df.schema[order], T.StructField("batch_no", T.IntegerType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, held = Packer(most_tokens), None
+        for b in batches:
+            numbers = []
+            for g, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if held is None or held[0] != g:
+                    packer, held = Packer(most_tokens), (g,)
+                numbers.append(packer.place(n or 0))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(numbers, pa.int32())], names=list(names))
+
+    return df.select(group, order, tokens).repartition(group).sortWithinPartitions(group, order).mapInArrow(run, schema)

@@ -156,8 +156,9 @@ def metadata_text(message: Column, files: Column, comments: Column, most_files:
     told = F.when(over > 0, F.concat(truncate_bytes(message, most_message), F.lit("\n[..."), over.cast("string"), F.lit(" bytes truncated]"))).otherwise(message)
     some = F.slice(files, 1, most_files)
     sizes = F.transform(some, lambda p, i: F.octet_length(p) + F.when(i == 0, 0).otherwise(2))
-    upto = lambda i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda s, x: s + x)
-    fit = F.size(F.filter(F.transform(sizes, lambda s, i: upto(i)), lambda s: s <= most_paths))
+    none = F.struct(F.lit(0).alias("used"), F.lit(0).alias("fit"))
+    step = lambda s, x: F.struct((s["used"] + x).alias("used"), (s["fit"] + F.when(s["used"] + x <= most_paths, 1).otherwise(0)).alias("fit"))
+    fit = F.aggregate(sizes, none, step)["fit"]
     shown = F.array_join(F.slice(some, 1, fit), ", ")
     left = F.size(files) - fit
     paths = F.when(left > 0, F.concat(shown, F.lit("\n[..."), left.cast("string"), F.lit(" files omitted]"))).otherwise(shown)
