@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -87,6 +87,21 @@ def numeric_changelists(df: DataFrame, cl: str = "cl") -> DataFrame:
     return df.select(F.col(cl).cast("long").alias(cl)).distinct().orderBy(cl)
 
 
-def ordinals(df: DataFrame, *order: str) -> DataFrame:
-    """Adds ``ordinal`` from 0 in the order given. One task sees all keys, so only for listings, which a driver holds anyway."""
-    return df.withColumn("ordinal", F.row_number().over(Window.orderBy(*order)) - 1)
+def commit_count(changelists: DataFrame) -> DataFrame:
+    """One row n: how many changelists."""
+    return changelists.agg(F.count(F.lit(1)).alias("n"))
+
+
+def latest_time(changelists: DataFrame, ts: str = "ts") -> DataFrame:
+    """One row ``ts``: the latest time."""
+    return changelists.agg(F.max(ts).alias(ts))
+
+
+def cached_prompt(cache: DataFrame, id: str) -> DataFrame:
+    """The prompt kept for a changelist."""
+    return cache.where(F.col("id") == id).select("prompt")
+
+
+def cursor_of(experts: DataFrame, name: str) -> DataFrame:
+    """The last changelist that an index has processed."""
+    return experts.where(F.col("name") == name).select("last_processed")

@@ -1,10 +1,8 @@
-"""Every registered query of the engine with its SQL twin."""
+"""The engine's registered queries on vectors, stored tables, texts and results; the other catalogs are loaded at the end."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import models, text
@@ -12,27 +10,10 @@ from spindrift.operators import rank, relational, store, vector
 from spindrift.plans import conversation
 from spindrift.plans import derived as d
 from spindrift.plans import search as s
+from spindrift.plans.registry import ORACLES, QUERIES, query
+from spindrift.plans.registry import rounded as _rounded
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a function by its name, with the SQL for the same rows."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.select(*(F.round(c, 6).alias(c) if c in columns else c for c in df.columns))
+__all__ = ["ORACLES", "QUERIES"]
 
 
 # --- vectors and ranking
@@ -221,12 +202,12 @@ def file_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS n FROM orders")
 def commit_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("n"))
+    return relational.commit_count(d.table(spark, sf_dir, "orders"))
 
 
 @query("SELECT max(o_orderdate) AS ts FROM orders")
 def latest_commit_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.table(spark, sf_dir, "orders").agg(F.max("o_orderdate").alias("ts"))
+    return relational.latest_time(d.table(spark, sf_dir, "orders").withColumnRenamed("o_orderdate", "ts"))
 
 
 @query(f"WITH {d.VECTORS_SQL} SELECT collection, count(*) AS n FROM v GROUP BY 1")
@@ -264,10 +245,11 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.latest(log, ("user_id",), "seq")
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click')")
+@query("SELECT DISTINCT o_custkey AS c_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = d.table(spark, sf_dir, "events")
-    return store.insert_new(e.where("event_type = 'click'"), e.where("event_type = 'error'").select("user_id"), ("user_id",))
+    """The customers of orders that a table of one segment's customers doesn't have yet."""
+    there = d.table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
+    return store.insert_new(there, d.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ("c_custkey",))
 
 
 @query("SELECT event_id, ts FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 100")
@@ -399,23 +381,16 @@ def language_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DIFFS = (
-    "df AS (SELECT doc_id, 'diff --git a/src/' || doc_id || '.py b/src/' || doc_id || '.py' || chr(10) || '--- a/src/' || doc_id || '.py' || chr(10) || '+++ b/lib/' || (doc_id % 7) || '.py' || chr(10) || "
-    "replace(substr(coalesce(text, ''), 1, 300), 'diff', '') AS diff FROM documents)"
-)
-
-
-_WHOLE_DIFFS = (
     "df AS (SELECT doc_id, 'diff --git a/src/' || doc_id || '.py b/src/' || doc_id || '.py' || chr(10) || '--- a/src/' || doc_id || '.py' || chr(10) || '+++ b/lib/' || (doc_id % 7) || '.py' || chr(10) || "
     "replace(coalesce(text, ''), 'diff', '') AS diff FROM documents)"
 )
 
 
-def _diffs(spark: SparkSession, sf_dir: str, body: Column | None = None) -> DataFrame:
-    """A diff of every document, of its whole text if ``body`` isn't given."""
-    body = F.col("text") if body is None else body
+def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A diff of every document's whole text."""
     i = F.col("doc_id").cast("string")
     head = F.concat(F.lit("diff --git a/src/"), i, F.lit(".py b/src/"), i, F.lit(".py\n--- a/src/"), i, F.lit(".py\n+++ b/lib/"), (F.col("doc_id") % 7).cast("string"), F.lit(".py\n"))
-    return _docs(spark, sf_dir).select("doc_id", F.concat(head, F.replace(body, F.lit("diff"), F.lit(""))).alias("diff"))
+    return _docs(spark, sf_dir).select("doc_id", F.concat(head, F.replace(F.col("text"), F.lit("diff"), F.lit(""))).alias("diff"))
 
 
 @query(f"WITH {_DIFFS} SELECT doc_id, 'lib/' || (doc_id % 7) || '.py|src/' || doc_id || '.py' AS names FROM df")
@@ -424,21 +399,11 @@ def diff_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_DIFFS}, r AS (SELECT *, len(list_filter(regexp_extract_all(hex(encode(diff)), '..'), lambda h: h BETWEEN '20' AND '7E' OR h IN ('09', '0A', '0D'))) / octet_length(encode(diff))::DOUBLE < 0.85 AS bin FROM df) "
-    "SELECT doc_id, CASE WHEN bin THEN 'diff --git a/src/' || doc_id || '.py b/src/' || doc_id || '.py' || chr(10) || '[binary file: src/' || doc_id || '.py]' ELSE diff END AS diff, CASE WHEN bin THEN 1 ELSE 0 END AS n FROM r"
-)
-def filter_binary_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the first 300 code points, as its SQL; ``filter_binary_whole_diffs`` takes whole texts."""
-    f = text.filter_binary(F.col("diff"))
-    return _diffs(spark, sf_dir, F.substring("text", 1, 300)).select("doc_id", f["diff"].alias("diff"), F.size(f["binary_files"]).alias("n"))
-
-
-@query(
-    f"WITH {_WHOLE_DIFFS}, b AS (SELECT *, regexp_extract_all(substr(hex(encode(diff)), 1, 16384), '..') AS b FROM df), "
+    f"WITH {_DIFFS}, b AS (SELECT *, regexp_extract_all(substr(hex(encode(diff)), 1, 16384), '..') AS b FROM df), "
     "r AS (SELECT *, list_contains(b, '00') OR len(list_filter(b, lambda h: h BETWEEN '20' AND '7E' OR h IN ('09', '0A', '0D'))) / len(b)::DOUBLE < 0.85 AS bin FROM b) "
     "SELECT doc_id, CASE WHEN bin THEN 'diff --git a/src/' || doc_id || '.py b/src/' || doc_id || '.py' || chr(10) || '[binary file: src/' || doc_id || '.py]' ELSE diff END AS diff, CASE WHEN bin THEN 1 ELSE 0 END AS n FROM r"
 )
-def filter_binary_whole_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filter_binary_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = text.filter_binary(F.col("diff"))
     return _diffs(spark, sf_dir).select("doc_id", f["diff"].alias("diff"), F.size(f["binary_files"]).alias("n"))
 
@@ -451,12 +416,15 @@ def commit_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", shown.alias("shown"))
 
 
-@query(
-    "SELECT doc_id, bucket, count(*)::INTEGER AS n FROM (SELECT doc_id, (('0x' || substr(md5(w), 1, 8))::UBIGINT % 512)::INTEGER AS bucket FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(translate(coalesce(text, ''), 'ÀÁÂÇÈÉÊËÎÏÔÙÛÜŒÄÖÑÓÍÚ', '')), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM documents)) GROUP BY 1, 2"
+HASHED = (
+    "hs AS (SELECT doc_id, bucket, count(*)::INTEGER AS n FROM (SELECT doc_id, (('0x' || substr(md5(w), 1, 8))::UBIGINT % 512)::INTEGER AS bucket "
+    "FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM documents)) GROUP BY 1, 2)"
 )
+
+
+@query(f"WITH {HASHED} SELECT * FROM hs")
 def hash_embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).select("doc_id", F.translate("text", "ÀÁÂÇÈÉÊËÎÏÔÙÛÜŒÄÖÑÓÍÚ", "").alias("text"))
-    return models.hashed_counts(docs, "doc_id", "text")
+    return models.hashed_counts(_docs(spark, sf_dir), "doc_id", "text")
 
 
 # --- conversations and results
@@ -469,11 +437,9 @@ def conversation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.changelists(spark, sf_dir).select("id", conversation.changelist_message(F.col("message"), F.col("files"), F.col("author")).alias("content"))
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS content FROM conversations GROUP BY 1")
+@query("SELECT conv_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS content FROM conversations GROUP BY 1")
 def conversation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    c = d.table(spark, sf_dir, "conversations").where(F.col("text").isNotNull()).groupBy("conv_id").agg(rows.alias("r"))
-    return c.select("conv_id", F.array_join(F.transform("r", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("content"))
+    return conversation.transcripts(d.table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
 
 
 @query(
@@ -505,3 +471,6 @@ def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     j = s.json_rows(rows).select(F.from_json("json", "id string, author string, timestamp string, message string, files array<string>").alias("j"))
     return j.select("j.id", F.col("j.timestamp").alias("ts"), "j.author", "j.message", F.size("j.files").alias("n"), F.get("j.files", F.lit(0)).alias("first"))
+
+
+from spindrift.plans import catalog_history, catalog_search, catalog_services, catalog_values  # noqa: E402, F401

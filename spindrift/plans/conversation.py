@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,10 +72,13 @@ def state_files(chunks: DataFrame) -> DataFrame:
 
 
 def state_message(chunks: DataFrame) -> DataFrame:
-    """One row ``content``: all chunks by path and line; no row without chunks."""
-    rows = _state_rows()
-    one = chunks.agg(rows.alias("rows")).where(F.size("rows") > 0)
-    return one.select(F.concat_ws("\n", F.lit(STATE_HEAD), F.array_join("rows.block", "\n"), F.lit(STATE_TAIL)).alias("content"))
+    """One row ``content``: all chunks by path and line; no row without chunks.
+
+    The blocks of a file are put together where the file is, then the files; a message is one row, so it is for a search's few files.
+    """
+    files = F.array_sort(F.collect_list(F.struct("file_path", "content")))
+    one = state_files(chunks).agg(files.alias("files")).where(F.size("files") > 0)
+    return one.select(F.concat_ws("\n", F.lit(STATE_HEAD), F.array_join("files.content", "\n"), F.lit(STATE_TAIL)).alias("content"))
 
 
 def messages(changelists: DataFrame, prompt: str, chunks: DataFrame | None = None, paired: bool = False, most: int = 80_000) -> DataFrame:
@@ -102,9 +107,12 @@ def build(changelists: DataFrame, prompt: str, chunks: DataFrame | None = None,
     return system_prompt(playful), [{"role": r.role, "content": r.content} for r in rows]
 
 
-def generated_prompts(changelists: DataFrame, cache: DataFrame, generator: str = "echo", most: int = 8_000) -> DataFrame:
-    """id, prompt, hit: cached prompts, and new ones for the rest. New rows (hit false) are for the caller to keep."""
-    make = GENERATORS[generator] if generator in GENERATORS else create(GENERATORS, generator)
+def generated_prompts(changelists: DataFrame, cache: DataFrame, generator: str | Callable[[], TextGenerator] = "echo", most: int = 8_000) -> DataFrame:
+    """id, prompt, hit: cached prompts, and new ones for the rest. New rows (hit false) are for the caller to keep.
+
+    generator: a registered one's name, or what makes one in a worker.
+    """
+    make = generator if callable(generator) else GENERATORS[generator] if generator in GENERATORS else create(GENERATORS, generator)
     asked = changelists.join(cache.select("id", F.col("prompt").alias("cached")), "id", "left")
     hits = asked.where(F.coalesce("cached", F.lit("")) != "").select("id", F.col("cached").alias("prompt"), F.lit(True).alias("hit"))
     missing = asked.where(F.coalesce("cached", F.lit("")) == "").select("id", prompt_request(F.col("message"), F.col("files"), F.col("diff"), most).alias("request"))
@@ -119,6 +127,13 @@ def generated_prompts(changelists: DataFrame, cache: DataFrame, generator: str =
     return hits.union(made)
 
 
+def transcripts(turns: DataFrame, key: str, order: str, role: str, content: str) -> DataFrame:
+    """key, content: each conversation as lines ``role: content`` in its order; a turn without text is an empty line of its role."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(role).alias("r"), F.coalesce(content, F.lit("")).alias("t"))))
+    lines = F.transform("rows", lambda x: F.concat(x["r"], F.lit(": "), x["t"]))
+    return turns.groupBy(key).agg(rows.alias("rows")).select(key, F.array_join(lines, "\n").alias("content"))
+
+
 def split_results(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(changelists, file chunks) of a search's results."""
     return results.where(F.col("result_type") == "commit"), results.where(F.col("result_type") == "file_chunk")

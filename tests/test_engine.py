@@ -1,18 +1,22 @@
 from __future__ import annotations
 
+import asyncio
 import io
 import json
+import sys
+from datetime import UTC
 
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift import api, tools
+import spindrift
+from spindrift import api, cli, tools
 from spindrift.functions.models import EchoGenerator
 from spindrift.operators import rank, relational, vector
 from spindrift.operators.store import Store
 from spindrift.plans import conversation
 from spindrift.plans.search import QueryParams, export, json_rows, markdown, table_rows
-from spindrift.sources import git, perforce
+from spindrift.sources import git, history, perforce
 from spindrift.sources.detect import detect
 from spindrift.streaming.feed import index_workspace
 
@@ -68,7 +72,56 @@ def test_store(spark, tmp_path):
     s.insert_or_ignore("prompt_cache", spark.createDataFrame([("1", "no"), ("4", "yes")], "id string, prompt string"), 5)
     s.compact("prompt_cache")
     assert rows(s.table("prompt_cache").orderBy("id")) == [("1", "p1"), ("2", "q2"), ("4", "yes")]
-    assert s.log("prompt_cache").select("batch_seq").distinct().count() == 1
+    assert s.log("prompt_cache").count() == 0
+
+
+def test_store_after_compaction(spark, tmp_path):
+    """What is written after a compaction under a later number is newer, whatever the clock says; a replay of what was folded changes nothing."""
+    s = Store(spark, str(tmp_path / "s"))
+    frame = lambda *r: spark.createDataFrame(r, "id string, prompt string")
+    read = lambda: rows(s.table("prompt_cache").orderBy("id"))
+    s.upsert("prompt_cache", frame(("1", "a"), ("2", "b"), ("3", "c")), 10)
+    s.delete("prompt_cache", F.col("id") == "3", 11)
+    s.compact("prompt_cache")
+    assert read() == [("1", "a"), ("2", "b")]
+    s.upsert("prompt_cache", frame(("1", "new")), 20)
+    assert s.delete("prompt_cache", F.col("id") == "2", 21) == 1
+    assert read() == [("1", "new")]
+    s.upsert("prompt_cache", frame(("1", "a"), ("2", "b"), ("3", "c")), 10)
+    assert read() == [("1", "new")]
+    s.compact("prompt_cache")
+    s.upsert("prompt_cache", frame(("4", "early")), 5)  # older than the base, but of a key that it doesn't have
+    s.upsert("prompt_cache", frame(("1", "old")), 6)
+    assert read() == [("1", "new"), ("4", "early")]
+    assert s.upsert("prompt_cache", frame(("5", "next"))) > 21
+    plan = s.table("prompt_cache")._jdf.queryExecution().toString()
+    s.compact("prompt_cache")
+    assert "Aggregate" in plan and "Exchange" not in s.table("prompt_cache")._jdf.queryExecution().toString()
+
+
+def test_a_limit_skips_nothing(spark, workspace, tmp_path):
+    s = Store(spark, str(tmp_path / "index"))
+    for limit, new in ((4, 4), (5, 1), (100, 4), (100, 0)):
+        assert index_workspace(spark, s, "w", str(workspace), batch_size=3, max_commits=limit) == new
+    ids = git.commit_ids(str(workspace))
+    assert {r.id for r in s.table("changelists").collect()} == set(ids)
+    late = Store(spark, str(tmp_path / "late"))
+    assert index_workspace(spark, late, "w", str(workspace), start_after=ids[6]) == 2
+    with pytest.raises(git.UnknownCommitError):
+        index_workspace(spark, late, "w", str(workspace), start_after="none")
+
+
+def test_index_after_compaction(spark, workspace, tmp_path):
+    s = Store(spark, str(tmp_path / "index"))
+    assert index_workspace(spark, s, "w", str(workspace), batch_size=3, max_commits=4) == 4
+    for table in ("changelists", "changelist_files", "file_chunks", "file_contents", "vectors", "experts"):
+        s.compact(table)
+    assert index_workspace(spark, s, "w", str(workspace), batch_size=3) == 5
+    whole = Store(spark, str(tmp_path / "whole"))
+    index_workspace(spark, whole, "w", str(workspace))
+    for t in ("changelists", "file_chunks", "file_contents", "vectors"):
+        cells = lambda x: sorted(map(str, x.table(t).drop("last_indexed_at", "revision_id").collect()))  # noqa: B023, E731
+        assert cells(s) == cells(whole), t
 
 
 def test_pages(spark):
@@ -80,7 +133,7 @@ def test_pages(spark):
 
 
 def test_git_source(spark, workspace):
-    git.register(spark)
+    history.register(spark)
     df = spark.read.format("spindrift_git").option("path", str(workspace)).option("slice_size", "4").load()
     got = df.orderBy("ordinal").collect()
     assert [r.ordinal for r in got] == list(range(9)) and got[0].author == "Ada <ada@example.com>" and got[0].message == "Change parser part 0"
@@ -88,7 +141,16 @@ def test_git_source(spark, workspace):
     files = spark.read.format("spindrift_git").option("path", str(workspace)).option("table", "content").load()
     found = {r.file_path: r.content for r in files.collect()}
     assert found["raw.bin"] is None and found["notes.md"].startswith("scheduler") and "src/mod1.py" not in found
+    assert "+def f0():" in got[0].diff and got[8].files == ["src/mod1.py"]
     ids = git.commit_ids(str(workspace))
+    assert git.ids_page(str(workspace), ids[1], 1, 3) == ids[::-1][3:6] and git.count(str(workspace)) == 9 == git.count(str(workspace), False)
+    assert git.latest_time(str(workspace)) == max(r.ts for r in got).replace(tzinfo=UTC) and git.count(str(workspace / "src" / "none")) == 0
+    assert [r[0] for r in git.read_commits(str(workspace), [ids[3], ids[1]])] == [ids[3], ids[1]] and list(git.read_commits(str(workspace), [])) == []
+    assert [r[4] for r in git.read_commits(str(workspace), ids[:1], ("none",))] == [""]
+    own = history.provider("git")
+    assert history.content(own, str(workspace), "notes.md").startswith("scheduler") and own.detect(str(workspace))
+    with pytest.raises(ValueError):
+        history.provider("svn")
     assert git.ids_after(str(workspace), ids[2], 2) == ids[3:5] and git.ids_after(str(workspace), None, 0) == []
     with pytest.raises(git.UnknownCommitError):
         git.ids_after(str(workspace), "f" * 40, 2)
@@ -109,7 +171,7 @@ def test_index_in_one_or_many_batches(spark, workspace, tmp_path):
 def test_surface(spark, workspace, tmp_path):
     data = str(tmp_path / "data")
     assert api.populate(spark, data, "demo", str(workspace), max_commits=8) == 8
-    assert api.populate(spark, data, "demo") == 0
+    assert api.populate(spark, data, "demo", max_commits=8) == 0
     with pytest.raises(ValueError):
         api.populate(spark, data, "demo", str(tmp_path))
     with pytest.raises(api.ExpertNotFoundError):
@@ -124,8 +186,21 @@ def test_surface(spark, workspace, tmp_path):
     shown = export(found, "scheduler notes", "demo")
     assert shown["filters"] == {"users": None, "files": None} and len(shown["results"]) == len(kinds) == json_rows(found).count() == table_rows(found, True).count()
     assert markdown(found, "q").startswith("# Query Results: q")
-    said = list(api.prompt_expert_stream(spark, data, "demo", "scheduler notes", paired=True))
-    assert said[0] == said[1].content == "scheduler notes" and said[1].usage.total_tokens > 0
+    said = list(api.prompt_expert_stream(spark, data, "demo", "scheduler notes", paired=True, debug=True))
+    assert said[:2] == ["scheduler ", "notes"] and said[2].content == "scheduler notes" and said[2].usage.total_tokens > 0
+    assert spark.read.json(f"{data}/logs").count() == 1
+
+    async def gathered():
+        return [x async for x in api.prompt_expert_stream_async(spark, data, "demo", "scheduler notes")]
+
+    assert asyncio.run(gathered())[:2] == said[:2]
+    with api.Context(spark, data, "demo") as own:
+        assert own.store is own.store and own.engine.embedder == "hashing"
+        assert "store" in own.__dict__
+    assert "store" not in own.__dict__
+    assert spindrift.query_expert is api.query_expert and "populate" in dir(spindrift)
+    with pytest.raises(AttributeError):
+        spindrift.nothing
     listed = api.list_experts(spark, data)
     assert listed[0]["commit_count"] == 8 and "demo" in api.listing_markdown(listed)
     other = str(tmp_path / "other")
@@ -140,6 +215,69 @@ def test_surface(spark, workspace, tmp_path):
     replies = [json.loads(x) for x in out.getvalue().splitlines()]
     assert [r["id"] for r in replies] == [1, 2, 3, 4] and "demo" in replies[2]["result"]["content"][0]["text"] and replies[3]["result"]["isError"]
     assert tools.budgets(5) == {"max_changes": 3, "max_file_chunks": 2}
+    assert all("demo" in t["description"] for t in replies[1]["result"]["tools"]) and "no index 'none'" in replies[3]["result"]["content"][0]["text"]
+    asked = {"expert_name": "demo", "prompt": "scheduler notes", "max_changes": 4, "search_scope": "metadata"}
+    assert tools.call(spark, data, "query", asked).count("## ") == 1
+    assert tools.call(spark, data, "query", {**asked, "users": ["nobody"]}).startswith("No matching")
+    assert tools.call(spark, data, "prompt", {"expert_name": "demo", "prompt": "scheduler notes", "impostor": True, "temperature": 0.1}) == "scheduler notes"
+    with pytest.raises(ValueError):
+        tools.call(spark, data, "query", {**asked, "limit": 3})
+    assert cli.main(["--data-dir", data, "--llm-provider", "echo", "prompt", "demo", "scheduler notes", "--temperature", "0.2"]) == 0
+    assert cli.main(["--data-dir", data, "--no-reranking", "query", "demo", "scheduler notes", "--output", str(tmp_path / "out.json")]) == 0
+    assert json.loads((tmp_path / "out.json").read_text())["expert"] == "demo" and cli.main(["--data-dir", data, "query", "none", "x"]) == 1
+    assert cli.parser().parse_args(["populate", "x"]).max_commits == 60_000
+
+
+P4 = '''#!{python}
+import sys
+args = sys.argv[1:]
+DESCRIBED = {described!r}
+if args[0] == "info":
+    print("Client root: {root}")
+elif args[0] == "where":
+    print("//depot/... //ws/... {root}/...")
+elif args[0] == "changes":
+    found = [(n, p) for n, p in ((9, "src/a.txt"), (10, "doc/b.txt"), (11, "src/a.txt"), (10, "src/c.txt")) if ("//depot/" + p).startswith(args[-1][:-3])]
+    for n, _ in found[:1] if "-m" in args else found:
+        print(f"Change {{n}} on 2024/01/{{n:02}} 10:00:00 by ada@ws 'text'")
+elif args[0] == "describe":
+    for n in args[2:]:
+        print(DESCRIBED[n])
+elif args[0] == "files":
+    print("//depot/src/a.txt#2 - edit change 11 (text)\\n//depot/old.txt#3 - delete change 10 (text)\\n//depot/doc/b.txt#1 - add change 10 (text)")
+elif args[0] == "print":
+    for p in args[1:]:
+        p = p.split("@")[0]
+        if not p.endswith("none.txt"):
+            print(p + "#2 - edit change 11 (text)\\n" + "content of " + p + "\\n" + "line " * 40)
+'''
+
+
+def test_perforce_end_to_end(spark, tmp_path, monkeypatch):
+    """A stand-in for the client, through the provider, the data source and the index."""
+    root = tmp_path / "ws"
+    root.mkdir()
+    one = "Change {n} by ada@ws on 2024/01/{n:02} 10:00:00\n\n\tChange number {n}\n\tmore\n\nAffected files ...\n\n... //depot/{f}#2 edit\n\nDifferences ...\n\n==== //depot/{f}#2 (text) ====\n\n@@ -1 +1 @@\n-a\n+b{n}\n"
+    described = {str(n): one.format(n=n, f=f) for n, f in ((9, "src/a.txt"), (10, "doc/b.txt"), (11, "src/a.txt"))}
+    client = tmp_path / "p4"
+    client.write_text(P4.format(python=sys.executable, described=described, root=root))
+    client.chmod(0o755)
+    own, at = perforce.Perforce(str(client)), str(root)
+    assert own.detect(at) and not own.detect(str(tmp_path)) and not perforce.Perforce("no-such-client").detect(at)
+    assert own.commit_ids(at) == ["9", "10", "11"] and own.commit_ids(at, ("src",)) == ["9", "10", "11"] and own.commit_ids(at, ("doc",)) == ["10"]
+    assert own.ids_after(at, "9", 5) == ["10", "11"] and own.ids_after(at, None, 1) == ["9"] and own.ids_after(at, "77", 2) == [] and own.ids_after(at, "9", 0) == []
+    with pytest.raises(perforce.UnknownChangeError):
+        own.ids_after(at, "x", 1)
+    assert [(r[0], r[3], r[5]) for r in own.read_commits(at, ["10", "9"])] == [("10", "Change number 10\nmore", ["doc/b.txt"]), ("9", "Change number 9\nmore", ["src/a.txt"])]
+    assert own.tracked(at, "11") == ["doc/b.txt", "src/a.txt"] and own.count(at) == 3 and own.latest_time(at).day == 9
+    assert dict(own.contents(at, ["src/a.txt", "none.txt"], "11"))["none.txt"] is None
+    history.register(spark)
+    df = spark.read.format("spindrift_history").options(provider="p4", command=str(client), path=at, message="full").load()
+    assert [(r.ordinal, r.id) for r in df.orderBy("ordinal").collect()] == [(0, "9"), (1, "10"), (2, "11")]
+    s = Store(spark, str(tmp_path / "index"))
+    assert index_workspace(spark, s, "w", at, batch_size=2, kind="p4", command=str(client)) == 3
+    assert sorted(r.file_path for r in s.table("file_contents").collect()) == ["doc/b.txt", "src/a.txt"]
+    assert [r.last_processed for r in s.table("experts").collect()] == ["11"]
 
 
 def test_params():

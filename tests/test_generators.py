@@ -7,7 +7,8 @@ from datetime import UTC, datetime
 import pytest
 
 from spindrift.functions import generators as g
-from spindrift.functions.models import Generated, GenerationError, InvalidRequestError, ThrottledError, Usage, classify_failure
+from spindrift.functions import models, providers
+from spindrift.functions.models import EchoGenerator, Generated, GenerationError, InvalidRequestError, ThrottledError, Usage, classify_failure
 
 SAID = [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}, {"role": "user", "content": "c"}]
 
@@ -69,3 +70,60 @@ def test_log(spark, tmp_path):
     for i in range(2):
         g.log_call(spark, str(tmp_path / "log"), "prompt", {"n": i}, {"ok": True})
     assert spark.read.json(str(tmp_path / "log")).where("category = 'prompt'").count() == 2
+
+
+def test_streams(tmp_path):
+    """Pieces come before the client has ended; a failing client's message is the error's."""
+    script = "import sys, json\nsys.stdin.read()\nfor w in 'ab': print(json.dumps({'type': 'stream_event', 'event': {'delta': {'text': w}}}), flush=True)\nprint(json.dumps({'type': 'result', 'result': 'ab', 'usage': {'input_tokens': 1, 'output_tokens': 2}}))"
+    assert list(g.CommandLine((sys.executable, "-c", script), str(tmp_path)).stream("", SAID)) == ["a", "b", Generated("ab", Usage(1, 2))]
+    with pytest.raises(ThrottledError):
+        list(g.CommandLine((sys.executable, "-c", "import sys; sys.exit('429 too many requests')"), str(tmp_path)).stream("", SAID))
+    assert not list(tmp_path.iterdir())
+    events = {"stream": [{"contentBlockDelta": {"delta": {"text": "h"}}}, {"metadata": {"usage": {"inputTokens": 4, "outputTokens": 1}}}]}
+    told = list(g.Converse(dict, "m", call_stream=lambda **_: events).stream("s", SAID))
+    assert told == ["h", Generated("h", Usage(4, 1))]
+    assert list(models.streamed(EchoGenerator(), "", SAID))[-1].content == "c"
+    whole = type("Whole", (), {"generate": lambda self, system, messages: Generated("all")})()
+    assert list(models.streamed(whole, "", SAID)) == ["all", Generated("all")]
+
+
+def test_providers(monkeypatch):
+    no = lambda *_: False
+    assert providers.detect({"OPENAI_API_KEY": "k"}, no, no, no) == "openai" and providers.detect({"AWS_PROFILE": "p"}, no, no, no) == "bedrock"
+    assert providers.detect({}, lambda: True, no, lambda: True) == "bedrock" and providers.detect({}, no, lambda _: "/bin/x", no) == "claude-code" and providers.detect({}, no, no, lambda: True) == "ollama"
+    for bad in ({"OPENAI_API_KEY": "k", "OPENROUTER_API_KEY": "k"}, {}):
+        with pytest.raises(ValueError):
+            providers.detect(bad, no, no, no)
+    env = {"OPENROUTER_API_KEY": "k"}
+    made = providers.generator(providers.Settings("openrouter", environment=env))
+    assert (made.url, made.model, made.key) == (providers.URLS["openrouter"], providers.MODELS["openrouter"]["expert"], "k")
+    assert providers.generator(providers.Settings("ollama", base_url="http://here", prompt_model="m"), "promptgen").model == "m"
+    assert providers.generator(providers.Settings("echo")) == EchoGenerator()
+    for bad in (providers.Settings("openai", environment={}), providers.Settings("none"), providers.Settings("claude-code", client="no-such-client"), providers.Settings("bedrock", region="")):
+        with pytest.raises(ValueError):
+            providers.generator(bad)
+    assert providers.default_model("openai", chosen="x") == "x"
+    with pytest.raises(KeyError):
+        providers.default_model("none")
+
+
+def test_embedders():
+    asked = []
+
+    def call(**request):
+        asked.append(request)
+        return {"body": json.dumps({"embedding": [len(json.loads(request["body"])["inputText"]), 2.0]})}
+
+    assert providers.HostedEmbedder(call).embed_batch(["ab", "c"]) == [[2, 2.0], [1, 2.0]] and asked[0]["modelId"] == providers.HOSTED_EMBEDDER
+    with pytest.raises(GenerationError):
+        providers.HostedEmbedder(lambda **_: 1 / 0).embed_batch(["x"])
+    assert models.create(models.EMBEDDERS, "local").dimension == 512 and models.create(models.EMBEDDERS, "bedrock").dimension == 1024
+    with pytest.raises(ValueError):
+        models.create(models.EMBEDDERS, "local").embed_batch(["x"])
+
+
+def test_calls_are_logged(spark, tmp_path):
+    logged = g.Logged(EchoGenerator(), spark, str(tmp_path / "log"))
+    assert logged.generate("s", SAID).content == "c" and list(logged.stream("s", SAID))[-1].content == "c"
+    rows = spark.read.json(str(tmp_path / "log")).collect()
+    assert len(rows) == 2 and all(json.loads(r.response)["content"] == "c" for r in rows)

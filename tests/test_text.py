@@ -123,16 +123,6 @@ def test_embedding_and_rerank(spark):
         models.create(models.EMBEDDERS, "none")
 
 
-def test_pick_generator():
-    none = lambda name: False
-    assert models.pick_generator({"OPENAI_API_KEY": "k"}, none) == "openai"
-    assert models.pick_generator({}, none, cloud=True, local=True) == "cloud"
-    with pytest.raises(ValueError):
-        models.pick_generator({"OPENAI_API_KEY": "k", "OPENROUTER_API_KEY": "k"}, none)
-    with pytest.raises(ValueError):
-        models.pick_generator({}, none)
-
-
 def test_sanitizer_matches_a_plain_regex(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice("0af-,: xX\tGZ({)}h_/=") for _ in range(rng.randint(0, 60))) for _ in range(300)]

@@ -28,7 +28,7 @@ def test_diffs_of_whole_texts(spark, tmp_path):
     names = {r.doc_id: r.names for r in QUERIES["diff_filenames"](spark, sf).collect()}
     late = {8: ["late.py"], 9: ["later.py"]}
     assert names == {i: "|".join(sorted([f"lib/{i % 7}.py", f"src/{i}.py", *late.get(i, [])])) for i in range(len(texts))}
-    got = {r.doc_id: (r.diff, r.n) for r in QUERIES["filter_binary_whole_diffs"](spark, sf).collect()}
+    got = {r.doc_id: (r.diff, r.n) for r in QUERIES["filter_binary_diffs"](spark, sf).collect()}
     want = {}
     for i, t in enumerate(texts):
         s = section(i, t or "")
