@@ -83,7 +83,7 @@ def _screen(docs: DataFrame, n: int, percent: int) -> DataFrame:
         for ids, sets in sets_of(batches, n):
             heads = [s[: len(s) - _least(len(s), percent) + max(1, len(s) // 20)] for s in sets]
             count = np.array([len(h) for h in heads])
-            yield np.concatenate(heads), np.repeat(ids.astype(np.int64), count), np.zeros(count.sum(), np.int32)
+            yield np.concatenate(heads), np.repeat(ids.astype(np.int64), count), np.zeros(count.sum(), np.int64)
 
     buckets = buckets_for(docs, 6 / (1.05 - percent / 100))
     return repeated_places(docs, keys, buckets).groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))

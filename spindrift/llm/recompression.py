@@ -5,8 +5,9 @@ each symbol's name and names every pair (left, right) whose words are few enough
 texts agree on them without asking each other, and a symbol depends only on the words in its reach: equal
 stretches of text get equal symbols, but for a margin. After ``ROUNDS`` rounds a window is anchored at the
 symbol that lies in it with its whole reach, the longest of them, of these the one with the least name; a window without such a
-symbol (inside a very long run) is its own anchor. Symbols that several places share reveal where texts may repeat; the
-windows there are compared by 64-bit hashes, among those with anchors of one bucket.
+symbol (inside a very long run) is its own anchor. Symbols that several places share reveal where texts may repeat. The words
+there travel to their symbol's bucket, where the windows are verified: words, then pairs of names for 1, 2, 4, ... words, are named
+by what they are, so two windows have one name only if they are the same words.
 
 Null and empty texts have no words. For null and repeated doc_ids see ``repeats``. Extra columns are ignored.
 """
@@ -14,14 +15,16 @@ Null and empty texts have no words. For null and repeated doc_ids see ``repeats`
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import mix
 from .repeats import Runs, Scheme, slices, without_repeats
-from .shared import rolling, word_hashes
+from .shared import PIECE_BYTES, rolling, word_spans
 
 WINDOW = 20
 ROUNDS, MOST_WORDS = 4, 8
@@ -77,13 +80,12 @@ class Symbols:
 
 
 class Words(Scheme):
-    dtype = np.dtype(np.uint64)
-
     def __init__(self, window: int = WINDOW):
-        self.window, self.bytes_per_unit, self.bytes_per_anchor = window, 6.0, 24.0
+        self.window, self.bytes_per_unit, self.bytes_per_anchor = window, 1.0, 24.0
 
-    def runs(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[Runs, np.ndarray]:
-        words, first = word_hashes(raw, offsets, lower=False)
+    def runs(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[Runs, Callable[[], tuple[np.ndarray, np.ndarray]]]:
+        begin, end, first = word_spans(raw, offsets)
+        words = rolling(raw, begin, end)
         s = Symbols(words, first)
         if len(words):
             s.runs()
@@ -101,20 +103,48 @@ class Words(Scheme):
         alone = np.flatnonzero(hi <= lo)
         if len(alone):
             keys[alone] = rolling(words, windows[alone], windows[alone] + self.window)
-        return Runs(windows, anchors, keys, first), words
-
-    def sizes(self, lengths: np.ndarray) -> np.ndarray:
-        return lengths
-
-    def values(self, units: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """A hash of each window."""
-        at = slices(np.arange(len(units)), starts, lengths)
-        return rolling(units, at, at + self.window)
 
-    def repeated(self, lengths: np.ndarray, values: np.ndarray) -> np.ndarray:
-        order = np.argsort(values, kind="stable")
-        again = np.zeros(len(values), bool)
-        again[order] = np.append(False, values[order][1:] == values[order][:-1])[: len(values)]
+        def data() -> tuple[np.ndarray, np.ndarray]:
+            """The words, a space after each."""
+            sizes = end - begin + 1
+            ends = np.cumsum(sizes)
+            spaced = slices(np.append(raw, np.uint8(32)), begin, sizes)
+            spaced[ends - 1] = 32
+            return spaced, np.append(0, ends)
+
+        return Runs.of_windows(windows, anchors, keys, first), data
+
+    def segments(self, raw: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        begin, _, _ = word_spans(raw, np.array([0, len(raw)]))
+        at = 0
+        while at == 0 or at + self.window <= len(begin):
+            after = max(at + 1, int(np.searchsorted(begin, begin[at] + PIECE_BYTES))) if len(begin) else 1
+            last = after + self.window - 1
+            yield int(begin[at]) if len(begin) else 0, int(begin[last]) if last < len(begin) else len(raw), at
+            at = after
+
+    def repeated(self, lengths: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Words, then pairs of names of 1, 2, 4, ... words are named by what they are, until windows have names."""
+        ends = np.flatnonzero(values == 32)
+        cuts = np.append(-1, ends)
+        offsets = pa.py_buffer((cuts + 1).astype(np.int64))
+        words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, offsets, pa.py_buffer(np.ascontiguousarray(values))])
+        name, wide = words.dictionary_encode().indices.to_numpy().astype(np.int64), 1
+        n = lengths + self.window - 1
+        windows = slices(np.arange(len(ends)), np.cumsum(n) - n, lengths)
+        whole, covered, left = None, 0, self.window
+        while True:
+            if left & wide:  # the window is made of powers of two, the least first
+                part = name[windows + covered]
+                whole = part if whole is None else np.unique(whole * (len(ends) + 1) + part, return_inverse=True)[1]
+                covered += wide
+            if 2 * wide > left:
+                break
+            name = np.unique(name[: len(name) - wide] * (len(ends) + 1) + name[wide:], return_inverse=True)[1]
+            wide *= 2
+        order = np.argsort(whole, kind="stable")
+        again = np.zeros(len(whole), bool)
+        again[order] = np.append(False, whole[order][1:] == whole[order][:-1])[: len(whole)]
         return again
 
 

@@ -1,16 +1,19 @@
 """Long repeats of whole texts: what the substring operators have in common.
 
 A scheme cuts texts into units (words or bytes) and gives every window of ``window`` units an anchor that depends on
-the window's content alone, so equal windows have equal anchors at equal places. Neighbouring windows with one anchor
+the window's content alone, so equal windows have equal anchors at equal places. Neighbouring windows with one anchor's key
 are a run. Then:
 
 1. Anchors that stand in more than one place are found by their keys (``shared.repeated_places``); a window whose
    anchor stands nowhere else has no equal, so most of the text is done with.
-2. The runs of the remaining windows travel to the bucket of their anchor's key; of equal runs in a block only the
-   earliest does.
-3. Each bucket finds, among all windows of its runs, those whose content starts earlier in the order of (doc_id, start).
+2. The runs of the remaining windows travel as bytes to the bucket of their anchor's key; of equal runs in a block only the
+   earliest does. Runs are found equal by hash and length, and compared byte by byte before they count as equal.
+3. Each bucket takes equal runs for one, as the blocks do, and finds, among all windows of the runs that are left, those whose content starts earlier in the order of (doc_id, start). It compares
+   contents, not hashes.
 4. The intervals they cover come back to their documents. Texts move twice: to their repeated anchors and to their intervals.
 
+Hashes only choose what is compared. Texts longer than a piece are worked on in segments that overlap by a window.
+
 ``finish`` makes the result of a document from its bytes and the covered intervals.
 """
 
@@ -25,61 +28,60 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import written
-from .shared import Entries, buckets_for, pieces, repeated_places, rolling, squeezed, unique_documents, unsqueezed
+from .shared import PIECE_BYTES, Entries, buckets_for, pieces, repeated_places, rolling, squeezed, unique_documents, unsqueezed
 
-#: Windows of a bucket if every window were a candidate; runs' windows of a block.
-BUCKET_WINDOWS, BLOCK_WINDOWS = 4 << 20, 1 << 19
+#: Windows of a bucket if every window were a candidate; runs' windows and bytes of texts of a block; bytes that are compared at a time.
+BUCKET_WINDOWS, BLOCK_WINDOWS, BLOCK_BYTES, COMPARED = 4 << 20, 1 << 19, 48 << 20, 4 << 20
 
 _U = np.uint64
 
 
 class Runs:
-    """Runs of one piece of texts; positions are units of the piece."""
+    """Runs of windows of one piece of texts; positions are units of the piece.
+
+    Neighbouring runs with one key (of periodic text) are one. ``twice`` tells which runs hold several anchors.
+    """
 
-    def __init__(self, windows: np.ndarray, anchors: np.ndarray, keys: np.ndarray, first: np.ndarray):
-        """windows: sorted starts; anchors: an id for each (place * 4 + tier, of the piece); keys of the anchors; first: units before each text."""
-        doc = np.searchsorted(first, windows, side="right") - 1
-        new = np.append(True, (np.diff(anchors) != 0) | (np.diff(windows) != 1) | (np.diff(doc) != 0)) if len(windows) else np.zeros(0, bool)
+    def __init__(self, start: np.ndarray, length: np.ndarray, place: np.ndarray, key: np.ndarray, first: np.ndarray):
+        """Runs in order of their starts; place: of the anchor (with a tier), in the piece; first: units before each text."""
+        doc = np.searchsorted(first, start, side="right") - 1
+        new = np.append(True, (start[1:] != start[:-1] + length[:-1]) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))[: len(start)]
         at = np.flatnonzero(new)
-        self.start, self.key, self.doc = windows[at], keys[at], doc[at]
-        self.length = np.diff(np.append(at, len(windows)))
-        self.place = (anchors[at] - 4 * first[self.doc]).astype(np.int32)
-        self.first = first
+        ends = np.append(at[1:], len(start))
+        self.start, self.key, self.doc, self.first = start[at], key[at], doc[at], first
+        self.length = np.add.reduceat(length, at) if len(at) else length
+        self.place, self.twice = place[at], ends - at > 1
 
     @classmethod
-    def of(cls, start: np.ndarray, length: np.ndarray, anchors: np.ndarray, keys: np.ndarray, first: np.ndarray) -> Runs:
-        """From runs as such, in any order."""
-        self, by = cls.__new__(cls), np.argsort(start)
-        self.start, self.length, self.key, self.first = start[by], length[by], keys[by], first
-        self.doc = np.searchsorted(first, self.start, side="right") - 1
-        self.place = (anchors[by] - 4 * first[self.doc]).astype(np.int32)
-        return self
+    def of_windows(cls, windows: np.ndarray, anchors: np.ndarray, keys: np.ndarray, first: np.ndarray) -> Runs:
+        """From sorted windows, with an id for each one's anchor."""
+        new = np.append(True, (np.diff(anchors) != 0) | (np.diff(windows) != 1))[: len(windows)]
+        at = np.flatnonzero(new)
+        return cls(windows[at], np.diff(np.append(at, len(windows))), anchors[at], keys[at], first)
 
 
 class Scheme:
     window: int
+    #: Bytes of text for each window that a bucket has room for, and for each anchor.
     bytes_per_unit: float
     bytes_per_anchor: float
 
-    def runs(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[Runs, np.ndarray]:
-        """(runs, units): the units are bytes, or the hashes of words."""
+    def runs(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[Runs, Callable[[], tuple[np.ndarray, np.ndarray | None]]]:
+        """(runs, data): data() gives the bytes that stand for the units, and the offset of each unit in them (None: a byte each)."""
         raise NotImplementedError
 
-    def sizes(self, lengths: np.ndarray) -> np.ndarray:
-        """How many values travel for runs of these many windows."""
-        raise NotImplementedError
+    def travelling(self, runs: Runs, at: np.ndarray, raw: np.ndarray) -> tuple[Runs, np.ndarray]:
+        """The runs that take the windows of the runs at ``at`` to their buckets."""
+        return runs, at
 
-    def values(self, units: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """What travels of the runs, one after the other."""
+    def segments(self, raw: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(first byte, end, number of the first unit) of the segments of a long text; two segments share ``window`` - 1 units."""
         raise NotImplementedError
 
-    def repeated(self, lengths: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """For runs in order of (doc, start): which of their windows, all in one row, starts earlier with equal content."""
+    def repeated(self, lengths: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """For runs (windows, bytes) in order of (doc, start): which of their windows, all in one row, starts earlier with equal content."""
         raise NotImplementedError
 
-    dtype: np.dtype
-
 
 def slices(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The slices of ``values`` one after the other."""
@@ -88,17 +90,118 @@ def slices(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return values[at]
 
 
-MADE = T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("docs", "starts", "lengths", "units"))])
+def equal_slices(values: np.ndarray, one: np.ndarray, other: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the slices at ``one`` equal those at ``other``, byte by byte; none is empty."""
+    out, total, lo = np.ones(len(sizes), bool), np.append(0, np.cumsum(sizes)), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + COMPARED, side="right")) - 1)
+        differ = slices(values, one[lo:hi], sizes[lo:hi]) != slices(values, other[lo:hi], sizes[lo:hi])
+        out[lo:hi] = ~np.logical_or.reduceat(differ, total[lo:hi] - total[lo])
+        lo = hi
+    return out
+
+
+MADE = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("known", T.BooleanType()), *(T.StructField(c, T.BinaryType()) for c in ("docs", "starts", "lengths", "sizes", "data"))])
 #: A covered interval [lo, hi) of a document; span is lo * 2**32 + hi, which takes least room in lists.
 COVERED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("span", T.LongType())])
 
 
-def _covered(docs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, window: int) -> pa.RecordBatch:
+def covered_rows(docs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, window: int) -> pa.RecordBatch:
     """Rows of COVERED for stretches of ``lengths`` windows."""
     span = (starts << 32) | (starts + lengths - 1 + window)
     return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(span)], schema=to_arrow_schema(COVERED))
 
 
+def cut_runs(batches: Iterable[pa.RecordBatch], scheme: Scheme) -> Iterator[tuple]:
+    """(rows, their doc_ids, runs, data, base) of pieces of the batches (doc_id, text): base is the number of the first unit of a long text's segment."""
+    for rows, raw, offsets in pieces(batches, 1):
+        ids = rows.column(0).to_numpy()
+        if len(raw) <= PIECE_BYTES:
+            yield rows, ids, *scheme.runs(raw, offsets), 0
+        else:
+            for lo, hi, base in scheme.segments(raw):
+                yield rows, ids, *scheme.runs(raw[lo:hi], np.array([0, hi - lo])), base
+
+
+def run_keys(batches: Iterable[pa.RecordBatch], scheme: Scheme) -> Iterator[Entries]:
+    """Key, doc_id and place of every run; those with several anchors twice, as their windows may equal one another."""
+    for _, ids, runs, _, base in cut_runs(batches, scheme):
+        if len(runs.key):
+            place = (runs.place - 4 * runs.first[runs.doc] + 4 * base).astype(np.int64)
+            at = np.concatenate([np.arange(len(runs.key)), np.flatnonzero(runs.twice)])
+            yield runs.key[at], ids[runs.doc][at], place[at]
+
+
+def equal_runs(order: np.ndarray, prints: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, at: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Whether the run at each place of ``order`` (by hash, length, size) is the same, byte by byte, as the first that has its hash."""
+    same = np.append(False, (np.diff(prints[order]) == 0) & (np.diff(lengths[order]) == 0) & (np.diff(sizes[order]) == 0))[: len(order)]
+    leader = order[np.flatnonzero(~same)][np.cumsum(~same) - 1]
+    own = np.flatnonzero(same)
+    same[own] = equal_slices(data, at[order[own]], at[leader[own]], sizes[order[own]])
+    return same
+
+
+def packed_runs(held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
+    """MADE rows of a block: its runs by bucket, and those known to repeat without their bytes."""
+    made = to_arrow_schema(MADE)
+    ids, starts, lengths, keys, prints, at, sizes = (np.concatenate([h[i] for h in held]) for i in range(7))
+    data = np.concatenate([h[7] for h in held])
+    shift = np.cumsum([0, *(len(h[7]) for h in held[:-1])])
+    at = at + np.repeat(shift, [len(h[5]) for h in held])
+    order = np.lexsort((starts, ids, sizes, lengths, prints))
+    same = equal_runs(order, prints, lengths, sizes, at, data)
+    known, sent = order[same], order[~same]
+    columns: list[list] = [[] for _ in made]
+
+    def add(bucket: int, own: np.ndarray, known: bool) -> None:
+        parts = (squeezed(x[own]) for x in (ids, starts, lengths))
+        rest = (None, None) if known else (squeezed(sizes[own]), squeezed(slices(data, at[own], sizes[own])))
+        for column, v in zip(columns, (bucket, known, *parts, *rest), strict=True):
+            column.append(v)
+
+    for i, own in enumerate(np.array_split(known, -(-len(known) // BLOCK_WINDOWS)) if len(known) else ()):
+        add(int((int(ids[own[0]]) + i) % buckets), own, True)
+    edges = np.array([-(-(i << 64) // buckets) for i in range(1, buckets)], _U)
+    bucket = np.searchsorted(edges, keys[sent], side="right")
+    sent = sent[np.argsort(bucket, kind="stable")]
+    bucket = np.sort(bucket)
+    cuts = np.flatnonzero(np.append(True, np.diff(bucket) != 0)[: len(bucket)])
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sent)][: len(cuts)], strict=True):
+        add(int(bucket[lo]), sent[lo:hi], False)
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, made, strict=True)], schema=made)
+
+
+def blocks_of(pieces_: Iterable[tuple], scheme: Scheme, buckets: int) -> Iterator[pa.RecordBatch]:
+    """MADE rows of pieces (doc_ids, runs, data, base, places in runs that are wanted)."""
+    held: list[tuple] = []
+    n = m = 0
+    for ids, runs, data, base, at in pieces_:
+        if not len(at):
+            continue
+        raw, unit = data()
+        runs, at = scheme.travelling(runs, at, raw)
+        start, length = runs.start[at], runs.length[at]
+        lo, hi = start, start + length + scheme.window - 1
+        lo, hi = (lo, hi) if unit is None else (unit[lo], unit[hi])
+        held.append((ids[runs.doc[at]], start - runs.first[runs.doc[at]] + base, length, runs.key[at], rolling(raw, lo, hi), lo, hi - lo, raw))
+        n, m = n + int(length.sum()), m + len(raw)
+        if n > BLOCK_WINDOWS or m > BLOCK_BYTES:
+            yield from packed_runs(held, buckets)
+            held, n, m = [], 0, 0
+    if held:
+        yield from packed_runs(held, buckets)
+
+
+def read_runs(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """(ids, starts, lengths, sizes, data) of MADE rows that aren't known, in order of (doc, start)."""
+    sent = table.filter(pa.compute.invert(table.column("known")))
+    ids, starts, lengths, sizes = (unsqueezed(sent.column(c), np.int64) for c in ("docs", "starts", "lengths", "sizes"))
+    data = unsqueezed(sent.column("data"), np.uint8)
+    at = np.cumsum(sizes) - sizes
+    order = np.lexsort((starts, ids))
+    return ids[order], starts[order], lengths[order], sizes[order], slices(data, at[order], sizes[order])
+
+
 def without_repeats(docs: DataFrame, scheme: Scheme, out: T.StructType, finish: Callable[[bytes, np.ndarray], tuple]) -> DataFrame:
     """doc_id and the columns ``out`` of every row; ``finish(text, intervals)`` gives their values.
 
@@ -107,80 +210,51 @@ def without_repeats(docs: DataFrame, scheme: Scheme, out: T.StructType, finish:
     """
     docs, rest = unique_documents(docs)
     size = scheme.window
-
-    def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[Entries]:
-        for rows, raw, offsets in pieces(batches, 1):
-            runs, _ = scheme.runs(raw, offsets)
-            if len(runs.key):
-                yield runs.key, rows.column(0).to_numpy()[runs.doc], runs.place
-
-    places = repeated_places(docs, keys, buckets_for(docs, scheme.bytes_per_anchor))
+    places = repeated_places(docs, lambda batches: run_keys(batches, scheme), buckets_for(docs, scheme.bytes_per_anchor))
     hits = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     joined = docs.join(hits, "doc_id").select("doc_id", "text", "places")
-    made = to_arrow_schema(MADE)
     buckets = max(1, buckets_for(docs, scheme.bytes_per_unit * BUCKET_WINDOWS / (1 << 20)))
 
-    def rows_of(columns: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, made, strict=True)], schema=made)
-
-    def block(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids, starts, lengths, keys_, prints, units, sizes = (np.concatenate([h[i] for h in held]) for i in range(7))
-        order = np.lexsort((starts, ids, lengths, prints))
-        same = np.append(False, (np.diff(prints[order]) == 0) & (np.diff(lengths[order]) == 0))
-        known, sent = order[same], order[~same]
-        if len(known):
-            yield rows_of([[None], [squeezed(ids[known])], [squeezed(starts[known])], [squeezed(lengths[known])], [None]])
-        at = np.cumsum(sizes) - sizes
-        edges = np.array([-(-(i << 64) // buckets) for i in range(1, buckets)], _U)
-        bucket = np.searchsorted(edges, keys_[sent], side="right")
-        sent = sent[np.argsort(bucket, kind="stable")]
-        bucket = np.sort(bucket)
-        cuts = np.flatnonzero(np.append(True, np.diff(bucket) != 0))
-        columns: list[list] = [[], [], [], [], []]
-        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sent)], strict=True):
-            own = sent[lo:hi]
-            values = (int(bucket[lo]), *(squeezed(x[own]) for x in (ids, starts, lengths)), squeezed(slices(units, at[own], sizes[own])))
-            for column, v in zip(columns, values, strict=True):
-                column.append(v)
-        yield rows_of(columns)
-
     def sift(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        n = 0
-        for rows, raw, offsets in pieces(batches, 1):
-            ids, wanted = rows.column(0).to_numpy(), rows.column(2)
-            counts = wanted.value_lengths().to_numpy()
-            runs, units = scheme.runs(raw, offsets)
-            pair = lambda d, p: (d.astype(np.int64) << 32) | p.astype(np.int64)
-            asked = pair(np.repeat(np.arange(len(ids)), counts), wanted.flatten().to_numpy())
-            at = np.flatnonzero(np.isin(pair(runs.doc, runs.place), asked))
-            start, length = runs.start[at], runs.length[at]
-            prints = rolling(units, start, start + length + size - 1)
-            held.append((ids[runs.doc[at]], start - runs.first[runs.doc[at]], length, runs.key[at], prints, scheme.values(units, start, length), scheme.sizes(length)))
-            n += int(length.sum())
-            if n > BLOCK_WINDOWS:
-                yield from block(held)
-                held, n = [], 0
-        if held:
-            yield from block(held)
-
-    table = written(joined.mapInArrow(sift, MADE), "repeats")
-    known = table.where("bucket is null").select("docs", "starts", "lengths").mapInArrow(_known(size), COVERED)
+        pair = lambda d, p: (d.astype(np.int64) << 40) | p.astype(np.int64)
+
+        def wanted() -> Iterator[tuple]:
+            for rows, ids, runs, data, base in cut_runs(batches, scheme):
+                counts = rows.column(2).value_lengths().to_numpy()
+                asked = pair(np.repeat(np.arange(len(ids)), counts), rows.column(2).flatten().to_numpy())
+                place = runs.place - 4 * runs.first[runs.doc] + 4 * base
+                yield ids, runs, data, base, np.flatnonzero(np.isin(pair(runs.doc, place), asked))
+
+        yield from blocks_of(wanted(), scheme, buckets)
 
     def judge(group: pa.Table) -> pa.Table:
-        read = lambda c, t: unsqueezed(group.column(c), t)
-        ids, starts, lengths, units = read("docs", np.int64), read("starts", np.int64), read("lengths", np.int64), read("units", scheme.dtype)
-        sizes = scheme.sizes(lengths)
-        at = np.cumsum(sizes) - sizes
-        order = np.lexsort((starts, ids))
-        ids, starts, lengths = ids[order], starts[order], lengths[order]
-        found = scheme.repeated(lengths, slices(units, at[order], sizes[order]))
-        run = np.repeat(np.arange(len(ids)), lengths)[found]
-        start = np.arange(len(found))[found] - (np.cumsum(lengths) - lengths)[run] + starts[run]
-        return pa.Table.from_batches([_covered(*_stretches(ids[run], start), size)], schema=to_arrow_schema(COVERED))
-
-    judged = table.where("bucket is not null").groupBy("bucket").applyInArrow(judge, COVERED)
-    gone = known.union(judged).groupBy("doc_id").agg(F.collect_list("span").alias("gone"))
+        batches = [*known_spans(group, size)]
+        ids, starts, lengths, sizes, data = read_runs(group)
+        if len(ids):
+            at = np.cumsum(sizes) - sizes
+            prints = rolling(data, at, at + sizes)
+            order = np.lexsort((np.arange(len(ids)), sizes, lengths, prints))
+            again = np.zeros(len(ids), bool)
+            again[order] = equal_runs(order, prints, lengths, sizes, at, data)
+            batches.append(covered_rows(ids[again], starts[again], lengths[again], size))
+            own = np.flatnonzero(~again)  # of equal runs the first; its windows may still stand in others
+            found = scheme.repeated(lengths[own], sizes[own], slices(data, at[own], sizes[own]))
+            batches.append(covered_rows(*windows_found(ids[own], starts[own], lengths[own], found), size))
+        return pa.Table.from_batches(batches, schema=to_arrow_schema(COVERED))
+
+    judged = joined.mapInArrow(sift, MADE).groupBy("bucket").applyInArrow(judge, COVERED)
+    return finished(docs, rest, judged, out, finish)
+
+
+def known_spans(group: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
+    """Rows of COVERED of the runs that their block knows to repeat."""
+    for row in group.filter(group.column("known")).select(["docs", "starts", "lengths"]).to_pylist():
+        yield covered_rows(*(unsqueezed([pa.scalar(row[c], pa.binary())], np.int64) for c in ("docs", "starts", "lengths")), window)
+
+
+def finished(docs: DataFrame, rest: DataFrame | None, covered: DataFrame, out: T.StructType, finish: Callable[[bytes, np.ndarray], tuple]) -> DataFrame:
+    """doc_id and the columns ``out`` of every document, from the intervals that are covered."""
+    gone = covered.groupBy("doc_id").agg(F.collect_list("span").alias("gone"))
     told = docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone")
     fields = T.StructType([T.StructField("doc_id", T.LongType()), *out.fields])
     arrow = to_arrow_schema(fields)
@@ -202,21 +276,14 @@ def without_repeats(docs: DataFrame, scheme: Scheme, out: T.StructType, finish:
     return result
 
 
-def _known(window: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in zip(*b.columns, strict=True):
-                ids, starts, lengths = (unsqueezed([v], np.int64) for v in row)
-                yield _covered(ids, starts, lengths, window)
-
-    return run
-
-
-def _stretches(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, first starts, lengths) of consecutive windows; the input is sorted within runs."""
-    new = np.append(True, (np.diff(ids) != 0) | (np.diff(starts) != 1)) if len(ids) else np.zeros(0, bool)
+def windows_found(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, first starts, lengths) of the stretches of found windows of runs."""
+    run = np.repeat(np.arange(len(ids)), lengths)[found]
+    start = np.arange(len(found))[found] - (np.cumsum(lengths) - lengths)[run] + starts[run]
+    own = ids[run]
+    new = np.append(True, (np.diff(own) != 0) | (np.diff(start) != 1))[: len(own)]
     at = np.flatnonzero(new)
-    return ids[at], starts[at], np.diff(np.append(at, len(ids)))
+    return own[at], start[at], np.diff(np.append(at, len(own)))
 
 
 def _union(spans: np.ndarray) -> np.ndarray:

@@ -59,7 +59,8 @@ def repeats(rows, window, units):
         u = units(t)
         gone = bytearray(len(u))
         for k in range(len(u) - window + 1):
-            x = tuple(u[k : k + window])
+            x = u[k : k + window]
+            x = x if isinstance(x, bytes) else tuple(x)
             if x in seen:
                 gone[k : k + window] = b"\1" * window
             else:

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -177,6 +178,28 @@ def test_suffix_family(docs, rows, odd, empty):
     assert suffixes.dedup(odd).count() == 6 and suffixes.dedup(empty).count() == 0
 
 
+def test_long_and_periodic_texts(spark):
+    """Texts of several segments, repeats over their borders, periods of one byte, one word and several."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6)))
+    long = " ".join(word() for _ in range(260_000))
+    passage = long[1_040_000:1_060_000]  # over the border of a segment of 2 ** 20 bytes
+    rows = [(1, long), (2, f"{word()} {passage} {word()}"), (3, long[1_048_400:1_048_700] + "x"), (4, "z" * 5000), (5, "ab" * 900 + "z" * 150), (6, "one two three " * 300), (7, "two three one " * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(suffixes.dedup(df, digest=True)) == brute.kept_bytes(rows)
+    assert result(recompression.dedup(df, digest=True)) == brute.kept_words(rows)
+
+
+def test_equal_hashes_are_not_enough():
+    """Runs with one hash, length and key, but other bytes, are both sent."""
+    data = np.frombuffer(b"abcabdabc", np.uint8)
+    three = np.full(3, 3)
+    held = [(np.arange(3), np.zeros(3, np.int64), np.ones(3, np.int64), np.full(3, 9, np.uint64), np.full(3, 5, np.uint64), np.array([0, 3, 6]), three, data)]
+    rows = pa.Table.from_batches(list(repeats.packed_runs(held, 4)))
+    assert repeats.read_runs(rows)[0].tolist() == [0, 1] and repeats.read_runs(rows)[4].tobytes() == b"abcabd"
+    assert repeats.unsqueezed(rows.filter(rows.column("known")).column("docs"), np.int64).tolist() == [2]
+
+
 def test_suffix_order():
     rng = np.random.default_rng(3)
     text = rng.integers(97, 99, 4000).astype(np.uint8)
@@ -199,10 +222,27 @@ def test_family_over_batches():
             want.append(x in seen)
             seen.add(x)
         assert family.add(text, starts).tolist() == want
-    family._merge()
     assert [level.rank for level in family.levels] == [3, 0]
 
 
+def test_index_takes_batches(spark, rows, tmp_path):
+    """Batches in order of doc_id give what all documents at once give; levels merge like a binary counter; the state is read again."""
+    some = sorted(r for r in rows if len(r[1] or "") < 20_000)
+    want = brute.kept_bytes(some)
+    cuts = [some[i::7] for i in range(7)]
+    some_ordered = [r for c in cuts for r in c]
+    renamed = {r[0]: i for i, r in enumerate(some_ordered)}
+    want = brute.kept_bytes([(renamed[i], t) for i, t in some_ordered])
+    for cut in cuts:
+        df = spark.createDataFrame([(renamed[i], t) for i, t in cut], "doc_id long, text string")
+        index = suffixes.Index(spark, f"file://{tmp_path}/index", buckets=3)
+        assert result(index.add(df, digest=True)) == {renamed[i]: want[renamed[i]] for i, _ in cut}
+    assert [rank for rank, _ in suffixes.Index(spark, f"file://{tmp_path}/index").state()[1]] == [2, 1, 0]
+    # a batch that came earlier takes nothing new in
+    again = suffixes.Index(spark, f"file://{tmp_path}/index", buckets=3).add(df)
+    assert all(r.n_removed >= (r.n_bytes if r.n_bytes >= 100 else 0) for r in again.collect())
+
+
 def test_union_of_intervals():
     spans = np.array([[5, 9], [0, 3], [3, 4], [8, 12], [20, 21]])
     assert repeats._union(spans).tolist() == [[0, 4], [5, 12], [20, 21]]
