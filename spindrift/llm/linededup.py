@@ -1,14 +1,14 @@
 """Line deduplication with a sharded minimal perfect hash.
 
-The keys of lines that stand in ``min_docs`` documents or more are counted with map-side combining, only by their
-128-bit hashes. They are dealt to shards by hash; each shard builds a minimal perfect hash over its distinct hashes,
-which indexes three compact arrays: fingerprints (64 bits), counts, and the largest doc_id. Documents send the hashes of their
-lines, packed by shard, and probe the arrays; no line text and no single line is joined. A shard's arrays are copied
-to as many probing tasks as its documents need, and a task streams its documents past one shard at a time.
+Documents send the 128-bit hashes of their lines' keys, packed and counted by blocks, to shards dealt by hash. Each shard builds a
+minimal perfect hash over its distinct line hashes, which indexes three compact arrays: fingerprints (64 bits), counts of documents,
+and the largest doc_id; the counts are made in the arrays. Documents then send their lines' hashes, packed by shard, and probe the
+arrays; no line text and no single line is joined. Lines that stand in more than one of ``HOT`` of all places (so fewer than ``HOT`` of
+them, read from the arrays too) are told to the documents' own tasks instead, so no shard is asked for one line by all documents.
 
 Null and empty texts are one empty line. Every row is a document; rows that share a doc_id share its fate (all keep the line if that
 doc_id is the largest). A null doc_id is smaller than any other. Lines with short keys always stay. Extra columns pass through
-``dedup`` unless they are named like an added column.
+``dedup`` unless they are named like an added column. doc_id is an integer.
 """
 
 from __future__ import annotations
@@ -22,11 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import mix, partitions, text_bytes, written
+from .common import mix, partitions, text_bytes, unused, written
+from .shared import squeezed, unsqueezed
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Keys of a shard, and bits of the perfect hash for each key of a level.
-SHARD_KEYS, GAMMA = 1 << 17, 2
+#: Line hashes of a shard and of a block, and bits of the perfect hash for each key of a level.
+SHARD_KEYS, BLOCK_KEYS, GAMMA = 1 << 17, 1 << 19, 2
+#: A line that has more than this share of all line hashes is hot.
+HOT = 16384
 
 
 class PerfectHash:
@@ -75,9 +78,9 @@ class PerfectHash:
         return out
 
 
-def _key(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-    """What the perfect hash of a shard tells keys apart by; the shard itself comes from h1 alone."""
-    return h1 ^ mix(h2)
+def _key(h1: np.ndarray, h2: np.ndarray, salt: int) -> np.ndarray:
+    """What the perfect hash of a shard tells hashes apart by; the shard itself comes from h1 alone."""
+    return h1 ^ mix(h2 + np.uint64(salt))
 
 
 def _hashes(lines: list[bytes], min_chars: int) -> list[bytes]:
@@ -102,125 +105,165 @@ def line_hashes(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS)
     return docs.select("doc_id", text_bytes(text).alias("text")).mapInArrow(run, schema)
 
 
-def repeated(hashes: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """h1, h2 (halves of the hash), docs, last (largest doc_id) of the keys in ``min_docs`` documents or more."""
-    schema = T.StructType([T.StructField("doc_id", hashes.schema["doc_id"].dataType), *(T.StructField(c, T.LongType()) for c in ("h1", "h2"))])
-    arrow = to_arrow_schema(schema)
+def _shard(h1: np.ndarray, shards: int) -> np.ndarray:
+    return ((h1 >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+
+
+def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(h1, h2, doc_ids, whether null) of blocks of doc_id, hashes; null doc_ids are the least number."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+    for b in batches:
+        rows = b.column(1).to_pylist()
+        sizes = np.array([len(r) // 16 for r in rows], np.int64)
+        pairs = np.frombuffer(b"".join(rows), np.uint64).reshape(-1, 2)
+        ids = b.column(0).cast(pa.int64())
+        null = np.repeat(ids.is_null().to_numpy(zero_copy_only=False), sizes)
+        held.append((pairs[:, 0], pairs[:, 1], np.repeat(ids.fill_null(_LEAST).to_numpy(zero_copy_only=False), sizes), null))
+        n += len(pairs)
+        if n >= BLOCK_KEYS:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+_LEAST = -(1 << 63)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes = np.array([len(v.as_py()) // 16 for v in b.column(1)], np.int64)
-            pairs = np.frombuffer(b"".join(v.as_py() for v in b.column(1)), np.int64).reshape(-1, 2)
-            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], schema=arrow)
 
-    single = hashes.mapInArrow(run, schema)
-    return single.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("last")).where(F.col("docs") >= min_docs)
+def _cuts(*sorted_: np.ndarray) -> np.ndarray:
+    """Where a new combination of the arrays begins."""
+    new = np.zeros(len(sorted_[0]), bool)
+    new[:1] = True
+    for x in sorted_:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
 
 
-def build_index(keys: DataFrame, shards: int) -> DataFrame:
-    """One row for each shard with keys: shard, words and sizes of the perfect hash, arrays prints, counts, lasts, none."""
-    columns = ("words", "sizes", "prints", "counts", "lasts", "none")
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in columns)])
+ARRAYS = ("words", "sizes", "prints", "counts", "lasts")
+INDEX = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("salt", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ARRAYS), T.StructField("hot", T.BinaryType())])
+
+
+def build_index(hashes: DataFrame, shards: int, total: int) -> DataFrame:
+    """INDEX rows, one for each shard with lines; ``hot``: h1, h2, count and last of the lines with more than a share of 1 / HOT of ``total`` hashes."""
+    sent = T.StructType([T.StructField("shard", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("h1", "h2", "counts", "lasts"))])
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h1, h2, ids, _ in _read(batches):
+            shard = _shard(h1, shards)
+            order = np.lexsort((h2, h1, shard))
+            h1, h2, ids, shard = h1[order], h2[order], ids[order], shard[order]
+            at = _cuts(h1, h2)
+            columns = h1[at], h2[at], np.diff(np.append(at, len(h1))).astype(np.uint32), np.maximum.reduceat(ids, at)
+            own = _cuts(shard[at])
+            parts = [[squeezed(c[lo:hi]) for lo, hi in zip(own.tolist(), [*own[1:].tolist(), len(at)], strict=True)] for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[at][own].astype(np.int32)), *(pa.array(p, pa.binary()) for p in parts)], schema=to_arrow_schema(sent))
 
     def build(table: pa.Table) -> pa.Table:
-        h1, h2 = (table.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
-        function = PerfectHash.build(key := _key(h1, h2))
-        at = function.index(key)
-        prints, counts, lasts, none = np.zeros(len(h1), np.uint64), np.zeros(len(h1), np.uint32), np.zeros(len(h1), np.int64), np.zeros(len(h1), bool)
+        h1, h2, n, last = (unsqueezed(table.column(c), t) for c, t in (("h1", np.uint64), ("h2", np.uint64), ("counts", np.uint32), ("lasts", np.int64)))
+        order = np.lexsort((h2, h1))
+        distinct = order[_cuts(h1[order], h2[order])]
+        salt = 0
+        while len(np.unique(key := _key(h1[distinct], h2[distinct], salt))) < len(distinct):
+            salt += 1  # two hashes with one key: other keys
+        function = PerfectHash.build(key)
+        at = function.index(_key(h1, h2, salt))
+        prints, counts, lasts = np.zeros(len(distinct), np.uint64), np.zeros(len(distinct), np.int64), np.full(len(distinct), _LEAST)
         prints[at] = h2
-        counts[at] = np.minimum(table.column("docs").to_numpy(), 0xFFFFFFFF)
-        last = table.column("last")
-        lasts[at] = last.fill_null(0).to_numpy()
-        none[at] = last.is_null().to_numpy()
-        arrays = (function.words, function.sizes, prints, counts, lasts, none)
-        return pa.table([table.column("shard").slice(0, 1), *(pa.array([a.tobytes()], pa.binary()) for a in arrays)], schema=to_arrow_schema(schema))
+        np.add.at(counts, at, n)
+        np.maximum.at(lasts, at, last)
+        hot = distinct[counts[at[distinct]] * HOT > total]
+        told = np.stack([h1[hot].view(np.int64), h2[hot].view(np.int64), counts[at[hot]], lasts[at[hot]]], axis=1) if len(hot) else np.zeros((0, 4), np.int64)
+        arrays = (function.words, function.sizes, prints, np.minimum(counts, 0xFFFFFFFF).astype(np.uint32), lasts, told)
+        return pa.table([table.column("shard").slice(0, 1), pa.array([salt], pa.int64()), *(pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for a in arrays)], schema=to_arrow_schema(INDEX))
 
-    return keys.withColumn("shard", _shard(F.col("h1"), shards)).groupBy("shard").applyInArrow(build, schema)
+    return hashes.mapInArrow(deal, sent).groupBy("shard").applyInArrow(build, INDEX)
 
 
-def _shard(h: object, shards: int):
-    return F.pmod(F.shiftrightunsigned(h, 20), F.lit(shards)).cast("int")
+def _dropped(ids: np.ndarray, null: np.ndarray, h1: np.ndarray, h2: np.ndarray, drop: np.ndarray, id_type: pa.DataType) -> pa.RecordBatch:
+    """doc_id and the hashes that its document has to drop; the input is in order of documents."""
+    ids, null = ids[drop], null[drop]
+    raw = np.stack([h1[drop], h2[drop]], axis=1).tobytes()
+    cuts = _cuts(ids, null)
+    parts = [raw[lo:hi] for lo, hi in zip((cuts * 16).tolist(), (np.append(cuts[1:], len(ids)) * 16)[: len(cuts)].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(ids[cuts], mask=null[cuts]).cast(id_type), pa.array(parts, pa.binary())], names=["doc_id", "dropped"])
 
 
 def probe(hashes: DataFrame, index: DataFrame, shards: int, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id and ``dropped`` (hashes in one binary) for each document and shard with keys that the document has to drop."""
-    id_type = hashes.schema["doc_id"].dataType
-    sent = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("doc_id", id_type), T.StructField("hashes", T.BinaryType())])
+    """doc_id and ``dropped`` (hashes in one binary) for documents and shards with lines that the document has to drop."""
+    found = [np.frombuffer(r.hot, np.int64).reshape(-1, 4) for r in index.where(F.octet_length("hot") > 0).select("hot").collect()]  # fewer than HOT lines
+    hot = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+    hot = hot[np.argsort(hot[:, 0].view(np.uint64), kind="stable")]
+    out = T.StructType([T.StructField("doc_id", hashes.schema["doc_id"].dataType), T.StructField("dropped", T.BinaryType())])
+    id_type = to_arrow_schema(out).field(0).type
+    packed = T.StructType([T.StructField("shard", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("h1", "h2", "docs", "null"))])
+
+    def is_hot(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """The place of each hash among the hot ones, -1 where it is none."""
+        at = np.full(len(h1), -1)
+        keys = np.ascontiguousarray(hot[:, 0]).view(np.uint64)
+        lo, hi = np.searchsorted(keys, h1, side="left"), np.searchsorted(keys, h1, side="right")
+        for i in np.flatnonzero(hi > lo) if (hi - lo).max(initial=0) > 1 else ():  # hot lines that share half of their hashes
+            at[i] = next((k for k in range(lo[i], hi[i]) if np.uint64(hot[k, 1] & 0xFFFFFFFFFFFFFFFF) == h2[i]), -1)
+        if (hi - lo).max(initial=0) <= 1 and len(keys):
+            same = (hi > lo) & (hot[np.minimum(lo, len(keys) - 1), 1].view(np.uint64) == h2)
+            at[same] = lo[same]
+        return at
+
+    def tell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h1, h2, ids, null in _read(batches):
+            at = is_hot(h1, h2)
+            drop = (at >= 0) & (hot[np.maximum(at, 0), 2] >= min_docs) & (hot[np.maximum(at, 0), 3] != ids) if len(hot) else np.zeros(len(h1), bool)
+            yield _dropped(ids, null, h1, h2, drop, id_type)
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h1, h2, ids, null in _read(batches):
+            rest = np.flatnonzero(is_hot(h1, h2) < 0)
+            shard = _shard(h1[rest], shards)
+            order = rest[np.argsort(shard, kind="stable")]
+            shard = np.sort(shard)
+            own = _cuts(shard)
+            ends = [*own[1:].tolist(), len(shard)][: len(own)]
+            parts = [[squeezed(c[order[lo:hi]]) for lo, hi in zip(own.tolist(), ends, strict=True)] for c in (h1, h2, ids, null)]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[own].astype(np.int32)), *(pa.array(p, pa.binary()) for p in parts)], schema=to_arrow_schema(packed))
+
+    none = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
+    asked = hashes.mapInArrow(deal, packed).select("shard", F.lit(1).alias("kind"), "h1", "h2", "docs", "null", F.lit(0).cast("long").alias("salt"), *none(*ARRAYS))
+    blobs = index.select("shard", F.lit(0).alias("kind"), *none("h1", "h2", "docs", "null"), "salt", *ARRAYS)
+    tasks = max(partitions(hashes.sparkSession), min(shards, 1 << 15))
+    both = blobs.unionByName(asked).repartition(tasks, "shard").sortWithinPartitions("shard", "kind")
+
+    def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, salt, function, prints, counts, lasts = None, 0, None, None, None, None
         for b in batches:
-            sizes = np.array([len(v.as_py()) // 16 for v in b.column(1)], np.int64)
-            pairs = np.frombuffer(b"".join(v.as_py() for v in b.column(1)), np.uint64).reshape(-1, 2)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            shard = ((pairs[:, 0] >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((shard, row))
-            row, shard, pairs = row[order], shard[order], pairs[order]
-            cuts = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(shard) != 0))) if len(row) else np.zeros(0, np.int64)
-            raw, stops = pairs.tobytes(), (np.append(cuts[1:], len(row)) * 16)[: len(cuts)]
-            parts = [raw[lo:hi] for lo, hi in zip((cuts * 16).tolist(), stops.tolist(), strict=True)]
-            columns = [pa.array(shard[cuts].astype(np.int32)), b.column(0).take(pa.array(row[cuts])), pa.array(parts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, schema=to_arrow_schema(sent))
-
-    arrays = ("words", "sizes", "prints", "counts", "lasts", "none")
-    asked = hashes.where(F.octet_length("hashes") > 0).mapInArrow(deal, sent)
-    tasks = partitions(hashes.sparkSession)
-    copies = max(1, -(-tasks // shards))
-    asked = asked.withColumn("copy", F.pmod(F.xxhash64("doc_id"), F.lit(copies)).cast("int"))
-    asked = asked.select("shard", "copy", F.lit(1).alias("kind"), "doc_id", "hashes", *(F.lit(None).cast("binary").alias(c) for c in arrays))
-    blobs = index.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    blobs = blobs.select("shard", "copy", F.lit(0).alias("kind"), F.lit(None).cast(id_type).alias("doc_id"), F.lit(None).cast("binary").alias("hashes"), *arrays)
-    both = blobs.unionByName(asked).repartition(max(tasks, shards * copies), "shard", "copy").sortWithinPartitions("shard", "copy", "kind")
-    out = T.StructType([T.StructField("doc_id", id_type), T.StructField("dropped", T.BinaryType())])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, function, prints, counts, lasts, none = None, None, None, None, None, None
-        for b in batches:
-            kind, shards_ = b.column(2).to_numpy(), b.column(0).to_numpy()
-            lo = 0
-            while lo < len(kind):
-                if kind[lo] == 0:
-                    raw = {c: b.column(5 + i)[lo].as_py() for i, c in enumerate(arrays)}
-                    function = PerfectHash(np.frombuffer(raw["words"], np.uint64), np.frombuffer(raw["sizes"], np.int64))
-                    prints, counts, lasts, none = (np.frombuffer(raw[c], t) for c, t in (("prints", np.uint64), ("counts", np.uint32), ("lasts", np.int64), ("none", bool)))
-                    held = shards_[lo]
-                    lo += 1
-                    continue
-                stop = (kind[lo:] == 0) | (shards_[lo:] != shards_[lo])
-                hi = lo + int(stop.argmax()) if stop.any() else len(kind)
-                if held == shards_[lo]:
-                    rows = [v.as_py() for v in b.column(4).slice(lo, hi - lo)]
-                    sizes = np.array([len(r) // 16 for r in rows], np.int64)
-                    pairs = np.frombuffer(b"".join(rows), np.uint64).reshape(-1, 2)
-                    row = np.repeat(np.arange(lo, hi), sizes)
-                    ids = b.column(3).fill_null(0).to_numpy(zero_copy_only=False)[row]
-                    null = b.column(3).is_null().to_numpy(zero_copy_only=False)[row]
-                    at = function.index(_key(pairs[:, 0], pairs[:, 1]))
+            for i, (shard, kind) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                one = lambda c, i=i, b=b: b.column(b.schema.get_field_index(c))[i]
+                if kind == 0:
+                    words, sizes, prints, counts, lasts = (np.frombuffer(one(c).as_py(), t) for c, t in zip(ARRAYS, (np.uint64, np.int64, np.uint64, np.uint32, np.int64), strict=True))
+                    held, salt, function = shard, one("salt").as_py(), PerfectHash(words, sizes)
+                elif held == shard:
+                    h1, h2, ids, null = (unsqueezed([one(c)], t) for c, t in (("h1", np.uint64), ("h2", np.uint64), ("docs", np.int64), ("null", bool)))
+                    at = function.index(_key(h1, h2, salt))
                     safe = np.maximum(at, 0)
-                    known = (at >= 0) & (prints[safe] == pairs[:, 1]) & (counts[safe] >= min_docs)
-                    own = np.where(null, none[safe], ~none[safe] & (lasts[safe] == ids))
-                    drop = known & ~own
-                    row, raw = row[drop], pairs[drop].tobytes()
-                    cuts = np.flatnonzero(np.append(True, np.diff(row) != 0)) if len(row) else np.zeros(0, np.int64)
-                    stops = (np.append(cuts[1:], len(row)) * 16)[: len(cuts)]
-                    parts = [raw[i:j] for i, j in zip((cuts * 16).tolist(), stops.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([b.column(3).take(pa.array(row[cuts])), pa.array(parts, pa.binary())], schema=to_arrow_schema(out))
-                lo = hi
+                    drop = (at >= 0) & (prints[safe] == h2) & (counts[safe] >= min_docs) & (lasts[safe] != ids)
+                    yield _dropped(ids, null, h1, h2, drop, id_type)
 
-    return both.mapInArrow(run, out)
+    answers = both.mapInArrow(answer, out)
+    return answers.union(hashes.mapInArrow(tell, out)) if len(hot) else answers
 
 
 def dedup(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with the lines dropped from ``text`` (bytes that are kept, as string), and n_lines and n_dropped."""
-    hashes = line_hashes(docs, text, min_chars)
-    keys = written(repeated(hashes, min_docs), "line-keys")
-    shards = max(1, -(-keys.count() // SHARD_KEYS))
-    index = written(build_index(keys, shards), "line-index")
-    found = probe(hashes, index, shards, min_docs).distinct().groupBy("doc_id").agg(F.collect_list("dropped").alias("dropped"))
+    hashes = written(line_hashes(docs, text, min_chars).where(F.octet_length("hashes") > 0), "line-hashes")
+    total = (hashes.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) // 16
+    shards = max(1, -(-total // SHARD_KEYS))
+    index = written(build_index(hashes, shards, total), "line-index")
+    # rows that share a doc_id ask for the same, so a set of the answers
+    found = probe(hashes, index, shards, min_docs).groupBy("doc_id").agg(F.collect_set("dropped").alias("dropped"))
     keep = [c for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
-    left = docs.select(*keep, text_bytes(text).alias("__text")).alias("d")
-    both = left.join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left")
-    both = both.select(*(F.col(f"d.`{c}`") for c in keep), "d.__text", "f.dropped")
+    raw, asked, gone = unused(docs.columns, "raw", "asked", "gone")
+    kept = [F.col(f"`{c}`") for c in keep]
+    both = docs.select(*kept, text_bytes(text).alias(raw)).join(found.toDF(asked, gone), F.col("doc_id").eqNullSafe(F.col(asked)), "left").select(*kept, raw, gone)
     added = [T.StructField(text, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
     schema = T.StructType([*(docs.schema[c] for c in keep), *added])
     arrow = to_arrow_schema(schema)
