@@ -8,7 +8,7 @@
    positions leave room for the overlap.
 4. First every document is compared only with the most central document of each of its groups (the one with the fewest n-grams of its
    own), so large groups of near copies become one component with a comparison or two a document. Then all remaining candidates,
-   those between different components, meet once each. A suffix filter (n-grams left and right by class of hash) drops pairs whose
+   those between different components that weren't compared yet, meet once each, by n-gram and class of lengths. A suffix filter (n-grams left and right by class of hash) drops pairs whose
    sets must differ too much, before sets travel; the rest is verified on the whole sets.
 
 Links inside a component that are not needed to find it are not listed. Null and empty texts and texts
@@ -171,14 +171,15 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame
     same set). links: x, y, verified links between representatives, enough for all components.
     """
     meta = written(sizes(docs, n), "ngram-sizes")
-    reps = meta.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
+    # as a table, so that the join is one of two plain shuffles, of which large groups of equal sets can be split
+    reps = written(meta.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "ngram-reps")
     members = meta.join(reps, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
     members = written(members, "ngram-members")
     k = F.greatest(F.lit(1), F.floor(_least(F.col("n_shingles"), percent) / 20))
     kept = members.where((F.col("doc_id") == F.col("rep")) & (F.col("n_shingles") > 0)).join(_screen(docs, n, percent), "doc_id").where(F.col("shared") >= k)
     kept = written(kept.select("doc_id", F.col("n_shingles").alias("n")), "ngram-kept")
     tokens = written(_tokens(docs.join(kept.select("doc_id"), "doc_id", "left_semi"), n), "ngram-tokens")
-    df = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    df = written(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "ngram-counts")
     shared = tokens.join(df, "h").join(kept, "doc_id")
     sets = written(_ordered(shared, percent), "ngram-sets")
     prefix = sets.select("doc_id", "n", "own", "classes", F.posexplode("prefix").alias("i", "token"))
@@ -188,17 +189,21 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame
     hubs = hubs.join(prefix, ["token", "doc_id"])
     a, b = hubs.alias("a"), prefix.alias("b")
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.doc_id") != F.col("b.doc_id")) & _may_link("a", "b", percent))
-    pairs = pairs.select(F.least("a.doc_id", "b.doc_id").alias("x"), F.greatest("a.doc_id", "b.doc_id").alias("y")).distinct()
-    first = written(_verified(pairs, sets, percent), "ngram-links")
+    tried = written(pairs.select(F.least("a.doc_id", "b.doc_id").alias("x"), F.greatest("a.doc_id", "b.doc_id").alias("y")).distinct(), "ngram-pairs")
+    first = written(_verified(tried, sets, percent), "ngram-links")
     label = components(first)
     known = prefix.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     known = written(known, "ngram-prefixes")
     mixed = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    rest = known.join(mixed, "token", "left_semi")
-    a, b = rest.alias("a"), rest.alias("b")
-    meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component"))
-    pairs = a.join(b, meet & _may_link("a", "b", percent)).select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y")).distinct()
-    second = written(_verified(pairs, sets, percent), "ngram-links")
+    rest = written(known.join(mixed, "token", "left_semi"), "ngram-rest")
+    # the shorter of two linked sets is in the other's class of lengths or in the one below
+    length = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
+    a = rest.withColumn("length", F.explode(F.array(length, length + 1))).alias("a")
+    b = rest.withColumn("length", length).alias("b")
+    shorter = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.doc_id") < F.col("b.doc_id"))
+    meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.length") == F.col("b.length")) & shorter & (F.col("a.component") != F.col("b.component"))
+    pairs = a.join(b, meet & _may_link("a", "b", percent)).select(F.least("a.doc_id", "b.doc_id").alias("x"), F.greatest("a.doc_id", "b.doc_id").alias("y")).distinct()
+    second = written(_verified(pairs.join(tried, ["x", "y"], "left_anti"), sets, percent), "ngram-links")
     return members, first.union(second)
 
 
