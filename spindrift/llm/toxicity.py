@@ -6,8 +6,8 @@ expectation maximisation how often each voter fires on toxic and on clean docume
 voters inside the classes how much each adds to the others. Its posterior labels train a logistic regression over the
 single hits, which scores every document.
 
-The model is fitted on at most ``LABELLED`` labelled rows, those with the smallest hashes of their doc_id; everything
-else covers all documents. Null, empty and wordless texts get the score of a text without hits. Without labelled rows of both kinds the
+The model is fitted on at most ``LABELLED`` labelled rows, those with the smallest hashes of their doc_id; every item of them that
+passes the thresholds becomes a weight, however many they are, and everything else covers all documents. Null, empty and wordless texts get the score of a text without hits. Without labelled rows of both kinds the
 score is the share of toxic rows (0 without rows). Repeated rows are scored one by one; labels with nulls teach nothing; of
 several labels of a document the highest counts. Extra columns pass through unless they are named like the added ones.
 """
@@ -31,9 +31,11 @@ from .common import text_bytes, written
 
 LABELLED = 20_000
 #: Lengths of the beginnings of words that patterns look at.
-HEADS = (4, 5, 6, 7)
-#: Most hits kept of each kind, least log-likelihood ratio, voters of each kind.
-ITEMS, LEAST_RATIO, VOTERS = 400, 10.0, 12
+HEADS = (3, 4, 5, 6, 7)
+#: What an item needs to get a vote: toxic documents of the sample, share of its documents that are toxic, log-likelihood ratio.
+LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3, 0.7, 6.0
+#: Voters of each kind, and the penalty on the classifier's weights.
+VOTERS, PENALTY = 12, 0.005
 #: Items that a worker counts before it hands its counts on.
 COUNTED = 25_000
 PREDICT_AT = 0.7
@@ -96,49 +98,67 @@ def _ratio(p: Column, n: Column, share: float) -> Column:
 def mine(sample: DataFrame, toxic: int, clean: int) -> list[str]:
     """The items that stand out in toxic documents, words and patterns, best first; no pattern that a shorter one covers.
 
-    Every item of three toxic documents is scored; only those kept are bounded. A pattern is covered where one that it begins with
+    A pattern is covered where one that it begins with
     ranks before it: that one is kept, or is covered itself by a still shorter one.
     """
     p, n = F.col("toxic"), F.col("clean")
-    told = _counts(sample).where((p >= 3) & (p >= 0.7 * (p + n))).select("item", _ratio(p, n, toxic / (toxic + clean)).alias("ratio"))
+    told = _counts(sample).where((p >= LEAST_DOCS) & (p >= LEAST_SHARE * (p + n))).select("item", _ratio(p, n, toxic / (toxic + clean)).alias("ratio"))
     scored = written(told.where(F.col("ratio") >= LEAST_RATIO), "toxic-items")
-    word = F.startswith("item", F.lit("="))
     heads = F.array(*(F.when(F.length("item") - 1 > k, F.concat(F.substring("item", 1, k), F.lit("*"))) for k in HEADS))
-    longer = scored.where(~word).select(F.col("item").alias("long"), F.col("ratio").alias("least"), F.explode(heads).alias("item")).where("item is not null")
+    longer = scored.where(~F.startswith("item", F.lit("="))).select(F.col("item").alias("long"), F.col("ratio").alias("least"), F.explode(heads).alias("item")).where("item is not null")
     covered = longer.join(scored, "item").where("ratio >= least").select(F.col("long").alias("item"))
-    left = scored.join(covered, "item", "left_anti")
-    best = [left.where(kind).orderBy(F.desc("ratio"), F.length("item"), "item").limit(ITEMS) for kind in (word, ~word)]
-    return [r.item for r in sorted(best[0].union(best[1]).collect(), key=lambda r: (-r.ratio, len(r.item), r.item))]
+    return [r.item for r in sorted(scored.join(covered, "item", "left_anti").collect(), key=lambda r: (-r.ratio, len(r.item), r.item))]
 
 
-def votes(hits: np.ndarray, items: list[str]) -> tuple[np.ndarray, list[str]]:
+class Hits:
+    """Which items rows hold: a sparse matrix of ones."""
+
+    def __init__(self, rows: list[list[int]], items: int):
+        self.sizes = np.array([len(r) for r in rows], np.int64)
+        self.row = np.repeat(np.arange(len(rows)), self.sizes)
+        self.item = np.array([i for r in rows for i in r], np.int64)
+        self.items = items
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """For each row the sum of its items' values."""
+        return np.bincount(self.row, weights=w[self.item], minlength=len(self.sizes))
+
+    def sums(self, g: np.ndarray) -> np.ndarray:
+        """For each item the sum of its rows' values."""
+        return np.bincount(self.item, weights=g[self.row], minlength=self.items)
+
+
+def votes(hits: Hits, items: list[str]) -> tuple[np.ndarray, list[str]]:
     """Documents x voters: whether each voter fires. Items are dealt to the voters of their kind in turn."""
-    groups: dict[str, list[int]] = {}
-    turn = Counter()
+    groups: dict[str, int] = {}
+    turn: Counter[str] = Counter()
+    own = np.zeros(len(items), np.int64)
     for i, x in enumerate(items):
         kind = "lexicon" if x[0] == "=" else "pattern"
-        groups.setdefault(f"{kind} {turn[kind] % VOTERS}", []).append(i)
+        own[i] = groups.setdefault(f"{kind} {turn[kind] % VOTERS}", len(groups))
         turn[kind] += 1
-    total = hits.sum(axis=1)
-    columns = [hits[:, g].any(axis=1) for g in groups.values()] + [total >= k for k in (1, 2, 4)]
-    return np.stack(columns, axis=1).astype(float), [*groups, "1 hit", "2 hits", "4 hits"]
+    fired = np.zeros((len(hits.sizes), len(groups)), bool)
+    fired[hits.row, own[hits.item]] = True
+    return np.hstack([fired, *((hits.sizes >= k)[:, None] for k in (1, 2, 4))]).astype(float), [*groups, "1 hit", "2 hits", "4 hits"]
 
 
-def label_model(v: np.ndarray, prior: float, start: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of toxic for each row of votes; how often the voters fire on toxic, on clean; their correlations.
+def label_model(v: np.ndarray, prior: float, start: np.ndarray, times: np.ndarray | None = None, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of toxic for each row of votes, which stands ``times`` times (once if None); how often the voters fire on toxic, on clean; their correlations.
 
     A voter's log-odds are divided by one plus the sum of its positive correlations with the others inside
     the classes, so that ten voters that always agree count about as one.
     """
     q = start.copy()
+    t = np.ones(len(v)) if times is None else times
     fire1 = fire0 = np.zeros(v.shape[1])
     r = np.eye(v.shape[1])
     for _ in range(rounds):
-        fire1 = (q @ v + 0.5) / (q.sum() + 1)
-        fire0 = ((1 - q) @ v + 0.05) / ((1 - q).sum() + 1)
+        fire1 = ((t * q) @ v + 0.5) / ((t * q).sum() + 1)
+        fire0 = ((t * (1 - q)) @ v + 0.05) / ((t * (1 - q)).sum() + 1)
         z = q[:, None] * (v - fire1) + (1 - q)[:, None] * (v - fire0)
-        s = np.sqrt((z * z).mean(axis=0)) + 1e-9
-        r = (z.T @ z) / len(z) / np.outer(s, s)
+        z *= np.sqrt(t / t.sum())[:, None]
+        s = np.sqrt((z * z).sum(axis=0)) + 1e-9
+        r = (z.T @ z) / np.outer(s, s)
         thin = 1 / (1 + np.clip(r - np.eye(len(r)), 0, None).sum(axis=1))
         on, off = np.log(fire1 / fire0) * thin, np.log((1 - fire1) / (1 - fire0)) * thin
         odds = math.log(prior / (1 - prior)) + v @ on + (1 - v) @ off
@@ -150,19 +170,21 @@ def label_model(v: np.ndarray, prior: float, start: np.ndarray, rounds: int = 30
     return q, fire1, fire0, r
 
 
-def _features(hits: np.ndarray) -> np.ndarray:
-    total = hits.sum(axis=1, keepdims=True)
-    return np.hstack([hits, np.log1p(total), total > 0])
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.02, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias for soft labels, by accelerated gradient steps."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    step = 4 / (np.linalg.norm(x1, 2) ** 2 / len(x1) + 4 * penalty / len(x1) ** 0.5)
-    shrink = np.append(np.full(x.shape[1], penalty / len(x) ** 0.5), 0.0)
-    w = u = np.zeros(x1.shape[1])
+def _logistic(hits: Hits, y: np.ndarray, times: np.ndarray, penalty: float = PENALTY, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Weights (of the items, the logarithm of their number, whether there is one) and bias for soft labels of rows that stand ``times``
+    times, by accelerated gradient steps."""
+    extra = np.stack([np.log1p(hits.sizes), hits.sizes > 0, np.ones(len(y))], axis=1)
+    n, total = hits.items, float(times.sum())
+    forward = lambda w: hits.times(w[:n]) + extra @ w[n:]
+    backward = lambda g: np.concatenate([hits.sums(g), extra.T @ g])
+    v = np.ones(n + 3)
+    for _ in range(50):  # the largest curvature, by the power method
+        v = backward(times * forward(v / np.linalg.norm(v)))
+    shrink = np.append(np.full(n + 2, penalty / total**0.5), 0.0)
+    step = 4 / (1.05 * np.linalg.norm(v) / total + 4 * shrink[0])
+    w = u = np.zeros(n + 3)
     for k in range(rounds):
-        g = x1.T @ (1 / (1 + np.exp(-np.clip(x1 @ u, -30, 30))) - y) / len(y) + shrink * u
+        g = backward(times * (1 / (1 + np.exp(-np.clip(forward(u), -30, 30))) - y)) / total + shrink * u
         new = u - step * g
         u = new + k / (k + 3) * (new - w)
         w = new
@@ -190,15 +212,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], schema=to_arrow_schema(schema))
 
     rows = sample.select(F.col("toxic").cast("int"), "text").mapInArrow(run, schema).groupBy("toxic", "hit").count().orderBy("toxic", "hit").collect()
-    hits = np.zeros((len(rows), len(items)), np.float32)
-    for i, r in enumerate(rows):
-        hits[i, r.hit] = 1
-    times = np.array([r["count"] for r in rows])
-    marked = np.array([r.toxic for r in rows], float)
-    every = np.repeat(np.arange(len(rows)), times)
+    hits, times, marked = Hits([r.hit for r in rows], len(items)), np.array([r["count"] for r in rows], float), np.array([r.toxic for r in rows], float)
     v, names = votes(hits, items)
-    q, fire1, fire0, r = label_model(v[every], share, 0.05 + 0.9 * marked[every])
-    w, b = _logistic(_features(hits)[every], q)
+    q, fire1, fire0, r = label_model(v, share, 0.05 + 0.9 * marked, times)
+    w, b = _logistic(hits, q, times)
     return Model(index, w, b, {n: (float(x), float(y)) for n, x, y in zip(names, fire1, fire0, strict=True)}, r)
 
 
