@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unused, written
 
 #: Anchors: very common words of English, German, French and Spanish.
 ANCHORS = (
@@ -44,7 +44,7 @@ def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN) -> D
     # the k-th anchor, at word p, has p - k content words before it; without anchors every word starts a chain
     start = F.when(F.size(a) > 0, F.col(a)).otherwise(F.transform(w, lambda x, i: i))
     skip = F.when(F.size(a) > 0, F.lit(0)).otherwise(F.lit(1))
-    df = df.withColumn(a, start).withColumn(f"{out}_skip", skip)
+    df = df.withColumn(f"{out}_skip", skip).withColumn(a, start)  # skip looks at the anchors, not at the starts
     before = F.when(F.col(f"{out}_skip") == 0, F.lit(1)).otherwise(F.lit(0))
     sig = F.transform(a, lambda p, k: F.hash(F.get(w, p), *(F.get(F.col(c), p - k * before + F.col(f"{out}_skip") + j) for j in range(chain))))
     return df.withColumn(out, F.array_sort(F.array_distinct(sig))).drop(w, c, a, f"{out}_skip")
@@ -82,17 +82,18 @@ def with_next(docs: DataFrame, carried: list[str], ranges: int | None = None) ->
     else:
         own, head = F.lit(0), F.lit(False)
     own = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(own)
-    dealt = docs.withColumn("own", own.cast("int")).withColumn("head", F.coalesce(head, F.lit(False)))
+    own_, head_, copy, range_, ghost = unused([*docs.columns, *(f"next_{c}" for c in carried)], "own", "head", "copy", "range", "ghost")
+    dealt = docs.withColumn(own_, own.cast("int")).withColumn(head_, F.coalesce(head, F.lit(False)))
     copies = F.array(
-        F.struct(F.col("own").alias("range"), F.lit(0).alias("ghost")),
-        F.when(F.col("head"), F.struct((F.col("own") + 1).alias("range"), F.lit(1).alias("ghost"))),
-        F.when(F.col("doc_id").eqNullSafe(F.lit(top).cast("bigint")), F.struct(F.lit(0).alias("range"), F.lit(2).alias("ghost"))),
+        F.struct(F.col(own_).alias(range_), F.lit(0).alias(ghost)),
+        F.when(F.col(head_), F.struct((F.col(own_) + 1).alias(range_), F.lit(1).alias(ghost))),
+        F.when(F.col("doc_id").eqNullSafe(F.lit(top).cast("bigint")), F.struct(F.lit(0).alias(range_), F.lit(2).alias(ghost))),
     )
-    dealt = dealt.withColumn("copy", F.explode(F.filter(copies, lambda x: x.isNotNull())))
-    dealt = dealt.select(*docs.columns, "copy.range", "copy.ghost")
-    order = Window.partitionBy("range").orderBy(F.col("ghost") == 2, F.col("doc_id").desc_nulls_last(), F.col("text"))
+    dealt = dealt.withColumn(copy, F.explode(F.filter(copies, lambda x: x.isNotNull())))
+    dealt = dealt.select(*docs.columns, f"{copy}.{range_}", f"{copy}.{ghost}")
+    order = Window.partitionBy(range_).orderBy(F.col(ghost) == 2, F.col("doc_id").desc_nulls_last(), F.col("text"))
     follow = dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in carried))
-    return follow.where(F.col("ghost") == 0).drop("range", "ghost")
+    return follow.where(F.col(ghost) == 0).drop(range_, ghost)
 
 
 def edited_with_next(docs: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import regex
+
 SPACES = b" \t\n\x0b\f\r"
 
 
@@ -113,3 +115,12 @@ def word_size(text):
 
 def counts(items):
     return Counter(items)
+
+
+def spots(text, anchors, chain):
+    """The set of (anchor, content words that follow); without anchors a chain starts at every word."""
+    w = regex.findall(r"[\p{L}\p{N}]+", text.lower())
+    common = set(anchors)
+    if not any(x in common for x in w):
+        return {(x, *w[k + 1 : k + 1 + chain]) for k, x in enumerate(w)}
+    return {(x, *[y for y in w[k + 1 :] if y not in common][:chain]) for k, x in enumerate(w) if x in common}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -11,9 +12,10 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, language, linededup, mixing, ngrams, recompression, repeats, spotsigs, suffixes, topk, toxicity
+from spindrift.llm import bpe, language, linededup, mixing, ngrams, queries, recompression, repeats, spotsigs, suffixes, topk, toxicity
 from spindrift.llm.graph import components
 
 from . import brute
@@ -400,3 +402,78 @@ def test_mixture_keeps_other_columns(spark):
     for r in mixing.mixture(df).collect():
         assert (r.tie, r.again, r["_id"]) == (r.doc_id, f"x{r.doc_id}", r.doc_id / 2)
     assert mixing.mixture(df).schema["tie"].dataType.simpleString() == "int"
+
+
+def test_spots_against_sets(docs, rows):
+    """Likenesses and equality of fingerprints against sets of chains made without hashes."""
+    got = {r.doc_id: r for r in spotsigs.edited_with_next(docs).collect()}
+    ids, text = sorted((i for i, _ in rows), reverse=True), {i: t or "" for i, t in rows}
+    sets, edited = {}, {}
+    for k, i in enumerate(ids):
+        t, after = text[i], text[ids[(k + 1) % len(ids)]]
+        cut = len(t) // 3
+        sets[i], edited[i] = brute.spots(t, spotsigs.ANCHORS, spotsigs.CHAIN), brute.spots(t[: len(t) - cut] + after[:cut], spotsigs.ANCHORS, spotsigs.CHAIN)
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for k, i in enumerate(ids):
+        r = got[i]
+        assert (len(r.fingerprint), len(r.edited_fingerprint)) == (8 * len(sets[i]), 8 * len(edited[i]))
+        assert r.near_edited == pytest.approx(like(sets[i], edited[i])) and r.near_next == pytest.approx(like(sets[i], sets[ids[(k + 1) % len(ids)]]))
+    by_set = defaultdict(set)
+    for i in ids:
+        by_set[frozenset(sets[i])].add(got[i].fingerprint)
+    assert all(len(f) == 1 for f in by_set.values()) and len({next(iter(f)) for f in by_set.values()}) == len(by_set)
+
+
+def test_sparse_classifier_matches_a_dense_one():
+    rng = np.random.default_rng(2)
+    rows = [sorted(rng.choice(9, rng.integers(0, 4), replace=False).tolist()) for _ in range(60)]
+    times, y = rng.integers(1, 4, 60).astype(float), rng.random(60)
+    hits = toxicity.Hits(rows, 9)
+    dense = np.zeros((60, 9))
+    for i, r in enumerate(rows):
+        dense[i, r] = 1
+    assert np.allclose(hits.times(np.arange(9.0)), dense @ np.arange(9.0)) and np.allclose(hits.sums(y), dense.T @ y)
+    w, b = toxicity._logistic(hits, y, times, 0.1, 4000)
+    x = np.column_stack([dense, np.log1p(dense.sum(1)), dense.sum(1) > 0, np.ones(60)])
+    full = np.append(w, b)
+    g = x.T @ (times * (1 / (1 + np.exp(-x @ full)) - y)) / times.sum() + np.append(np.full(11, 0.1 / times.sum() ** 0.5), 0) * full
+    assert np.abs(g).max() < 1e-4  # where the dense loss is least
+    fired, names = toxicity.votes(hits, [*(f"={i}" for i in range(5)), *(f"p{i}*" for i in range(4))])
+    assert fired.shape == (60, len(names)) and (fired[:, -3] == (dense.sum(1) > 0)).all()
+
+
+def held_out(i):
+    return zlib.crc32(str(i).encode()) % 3 == 1
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """Nine of ten held-out toxic documents are found at sf0.1, and 99 of 100 clean ones are left alone."""
+    sf = "/root/testdata/sf0.1"
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op8_toxicity(spark, sf).collect()}
+    assert all(r.held_out == held_out(i) and (r.score >= 0.7) == (r.predicted == 1) for i, r in got.items())
+    told = [(marks[i], got[i].predicted) for i in got if held_out(i) and i in marks]
+    toxic, clean = [p for t, p in told if t == 1], [p for t, p in told if t == 0]
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+
+
+def test_language_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op6_language(spark, sf).collect()}
+    assert len(got) == len(lang) and all(r.held_out == held_out(i) for i, r in got.items())
+    told = [got[i].lang_pred == lang[i] for i in got if held_out(i) and lang[i] is not None and got[i].lang_pred != "und"]
+    assert sum(told) >= 0.97 * len(told)
+
+
+def test_compression_against_a_plain_loop(spark, docs, rows):
+    """The language with the smallest frame, each text by itself."""
+    dictionaries = {"a": " ".join(WORDS[:18]).encode() * 20, "b": " ".join(WORDS[18:]).encode() * 20}
+    got = {r.doc_id: r for r in language.identify(docs, dictionaries).collect()}
+    tools = {k: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=language.LEVEL, write_content_size=False, write_dict_id=False) for k, v in dictionaries.items()}
+    for i, t in rows:
+        if not any(c.isalpha() for c in t or ""):
+            assert got[i].lang_pred == "und" and got[i].score == 0
+            continue
+        sizes = sorted((len(c.compress(language.plain(t))), k) for k, c in tools.items())
+        assert got[i].lang_pred == sizes[0][1] and got[i].reliable == ((sizes[1][0] - sizes[0][0]) / sizes[1][0] >= 0.002)
