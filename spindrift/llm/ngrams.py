@@ -220,3 +220,17 @@ def groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     given = sizes(parts[0], n).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     null = F.lit(None).cast("long")
     return out.union(given).union(sizes(parts[1], n).select(null, F.col("n"), null))
+
+
+#: DuckDB SQL for ``groups`` of four words at 85 %.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM d),
+g AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, i, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS s FROM w) WHERE i + 3 <= n OR (n < 4 AND i = 1)),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN c a ON a.doc_id = x JOIN c b ON b.doc_id = y WHERE 100 * common >= 85 * (a.n + b.n - common)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM c UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+m AS (SELECT x, min(y) AS least FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(m.least, d.doc_id) AS component_id FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN m ON m.x = d.doc_id
+"""

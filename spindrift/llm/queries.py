@@ -77,5 +77,8 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": linededup.ORACLE,
+    "op3_ngram_join": ngrams.ORACLE,
     "op4_top_k": topk.ORACLE,
+    "op5_recompression": recompression.ORACLE,
+    "op7_suffix_family": suffixes.ORACLE,
 }

@@ -328,3 +328,16 @@ class Index:
             return pa.table([pa.array(v, f.type) for v, f in zip(made, to_arrow_schema(KEPT), strict=True)], schema=to_arrow_schema(KEPT))
 
         return self._write(self._level(one).groupBy("bucket").cogroup(self._level(two).groupBy("bucket")).applyInArrow(join, KEPT))
+
+
+#: DuckDB SQL for ``dedup`` with digests.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, unnest(regexp_extract_all(h, '..')) AS x, unnest(range(length(h) // 2)) AS i, length(h) // 2 AS n FROM d),
+k AS (SELECT doc_id, x, i, CASE WHEN i + 100 <= n THEN string_agg(x, '') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING) END AS key FROM b),
+r AS (SELECT doc_id, x, i, key IS NOT NULL AND row_number() OVER (PARTITION BY md5(key) ORDER BY doc_id, i) > 1 AS again FROM k),
+g AS (SELECT doc_id, x, i, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM r),
+p AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM g),
+s AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM p GROUP BY 1)
+SELECT d.doc_id, length(h)::BIGINT // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN s ON s.doc_id = d.doc_id
+"""
