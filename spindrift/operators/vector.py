@@ -6,8 +6,6 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,18 +66,6 @@ def top_k_native(vectors: DataFrame, query: Sequence[float], k: int, id: str = "
     return vectors.select(id, cosine(F.col(vector), literal(query)).alias("score")).orderBy(F.desc("score"), id).limit(k)
 
 
-def top_k_approximate(vectors: DataFrame, query: Sequence[float], k: int, id: str = "id", vector: str = "embedding", bucket: float = 0.5, tables: int = 8) -> DataFrame:
-    """Candidates that share a bucket of a random projection with ``query``, scored exactly. May miss neighbours."""
-    from pyspark.ml.linalg import Vectors
-
-    norm = F.sqrt(_dot(F.col(vector), F.col(vector)))
-    unit = vectors.where(norm > 0).select(id, vector, array_to_vector(F.transform(vector, lambda x: x.cast("double") / norm)).alias("unit"))
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(unit)
-    length = float(np.linalg.norm(query)) or 1.0
-    near = model.approxNearestNeighbors(unit, Vectors.dense([x / length for x in query]), 4 * k)
-    return top_k_native(near, query, k, id, vector)
-
-
 def parent_of_diff(id: Column) -> Column:
     """The changelist of a diff chunk's vector: what stands before the first ``_chunk_``."""
     return F.split_part(id, F.lit("_chunk_"), F.lit(1))

@@ -216,12 +216,12 @@ def collection_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _touched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    files = d.changelist_files(spark, sf_dir)
-    one = files.where(F.col("changelist_id").cast("long") % 3 == 0).select("file_path").distinct()
-    return one, files.where(F.col("changelist_id").cast("long") % 7 == 0).select("file_path").distinct()
+    """Paths of the returned lines of all orders, and of the open ones."""
+    lines = d.table(spark, sf_dir, "lineitem").select("*", F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string")).alias("file_path"))
+    return lines.where("l_returnflag = 'R'").select("file_path").distinct(), lines.where("l_linestatus = 'O'").select("file_path").distinct()
 
 
-_TOUCHED = f"{d.FILES_SQL}, a AS (SELECT file_path FROM cf WHERE changelist_id::BIGINT % 3 = 0), b AS (SELECT file_path FROM cf WHERE changelist_id::BIGINT % 7 = 0)"
+_TOUCHED = "a AS (SELECT l_orderkey || '/' || l_partkey AS file_path FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT l_orderkey || '/' || l_partkey AS file_path FROM lineitem WHERE l_linestatus = 'O')"
 
 
 @query(f"WITH {_TOUCHED} SELECT file_path FROM a INTERSECT SELECT file_path FROM b")
@@ -442,15 +442,6 @@ def conversation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.transcripts(d.table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
 
 
-@query(
-    f"WITH {_CHUNKS} SELECT '=== CURRENT CODEBASE STATE (HEAD) ===' || chr(10) || chr(10) || string_agg('File: ' || file_path || ' (lines ' || (chunk_index + 1) || '-' || (chunk_index + 1) || ')' || chr(10) || '```markdown' || chr(10) || content || chr(10) || '```' || chr(10), chr(10) ORDER BY encode(file_path), chunk_index) "
-    "|| chr(10) || '=== END CURRENT STATE ===' AS content FROM ck WHERE starts_with(file_path, 'src1/es/')"
-)
-def current_state_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _chunks(spark, sf_dir).where(F.startswith(F.col("file_path"), F.lit("src1/es/")))
-    return conversation.state_message(chunks.withColumn("line_end", F.col("line_start")))
-
-
 @query(
     f"WITH {_CHUNKS} SELECT file_path, string_agg('File: ' || file_path || ' (lines ' || (chunk_index + 1) || '-' || (chunk_index + 1) || ')' || chr(10) || '```markdown' || chr(10) || content || chr(10) || '```' || chr(10), chr(10) ORDER BY chunk_index) AS content "
     "FROM ck GROUP BY 1"

@@ -192,20 +192,30 @@ def result_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FILES_TOLD = "array_to_string(files[1:10], ', ') || CASE WHEN len(files) > 10 THEN ' (and ' || (len(files) - 10) || ' more)' ELSE '' END"
 _SAID = f"'Commit: ' || message || chr(10) || 'Files: ' || {_FILES_TOLD} || chr(10) || 'Changes:' || chr(10) || substr(author, 1, 5) || chr(10) || chr(10) || '[... diff truncated for brevity ...]'"
 _STATE = (
-    "st AS (SELECT '=== CURRENT CODEBASE STATE (HEAD) ===' || chr(10) || chr(10) || string_agg('File: ' || file_path || ' (lines ' || (chunk_index + 1) || '-' || (chunk_index + 1) || ')' || chr(10) || '```markdown' || chr(10) || content || chr(10) || '```' || chr(10), "
-    "chr(10) ORDER BY chunk_index) || chr(10) || '=== END CURRENT STATE ===' AS content FROM ck WHERE file_path = (SELECT file_path FROM d WHERE doc_id = 1))"
+    "st AS (SELECT '=== CURRENT CODEBASE STATE (HEAD) ===' || chr(10) || chr(10) || string_agg('File: ' || file_path || ' (lines 1-2)' || chr(10) || '```markdown' || chr(10) || content || chr(10) || '```' || chr(10), "
+    "chr(10) ORDER BY encode(file_path)) || chr(10) || '=== END CURRENT STATE ===' AS content FROM ffound)"
 )
 
 
+def _found_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of the ten best files of a search: what a conversation tells as the files' state."""
+    tables = _tables(spark, sf_dir)
+    best = rank.best(s.chunk_scores(tables["vectors"], d.query_vector(spark, sf_dir), 10), 10).select(F.col("result_id").alias("id"))
+    return tables["file_chunks"].join(best, "id")
+
+
+@query(f"WITH {d.VECTORS_SQL}, {_file_side(10)}, {_STATE} SELECT content FROM st")
+def current_state_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.state_message(_found_chunks(spark, sf_dir))
+
+
 @query(
-    f"WITH {_LISTED}, {_CHUNKS}, {_STATE} SELECT 0 AS section, ts, id, 1 AS seq, 'user' AS role, {_SAID} AS content FROM m UNION ALL "
+    f"WITH {_LISTED}, {d.VECTORS_SQL}, {_file_side(10)}, {_STATE} SELECT 0 AS section, ts, id, 1 AS seq, 'user' AS role, {_SAID} AS content FROM m UNION ALL "
     "SELECT 1, NULL, '', 0, 'user', content FROM st UNION ALL SELECT 2, NULL, '', 0, 'user', 'why?'"
 )
 def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     commits = d.changelists(spark, sf_dir).withColumn("diff", F.col("author")).withColumn("ts", F.col("ts").cast("timestamp"))
-    path = d.documents(spark, sf_dir).where("doc_id = 1").first().file_path
-    chunks = _chunks(spark, sf_dir).where(F.col("file_path") == path).withColumn("line_end", F.col("line_start"))
-    return conversation.messages(commits, "why?", chunks, most=5).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return conversation.messages(commits, "why?", _found_chunks(spark, sf_dir), most=5).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 _REQUEST = f"'Commit Message: ' || message || chr(10) || 'Files Changed: ' || {_FILES_TOLD} || chr(10) || chr(10) || 'Code Changes:' || chr(10) || substr(author, 1, 8) || chr(10) || '[... truncated for brevity ...]'"

@@ -14,7 +14,7 @@ from spindrift.functions import codec, models, providers, text
 from spindrift.plans import derived as d
 from spindrift.plans import indexing
 from spindrift.plans.catalog import _CHUNKS, _DOC, _TAIL, HASHED, _chunks, _docs
-from spindrift.plans.registry import literal_rows, query, rounded
+from spindrift.plans.registry import literal_rows, query
 
 
 def _sql_text(s: str) -> str:
@@ -114,12 +114,12 @@ def indexable_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- embedders
 
 
-@query(f"WITH {HASHED}, n AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM hs GROUP BY 1) SELECT doc_id, bucket, round(n / norm, 4) AS value FROM hs JOIN n USING (doc_id)")
+@query(f"WITH {HASHED}, n AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM hs GROUP BY 1) SELECT doc_id, bucket, floor(CAST(CAST(n / norm AS FLOAT) AS DOUBLE) * 1000000.0)::BIGINT AS millionths FROM hs JOIN n USING (doc_id)")
 def embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors of the default embedder, batched by tokens in Arrow, by their components that aren't 0."""
     vectors = _docs(spark, sf_dir).select("doc_id", models.embedding(F.col("text")).alias("v"))
     each = vectors.select("doc_id", F.posexplode("v").alias("bucket", "value")).where("value <> 0")
-    return rounded(each.withColumn("value", F.col("value").cast("double")), "value", digits=4)
+    return each.select("doc_id", "bucket", F.floor(F.col("value").cast("double") * 1000000.0).alias("millionths"))
 
 
 _PREFIX, _SHORT = providers.TASK_PREFIX, 64
@@ -128,14 +128,14 @@ _PREFIX_COUNTS = ", ".join(f"({int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
 
 @query(
     f"WITH {HASHED}, a AS (SELECT doc_id, bucket, n FROM hs UNION ALL SELECT doc_id, b, 1 FROM documents, (VALUES {_PREFIX_COUNTS}) p(b)), s AS (SELECT doc_id, bucket, sum(n) AS n FROM a GROUP BY 1, 2), "
-    f"n AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM s GROUP BY 1) SELECT doc_id, bucket, round(n / norm, 4) AS value FROM s JOIN n USING (doc_id) WHERE bucket < {_SHORT}"
+    f"n AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM s GROUP BY 1) SELECT doc_id, bucket, floor(CAST(CAST(n / norm AS FLOAT) AS DOUBLE) * 1000000.0)::BIGINT AS millionths FROM s JOIN n USING (doc_id) WHERE bucket < {_SHORT}"
 )
 def truncated_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A task prefix before each text, and only the first components of the vector, not scaled again."""
     models.EMBEDDERS["hashing-short"] = partial(models.Truncated, models.HashingEmbedder(), _SHORT, _PREFIX)
     vectors = _docs(spark, sf_dir).select("doc_id", models.embedding(F.col("text"), "hashing-short").alias("v"))
     each = vectors.select("doc_id", F.posexplode("v").alias("bucket", "value")).where("value <> 0")
-    return rounded(each.withColumn("value", F.col("value").cast("double")), "value", digits=4)
+    return each.select("doc_id", "bucket", F.floor(F.col("value").cast("double") * 1000000.0).alias("millionths"))
 
 
 def _stand_in(**request: object) -> dict:
