@@ -16,22 +16,44 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset (tests, local runs)."""
+    """spark.checkpoint.dir of the session. Where it is unset (tests, local runs) a temporary folder of this machine, which does only
+    if the executors are here too."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = f"file://{tempfile.mkdtemp(prefix='spindrift-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+#: Paths of the tables that ``written`` made and nobody dropped yet.
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/spindrift/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def marked() -> int:
+    """How many tables there are now, for ``drop_written``."""
+    return len(_WRITTEN)
+
+
+def drop_written(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Deletes the tables written after the mark ``since``, but for the last ``but`` of them; results that read them must be done with."""
+    gone = _WRITTEN[since : len(_WRITTEN) - but]
+    del _WRITTEN[since : len(_WRITTEN) - but]
+    for path in gone:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

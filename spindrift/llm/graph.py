@@ -19,9 +19,10 @@ def components(links: DataFrame) -> DataFrame:
     labels = written(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("component")), "labels")
     while True:
         near = both.join(labels, both.y == labels.node).groupBy(F.col("x").alias("node")).agg(F.min("component").alias("near"))
-        new = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        up = new.select(F.col("node").alias("component"), F.col("component").alias("higher"))
-        new = new.join(up, "component", "left").select("node", "was", F.least("component", F.coalesce("higher", "component")).alias("component"))
+        low = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        low = written(low, "labels")  # so that the join below has plain shuffles, of which a large component's can be split
+        up = low.select(F.col("node").alias("component"), F.col("component").alias("higher"))
+        new = low.join(up, "component", "left").select("node", "was", F.least("component", F.coalesce("higher", "component")).alias("component"))
         new = written(new, "labels")
         labels = new.select("node", "component")
         if new.where(F.col("was") != F.col("component")).isEmpty():

@@ -15,7 +15,7 @@ import tiktoken
 import zstandard
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, language, linededup, mixing, ngrams, queries, recompression, repeats, spotsigs, suffixes, topk, toxicity
+from spindrift.llm import bpe, common, language, linededup, mixing, ngrams, queries, recompression, repeats, spotsigs, suffixes, topk, toxicity
 from spindrift.llm.graph import components
 
 from . import brute
@@ -477,3 +477,15 @@ def test_compression_against_a_plain_loop(spark, docs, rows):
             continue
         sizes = sorted((len(c.compress(language.plain(t))), k) for k, c in tools.items())
         assert got[i].lang_pred == sizes[0][1] and got[i].reliable == ((sizes[1][0] - sizes[0][0]) / sizes[1][0] >= 0.002)
+
+
+def test_written_tables_can_be_dropped(spark):
+    mark = common.marked()
+    one, two = (common.written(spark.range(3), "test") for _ in range(2))
+    common.drop_written(spark, mark, but=1)
+    assert two.count() == 3 and common.marked() == mark + 1
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
+        one.count()
+    common.drop_written(spark, mark)
+    assert common.marked() == mark
+    assert common.unused(["tie", "_TIE"], "tie", "x") == ["__tie", "x"]
