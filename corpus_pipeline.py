@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import bpe, linededup, mixing, ngrams, toxicity
-from spindrift.llm.common import documents, held_out, written
+from spindrift.llm.common import documents, drop_written, held_out, marked, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -71,7 +71,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select(*COLUMNS)
+    """The rows of the last stage. Each stage's rows are a table in the shared folder; when they are written, the stage's other tables
+    and the rows that it read are deleted."""
+    docs, mark = documents(spark, sf_dir).select(*COLUMNS), marked()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_written(spark, mark, but=1)
     return STAGES[-1][1](spark, docs, sf_dir)
