@@ -186,7 +186,7 @@ def mixture(docs: DataFrame, seed: int = 7, block: int = BLOCK, weights: tuple[i
     placed, pieces = plan(docs, seed, block, weights=weights, text=text)
     each = pieces.select(*ROW, "lo", "hi", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("pass"))
     spans = each.groupBy(*ROW, "pass").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"), F.sum(F.col("hi") - F.col("lo")).alias("words"))
-    tie, again, id_, source = unused(docs.columns, "tie", "again", "id", "from")
+    tie, again, id_, source, words = unused(docs.columns, "tie", "again", "id", "from", "words")
     keys = F.col("doc_id"), F.col("source"), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     keyed = docs.withColumns({id_: keys[0], source: keys[1], tie: keys[2]})
     keyed = keyed.withColumn(again, F.row_number().over(Window.partitionBy(id_, source, tie).orderBy(F.lit(0))))
@@ -198,7 +198,10 @@ def mixture(docs: DataFrame, seed: int = 7, block: int = BLOCK, weights: tuple[i
     same = F.lit(True)
     for mine, theirs in pairs:
         same = same & F.col(f"d.{mine}").eqNullSafe(F.col(f"t.{theirs}"))
-    all_words = F.array_remove(F.split(F.col(f"d.{text}"), r"[\x20\x09-\x0D]+"), "")
-    cut = F.flatten(F.transform("t.spans", lambda s: F.slice(all_words, (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int"))))
-    made = F.when(F.col("t.words") == F.col("t.size"), F.col(f"d.{text}")).otherwise(F.array_join(cut, " "))
-    return d.join(t.hint("merge"), same).select(*(made.alias(text) if c == text else F.col(f"d.`{c}`") for c in docs.columns))
+    whole = F.col("t.words") == F.col("t.size")
+    split = F.array_remove(F.split(F.col(f"d.`{text}`"), r"[\x20\x09-\x0D]+"), "")
+    # a generator, so that the words are split once a row and not once a span
+    rows = d.join(t.hint("merge"), same).select(*(F.col(f"d.`{c}`") for c in docs.columns), whole.alias(tie), F.col("t.spans").alias(again), F.explode(F.array(F.when(~whole, split))).alias(words))
+    cut = F.flatten(F.transform(again, lambda s: F.slice(words, (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int"))))
+    made = F.when(F.col(tie), F.col(f"`{text}`")).otherwise(F.array_join(cut, " "))
+    return rows.select(*(made.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns))
