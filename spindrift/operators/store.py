@@ -148,6 +148,12 @@ class Store:
         folded = base.agg(F.max(_SEQ)).first()[0] if base is not None else None
         return max([*self._numbers(table), folded or 0]) + 1
 
+    def tidy(self, most: int = 8) -> None:
+        """Compacts the tables that have more than ``most`` writes since their base."""
+        for table in TABLES:
+            if len(self._numbers(table)) > most:
+                self.compact(table)
+
     def compact(self, table: str) -> None:
         """Folds the log into a new base; rows keep the numbers of their writes."""
         bases, folded = self._bases(table), self._numbers(table)

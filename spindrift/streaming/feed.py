@@ -77,5 +77,6 @@ def index_workspace(
         run = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         run.awaitTermination()
         store.remove(checkpoint)
+        store.tidy()
         at = stop
     return done

@@ -110,6 +110,16 @@ def test_a_limit_skips_nothing(spark, workspace, tmp_path):
         index_workspace(spark, late, "w", str(workspace), start_after="none")
 
 
+def test_many_batches_are_compacted(spark, workspace, tmp_path):
+    one, many = Store(spark, str(tmp_path / "one")), Store(spark, str(tmp_path / "many"))
+    index_workspace(spark, one, "w", str(workspace))
+    index_workspace(spark, many, "w", str(workspace), batch_size=1)
+    assert many.log("changelists").select("batch_seq").distinct().count() <= 8 and many.base("changelists").count() > 0
+    for t in ("changelists", "changelist_files", "file_chunks", "file_contents", "vectors"):
+        cells = lambda x: sorted(map(str, x.table(t).drop("last_indexed_at", "revision_id").collect()))  # noqa: B023, E731
+        assert cells(many) == cells(one), t
+
+
 def test_index_after_compaction(spark, workspace, tmp_path):
     s = Store(spark, str(tmp_path / "index"))
     assert index_workspace(spark, s, "w", str(workspace), batch_size=3, max_commits=4) == 4
