@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +56,13 @@ def drop_written(spark: SparkSession, since: int = 0, but: int = 0) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Bytes of a batch that goes to Python, where the session has Spark's own setting: several batches are held at once, and rows are whole texts.
+BATCH_BYTES, _BATCH = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if str(spark.conf.get(_BATCH, "")).strip("bB") == str(64 << 20):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -83,6 +91,20 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def released(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker, which lives on for other tasks, gives the memory that is free back to the machine."""
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a C library without it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A binary column as (bytes, offsets); no copy. Nulls must have been replaced."""
     array = array.cast(pa.large_binary()) if not pa.types.is_large_binary(array.type) else array

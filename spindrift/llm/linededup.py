@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import mix, partitions, text_bytes, unused, written
+from .common import mix, partitions, released, text_bytes, unused, written
 from .shared import squeezed, unsqueezed
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -286,7 +286,7 @@ def dedup(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS, min_d
                 texts.append(raw.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], schema=arrow)
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(released(run), schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import mix, written
+from .common import mix, released, written
 from .graph import components
 from .shared import Entries, buckets_for, pieces, repeated_places, unique_documents, word_hashes
 
@@ -73,7 +73,7 @@ def sizes(docs: DataFrame, n: int) -> DataFrame:
             columns = [ids.astype(np.int64), np.array([len(s) for s in sets], np.int64), s1, s2]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=to_arrow_schema(schema))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def _screen(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -97,7 +97,7 @@ def _tokens(docs: DataFrame, n: int) -> DataFrame:
             columns = [np.repeat(ids.astype(np.int64), [len(s) for s in sets]), np.concatenate(sets).view(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=to_arrow_schema(schema))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 SETS = T.StructType(

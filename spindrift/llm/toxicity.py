@@ -22,12 +22,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import text_bytes, written
+from .common import released, text_bytes, unused, written
 
 LABELLED = 20_000
 #: Lengths of the beginnings of words that patterns look at.
@@ -62,52 +62,52 @@ def _items(text: str, most: dict[str, int] | None = None) -> set[str]:
     return found
 
 
-def _counts(sample: DataFrame) -> DataFrame:
-    """item and numbers of toxic and of clean documents that hold it."""
-    schema = T.StructType([T.StructField("item", T.StringType()), T.StructField("toxic", T.LongType()), T.StructField("clean", T.LongType())])
+def _counts(sample: DataFrame, only: dict[str, int] | None = None) -> DataFrame:
+    """item and number of the documents that hold it; of the items in ``only`` if that is given."""
+    schema = T.StructType([T.StructField("item", T.StringType()), T.StructField("docs", T.LongType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: tuple[Counter[str], Counter[str]] = Counter(), Counter()
+        have: Counter[str] = Counter()
 
-        def counted() -> Iterator[pa.RecordBatch]:
-            for kind, have in enumerate(c):
-                if have:
-                    n, none = pa.array(list(have.values()), pa.int64()), pa.array(np.zeros(len(have), np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.string()), *((n, none) if kind else (none, n))], schema=arrow)
-                have.clear()
+        def counted() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(list(have), pa.string()), pa.array(list(have.values()), pa.int64())], schema=arrow)
+            have.clear()
+            return made
 
         for b in batches:
-            for toxic, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                c[toxic].update(_items(v.as_py().decode("utf-8", "replace")))
-                if len(c[0]) + len(c[1]) >= COUNTED:
-                    yield from counted()
-        yield from counted()
+            for v in b.column(0):
+                have.update(_items(v.as_py().decode("utf-8", "replace"), only))
+                if len(have) >= COUNTED:
+                    yield counted()
+        if have:
+            yield counted()
 
-    each = sample.select(F.col("toxic").cast("int"), "text").mapInArrow(run, schema)
-    return each.groupBy("item").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return sample.select("text").mapInArrow(released(run), schema).groupBy("item").agg(F.sum("docs").alias("docs"))
 
 
-def _ratio(p: Column, n: Column, share: float) -> Column:
+def _ratio(p: int, n: int, share: float) -> float:
     """How much likelier the marks of an item's documents are at its own share than at the common one."""
     own = p / (p + n)
-    ratio = p * F.log(own / share) + F.when(n > 0, n * F.log((1 - own) / (1 - share))).otherwise(0.0)
-    return F.when(own > share, ratio).otherwise(0.0)
+    return p * math.log(own / share) + (n * math.log((1 - own) / (1 - share)) if n else 0.0) if own > share else 0.0
 
 
 def mine(sample: DataFrame, toxic: int, clean: int) -> list[str]:
     """The items that stand out in toxic documents, words and patterns, best first; no pattern that a shorter one covers.
 
-    A pattern is covered where one that it begins with
+    Items are counted in the toxic documents of the sample; those in LEAST_DOCS of them, whose number the sample bounds, are then counted in
+    the clean ones. A pattern is covered where one that it begins with
     ranks before it: that one is kept, or is covered itself by a still shorter one.
     """
-    p, n = F.col("toxic"), F.col("clean")
-    told = _counts(sample).where((p >= LEAST_DOCS) & (p >= LEAST_SHARE * (p + n))).select("item", _ratio(p, n, toxic / (toxic + clean)).alias("ratio"))
-    scored = written(told.where(F.col("ratio") >= LEAST_RATIO), "toxic-items")
-    heads = F.array(*(F.when(F.length("item") - 1 > k, F.concat(F.substring("item", 1, k), F.lit("*"))) for k in HEADS))
-    longer = scored.where(~F.startswith("item", F.lit("="))).select(F.col("item").alias("long"), F.col("ratio").alias("least"), F.explode(heads).alias("item")).where("item is not null")
-    covered = longer.join(scored, "item").where("ratio >= least").select(F.col("long").alias("item"))
-    return [r.item for r in sorted(scored.join(covered, "item", "left_anti").collect(), key=lambda r: (-r.ratio, len(r.item), r.item))]
+    found = {r.item: r.docs for r in _counts(sample.where("toxic = 1")).where(F.col("docs") >= LEAST_DOCS).collect()}
+    other = {r.item: r.docs for r in _counts(sample.where("toxic = 0"), found).collect()}
+    share, ratio = toxic / (toxic + clean), {}
+    for x, p in found.items():
+        n = other.get(x, 0)
+        if p >= LEAST_SHARE * (p + n) and (r := _ratio(p, n, share)) >= LEAST_RATIO:
+            ratio[x] = r
+    covered = lambda x: x[0] != "=" and any(ratio.get(x[:k] + "*", -1.0) >= ratio[x] for k in HEADS if k < len(x) - 1)
+    return sorted((x for x in ratio if not covered(x)), key=lambda x: (-ratio[x], len(x), x))
 
 
 class Hits:
@@ -236,5 +236,5 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             made = 1 / (1 + np.exp(-np.clip(np.array(odds, float), -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(made)], schema=arrow)
 
-    scored = docs.select(*keep, text_bytes(text).alias("__bytes")).mapInArrow(run, schema)
+    scored = docs.select(*(F.col(f"`{c}`") for c in keep), text_bytes(text).alias(unused(keep, "raw")[0])).mapInArrow(released(run), schema)
     return scored.withColumn("predicted", (F.col("score") >= PREDICT_AT).cast("int"))
