@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import mix
-from .repeats import Runs, Scheme, slices, without_repeats
+from .repeats import HOT_WINDOWS, Runs, Scheme, slices, without_repeats
 from .shared import PIECE_BYTES, rolling, word_spans
 
 WINDOW = 20
@@ -80,10 +80,12 @@ class Symbols:
 
 
 class Words(Scheme):
+    short = 4
+
     def __init__(self, window: int = WINDOW):
         self.window, self.bytes_per_unit, self.bytes_per_anchor = window, 1.0, 24.0
 
-    def runs(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[Runs, Callable[[], tuple[np.ndarray, np.ndarray]]]:
+    def runs(self, raw: np.ndarray, offsets: np.ndarray, merge: bool = True) -> tuple[Runs, Callable[[], tuple[np.ndarray, np.ndarray]]]:
         begin, end, first = word_spans(raw, offsets)
         words = rolling(raw, begin, end)
         s = Symbols(words, first)
@@ -112,7 +114,12 @@ class Words(Scheme):
             spaced[ends - 1] = 32
             return spaced, np.append(0, ends)
 
-        return Runs.of_windows(windows, anchors, keys, first), data
+        return Runs.of_windows(windows, anchors, keys, first, merge), data
+
+    def unmerged(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[Runs, np.ndarray]:
+        """Words have a space after each here, so their offsets are those of the bytes."""
+        runs, data = self.runs(raw, offsets, merge=False)
+        return runs, data()[1]
 
     def segments(self, raw: np.ndarray) -> Iterator[tuple[int, int, int]]:
         begin, _, _ = word_spans(raw, np.array([0, len(raw)]))
@@ -164,7 +171,7 @@ def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False, hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_removed and ``kept`` (the kept words joined by one space), or its SHA-256 as kept_sha256."""
     name = "kept_sha256" if digest else "kept"
     out = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(name, T.StringType())])
@@ -179,7 +186,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFr
         joined = b" ".join(kept)
         return len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest() if digest else joined.decode("utf-8", "replace")
 
-    return without_repeats(docs, Words(window), out, finish)
+    return without_repeats(docs, Words(window), out, finish, hot_windows)
 
 
 #: DuckDB SQL for ``dedup`` with digests.

@@ -8,9 +8,11 @@ are a run. Then:
    anchor stands nowhere else has no equal, so most of the text is done with.
 2. The runs of the remaining windows travel as bytes to the bucket of their anchor's key; of equal runs in a block only the
    earliest does. Runs are found equal by hash and length, and compared byte by byte before they count as equal.
-3. Each bucket takes equal runs for one, as the blocks do, and finds, among all windows of the runs that are left, those whose content starts earlier in the order of (doc_id, start). It compares
+3. Buckets whose windows are more than fit a task, round an anchor of very many texts, are dealt anew: their runs are cut into short ones,
+   keyed by the content that all windows of a short run share, so that only windows that nearly agree stay together.
+4. Each bucket takes equal runs for one, as the blocks do, and finds, among all windows of the runs that are left, those whose content starts earlier in the order of (doc_id, start). It compares
    contents, not hashes.
-4. The intervals they cover come back to their documents. Texts move twice: to their repeated anchors and to their intervals.
+5. The intervals they cover come back to their documents. Texts move twice: to their repeated anchors and to their intervals.
 
 Hashes only choose what is compared. Texts longer than a piece are worked on in segments that overlap by a window.
 
@@ -23,15 +25,19 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .common import mix, released, row_chunks
 from .shared import PIECE_BYTES, Entries, buckets_for, pieces, repeated_places, rolling, squeezed, unique_documents, unsqueezed
 
-#: Windows of a bucket if every window were a candidate; runs' windows and bytes of texts of a block; bytes that are compared at a time.
-BUCKET_WINDOWS, BLOCK_WINDOWS, BLOCK_BYTES, COMPARED = 4 << 20, 1 << 19, 48 << 20, 4 << 20
+#: Windows of a bucket if every window were a candidate, and from how many on it is dealt anew.
+BUCKET_WINDOWS, HOT_WINDOWS = 4 << 20, 8 << 20
+#: Runs' windows and bytes of texts of a block; bytes that are compared at a time.
+BLOCK_WINDOWS, BLOCK_BYTES, COMPARED = 1 << 19, 48 << 20, 4 << 20
 
 _U = np.uint64
 
@@ -42,9 +48,12 @@ class Runs:
     Neighbouring runs with one key (of periodic text) are one. ``twice`` tells which runs hold several anchors.
     """
 
-    def __init__(self, start: np.ndarray, length: np.ndarray, place: np.ndarray, key: np.ndarray, first: np.ndarray):
-        """Runs in order of their starts; place: of the anchor (with a tier), in the piece; first: units before each text."""
+    def __init__(self, start: np.ndarray, length: np.ndarray, place: np.ndarray, key: np.ndarray, first: np.ndarray, merge: bool = True):
+        """Runs in order of their starts; place: four times that of the anchor, and a tier, in the piece; first: units before each text."""
         doc = np.searchsorted(first, start, side="right") - 1
+        if not merge:
+            self.start, self.length, self.place, self.key, self.doc, self.first, self.twice = start, length, place, key, doc, first, np.zeros(len(start), bool)
+            return
         new = np.append(True, (start[1:] != start[:-1] + length[:-1]) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))[: len(start)]
         at = np.flatnonzero(new)
         ends = np.append(at[1:], len(start))
@@ -53,11 +62,12 @@ class Runs:
         self.place, self.twice = place[at], ends - at > 1
 
     @classmethod
-    def of_windows(cls, windows: np.ndarray, anchors: np.ndarray, keys: np.ndarray, first: np.ndarray) -> Runs:
-        """From sorted windows, with an id for each one's anchor."""
-        new = np.append(True, (np.diff(anchors) != 0) | (np.diff(windows) != 1))[: len(windows)]
+    def of_windows(cls, windows: np.ndarray, anchors: np.ndarray, keys: np.ndarray, first: np.ndarray, merge: bool = True) -> Runs:
+        """From sorted windows, with the place of each one's anchor."""
+        doc = np.searchsorted(first, windows, side="right")
+        new = np.append(True, (np.diff(anchors) != 0) | (np.diff(windows) != 1) | (np.diff(doc) != 0))[: len(windows)]
         at = np.flatnonzero(new)
-        return cls(windows[at], np.diff(np.append(at, len(windows))), anchors[at], keys[at], first)
+        return cls(windows[at], np.diff(np.append(at, len(windows))), anchors[at], keys[at], first, merge)
 
 
 class Scheme:
@@ -65,6 +75,8 @@ class Scheme:
     #: Bytes of text for each window that a bucket has room for, and for each anchor.
     bytes_per_unit: float
     bytes_per_anchor: float
+    #: Windows of a short run.
+    short: int
 
     def runs(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[Runs, Callable[[], tuple[np.ndarray, np.ndarray | None]]]:
         """(runs, data): data() gives the bytes that stand for the units, and the offset of each unit in them (None: a byte each)."""
@@ -74,6 +86,10 @@ class Scheme:
         """The runs that take the windows of the runs at ``at`` to their buckets."""
         return runs, at
 
+    def unmerged(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[Runs, np.ndarray | None]:
+        """(the travelling runs of all windows, one for each anchor, the offset of each unit)."""
+        raise NotImplementedError
+
     def segments(self, raw: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(first byte, end, number of the first unit) of the segments of a long text; two segments share ``window`` - 1 units."""
         raise NotImplementedError
@@ -101,7 +117,7 @@ def equal_slices(values: np.ndarray, one: np.ndarray, other: np.ndarray, sizes:
     return out
 
 
-MADE = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("known", T.BooleanType()), *(T.StructField(c, T.BinaryType()) for c in ("docs", "starts", "lengths", "sizes", "data"))])
+MADE = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("known", T.BooleanType()), T.StructField("windows", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("docs", "starts", "lengths", "sizes", "data"))])
 #: A covered interval [lo, hi) of a document; span is lo * 2**32 + hi, which takes least room in lists.
 COVERED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("span", T.LongType())])
 
@@ -132,6 +148,15 @@ def run_keys(batches: Iterable[pa.RecordBatch], scheme: Scheme) -> Iterator[Entr
             yield runs.key[at], ids[runs.doc][at], place[at]
 
 
+def run_hashes(sizes: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """A hash of each run of ``data``, some at a time."""
+    offsets, out = np.append(0, np.cumsum(sizes)), np.zeros(len(sizes), _U)
+    for lo, hi in row_chunks(offsets, COMPARED):
+        own = offsets[lo : hi + 1] - offsets[lo]
+        out[lo:hi] = rolling(data[offsets[lo] : offsets[hi]], own[:-1], own[1:])
+    return out
+
+
 def equal_runs(order: np.ndarray, prints: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, at: np.ndarray, data: np.ndarray) -> np.ndarray:
     """Whether the run at each place of ``order`` (by hash, length, size) is the same, byte by byte, as the first that has its hash."""
     same = np.append(False, (np.diff(prints[order]) == 0) & (np.diff(lengths[order]) == 0) & (np.diff(sizes[order]) == 0))[: len(order)]
@@ -141,13 +166,13 @@ def equal_runs(order: np.ndarray, prints: np.ndarray, lengths: np.ndarray, sizes
     return same
 
 
-def packed_runs(held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
-    """MADE rows of a block: its runs by bucket, and those known to repeat without their bytes."""
+def packed_runs(held: list[tuple], buckets: int, shift: int = 0) -> Iterator[pa.RecordBatch]:
+    """MADE rows of a block: its runs by bucket (numbered from ``shift`` on), and those known to repeat without their bytes."""
     made = to_arrow_schema(MADE)
     ids, starts, lengths, keys, prints, at, sizes = (np.concatenate([h[i] for h in held]) for i in range(7))
     data = np.concatenate([h[7] for h in held])
-    shift = np.cumsum([0, *(len(h[7]) for h in held[:-1])])
-    at = at + np.repeat(shift, [len(h[5]) for h in held])
+    before = np.cumsum([0, *(len(h[7]) for h in held[:-1])])
+    at = at + np.repeat(before, [len(h[5]) for h in held])
     order = np.lexsort((starts, ids, sizes, lengths, prints))
     same = equal_runs(order, prints, lengths, sizes, at, data)
     known, sent = order[same], order[~same]
@@ -156,7 +181,7 @@ def packed_runs(held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
     def add(bucket: int, own: np.ndarray, known: bool) -> None:
         parts = (squeezed(x[own]) for x in (ids, starts, lengths))
         rest = (None, None) if known else (squeezed(sizes[own]), squeezed(slices(data, at[own], sizes[own])))
-        for column, v in zip(columns, (bucket, known, *parts, *rest), strict=True):
+        for column, v in zip(columns, (bucket + shift, known, int(lengths[own].sum()), *parts, *rest), strict=True):
             column.append(v)
 
     for i, own in enumerate(np.array_split(known, -(-len(known) // BLOCK_WINDOWS)) if len(known) else ()):
@@ -173,23 +198,74 @@ def packed_runs(held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
 
 def blocks_of(pieces_: Iterable[tuple], scheme: Scheme, buckets: int) -> Iterator[pa.RecordBatch]:
     """MADE rows of pieces (doc_ids, runs, data, base, places in runs that are wanted)."""
+
+    def cut() -> Iterator[tuple]:
+        for ids, runs, data, base, at in pieces_:
+            if len(at):
+                raw, unit = data()
+                runs, at = scheme.travelling(runs, at, raw)
+                start, length = runs.start[at], runs.length[at]
+                lo, hi = start, start + length + scheme.window - 1
+                lo, hi = (lo, hi) if unit is None else (unit[lo], unit[hi])
+                yield ids[runs.doc[at]], start - runs.first[runs.doc[at]] + base, length, runs.key[at], rolling(raw, lo, hi), lo, hi - lo, raw
+
+    return packed(cut(), buckets)
+
+
+def packed(pieces_: Iterable[tuple], buckets: int, shift: int = 0) -> Iterator[pa.RecordBatch]:
+    """MADE rows of runs: (doc_ids, starts, lengths, keys, hashes, offsets and sizes of their bytes, the bytes)."""
     held: list[tuple] = []
     n = m = 0
-    for ids, runs, data, base, at in pieces_:
-        if not len(at):
-            continue
-        raw, unit = data()
-        runs, at = scheme.travelling(runs, at, raw)
-        start, length = runs.start[at], runs.length[at]
-        lo, hi = start, start + length + scheme.window - 1
-        lo, hi = (lo, hi) if unit is None else (unit[lo], unit[hi])
-        held.append((ids[runs.doc[at]], start - runs.first[runs.doc[at]] + base, length, runs.key[at], rolling(raw, lo, hi), lo, hi - lo, raw))
-        n, m = n + int(length.sum()), m + len(raw)
+    for piece in pieces_:
+        held.append(piece)
+        n, m = n + int(piece[2].sum()), m + len(piece[7])
         if n > BLOCK_WINDOWS or m > BLOCK_BYTES:
-            yield from packed_runs(held, buckets)
+            yield from packed_runs(held, buckets, shift)
             held, n, m = [], 0, 0
     if held:
-        yield from packed_runs(held, buckets)
+        yield from packed_runs(held, buckets, shift)
+
+
+def shortened(scheme: Scheme, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> Iterator[tuple]:
+    """The runs cut into short ones, for ``packed``.
+
+    A window is told by how far its anchor lies behind its start; windows of ``short`` neighbouring distances share
+    all units but ``short`` - 1, and what they share is their key. Equal windows have their anchors at equal distances, so equal keys.
+    """
+    offsets, step = np.append(0, np.cumsum(sizes)), scheme.short
+    for lo, hi in row_chunks(offsets, PIECE_BYTES):
+        raw = data[offsets[lo] : offsets[hi]]
+        runs, unit = scheme.unmerged(raw, offsets[lo : hi + 1] - offsets[lo])
+        place = runs.place >> 2
+        far = place - runs.start
+        near = far - runs.length + 1
+        n = far // step - near // step + 1
+        r = np.repeat(np.arange(len(n)), n)
+        j = (far // step)[r] - (np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n))
+        top, low = np.minimum(j * step + step - 1, far[r]), np.maximum(j * step, near[r])
+        first, count, shared = place[r] - top, top - low + 1, place[r] - j * step
+        byte = (lambda x: x) if unit is None else unit.__getitem__
+        key = mix(rolling(raw, byte(shared), byte(shared - step + 1 + scheme.window)) + j.astype(_U))
+        begin, end = byte(first), byte(first + count - 1 + scheme.window)
+        doc = runs.doc[r]
+        yield ids[lo + doc], starts[lo + doc] + first - runs.first[doc], count, key, rolling(raw, begin, end), begin, end - begin, raw
+
+
+def dealt_anew(batches: Iterable[pa.RecordBatch], scheme: Scheme, buckets: int) -> Iterator[pa.RecordBatch]:
+    """MADE rows as they are, but those with a column ``hot`` that is true in short runs, to buckets of their own."""
+    columns = MADE.fieldNames()
+
+    def hot_runs() -> Iterator[tuple]:
+        for row in hot:
+            read = lambda c, t, row=row: unsqueezed([pa.scalar(row[c], pa.binary())], t)
+            yield from shortened(scheme, read("docs", np.int64), read("starts", np.int64), read("sizes", np.int64), read("data", np.uint8))
+
+    for b in batches:
+        mask = pa.compute.and_(pa.compute.fill_null(b.column(b.schema.get_field_index("hot")), False), pa.compute.invert(b.column(1)))
+        yield b.filter(pa.compute.invert(mask)).select(columns)
+        hot = b.filter(mask).select(columns).to_pylist()
+        if hot:
+            yield from packed(hot_runs(), buckets, buckets)
 
 
 def read_runs(table: pa.Table) -> tuple[np.ndarray, ...]:
@@ -202,7 +278,7 @@ def read_runs(table: pa.Table) -> tuple[np.ndarray, ...]:
     return ids[order], starts[order], lengths[order], sizes[order], slices(data, at[order], sizes[order])
 
 
-def without_repeats(docs: DataFrame, scheme: Scheme, out: T.StructType, finish: Callable[[bytes, np.ndarray], tuple]) -> DataFrame:
+def without_repeats(docs: DataFrame, scheme: Scheme, out: T.StructType, finish: Callable[[bytes, np.ndarray], tuple], hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """doc_id and the columns ``out`` of every row; ``finish(text, intervals)`` gives their values.
 
     intervals: an array (n, 2) of units [lo, hi), sorted and apart. Of rows that repeat a doc_id one takes part (see
@@ -232,7 +308,7 @@ def without_repeats(docs: DataFrame, scheme: Scheme, out: T.StructType, finish:
         ids, starts, lengths, sizes, data = read_runs(group)
         if len(ids):
             at = np.cumsum(sizes) - sizes
-            prints = rolling(data, at, at + sizes)
+            prints = run_hashes(sizes, data)
             order = np.lexsort((np.arange(len(ids)), sizes, lengths, prints))
             again = np.zeros(len(ids), bool)
             again[order] = equal_runs(order, prints, lengths, sizes, at, data)
@@ -242,7 +318,11 @@ def without_repeats(docs: DataFrame, scheme: Scheme, out: T.StructType, finish:
             batches.append(covered_rows(*windows_found(ids[own], starts[own], lengths[own], found), size))
         return pa.Table.from_batches(batches, schema=to_arrow_schema(COVERED))
 
-    judged = joined.mapInArrow(sift, MADE).groupBy("bucket").applyInArrow(judge, COVERED)
+    made = joined.mapInArrow(released(sift), MADE)
+    large = made.where("not known").groupBy("bucket").agg(F.sum("windows").alias("windows")).where(F.col("windows") > hot_windows)
+    # broadcast: a number for every HOT_WINDOWS windows at most
+    told = made.join(F.broadcast(large.select("bucket", F.lit(True).alias("hot"))), "bucket", "left")
+    judged = told.select(*MADE.fieldNames(), "hot").mapInArrow(lambda batches: dealt_anew(batches, scheme, buckets), MADE).groupBy("bucket").applyInArrow(judge, COVERED)
     return finished(docs, rest, judged, out, finish)
 
 
@@ -270,7 +350,7 @@ def finished(docs: DataFrame, rest: DataFrame | None, covered: DataFrame, out: T
                 results.append(finish(text.as_py(), pairs))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in results], f.type) for i, f in enumerate(to_arrow_schema(out)))], schema=arrow)
 
-    result = told.mapInArrow(end, fields)
+    result = told.mapInArrow(released(end), fields)
     if rest is not None:
         result = result.union(rest.withColumn("gone", F.lit(None).cast("array<bigint>")).mapInArrow(end, fields))
     return result

@@ -110,7 +110,22 @@ def pieces(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, number of words before each text)."""
+    """(hash of each word, number of words before each text). A text longer than a piece is read in parts that end with a word."""
+    if len(offsets) == 2 and len(raw) > 2 * PIECE_BYTES:
+        parts, lo = [], 0
+        while lo < len(raw):
+            hi = min(lo + PIECE_BYTES, len(raw))
+            while hi < len(raw) and not _SPACES[raw[hi]]:
+                ahead = np.flatnonzero(_SPACES[raw[hi : hi + PIECE_BYTES]])
+                hi = hi + int(ahead[0]) if len(ahead) else min(hi + PIECE_BYTES, len(raw))
+            parts.append(_word_hashes(raw[lo:hi], np.array([0, hi - lo]), lower)[0])
+            lo = hi
+        words = np.concatenate(parts)
+        return words, np.array([0, len(words)])
+    return _word_hashes(raw, offsets, lower)
+
+
+def _word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, first = word_spans(raw, offsets)
     return rolling(_LOWER[raw] if lower else raw, starts, ends), first
 
@@ -124,9 +139,9 @@ def unique_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     again = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
     if again.isEmpty():
         return rows, None
-    ranked = rows.withColumn("again", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    main = (F.col("again") == 1) & F.col("doc_id").isNotNull()
-    return ranked.where(main).drop("again"), ranked.where(~main).drop("again")
+    named = rows.where("doc_id is not null").withColumn("again", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    rest = named.where("again > 1").drop("again").unionByName(rows.where("doc_id is null"))
+    return named.where("again = 1").drop("again"), rest
 
 
 def buckets_for(docs: DataFrame, bytes_per_key: float) -> int:

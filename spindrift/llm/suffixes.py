@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import mix
-from .repeats import COVERED, MADE, Runs, Scheme, blocks_of, covered_rows, cut_runs, finished, known_spans, read_runs, slices, windows_found, without_repeats
+from .repeats import COVERED, HOT_WINDOWS, MADE, Runs, Scheme, blocks_of, covered_rows, cut_runs, finished, known_spans, read_runs, slices, windows_found, without_repeats
 from .shared import PIECE_BYTES, unique_documents
 
 WINDOW = 100
@@ -165,17 +165,26 @@ def _grams(raw: np.ndarray, size: int) -> np.ndarray:
 
 
 class Bytes(Scheme):
+    short = 8
+
     def __init__(self, window: int = WINDOW):
         self.window, self.bytes_per_unit, self.bytes_per_anchor = window, 1.0, (window - GRAM + 2) / 2
 
     def runs(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[Runs, Callable[[], tuple[np.ndarray, None]]]:
+        return self._anchored(raw, self._inside(raw, offsets), GRAM, offsets), lambda: (raw, None)
+
+    def _inside(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether the window at each place lies in one text."""
         n = max(len(raw) - self.window + 1, 0)
-        crossed = np.zeros(n + 1, np.int64)  # how many ends of texts the window at each place crosses
+        crossed = np.zeros(n + 1, np.int64)  # how many ends of texts it crosses
         np.add.at(crossed, np.clip(offsets[1:-1] - self.window + 1, 0, n), 1)
         np.add.at(crossed, np.clip(offsets[1:-1], 0, n), -1)
-        return self._anchored(raw, np.cumsum(crossed[:-1]) == 0, GRAM, offsets), lambda: (raw, None)
+        return np.cumsum(crossed[:-1]) == 0
+
+    def unmerged(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[Runs, None]:
+        return self._anchored(raw, self._inside(raw, offsets), TRAVEL_GRAM, offsets, merge=False), None
 
-    def _anchored(self, raw: np.ndarray, valid: np.ndarray, gram: int, offsets: np.ndarray) -> Runs:
+    def _anchored(self, raw: np.ndarray, valid: np.ndarray, gram: int, offsets: np.ndarray, merge: bool = True) -> Runs:
         """The runs of the valid windows, anchored at that of their strings of ``gram`` bytes whose hash is least."""
         none = np.zeros(0, np.int64)
         if not valid.any():
@@ -193,7 +202,7 @@ class Bytes(Scheme):
         upto = np.append(0, np.cumsum(valid))
         length = upto[np.append(start[1:], n)] - upto[start]
         place = place[start]
-        return Runs(start, length, place * 4, mix(h[place]), offsets)
+        return Runs(start, length, place * 4, mix(h[place]), offsets, merge)
 
     def travelling(self, runs: Runs, at: np.ndarray, raw: np.ndarray) -> tuple[Runs, np.ndarray]:
         """The same windows anchored at shorter strings: their runs are longer, and so share more of the bytes they take along."""
@@ -233,9 +242,9 @@ def _output(digest: bool) -> tuple[T.StructType, Callable[[bytes, np.ndarray], t
     return T.StructType([*(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), last]), finish
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False, hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and ``kept`` (the remaining bytes), or its SHA-256 as kept_sha256. window: GRAM or more."""
-    return without_repeats(docs, Bytes(window), *_output(digest))
+    return without_repeats(docs, Bytes(window), *_output(digest), hot_windows)
 
 
 KEPT = T.StructType(

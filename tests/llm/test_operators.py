@@ -192,6 +192,20 @@ def test_long_and_periodic_texts(spark):
     assert result(recompression.dedup(df, digest=True)) == brute.kept_words(rows)
 
 
+@pytest.mark.parametrize("limit", [0, 300, 20_000])
+def test_large_buckets_are_dealt_anew(spark, rows, limit):
+    """One passage in many texts, each time between other words; whatever a bucket may hold, the result is the same."""
+    rng = random.Random(limit)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(2, 7)))
+    passage = " ".join(word() for _ in range(60))
+    some = [r for r in rows if len(r[1] or "") < 6000]
+    some += [(1000 + i, f"{' '.join(word() for _ in range(20))} {passage} {' '.join(word() for _ in range(20))}") for i in range(60)]
+    some += [(2000, "z" * 900), (2001, "xy" * 300 + "z" * 130), (2002, "z" * 100), (2003, "one two " * 90), (2004, "two one " * 10)]
+    df = spark.createDataFrame(some, "doc_id long, text string").repartition(4)
+    assert result(suffixes.dedup(df, digest=True, hot_windows=limit)) == brute.kept_bytes(some)
+    assert result(recompression.dedup(df, digest=True, hot_windows=limit)) == brute.kept_words(some)
+
+
 def test_equal_hashes_are_not_enough():
     """Runs with one hash, length and key, but other bytes, are both sent."""
     data = np.frombuffer(b"abcabdabc", np.uint8)
@@ -489,3 +503,25 @@ def test_written_tables_can_be_dropped(spark):
     common.drop_written(spark, mark)
     assert common.marked() == mark
     assert common.unused(["tie", "_TIE"], "tie", "x") == ["__tie", "x"]
+
+
+def test_very_long_text(spark, ranks):
+    """A text of some megabytes among short ones, through every operator that reads texts."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 7)))
+    line = "one line that three documents have in common"
+    long = " ".join(word() for _ in range(700_000)) + f"\n{line}\n" + "x" * 300_000
+    rows = [(1, long), (2, f"{line}\nshort"), (3, f"and\n{line}"), (4, long[:2_000_000]), (5, long + " the end")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    lines = {i: (n, d, hashlib.sha256(k).hexdigest()) for i, n, d, k in brute.lines(rows)}
+    assert result(linededup.digests(df)) == lines
+    parts = {r.doc_id: r.component_id for r in ngrams.groups(df, 4, 85).collect()}
+    assert parts[1] == parts[5] == 1 and parts[2] != parts[3]
+    spots = {r.doc_id: r for r in spotsigs.edited_with_next(df).collect()}
+    assert spots[1].n_chars == len(long) and spots[5].near_next < 0.9 and len(spots[1].fingerprint) == 8 * len(brute.spots(long, spotsigs.ANCHORS, spotsigs.CHAIN))
+    coded = {r.doc_id: r for r in bpe.digests(df.where("doc_id > 3"), ranks, public_tokenizers.PATTERN).collect()}
+    assert all(coded[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for i, t in rows if i > 3)
+    sizes = {r.doc_id: (r.size, r.taken) for r in mixing.mix(df).collect()}
+    assert {i: s for i, (s, _) in sizes.items()} == {i: brute.word_size(t) for i, t in rows}
+    assert sum(t for _, t in sizes.values()) == pytest.approx(sum(s for s, _ in sizes.values()), rel=0.01)
+    assert language.identify(df, language.learn(df)).count() == 5 == toxicity.score(df, toxicity.Model()).count()
