@@ -441,3 +441,27 @@ def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = d.table(spark, sf_dir, "nation").where("n_nationkey = 9").first().n_name
     found = api.query_expert(spark, data, "nations", f"add {name}", max_changes=1, scope="metadata")
     return found.select("message", "result_type")
+
+
+@query(f"WITH {_NATIONS} SELECT 'add ' || n_name AS answer, 2::BIGINT AS pieces, true AS counted FROM na WHERE k = 9")
+def prompted_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation made of a search's results, answered piece by piece by the generator that repeats the question."""
+    _indexed(spark, sf_dir)
+    name = d.table(spark, sf_dir, "nation").where("n_nationkey = 9").first().n_name
+    data = _MADE[(spark.sparkContext.applicationId, sf_dir, "index")]
+    *pieces, whole = api.prompt_expert_stream(spark, data, "nations", f"add {name}", "echo", max_changes=3, max_file_chunks=2)
+    return spark.createDataFrame([("".join(pieces), len(pieces), whole.usage.input_tokens > 0)], "answer string, pieces long, counted boolean")
+
+
+@query(literal_rows({"step": "VARCHAR", "made": "VARCHAR"}, [("new", ""), ("store asked for", "store"), ("engine asked for", "engine store"), ("closed", "")]))
+def lazy_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a context holds after each step."""
+    _indexed(spark, sf_dir)
+    own = api.Context(spark, _MADE[(spark.sparkContext.applicationId, sf_dir, "index")], "nations")
+    made = lambda: " ".join(sorted(n for n in ("store", "engine", "generator") if n in own.__dict__))
+    rows = [("new", made())]
+    for step in ("store", "engine"):
+        getattr(own, step)
+        rows.append((f"{step} asked for", made()))
+    own.close()
+    return spark.createDataFrame([*rows, ("closed", made())], "step string, made string")
