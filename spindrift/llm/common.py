@@ -20,6 +20,7 @@ SPACE = r"[\x20\x09-\x0D]"
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session. Where it is unset (tests, local runs) a temporary folder of this machine, which does only
     if the executors are here too."""
+    _smaller_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
@@ -60,9 +61,13 @@ def drop_written(spark: SparkSession, since: int = 0, but: int = 0) -> None:
 BATCH_BYTES, _BATCH = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    if str(spark.conf.get(_BATCH, "")).strip("bB") == str(64 << 20):
+def _smaller_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH).strip("bB") == str(64 << 20):
         spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _smaller_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
