@@ -37,7 +37,7 @@ from .shared import PIECE_BYTES, Entries, buckets_for, pieces, repeated_places,
 #: Windows of a bucket if every window were a candidate, and from how many on it is dealt anew.
 BUCKET_WINDOWS, HOT_WINDOWS = 4 << 20, 8 << 20
 #: Runs' windows and bytes of texts of a block; bytes that are compared at a time.
-BLOCK_WINDOWS, BLOCK_BYTES, COMPARED = 1 << 19, 48 << 20, 4 << 20
+BLOCK_WINDOWS, BLOCK_BYTES, COMPARED = 1 << 19, 32 << 20, 2 << 20
 
 _U = np.uint64
 
@@ -252,20 +252,15 @@ def shortened(scheme: Scheme, ids: np.ndarray, starts: np.ndarray, sizes: np.nda
 
 
 def dealt_anew(batches: Iterable[pa.RecordBatch], scheme: Scheme, buckets: int) -> Iterator[pa.RecordBatch]:
-    """MADE rows as they are, but those with a column ``hot`` that is true in short runs, to buckets of their own."""
-    columns = MADE.fieldNames()
+    """MADE rows in short runs, to buckets of their own."""
 
-    def hot_runs() -> Iterator[tuple]:
-        for row in hot:
-            read = lambda c, t, row=row: unsqueezed([pa.scalar(row[c], pa.binary())], t)
-            yield from shortened(scheme, read("docs", np.int64), read("starts", np.int64), read("sizes", np.int64), read("data", np.uint8))
+    def runs() -> Iterator[tuple]:
+        for b in batches:
+            for row in b.select(["docs", "starts", "sizes", "data"]).to_pylist():
+                read = lambda c, t, row=row: unsqueezed([pa.scalar(row[c], pa.binary())], t)
+                yield from shortened(scheme, read("docs", np.int64), read("starts", np.int64), read("sizes", np.int64), read("data", np.uint8))
 
-    for b in batches:
-        mask = pa.compute.and_(pa.compute.fill_null(b.column(b.schema.get_field_index("hot")), False), pa.compute.invert(b.column(1)))
-        yield b.filter(pa.compute.invert(mask)).select(columns)
-        hot = b.filter(mask).select(columns).to_pylist()
-        if hot:
-            yield from packed(hot_runs(), buckets, buckets)
+    return packed(runs(), buckets, buckets)
 
 
 def read_runs(table: pa.Table) -> tuple[np.ndarray, ...]:
@@ -320,9 +315,12 @@ def without_repeats(docs: DataFrame, scheme: Scheme, out: T.StructType, finish:
 
     made = joined.mapInArrow(released(sift), MADE)
     large = made.where("not known").groupBy("bucket").agg(F.sum("windows").alias("windows")).where(F.col("windows") > hot_windows)
-    # broadcast: a number for every HOT_WINDOWS windows at most
-    told = made.join(F.broadcast(large.select("bucket", F.lit(True).alias("hot"))), "bucket", "left")
-    judged = told.select(*MADE.fieldNames(), "hot").mapInArrow(lambda batches: dealt_anew(batches, scheme, buckets), MADE).groupBy("bucket").applyInArrow(judge, COVERED)
+    # broadcast: a number for every HOT_WINDOWS windows at most. Where there is none, adaptive execution leaves both joins out
+    large = F.broadcast(large.select(F.col("bucket").alias("large")))
+    here = (F.col("bucket") == F.col("large")) & ~F.col("known")
+    cold, hot = made.join(large, here, "left_anti"), made.join(large, here, "left_semi")
+    short = hot.mapInArrow(lambda batches: dealt_anew(batches, scheme, buckets), MADE)
+    judged = cold.unionByName(short).groupBy("bucket").applyInArrow(judge, COVERED)
     return finished(docs, rest, judged, out, finish)
 
 
