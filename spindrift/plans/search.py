@@ -143,6 +143,9 @@ def table_rows(results: DataFrame, debug: bool = False) -> DataFrame:
     return results.select(*columns)
 
 
+# The names of the exported fields, and the words and marks of the renderings below.
+
+
 def json_rows(results: DataFrame) -> DataFrame:
     """One JSON object a row, in two shapes by type."""
     commit = F.struct(F.col("result_id").alias("id"), F.col("result_type").alias("type"), "author", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), "message", "files", "diff", F.col("score").alias("similarity_score"), "source")
