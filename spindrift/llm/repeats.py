@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import mix, released, row_chunks
-from .shared import PIECE_BYTES, Entries, buckets_for, pieces, repeated_places, rolling, squeezed, unique_documents, unsqueezed
+from .shared import BUCKET_KEYS, PIECE_BYTES, Entries, buckets_for, pieces, repeated_places, rolling, squeezed, unique_documents, unsqueezed
 
 #: Windows of a bucket if every window were a candidate, and from how many on it is dealt anew.
 BUCKET_WINDOWS, HOT_WINDOWS = 4 << 20, 8 << 20
@@ -284,7 +284,7 @@ def without_repeats(docs: DataFrame, scheme: Scheme, out: T.StructType, finish:
     places = repeated_places(docs, lambda batches: run_keys(batches, scheme), buckets_for(docs, scheme.bytes_per_anchor))
     hits = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     joined = docs.join(hits, "doc_id").select("doc_id", "text", "places")
-    buckets = max(1, buckets_for(docs, scheme.bytes_per_unit * BUCKET_WINDOWS / (1 << 20)))
+    buckets = max(1, buckets_for(docs, scheme.bytes_per_unit * BUCKET_WINDOWS / BUCKET_KEYS))
 
     def sift(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = lambda d, p: (d.astype(np.int64) << 40) | p.astype(np.int64)

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import flat, mix, row_chunks, text_bytes
+from .common import flat, give_back, mix, released, row_chunks, text_bytes
 
 #: Entries of a block, entries of a bucket, bytes of texts that are worked on at a time.
-BLOCK_KEYS, BUCKET_KEYS, PIECE_BYTES = 1 << 19, 1 << 20, 1 << 20
+BLOCK_KEYS, BUCKET_KEYS, PIECE_BYTES = 1 << 19, 1 << 19, 1 << 20
 
 Entries = tuple[np.ndarray, np.ndarray, np.ndarray]  # keys (uint64), doc_ids (int64), places (int64)
 
@@ -209,6 +209,9 @@ def repeated_places(docs: DataFrame, keys: Callable[[Iterable[pa.RecordBatch]],
         again[order] = np.append(equal, False) | np.append(False, equal)
         again |= many
         docs_, places = (np.concatenate([join(c, ~known, np.int64)[again], join(c, known, np.int64, c == "docs")]) for c in ("docs", "places"))
-        return pa.table([pa.array(docs_), pa.array(places)], schema=to_arrow_schema(PLACES))
+        out = pa.table([pa.array(docs_), pa.array(places)], schema=to_arrow_schema(PLACES))
+        del k, many, order, s, equal, again
+        give_back()
+        return out
 
-    return docs.mapInArrow(pack, BLOCKS).groupBy("bucket").applyInArrow(find, PLACES)
+    return docs.mapInArrow(released(pack), BLOCKS).groupBy("bucket").applyInArrow(find, PLACES)
