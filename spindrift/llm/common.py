@@ -34,11 +34,11 @@ def shared_folder(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: cuts the lineage, survives lost executors."""
+def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: cuts the lineage, survives lost executors. ``options`` are the writer's."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/spindrift/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd", **options}).parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -71,6 +71,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _smaller_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
 def text_bytes(name: str = "text") -> Column:
     """The text's UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))

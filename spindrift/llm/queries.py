@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, linededup, mixing, ngrams, recompression, spotsigs, suffixes, topk, toxicity
-from .common import documents, held_out
+from . import bandjoin, bpe, language, linededup, mixing, ngrams, recompression, spelling, spotsigs, suffixes, topk, toxicity, warc
+from .common import documents, held_out, pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,18 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
+def op11_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bandjoin.near_lines(spark.read.parquet(f"{sf_dir}/items.parquet"), spark.read.parquet(f"{sf_dir}/sale_lines.parquet"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(pages(spark, sf_dir))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_spot_signatures": op2_spot_signatures,
@@ -73,6 +85,9 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op10_mixing": op10_mixing,
     "op9_byte_bpe": op9_byte_bpe,
+    "op11_band_join": op11_band_join,
+    "op12_warc": op12_warc,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = {
@@ -81,4 +96,7 @@ ORACLES: dict[str, str] = {
     "op4_top_k": topk.ORACLE,
     "op5_recompression": recompression.ORACLE,
     "op7_suffix_family": suffixes.ORACLE,
+    "op11_band_join": bandjoin.ORACLE,
+    "op12_warc": warc.ORACLE,
+    "op13_spelling": spelling.ORACLE,
 }
