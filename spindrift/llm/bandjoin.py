@@ -182,8 +182,9 @@ def near_lines(items: DataFrame, lines: DataFrame, k: int = 5, least: int = 10,
     queries = asked.where("p is not null").select("p").distinct().withColumn("reach", reach)
     met = F.explode(F.sequence(shard(F.col("p") - F.col("reach")), shard(F.col("p") + F.col("reach"))))
     answers = queries.withColumn("shard", met).groupBy("shard").cogroup(own.withColumn("shard", shard(F.col("u"))).groupBy("shard")).applyInArrow(_answers(k), ANSWER)
-    # a band meets three shards at most, so an answer has that many parts
+    # a band meets three shards at most, so an answer has that many parts; as a table, so that the items of a hot price can be split in their join
     parts = answers.groupBy("p").agg(F.sum("n").alias("n"), F.sum("gaps").alias("gaps"), F.sum("crc").alias("crc"), F.flatten(F.collect_list("near")).alias("near"))
+    parts = written(parts, "band-answers")
     x = sums.select(F.col("item").alias("item_id"), "u", F.col("n").alias("m"), F.col("crc").alias("c"))
     keyed = asked.where("p is not null").distinct().withColumn("reach", reach)
     gap = F.abs(F.col("u") - F.col("p"))
