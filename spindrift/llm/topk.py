@@ -5,9 +5,9 @@ candidates are dealt to blocks; in each pair of blocks every query scatters its
 array of scores, a partition selects the best, and the blocks' best are merged by rank. Every query meets every
 candidate once; no block holds more than ``QUERIES`` or ``CANDIDATES`` vectors (give or take the hash), whatever the size of the tables.
 
-Vectors that are null, or hold null or non-finite components, and rows without id take no part. Of rows that repeat an id
-the least vector stands for it. Vectors of different lengths meet in their common components. Components must
-stay under 2**22 in magnitude, so that sums are exact. Extra columns are ignored.
+Vectors that are null, or hold null or non-finite components, and rows without id take no part; nor do vectors
+of d components with one whose scaled magnitude is 2**31 / sqrt(2 * d) or more: sums of the others are exact in 64 bits. Of rows that repeat an id
+the least vector stands for it. Vectors of different lengths meet in their common components. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ RESULT = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("v
 
 def quantised(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
     """vec_id and ``q``: floor(scale * component) of every vector that takes part."""
-    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != float("inf")))
+    most = F.lit(2.0**31) / F.sqrt(2.0 * F.greatest(F.size(vector), F.lit(1)))  # then no product of two overflows; infinity is beyond
+    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * float(scale)) < most))
     rows = vectors.where(F.col(vector).isNotNull() & F.col(id).isNotNull()).where(good)
     q = F.transform(vector, lambda x: F.floor(x.cast("double") * float(scale)).cast("long"))
     return rows.select(F.col(id).cast("long").alias("vec_id"), q.alias("q")).groupBy("vec_id").agg(F.min("q").alias("q"))
