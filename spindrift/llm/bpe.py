@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import flat, released, row_chunks, text_bytes
+from .common import column, flat, map_arrow, released, row_chunks, text_bytes
 
 #: Bytes of words whose ids a worker remembers.
 CACHE_BYTES = 48 << 20
@@ -239,13 +239,13 @@ def _schemas(df: DataFrame, drop: set[str], added: str) -> tuple[list[str], T.St
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Replaces ``text`` by ``ids``: the token ids as little-endian unsigned 32-bit integers in one binary."""
     keep, schema, arrow = _schemas(docs, {text, ids}, ids)
-    return docs.select(*keep, text_bytes(text).alias(text)).mapInArrow(released(_encoder(ranks, pattern, text, keep, arrow)), schema)
+    return map_arrow(docs.select(*map(column, keep), text_bytes(text).alias(text)), released(_encoder(ranks, pattern, text, keep, arrow)), schema)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds ``text``: the bytes that the ids stand for."""
     keep, schema, arrow = _schemas(encoded, {text}, text)
-    return encoded.select(*(text_bytes(c).alias(c) if c == ids else c for c in keep)).mapInArrow(released(_decoder(ranks, ids, keep, arrow)), schema)
+    return map_arrow(encoded.select(*(text_bytes(c).alias(c) if c == ids else column(c) for c in keep)), released(_decoder(ranks, ids, keep, arrow)), schema)
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
@@ -254,7 +254,7 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
     both = T.StructType([*schema.fields, T.StructField("decoded", T.BinaryType())])
     first = _encoder(ranks, pattern, text, keep, arrow)
     second = _decoder(ranks, "ids", [*keep, "ids"], to_arrow_schema(both))
-    return docs.select(*keep, text_bytes(text).alias(text)).mapInArrow(released(lambda batches: second(first(batches))), both)
+    return map_arrow(docs.select(*map(column, keep), text_bytes(text).alias(text)), released(lambda batches: second(first(batches))), both)
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are maximal runs of anything but these bytes.
 SPACE = r"[\x20\x09-\x0D]"
@@ -78,7 +79,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_bytes(name: str = "text") -> Column:
     """The text's UTF-8 bytes; null counts as empty."""
-    return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
+    return F.coalesce(column(name).cast("binary"), F.lit(b""))
 
 
 def unused(columns: Iterable[str], *names: str) -> list[str]:
@@ -92,6 +93,23 @@ def unused(columns: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+def column(name: str) -> Column:
+    """A column by its name, whatever marks the name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow``, also with column names that have dots or other marks (Spark looks its own up by name); ``run`` sees and gives the names as they are."""
+    names, out = df.columns, [f"r{i}" for i in range(len(schema.fields))]
+
+    def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(x.rename_columns(names) for x in batches):
+            yield b.rename_columns(out)
+
+    plain = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(out, schema.fields, strict=True)])
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(named, plain).toDF(*schema.fieldNames())
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

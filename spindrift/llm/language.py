@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, released, text_bytes
+from .common import column, map_arrow, mix, released, text_bytes
 
 #: Labelled rows of each language that are sampled, and code points of the pieces that their texts are cut into.
 SAMPLE_ROWS, PIECE_CHARS = 300, 100
@@ -130,4 +130,4 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
             made = [pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*columns, *made], schema=arrow)
 
-    return docs.select(*keep, text_bytes(text).alias(text)).mapInArrow(released(run), schema)
+    return map_arrow(docs.select(*map(column, keep), text_bytes(text).alias(text)), released(run), schema)

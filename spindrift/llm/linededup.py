@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import mix, partitions, released, text_bytes, unused, written
+from .common import column, map_arrow, mix, partitions, released, text_bytes, unused, written
 from .shared import squeezed, unsqueezed
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -262,7 +262,7 @@ def dedup(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS, min_d
     found = probe(hashes, index, shards, min_docs).groupBy("doc_id").agg(F.collect_set("dropped").alias("dropped"))
     keep = [c for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
     raw, asked, gone = unused(docs.columns, "raw", "asked", "gone")
-    kept = [F.col(f"`{c}`") for c in keep]
+    kept = [column(c) for c in keep]
     both = docs.select(*kept, text_bytes(text).alias(raw)).join(found.toDF(asked, gone), F.col("doc_id").eqNullSafe(F.col(asked)), "left").select(*kept, raw, gone)
     added = [T.StructField(text, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
     schema = T.StructType([*(docs.schema[c] for c in keep), *added])
@@ -286,7 +286,7 @@ def dedup(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS, min_d
                 texts.append(raw.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], schema=arrow)
 
-    return both.mapInArrow(released(run), schema)
+    return map_arrow(both, released(run), schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -297,14 +297,15 @@ def digests(docs: DataFrame) -> DataFrame:
 
 #: DuckDB SQL for ``digests``.
 ORACLE = r"""
-WITH lines AS (
-  SELECT doc_id, i, l, translate(regexp_replace(l, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),  -- every row is a document
+lines AS (
+  SELECT r, doc_id, i, l, translate(regexp_replace(l, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-  FROM (SELECT doc_id, unnest(p) AS l, generate_subscripts(p, 1) AS i
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents))),
-keys AS (SELECT k, max(doc_id) AS last FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
-marked AS (SELECT d.doc_id, i, l, k.k IS NOT NULL AND d.doc_id <> k.last AS gone FROM lines d LEFT JOIN keys k ON d.k = k.k)
+  FROM (SELECT r, doc_id, unnest(p) AS l, generate_subscripts(p, 1) AS i
+        FROM (SELECT r, doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM docs))),
+keys AS (SELECT k, max(doc_id) AS last FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT r) >= 3),
+marked AS (SELECT d.r, d.doc_id, i, l, k.k IS NOT NULL AND d.doc_id IS DISTINCT FROM k.last AS gone FROM lines d LEFT JOIN keys k ON d.k = k.k)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY r, doc_id
 """

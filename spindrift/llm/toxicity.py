@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import released, text_bytes, unused, written
+from .common import column, map_arrow, released, text_bytes, unused, written
 
 LABELLED = 20_000
 #: Lengths of the beginnings of words that patterns look at.
@@ -195,7 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
     """A model from labelled documents. ``docs``: doc_id, text; ``labels``: doc_id, toxic (1 or 0)."""
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most ``most`` rows of 12 bytes: safe to broadcast
-    sample = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(marks), "doc_id").dropDuplicates(["doc_id"])
+    sample = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(marks), "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))  # of several rows the least text
     sample = written(sample, "toxic-sample")
     kinds = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = kinds.get(1, 0), kinds.get(0, 0)
@@ -236,5 +237,5 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             made = 1 / (1 + np.exp(-np.clip(np.array(odds, float), -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(made)], schema=arrow)
 
-    scored = docs.select(*(F.col(f"`{c}`") for c in keep), text_bytes(text).alias(unused(keep, "raw")[0])).mapInArrow(released(run), schema)
+    scored = map_arrow(docs.select(*map(column, keep), text_bytes(text).alias(unused(keep, "raw")[0])), released(run), schema)
     return scored.withColumn("predicted", (F.col("score") >= PREDICT_AT).cast("int"))
