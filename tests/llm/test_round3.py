@@ -10,12 +10,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from spindrift.llm import bandjoin, queries, spelling, warc
+from spindrift.llm import bandjoin, bpe, language, linededup, queries, spelling, topk, toxicity, warc
 
 from .sql import same_as_sql
 
@@ -251,3 +252,57 @@ def test_roots_of_long_chains(spark):
     links = spark.createDataFrame([(f"w{i}", f"w{i + 1}") for i in range(9)], "word string, form string")
     assert {r.word: r.root for r in spelling.roots(links, 9).collect()} == {f"w{i}": "w9" for i in range(9)}
 
+
+
+# --- operators of earlier rounds on rows that crashed them
+
+
+def test_columns_of_any_name(spark):
+    """Names with dots and backticks pass through every operator that adds columns."""
+    rows = [(1, "some words of a text", "k", 3), (2, None, None, None), (3, "word " * 30, "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, `c``d.e` int")
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    made = {
+        "lines": linededup.dedup(docs), "language": language.identify(docs, {"en": b"some words", "de": b"andere"}), "toxicity": toxicity.score(docs, toxicity.Model()), "ids": coded,
+        "back": bpe.decode(coded, ranks), "both": bpe.round_trip(docs, ranks, public_tokenizers.PATTERN),
+    }
+    for name, df in made.items():
+        assert {"a.b", "c`d.e"} <= set(df.columns), name
+        assert sorted((r["doc_id"], r["a.b"], r["c`d.e"]) for r in df.collect()) == [(i, a, c) for i, _, a, c in rows], name
+
+
+def test_lines_of_repeated_ids_as_in_sql(spark, tmp_path):
+    line = "A line of more than twenty characters"
+    rows = [(1, line), (1, line), (2, f"{line}\nother"), (None, f"x\n{line}"), (3, None), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ["doc_id", "kept_sha256", "n_dropped", "n_lines"]
+    got = linededup.digests(spark.read.parquet(str(tmp_path / "documents.parquet"))).select(*columns).collect()
+    want = con.sql(linededup.ORACLE).select(*columns).fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert sorted((r.doc_id or 0, r.n_dropped) for r in got) == [(0, 1), (1, 1), (1, 1), (2, 0), (3, 0), (3, 0)]
+
+
+def test_components_that_overflow_take_no_part(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e300, 1.0]), (2, [2.0**21, -(2.0**21)]), (3, [-1e10, 0.0]), (50, [3.0, 4.0]), (51, []), (52, None)]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {(r.query_id, r.vec_id): r.score for r in topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5).collect()}
+    assert got[0, 50] == 256 * 256 * 11 and got[0, 2] == 256 * 256 * -(2**21) and {v for _, v in got} == {0, 2, 50, 51}
+
+
+def test_toxicity_of_repeated_ids(spark):
+    """A labelled id with several rows counts once, with its least text, whatever their order is."""
+    rows = [(i, "vile hateful slur words" if i % 2 else "kind plain words") for i in range(40)] + [(1, "kind plain words"), (3, "zzz"), (None, "vile slur"), (None, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (5, 1)], "doc_id long, toxic int")
+    seen = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        scored = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+        assert len(scored) == len(rows) and all(0 <= r.score <= 1 for r in scored)
+        seen.append(sorted((r.doc_id or -1, r.text or "", round(r.score, 9), r.predicted) for r in scored))
+    assert seen[0] == seen[1]
+    assert {r.predicted for r in scored if r.text == "vile hateful slur words"} == {1} and {r.predicted for r in scored if r.text == "kind plain words"} == {0}
