@@ -56,9 +56,10 @@ def _folder(data_dir: str, name: str) -> Path:
 
 def _open(spark: SparkSession, data_dir: str, name: str) -> Store:
     folder = _folder(data_dir, name)
-    if not (folder / "experts").is_dir():
+    store = Store(spark, str(folder.resolve()))
+    if not store.exists():
         raise ExpertNotFoundError(name)
-    return Store(spark, str(folder.resolve()))
+    return store
 
 
 @dataclass
@@ -112,7 +113,7 @@ def populate(
     """
     folder = _folder(data_dir, name)
     store = Store(spark, str(folder.resolve()))
-    row = store.table("experts").first() if (folder / "experts").is_dir() else None
+    row = store.table("experts").first() if store.exists() else None
     if row is not None:
         if workspace and Path(workspace).resolve() != Path(row.workspace_path):
             raise ValueError(f"{name} is an index of {row.workspace_path}")
@@ -177,7 +178,7 @@ def prompt_expert(spark: SparkSession, data_dir: str, name: str, prompt: str, **
 def list_experts(spark: SparkSession, data_dir: str) -> list[dict]:
     """All indexes with their counts and cursors, by name."""
     out = []
-    for folder in sorted((Path(data_dir) / "data").glob("*/experts")):
+    for folder in sorted((Path(data_dir) / "data").glob("*/_versions")):
         store = Store(spark, str(folder.parent.resolve()))
         row = store.table("experts").first()
         if row is not None:
@@ -192,7 +193,7 @@ def import_expert(data_dir: str, source: str) -> str:
         raise FileNotFoundError(source)
     if not path.is_dir():
         raise NotADirectoryError(source)
-    if not (path / "experts").is_dir():
+    if not (path / "_versions").is_dir():
         raise InvalidIndexError(source)
     target = _folder(data_dir, path.name)
     if target.exists() or target.is_symlink():

@@ -14,10 +14,8 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Tokens of one unit of cost, tokens for each GB of memory when embedding and reranking, GB that a CPU counts as.
 UNIT_TOKENS, EMBED_TOKENS_PER_GB, RERANK_TOKENS_PER_GB, CPU_GB = 256, 12_288, 6_144, 2
@@ -222,15 +220,24 @@ def embedding(text: Column, name: str = "hashing", most_tokens: int = EMBED_TOKE
     return run(text)
 
 
-def rerank(df: DataFrame, query: str, key: str, text: str, name: str = "lexical") -> DataFrame:
-    """key and rerank_score: texts cut into slices, each scored against the query, the best slice counts."""
+def _score_rows(model: Reranker, query: str, texts: list[str], most_tokens: int) -> list[float]:
+    """Scores of texts, in batches whose cost, with the query before each text, stays within the memory."""
+    own, out = len(query.encode()) // 4, [0.0] * len(texts)
+    for batch in pack((own + len(t.encode()) // 4 for t in texts), most_tokens):
+        for i, s in zip(batch, model.scores(query, [texts[i] for i in batch]), strict=True):
+            out[i] = s
+    return out
+
+
+def rerank(df: DataFrame, query: str, key: str, text: str, name: str = "lexical", most_tokens: int = RERANK_TOKENS_PER_GB * CPU_GB) -> DataFrame:
+    """key and rerank_score: texts cut into slices, each scored against the query in batches of tokens, the best slice counts."""
     make = RERANKERS[name] if name in RERANKERS else create(RERANKERS, name)
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
         for texts in batches:
-            yield pd.Series(model.scores(query, texts.tolist()), index=texts.index)
+            yield pd.Series(_score_rows(model, query, texts.tolist(), most_tokens), index=texts.index)
 
     last = F.greatest(F.lit(0), F.ceil(F.length("t") / RERANK_CHARS).cast("int") - 1)
     parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("t", i * RERANK_CHARS + 1, F.lit(RERANK_CHARS)))
@@ -248,24 +255,3 @@ def hashed_counts(df: DataFrame, key: str, text: str, dimension: int = 512) -> D
     cut = sorted_.select(key, "b", starts.alias("s"), F.size("b").alias("size"))
     each = F.transform("s", lambda i, k: F.struct(F.get("b", i).alias("bucket"), (F.coalesce(F.get("s", k + 1), F.col("size")) - i).cast("int").alias("n")))
     return cut.select(key, F.inline(each))
-
-
-def batch_numbers(df: DataFrame, group: str, order: str, tokens: str, most_tokens: int) -> DataFrame:
-    """group, order and batch_no of every row, packed in order inside its group (a group is what one worker would embed).
-
-    Groups are dealt to tasks and sorted; a task reads its rows as a stream and holds the open batch's cost alone.
-    """
-    names = (group, order, "batch_no")
-    schema = T.StructType([df.schema[group], df.schema[order], T.StructField("batch_no", T.IntegerType())])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, held = Packer(most_tokens), None
-        for b in batches:
-            numbers = []
-            for g, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if held is None or held[0] != g:
-                    packer, held = Packer(most_tokens), (g,)
-                numbers.append(packer.place(n or 0))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(numbers, pa.int32())], names=list(names))
-
-    return df.select(group, order, tokens).repartition(group).sortWithinPartitions(group, order).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import models, text
 from spindrift.operators import rank, relational, store, vector
-from spindrift.plans import conversation
+from spindrift.plans import conversation, packing
 from spindrift.plans import derived as d
 from spindrift.plans import search as s
 from spindrift.plans.registry import ORACLES, QUERIES, query
@@ -335,17 +335,33 @@ def is_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.is_binary(F.col("text")).alias("is_binary"))
 
 
-@query(
-    "WITH RECURSIVE t AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, doc_id, greatest(1.0, (octet_length(encode(coalesce(text, ''))) // 4) / 256.0) ** 2 AS c FROM documents), "
-    "f AS (SELECT source, i, doc_id, CASE WHEN c > 24 THEN -1 ELSE 0 END AS open, CASE WHEN c > 24 THEN 0.0 ELSE c END AS used, 0 AS b, 1 AS next FROM t WHERE i = 1 UNION ALL "
-    "SELECT t.source, t.i, t.doc_id, CASE WHEN c > 24 THEN open WHEN open >= 0 AND used + c <= 24 THEN open ELSE next END, "
-    "CASE WHEN c > 24 THEN used WHEN open >= 0 AND used + c <= 24 THEN used + c ELSE c END, "
-    "CASE WHEN c <= 24 AND open >= 0 AND used + c <= 24 THEN open ELSE next END, CASE WHEN c <= 24 AND open >= 0 AND used + c <= 24 THEN next ELSE next + 1 END "
-    "FROM f JOIN t ON t.source = f.source AND t.i = f.i + 1) SELECT source, doc_id, b::INTEGER AS batch_no FROM f"
-)
+def _packed_sql(group: str, capacity: int) -> str:
+    """The packer row by row; ``group`` is an expression of the documents."""
+    return (
+        f"WITH RECURSIVE t AS (SELECT {group} AS source, row_number() OVER (PARTITION BY {group} ORDER BY doc_id) AS i, doc_id, greatest(1.0, (octet_length(encode(coalesce(text, ''))) // 4) / 256.0) ** 2 AS c FROM documents), "
+        f"f AS (SELECT source, i, doc_id, CASE WHEN c > {capacity} THEN -1 ELSE 0 END AS open, CASE WHEN c > {capacity} THEN 0.0 ELSE c END AS used, 0 AS b, 1 AS next FROM t WHERE i = 1 UNION ALL "
+        f"SELECT t.source, t.i, t.doc_id, CASE WHEN c > {capacity} THEN open WHEN open >= 0 AND used + c <= {capacity} THEN open ELSE next END, "
+        f"CASE WHEN c > {capacity} THEN used WHEN open >= 0 AND used + c <= {capacity} THEN used + c ELSE c END, "
+        f"CASE WHEN c <= {capacity} AND open >= 0 AND used + c <= {capacity} THEN open ELSE next END, CASE WHEN c <= {capacity} AND open >= 0 AND used + c <= {capacity} THEN next ELSE next + 1 END "
+        "FROM f JOIN t ON t.source = f.source AND t.i = f.i + 1) SELECT source, doc_id, b::INTEGER AS batch_no FROM f"
+    )
+
+
+def _token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.table(spark, sf_dir, "documents").select("source", "doc_id", text.token_estimate(F.coalesce("text", F.lit(""))).alias("tokens"))
+
+
+@query(_packed_sql("source", 24))
 def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = d.table(spark, sf_dir, "documents").select("source", "doc_id", text.token_estimate(F.coalesce("text", F.lit(""))).alias("tokens"))
-    return models.batch_numbers(docs, "source", "doc_id", "tokens", 24 * 256)
+    return packing.batch_numbers(_token_counts(spark, sf_dir), "source", "doc_id", "tokens", 24 * 256)
+
+
+@query(_packed_sql("'all'", 96))
+def token_batches_of_one_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one group, in pieces that are numbered side by side."""
+    one = _token_counts(spark, sf_dir).withColumn("source", F.lit("all"))
+    return packing.batch_numbers(one, "source", "doc_id", "tokens", 96 * 256, piece_rows=64, fan=4)
+
 
 
 _LISTED = f"{d.CHANGELISTS_SQL}, {d.FILES_SQL}, fl AS (SELECT changelist_id AS id, array_agg(file_path ORDER BY file_path) AS files FROM cf GROUP BY 1), m AS (SELECT cl.id, ts, author, message, coalesce(files, []) AS files FROM cl LEFT JOIN fl ON fl.id = cl.id)"

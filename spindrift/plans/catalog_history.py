@@ -13,10 +13,10 @@ from spindrift import api
 from spindrift.operators import relational
 from spindrift.operators.store import Store
 from spindrift.plans import derived as d
-from spindrift.plans import indexing
+from spindrift.plans import indexing, vector_index
 from spindrift.plans.registry import literal_rows, query
 from spindrift.plans.scratch import folder
-from spindrift.schemas import EXPERTS
+from spindrift.schemas import EXPERTS, TABLES
 from spindrift.sources import history, perforce
 from spindrift.sources.detect import detect
 from spindrift.streaming.feed import index_workspace
@@ -132,7 +132,7 @@ def git_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _commits(spark, sf_dir, table="content").union(absent)
 
 
-@query(literal_rows({"path": "VARCHAR", "kind": "VARCHAR"}, [("workspace", "git"), ("parent", None), ("blank", None), ("none", None)]))
+@query(literal_rows({"path": "VARCHAR", "kind": "VARCHAR"}, [("workspace", "git"), ("parent", None), ("blank", None), ("none", None)]), fixed=True)
 def detected_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _workspace(spark, sf_dir)
     return spark.createDataFrame([("workspace", detect(at)), ("parent", detect(str(Path(at).parent))), ("blank", detect(" ")), ("none", detect(None))], "path string, kind string")
@@ -227,7 +227,7 @@ def p4_local_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.table(spark, sf_dir, "part").select("p_partkey", perforce.local_path(depot, _MAPPING).alias("path"))
 
 
-@query(literal_rows({"path": "VARCHAR", "here": "BOOLEAN"}, [("/home/ada/ws/src", True), ("/home/ada", False), ("no client", False)]))
+@query(literal_rows({"path": "VARCHAR", "here": "BOOLEAN"}, [("/home/ada/ws/src", True), ("/home/ada", False), ("no client", False)]), fixed=True)
 def p4_client_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a path lies in the root that ``p4 info`` tells."""
     root = perforce.client_root("User name: ada\nClient root: /home/ada/ws\nServer: x\n")
@@ -252,13 +252,11 @@ def _prompts(spark: SparkSession, sf_dir: str, column: str, where: str) -> DataF
 _CUST = "SELECT c_custkey::VARCHAR AS id, {0} AS prompt FROM customer"
 
 
-@query(literal_rows({"name": "VARCHAR", "n": "BIGINT"}, [(t, 0) for t in ("changelist_files", "changelists", "experts", "file_chunks", "file_contents", "prompt_cache", "vectors")]))
+@query(literal_rows({"name": "VARCHAR", "n": "BIGINT"}, [(t, 0) for t in ("changelist_files", "changelists", "experts", "file_chunks", "file_contents", "prompt_cache", "vector_books", "vector_cells", "vector_codes", "vectors")]), fixed=True)
 def store_created(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables of a new store, made twice."""
     own = _store(spark, "created")
     own.create()
-    from spindrift.schemas import TABLES
-
     out = None
     for t in sorted(TABLES):
         one = own.table(t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n")
@@ -347,6 +345,80 @@ def remaining_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.page_after(orders, None, relational.remaining(100, orders.count(), 40), "o_orderkey", ("o_orderkey",))
 
 
+@query(_CUST.format("CASE WHEN c_nationkey < 5 THEN c_mktsegment ELSE c_name END") + " WHERE c_nationkey < 5 OR c_nationkey >= 10")
+def store_replay_after_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A write that a base has folded, once more with other rows: those that it doesn't bring again are gone."""
+    own = _store(spark, "replayed")
+    own.upsert("prompt_cache", _prompts(spark, sf_dir, "c_name", "c_nationkey < 10"), 5)
+    own.upsert("prompt_cache", _prompts(spark, sf_dir, "c_name", "c_nationkey >= 10"), 6)
+    own.compact("prompt_cache")
+    own.upsert("prompt_cache", _prompts(spark, sf_dir, "c_mktsegment", "c_nationkey < 5"), 5)
+    return own.table("prompt_cache")
+
+
+@query(
+    "WITH n AS (SELECT count(*) AS c, (SELECT count(*) FROM embeddings) AS v FROM customer) SELECT * FROM (SELECT 'before' AS seen, 0::BIGINT AS prompts, 0::BIGINT AS vectors UNION ALL "
+    "SELECT 'between two writes', 0, 0 UNION ALL SELECT 'in the transaction', c, 0 FROM n UNION ALL SELECT 'after', c, v FROM n UNION ALL SELECT 'the version before', 0, 0 UNION ALL SELECT 'after a broken one', c, v FROM n)"
+)
+def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What readers see of a batch of two tables before, between and after its writes, and of one that breaks off."""
+    own = _store(spark, "versions")
+    counts = lambda name, at: at.table("prompt_cache").agg(F.lit(name).alias("seen"), F.count(F.lit(1)).alias("prompts")).crossJoin(at.table("vectors").agg(F.count(F.lit(1)).alias("vectors")))
+    prompts = _prompts(spark, sf_dir, "c_name", "true")
+    vectors = d.table(spark, sf_dir, "embeddings").select(F.lit("diffs").alias("collection"), F.col("vec_id").cast("string").alias("id"), "embedding")
+    first = own.snapshot()
+    seen = [counts("before", first)]
+    with own.transaction(1, 9) as t:
+        t.upsert("prompt_cache", prompts)
+        seen.append(counts("between two writes", Store(spark, own.root).snapshot()))
+        seen.append(counts("in the transaction", t.snapshot()))
+        t.upsert("vectors", vectors)
+    seen += [counts("after", own.snapshot()), counts("the version before", first)]
+    broken = own.transaction(10, 19)
+    broken.delete("vectors", F.lit(True))
+    broken.abort()
+    seen.append(counts("after a broken one", own.snapshot()))
+    out = seen[0]
+    for one in seen[1:]:
+        out = out.union(one)
+    return out
+
+
+@query(f"WITH {d.CHANGELISTS_SQL}, top AS (SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_name LIMIT 20) SELECT id, author, CASE WHEN id::BIGINT % 2 = 0 THEN 'new' ELSE message END AS message FROM cl "
+       "WHERE author IN (SELECT c_name FROM top)")
+def store_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changelists of the twenty customers with most, looked up by author in a base and a log with newer rows of half of all."""
+    own = _store(spark, "lookups")
+    rows = d.changelists(spark, sf_dir, files=False)
+    full = rows.select(*(c if c in rows.columns else F.lit(None).alias(c) for c in TABLES["changelists"].fieldNames()))
+    own.upsert("changelists", full, 1)
+    own.compact("changelists")
+    own.upsert("changelists", full.where("id % 2 = 0").withColumn("message", F.lit("new")), 2)
+    names = [r.c_name for r in d.table(spark, sf_dir, "customer").orderBy(F.desc("c_acctbal"), "c_name").select("c_name").limit(20).collect()]
+    return own.lookup("changelists", "author", names).select("id", "author", "message")
+
+
+@query(
+    "WITH v AS (SELECT vec_id::VARCHAR AS id, CASE WHEN vec_id % 9 = 4 THEN list_transform(embedding::DOUBLE[], lambda x: -x) ELSE embedding::DOUBLE[] END AS e FROM embeddings WHERE vec_id % 11 <> 5), "
+    "q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 1) SELECT v.id, round(greatest(0, least(1, list_cosine_similarity(v.e, q.e))), 6) AS score FROM v, q ORDER BY score DESC, v.id LIMIT 25"
+)
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all vectors, then changed and deleted ones: with all cells and candidates enough its answer is the exact scan's."""
+    own, name = _store(spark, "indexed-vectors"), "diffs"
+    every = d.table(spark, sf_dir, "embeddings").select(F.lit(name).alias("collection"), F.col("vec_id").cast("string").alias("id"), "embedding")
+    own.upsert("vectors", every, 1)
+    vector_index.build(own, name)
+    with own.transaction(2, 9) as t:
+        t.upsert("vectors", every.where("id % 9 = 4").withColumn("embedding", F.transform("embedding", lambda x: -x)))
+        vector_index.maintain(t, 2)
+        gone = every.where("id % 11 = 5").select("collection", "id")
+        t.delete("vectors", gone, 3)
+        t.delete("vector_codes", gone, 3)
+    query = list(d.table(spark, sf_dir, "embeddings").where("vec_id = 1").first().embedding)
+    found = vector_index.top_k(own.snapshot(), name, query, 25, vector_index.MOST_CELLS, refine=20)
+    return found.select("id", F.round("score", 6).alias("score"))
+
+
 # --- an index of the workspace, made in batches
 
 
@@ -416,7 +488,7 @@ def listed_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, vcs_type string, commit_count long, linked boolean")
 
 
-@query(literal_rows({"tried": "VARCHAR", "error": "VARCHAR"}, [("not there", "FileNotFoundError"), ("a file", "NotADirectoryError"), ("no index", "InvalidIndexError"), ("known", "ExpertExistsError"), ("unknown index", "ExpertNotFoundError"), ("bad name", "ValueError")]))
+@query(literal_rows({"tried": "VARCHAR", "error": "VARCHAR"}, [("not there", "FileNotFoundError"), ("a file", "NotADirectoryError"), ("no index", "InvalidIndexError"), ("known", "ExpertExistsError"), ("unknown index", "ExpertNotFoundError"), ("bad name", "ValueError")]), fixed=True)
 def surface_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     _indexed(spark, sf_dir)
     data, at = _MADE[(spark.sparkContext.applicationId, sf_dir, "index")], _workspace(spark, sf_dir)
@@ -453,7 +525,7 @@ def prompted_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("".join(pieces), len(pieces), whole.usage.input_tokens > 0)], "answer string, pieces long, counted boolean")
 
 
-@query(literal_rows({"step": "VARCHAR", "made": "VARCHAR"}, [("new", ""), ("store asked for", "store"), ("engine asked for", "engine store"), ("closed", "")]))
+@query(literal_rows({"step": "VARCHAR", "made": "VARCHAR"}, [("new", ""), ("store asked for", "store"), ("engine asked for", "engine store"), ("closed", "")]), fixed=True)
 def lazy_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a context holds after each step."""
     _indexed(spark, sf_dir)

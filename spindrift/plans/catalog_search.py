@@ -129,7 +129,7 @@ def distinct_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.distinct_results(rows).select("result_id", "source")
 
 
-@query(literal_rows({"settings": "VARCHAR", "fails": "BOOLEAN"}, [("empty prompt", True), ("no changes", True), ("101 chunks", True), ("unknown scope", True), ("good", False)]))
+@query(literal_rows({"settings": "VARCHAR", "fails": "BOOLEAN"}, [("empty prompt", True), ("no changes", True), ("101 chunks", True), ("unknown scope", True), ("good", False)]), fixed=True)
 def query_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     tried = {"empty prompt": {"prompt": " "}, "no changes": {"prompt": "x", "max_changes": 0}, "101 chunks": {"prompt": "x", "max_file_chunks": 101}, "unknown scope": {"prompt": "x", "scope": "y"}, "good": {"prompt": " x "}}
     rows = []
@@ -243,7 +243,7 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.messages(commits, "why?", paired=True, most=5).select("seq", "id", "role", "content")
 
 
-@query(literal_rows({"mode": "VARCHAR", "starts": "VARCHAR", "playful": "BOOLEAN"}, [("normal", "You advise developers", False), ("playful", "You advise developers", True)]))
+@query(literal_rows({"mode": "VARCHAR", "starts": "VARCHAR", "playful": "BOOLEAN"}, [("normal", "You advise developers", False), ("playful", "You advise developers", True)]), fixed=True)
 def system_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(mode, (t := conversation.system_prompt(mode == "playful"))[:21], "saboteur" in t) for mode in ("normal", "playful")]
     return spark.createDataFrame(rows, "mode string, starts string, playful boolean")

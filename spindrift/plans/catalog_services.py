@@ -149,7 +149,7 @@ def generated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FAILURES = [("ThrottlingException", "", "ThrottledError"), ("429", "", "ThrottledError"), ("", "rate limit reached", "ThrottledError"), ("ValidationException", "", "InvalidRequestError"), ("400", "bad", "InvalidRequestError"), ("500", "oops", "GenerationError"), ("", "", "GenerationError")]
 
 
-@query(literal_rows({"code": "VARCHAR", "message": "VARCHAR", "error": "VARCHAR"}, _FAILURES))
+@query(literal_rows({"code": "VARCHAR", "message": "VARCHAR", "error": "VARCHAR"}, _FAILURES), fixed=True)
 def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(code, message, type(models.classify_failure(code, message)).__name__) for code, message, _ in _FAILURES]
     return spark.createDataFrame(rows, "code string, message string, error string")
@@ -162,7 +162,8 @@ def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
             ("openai", "OPENAI_API_KEY", "ChatCompletions", "https://api.openai.com/v1"), ("openrouter", "OPENROUTER_API_KEY", "ChatCompletions", "https://openrouter.ai/api/v1"),
             ("ollama", None, "ChatCompletions", "http://127.0.0.1:11434/v1"), ("bedrock", "region", "Converse", None), ("claude-code", "client", "CommandLine", None), ("echo", None, "EchoGenerator", None), ("other", "name", None, None),
         ],
-    )
+    ),
+    fixed=True,
 )
 def provider_factory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each provider needs, by leaving it out, and what is made of it."""
@@ -192,7 +193,8 @@ def _fails(settings: providers.Settings) -> bool:
             ("bedrock", "global.anthropic.claude-sonnet-4-5-20250929-v1:0", "us.amazon.nova-lite-v1:0"), ("openai", "gpt-5", "gpt-5-mini"), ("openrouter", "minimax/minimax-m2:free", "meta-llama/llama-3.3-70b-instruct:free"),
             ("ollama", "deepseek-coder-v2:16b", "qwen2.5-coder:7b"), ("claude-code", "claude-sonnet-4-5", "claude-haiku-4-5"),
         ],
-    )
+    ),
+    fixed=True,
 )
 def provider_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(p, providers.default_model(p), providers.default_model(p, "promptgen")) for p in providers.MODELS]
@@ -204,7 +206,8 @@ _SETS = [(a, b, c, cloud, client, local) for a in (0, 1) for b in (0, 1) for c i
 
 @query(
     "SELECT a, b, c, cloud, client, local, CASE WHEN a + b + c > 1 THEN 'error' WHEN a = 1 THEN 'openai' WHEN b = 1 THEN 'openrouter' WHEN c = 1 OR cloud = 1 THEN 'bedrock' WHEN client = 1 THEN 'claude-code' WHEN local = 1 THEN 'ollama' ELSE 'error' END AS found "
-    "FROM (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b), (SELECT unnest([0, 1]) AS c), (SELECT unnest([0, 1]) AS cloud), (SELECT unnest([0, 1]) AS client), (SELECT unnest([0, 1]) AS local)"
+    "FROM (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b), (SELECT unnest([0, 1]) AS c), (SELECT unnest([0, 1]) AS cloud), (SELECT unnest([0, 1]) AS client), (SELECT unnest([0, 1]) AS local)",
+    fixed=True,
 )
 def provider_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which provider is chosen for every combination of what there may be."""
@@ -219,7 +222,7 @@ def provider_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "a int, b int, c int, cloud int, client int, local int, found string")
 
 
-@query("SELECT CAST(i AS BIGINT) AS n, CASE WHEN i < 2 THEN 'prompt' ELSE 'embedding' END AS category, 'answer ' || i AS content FROM range(4) t(i)")
+@query("SELECT CAST(i AS BIGINT) AS n, CASE WHEN i < 2 THEN 'prompt' ELSE 'embedding' END AS category, 'answer ' || i AS content FROM range(4) t(i)", fixed=True)
 def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logged calls, read again."""
     at = folder(spark, "call-log")
@@ -238,7 +241,7 @@ _PARAMETERS = [
 ]
 
 
-@query(literal_rows({"tool": "VARCHAR", "parameter": "VARCHAR", "required": "BOOLEAN", "usual": "VARCHAR"}, _PARAMETERS))
+@query(literal_rows({"tool": "VARCHAR", "parameter": "VARCHAR", "required": "BOOLEAN", "usual": "VARCHAR"}, _PARAMETERS), fixed=True)
 def tool_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tools as the server lists them."""
     reply = tools.answer(spark, folder(spark, "no-indexes"), {"id": 1, "method": "tools/list"})
@@ -250,7 +253,7 @@ def tool_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "tool string, parameter string, required boolean, usual string")
 
 
-@query("SELECT i::INTEGER AS results, greatest(1, CAST(ceil(i / 2) AS INTEGER)) AS changes, greatest(1, i // 2)::INTEGER AS chunks FROM range(1, 41) t(i)")
+@query("SELECT i::INTEGER AS results, greatest(1, CAST(ceil(i / 2) AS INTEGER)) AS changes, greatest(1, i // 2)::INTEGER AS chunks FROM range(1, 41) t(i)", fixed=True)
 def tool_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(i, *tools.budgets(i).values()) for i in range(1, 41)]
     return spark.createDataFrame(rows, "results int, changes int, chunks int")
@@ -265,7 +268,7 @@ _OPTIONS = [
 ]
 
 
-@query(literal_rows({"command": "VARCHAR", "option": "VARCHAR", "usual": "VARCHAR"}, _OPTIONS))
+@query(literal_rows({"command": "VARCHAR", "option": "VARCHAR", "usual": "VARCHAR"}, _OPTIONS), fixed=True)
 def command_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The options of the command line with their defaults."""
     top = cli.parser()
@@ -281,6 +284,6 @@ def command_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EXPORTS = "Context EMBEDDERS Engine EngineError ExpertExistsError ExpertNotFoundError GENERATORS Generated InvalidIndexError NoResultsError QueryParams RERANKERS Settings Store Usage import_expert list_experts populate prompt_expert prompt_expert_stream prompt_expert_stream_async query_expert register"
 
 
-@query(literal_rows({"name": "VARCHAR", "there": "BOOLEAN"}, [(n, True) for n in _EXPORTS.split()]))
+@query(literal_rows({"name": "VARCHAR", "there": "BOOLEAN"}, [(n, True) for n in _EXPORTS.split()]), fixed=True)
 def exported_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, getattr(spindrift, n) is not None) for n in spindrift.__all__], "name string, there boolean")

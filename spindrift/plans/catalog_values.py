@@ -152,7 +152,7 @@ def hosted_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", v).select("doc_id", F.col("v")[0].cast("double").alias("a"), F.col("v")[1].cast("double").alias("b"))
 
 
-@query(literal_rows({"kind": "VARCHAR", "gpu_gb": "DOUBLE", "tokens": "BIGINT", "capacity": "DOUBLE"}, [("embed", 0.0, 24576, 96.0), ("embed", 8.0, 98304, 384.0), ("rerank", 0.0, 12288, 48.0), ("rerank", 1.5, 9216, 36.0)]))
+@query(literal_rows({"kind": "VARCHAR", "gpu_gb": "DOUBLE", "tokens": "BIGINT", "capacity": "DOUBLE"}, [("embed", 0.0, 24576, 96.0), ("embed", 8.0, 98304, 384.0), ("rerank", 0.0, 12288, 48.0), ("rerank", 1.5, 9216, 36.0)]), fixed=True)
 def token_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = {"embed": models.EMBED_TOKENS_PER_GB, "rerank": models.RERANK_TOKENS_PER_GB}
     rows = [(kind, gb, models.budget(per[kind], gb or None)) for kind, gb in (("embed", 0.0), ("embed", 8.0), ("rerank", 0.0), ("rerank", 1.5))]

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from spindrift.functions import text as t
 from spindrift.functions.models import embedding
 from spindrift.operators import relational
-from spindrift.operators.store import Store
+from spindrift.operators.store import Store, Transaction
+from spindrift.plans import vector_index
 from spindrift.schemas import DIFFS, FILES, METADATA
 
 CHUNK_CHARS, LEAST_CHARS = 4096, 128
@@ -42,14 +43,30 @@ def file_chunks(contents: DataFrame, revision: str) -> DataFrame:
     return parts.withColumn("id", t.chunk_id(F.col("file_path"), F.col("chunk_index"))).withColumn("revision_id", F.lit(revision))
 
 
-def index_batch(store: Store, commits: DataFrame, seq: int, name: str, contents: Contents | None, tracked: DataFrame | None, model: str = "hashing", sanitize: bool = True) -> int:
-    """Writes one batch of changelists (ordinal, id, ts, author, message, diff, files) under the number ``seq``; returns how many.
+def own_numbers(seq: int) -> tuple[int, int]:
+    """The numbers that belong to the batch ``seq``."""
+    return seq << SEQ_BITS, (seq + 1 << SEQ_BITS) - 1
 
-    A replay with the same number rewrites the same rows; between two batches there is room for other writes. Files are read as of the batch's last changelist; a touched file's old
-    chunks all go, whether it is there still or not.
+
+def index_batch(store: Store, commits: DataFrame, seq: int, name: str, contents: Contents | None, tracked: DataFrame | None, model: str = "hashing", sanitize: bool = True, moves: bool = False) -> int:
+    """Writes one batch of changelists (ordinal, id, ts, author, message, diff, files) under the number ``seq``; returns how many. ``moves``: and moves the
+    index's cursor over them.
+
+    All tables change in one commit. A replay with the same number replaces the same rows; between two batches there is room for other writes. Files are
+    read as of the batch's last changelist; a touched file's old chunks all go, whether it is there still or not.
     """
-    at = seq << SEQ_BITS
-    rows = commits.withColumn("diff", t.filter_binary(F.col("diff"))["diff"]).where(F.trim("diff") != "")
+    with store.transaction(*own_numbers(seq)) as own:
+        return _write_batch(own, commits, name, contents, tracked, model, sanitize, moves)
+
+
+def _write_batch(store: Transaction, commits: DataFrame, name: str, contents: Contents | None, tracked: DataFrame | None, model: str, sanitize: bool, moves: bool) -> int:
+    at = store.own[0]
+    rows = commits.withColumn("diff", t.filter_binary(F.col("diff"))["diff"])
+    if moves:
+        ends = commits.agg(F.min_by("id", "ordinal"), F.max_by("id", "ordinal")).first()
+        if ends[0] is not None:
+            advance(store, name, *ends)
+    rows = rows.where(F.trim("diff") != "")
     rows = rows.withColumn("expert_name", F.lit(name)).withColumn("review_comments", F.lit(None).cast("string")).persist()
     try:
         last = rows.agg(F.max_by("id", "ordinal"), F.count(F.lit(1))).first()
@@ -63,7 +80,9 @@ def index_batch(store: Store, commits: DataFrame, seq: int, name: str, contents:
             chunks = file_chunks(contents(there, last[0]), last[0]).persist()
             old = store.table("file_chunks").join(touched, "file_path", "left_semi").select("id")
             stale = old.join(chunks.select("id"), "id", "left_anti").persist()
-            store.delete("vectors", stale.withColumn("collection", F.lit(FILES)).select("collection", "id"), at + 1)
+            gone_vectors = stale.withColumn("collection", F.lit(FILES)).select("collection", "id")
+            store.delete("vectors", gone_vectors, at + 1)
+            store.delete("vector_codes", gone_vectors, at + 1)
             store.delete("file_chunks", stale, at + 1)
             gone = store.table("file_contents").join(touched, "file_path", "left_semi").join(chunks.select("file_path"), "file_path", "left_anti").select("file_path")
             store.delete("file_contents", gone, at + 1)
@@ -79,12 +98,13 @@ def index_batch(store: Store, commits: DataFrame, seq: int, name: str, contents:
         both = own if vectors is None else vectors if own is None else own.union(vectors)
         if both is not None:
             store.upsert("vectors", both, at)
+            vector_index.maintain(store, at)
         return last[1]
     finally:
         rows.unpersist()
 
 
-def advance(store: Store, name: str, first: str, last: str) -> None:
+def advance(store: Store | Transaction, name: str, first: str, last: str) -> None:
     """Moves the cursor; the first changelist ever processed stays, and so does the last of the first batch."""
     e = store.table("experts").where(F.col("name") == name)
     moved = e.withColumn("last_processed", F.lit(last)).withColumn("first_processed", F.coalesce("first_processed", F.lit(first)))

@@ -11,15 +11,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Those whose rows are the same whatever the tables hold: tests run them, the entry doesn't register them.
+FIXED: dict[str, Query] = {}
+FIXED_ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a function by its name, with the SQL for the same rows."""
+def query(sql: str | None = None, fixed: bool = False) -> Callable[[Query], Query]:
+    """Registers a function by its name, with the SQL for the same rows. ``fixed``: they don't depend on the tables."""
 
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        (FIXED if fixed else QUERIES)[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            (FIXED_ORACLES if fixed else ORACLES)[f.__name__] = sql
         return f
 
     return add

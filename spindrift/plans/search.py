@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -12,6 +13,7 @@ from spindrift.functions.models import EMBEDDERS, create, rerank
 from spindrift.functions.text import metadata_text
 from spindrift.operators import rank, vector
 from spindrift.operators.store import Store
+from spindrift.plans import vector_index
 from spindrift.schemas import DIFFS, FILES, METADATA
 
 SCOPES = {"all": (True, True, True), "metadata": (True, False, False), "diffs": (False, True, False), "files": (False, False, True)}
@@ -33,6 +35,7 @@ class QueryParams:
     reranker: str | None = "lexical"
     file_pooling: str = "last"
     prefilter: bool = False
+    probes: int = 0
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "prompt", self.prompt.strip())
@@ -41,28 +44,34 @@ class QueryParams:
         for name in ("max_changes", "max_file_chunks"):
             if not 1 <= getattr(self, name) <= 100:
                 raise ValueError(f"{name} must be from 1 to 100")
+        if self.probes < 0:
+            raise ValueError("probes must be 0 (the exact scan) or more")
         if self.scope not in SCOPES:
             raise ValueError(f"scope must be one of {', '.join(SCOPES)}")
 
 
-def _scan(vectors: DataFrame, collection: str, query: list[float], k: int) -> DataFrame:
+#: Another way to the nearest vectors: id and score of the k best of a collection.
+Near = Callable[[str, list[float], int], DataFrame]
+
+
+def _scan(vectors: DataFrame, collection: str, query: list[float], k: int, near: Near | None = None) -> DataFrame:
     """vector_id and score of the nearest vectors of a collection, with their rank."""
-    hits = vector.top_k(vectors.where(F.col("collection") == collection).select("id", "embedding"), query, k)
+    hits = near(collection, query, k) if near else vector.top_k(vectors.where(F.col("collection") == collection).select("id", "embedding"), query, k)
     return hits.select(F.col("id").alias("vector_id"), "score")
 
 
-def commit_scores(vectors: DataFrame, query: list[float], k: int, metadata: bool = True, diffs: bool = True) -> DataFrame:
+def commit_scores(vectors: DataFrame, query: list[float], k: int, metadata: bool = True, diffs: bool = True, near: Near | None = None) -> DataFrame:
     """result_id, score, source, vector_id of changelists."""
     none = vectors.sparkSession.createDataFrame([], "vector_id string, score double")
-    m = _scan(vectors, METADATA, query, k) if metadata else none
-    d = _scan(vectors, DIFFS, query, k) if diffs else none
+    m = _scan(vectors, METADATA, query, k, near) if metadata else none
+    d = _scan(vectors, DIFFS, query, k, near) if diffs else none
     pooled = vector.pooled(d.withColumn("result_id", vector.parent_of_diff(F.col("vector_id"))))
     return vector.merged(m.select(F.col("vector_id").alias("result_id"), "score"), pooled)
 
 
-def chunk_scores(vectors: DataFrame, query: list[float], k: int, pooling: str = "last") -> DataFrame:
+def chunk_scores(vectors: DataFrame, query: list[float], k: int, pooling: str = "last", near: Near | None = None) -> DataFrame:
     """result_id (a chunk's vector id), score, source, vector_id: one chunk for each file."""
-    hits = _scan(vectors, FILES, query, k)
+    hits = _scan(vectors, FILES, query, k, near)
     files = vector.file_scores(hits.withColumn("result_id", vector.parent_of_file(F.col("vector_id"))), pooling)
     return files.select(F.col("vector_id").alias("result_id"), "score", F.lit("file").alias("source"), "vector_id")
 
@@ -77,26 +86,32 @@ def _finish(found: DataFrame, p: QueryParams, text: Column, limit: int) -> DataF
     return rank.best(found, limit)
 
 
-def search(store_tables: dict[str, DataFrame], query: list[float], p: QueryParams) -> DataFrame:
+#: How rows of a table come to the results: the results with an id column, the table's name -> the rows with these ids.
+Rows = Callable[[DataFrame, str], tuple[DataFrame, DataFrame]]
+
+
+def search(store_tables: dict[str, DataFrame], query: list[float], p: QueryParams, near: Near | None = None, rows: Rows | None = None) -> DataFrame:
     """One plan from the tables (changelists, file_chunks, vectors) to ordered results of both kinds.
 
-    Columns: result_type, result_id, score, search_score, source, vector_id, and those of changelists or chunks.
+    ``near`` replaces the scan of vectors, ``rows`` the join with whole tables; a prefilter needs both tables and scan. Columns: result_type, result_id, score,
+    search_score, source, vector_id, and those of changelists or chunks.
     """
     metadata, diffs, files = SCOPES[p.scope]
     times = OVERFETCH if p.reranker else 1
     vectors, commits, chunks = store_tables["vectors"], store_tables["changelists"], store_tables["file_chunks"]
     if p.prefilter:  # opt-in: the filters choose among all vectors, not among the nearest
-        vectors = prefiltered(vectors, commits, chunks, p)
+        vectors, near = prefiltered(vectors, commits, chunks, p), None
+    rows = rows or (lambda found, table: (found, store_tables[table]))
     sides = []
     if metadata or diffs:
-        found = rank.best(commit_scores(vectors, query, p.max_changes * times, metadata, diffs), p.max_changes * times)
-        found = found.join(commits.withColumnRenamed("id", "result_id"), "result_id")
+        found, own = rows(rank.best(commit_scores(vectors, query, p.max_changes * times, metadata, diffs, near), p.max_changes * times), "changelists")
+        found = found.join(own.withColumnRenamed("id", "result_id"), "result_id")
         found = rank.touching_files(rank.by_users(found, p.users), p.files)
         text = metadata_text(F.col("message"), F.col("files"), F.col("review_comments"))
         sides.append(_finish(found, p, text, p.max_changes).withColumn("result_type", F.lit("commit")))
     if files:
-        found = rank.best(chunk_scores(vectors, query, p.max_file_chunks * times, p.file_pooling), p.max_file_chunks * times)
-        found = rank.in_files(found.join(chunks.withColumnRenamed("id", "result_id"), "result_id"), p.files)
+        found, own = rows(rank.best(chunk_scores(vectors, query, p.max_file_chunks * times, p.file_pooling, near), p.max_file_chunks * times), "file_chunks")
+        found = rank.in_files(found.join(own.withColumnRenamed("id", "result_id"), "result_id"), p.files)
         sides.append(_finish(found, p, F.col("content"), p.max_file_chunks).withColumn("result_type", F.lit("file_chunk")))
     if len(sides) == 2:
         return rank.combined(*sides)
@@ -121,8 +136,16 @@ class Engine:
         return create(EMBEDDERS, self.embedder).embed_batch([text])[0]
 
     def search(self, params: QueryParams) -> DataFrame:
-        tables = {t: self.store.table(t) for t in ("changelists", "file_chunks", "vectors")}
-        return search(tables, self.embed(params.prompt), params)
+        """The results in the store's newest version. The best rows of each side (300 at most) come to the driver, and theirs alone are looked up."""
+        at = self.store.snapshot()
+
+        def rows(found: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
+            best = found.collect()
+            return self.spark.createDataFrame(best, found.schema), at.lookup(table, "id", [r.result_id for r in best])
+
+        near = (lambda collection, query, k: vector_index.top_k(at, collection, query, k, params.probes)) if params.probes else None
+        tables = {t: at.table(t) for t in ("changelists", "file_chunks", "vectors")}
+        return search(tables, self.embed(params.prompt), params, near, rows)
 
 
 def table_rows(results: DataFrame, debug: bool = False) -> DataFrame:

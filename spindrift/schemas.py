@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql.types import (
-    ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType, TimestampType,
+    ArrayType, BinaryType, BooleanType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType, TimestampType,
 )
 
 
@@ -26,6 +26,10 @@ FILE_CHUNKS = _table(
     id=StringType, file_path=StringType, chunk_index=IntegerType, content=StringType, line_start=IntegerType, line_end=IntegerType, revision_id=StringType,
 )
 VECTORS = _table(collection=StringType, id=StringType, embedding=ArrayType(FloatType()))
+#: An index of vectors: the centres of a collection's cells, the centres of the parts of what is left, and every vector's cell and code.
+VECTOR_CELLS = _table(collection=StringType, cell=IntegerType, centre=ArrayType(FloatType()))
+VECTOR_BOOKS = _table(collection=StringType, part=IntegerType, centres=ArrayType(ArrayType(FloatType())))
+VECTOR_CODES = _table(collection=StringType, id=StringType, cell=IntegerType, code=BinaryType)
 PROMPT_CACHE = _table(id=StringType, prompt=StringType)
 EXPERTS = _table(
     name=StringType, workspace_path=StringType, subdirs=STRINGS, vcs_type=StringType, created_at=TimestampType,
@@ -45,6 +49,9 @@ KEYS: dict[str, tuple[str, ...]] = {
     "vectors": ("collection", "id"),
     "prompt_cache": ("id",),
     "experts": ("name",),
+    "vector_cells": ("collection", "cell"),
+    "vector_books": ("collection", "part"),
+    "vector_codes": ("collection", "id"),
 }
 TABLES: dict[str, StructType] = {
     "changelists": CHANGELISTS,
@@ -54,5 +61,8 @@ TABLES: dict[str, StructType] = {
     "vectors": VECTORS,
     "prompt_cache": PROMPT_CACHE,
     "experts": EXPERTS,
+    "vector_cells": VECTOR_CELLS,
+    "vector_books": VECTOR_BOOKS,
+    "vector_codes": VECTOR_CODES,
 }
 SEARCH_HITS = _table(result_id=StringType, score=DoubleType, source=StringType, vector_id=StringType)

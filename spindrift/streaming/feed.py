@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spindrift.operators import relational
 from spindrift.operators.relational import remaining
 from spindrift.operators.store import Store
-from spindrift.plans.indexing import advance, index_batch
+from spindrift.plans.indexing import index_batch, own_numbers
 from spindrift.schemas import EXPERTS
 from spindrift.sources import history
 from spindrift.sources.git import UnknownCommitError
@@ -46,7 +46,7 @@ def index_workspace(
 ) -> int:
     """Indexes what is new in a workspace; returns how many changelists.
 
-    Each batch is a run of a stream from the index's cursor, which the batch moves when it is written; its end is set beforehand, so a limit
+    Each batch is a run of a stream from the index's cursor, which moves in the same commit as the batch's tables; its end is set beforehand, so a limit
     skips nothing. The run's checkpoint lies beside the tables: a batch that was cut off is replayed under its own number.
     """
     history.register(spark)
@@ -65,8 +65,7 @@ def index_workspace(
         if ends[0] is not None:
             tracked = spark.createDataFrame([(p,) for p in own.tracked(path, ends[1], subdirs)], "file_path string")
             # numbered by position, so a replay and a restart with another checkpoint write in the order of the history
-            done += index_batch(store, rows, ends[2] + 1, name, contents_at(path, kind, command), tracked, model, sanitize)
-            advance(store, name, ends[0], ends[1])
+            done += index_batch(store, rows, ends[2] + 1, name, contents_at(path, kind, command), tracked, model, sanitize, moves=True)
         rows.unpersist()
 
     options = {"provider": kind, **({"command": command} if command else {}), "path": path, "subdirs": ",".join(subdirs), "batch_size": str(batch_size)}
@@ -77,6 +76,6 @@ def index_workspace(
         run = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         run.awaitTermination()
         store.remove(checkpoint)
-        store.tidy()
+        store.tidy(last=own_numbers(at + 1)[0])
         at = stop
     return done
