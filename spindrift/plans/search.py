@@ -13,7 +13,7 @@ from spindrift.functions.models import EMBEDDERS, create, rerank
 from spindrift.functions.text import metadata_text
 from spindrift.operators import rank, vector
 from spindrift.operators.store import Store
-from spindrift.plans import vector_index
+from spindrift.plans import learned, vector_index
 from spindrift.schemas import DIFFS, FILES, METADATA
 
 SCOPES = {"all": (True, True, True), "metadata": (True, False, False), "diffs": (False, True, False), "files": (False, False, True)}
@@ -130,7 +130,7 @@ class Engine:
     """An index under ``root`` and the models to search it with."""
 
     def __init__(self, spark: SparkSession, root: str, embedder: str = "hashing"):
-        self.spark, self.store, self.embedder = spark, Store(spark, root), embedder
+        self.spark, self.store, self.embedder = spark, Store(spark, root), learned.use(spark, embedder)
 
     def embed(self, text: str) -> list[float]:
         return create(EMBEDDERS, self.embedder).embed_batch([text])[0]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spindrift.operators import relational
 from spindrift.operators.relational import remaining
 from spindrift.operators.store import Store
+from spindrift.plans import learned
 from spindrift.plans.indexing import index_batch, own_numbers
 from spindrift.schemas import EXPERTS
 from spindrift.sources import history
@@ -50,7 +51,7 @@ def index_workspace(
     skips nothing. The run's checkpoint lies beside the tables: a batch that was cut off is replayed under its own number.
     """
     history.register(spark)
-    own = history.provider(kind, command)
+    own, model = history.provider(kind, command), learned.use(spark, model)
     store.create()
     if store.table("experts").where(F.col("name") == name).isEmpty():
         known = {"name": name, "workspace_path": path, "vcs_type": kind, "subdirs": list(subdirs), "max_commits": max_commits, "embedder": model}
