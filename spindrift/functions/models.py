@@ -229,7 +229,7 @@ def _score_rows(model: Reranker, query: str, texts: list[str], most_tokens: int)
     return out
 
 
-def rerank(df: DataFrame, query: str, key: str, text: str, name: str = "lexical", most_tokens: int = RERANK_TOKENS_PER_GB * CPU_GB) -> DataFrame:
+def rerank(df: DataFrame, query: str, key: str, text: str, name: str = "lexical", most_tokens: int = RERANK_TOKENS_PER_GB * CPU_GB, slice_chars: int = RERANK_CHARS) -> DataFrame:
     """key and rerank_score: texts cut into slices, each scored against the query in batches of tokens, the best slice counts."""
     make = RERANKERS[name] if name in RERANKERS else create(RERANKERS, name)
 
@@ -239,8 +239,8 @@ def rerank(df: DataFrame, query: str, key: str, text: str, name: str = "lexical"
         for texts in batches:
             yield pd.Series(_score_rows(model, query, texts.tolist(), most_tokens), index=texts.index)
 
-    last = F.greatest(F.lit(0), F.ceil(F.length("t") / RERANK_CHARS).cast("int") - 1)
-    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("t", i * RERANK_CHARS + 1, F.lit(RERANK_CHARS)))
+    last = F.greatest(F.lit(0), F.ceil(F.length("t") / slice_chars).cast("int") - 1)
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("t", i * slice_chars + 1, F.lit(slice_chars)))
     slices = df.select(key, F.coalesce(text, F.lit("")).alias("t")).select(key, F.explode(parts).alias("part"))
     return slices.select(key, run("part").alias("s")).groupBy(key).agg(F.max("s").alias("rerank_score"))
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.functions.models import rerank
 from spindrift.operators import rank, relational
-from spindrift.plans import conversation
+from spindrift.plans import conversation, lexical
 from spindrift.plans import derived as d
 from spindrift.plans import search as s
 from spindrift.plans.catalog import _CHUNKS, _LISTED, _chunks
 from spindrift.plans.registry import literal_rows, query, rounded
+from spindrift.plans.scratch import folder
 
 # --- searches: the engine's plan over derived tables
 
@@ -123,6 +125,38 @@ def search_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(s.search(tables, d.query_vector(spark, sf_dir), p).where("result_type = 'commit'").select("result_id", "score"), "score")
 
 
+_BM25 = """WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM documents),
+a AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM d),
+q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)),
+t AS (SELECT doc_id, len(w) AS length, term, count(*) AS n FROM (SELECT doc_id, w, unnest(w) AS term FROM d) JOIN q USING (term) GROUP BY doc_id, w, term),
+f AS (SELECT term, ln(1 + (any_value(docs) - count(*) + 0.5) / (count(*) + 0.5)) AS rare FROM t, a GROUP BY term),
+s AS (SELECT doc_id, sum(rare * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM t JOIN f USING (term), a GROUP BY doc_id)"""
+
+
+def _question(spark: SparkSession, sf_dir: str) -> str:
+    return d.table(spark, sf_dir, "benchmark").orderBy("item_id").first().text
+
+
+def _postings(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    return lexical.build(d.table(spark, sf_dir, "documents"), folder(spark, "postings"), "doc_id", segment=16)
+
+
+@query(f"{_BM25} SELECT doc_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 20")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that say most of a benchmark item, by BM25; segments that can't hold one are skipped."""
+    found = lexical.search(_postings(spark, sf_dir), _question(spark, sf_dir), 20, first=4).rows
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"{_BM25} SELECT d.doc_id, round(coalesce(score, 0), 6) AS score FROM d LEFT JOIN s USING (doc_id)")
+def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document scored by the reranker of a lexical index."""
+    asked, index = _question(spark, sf_dir), _postings(spark, sf_dir)
+    name = lexical.use(spark, f"{lexical.PREFIX}{index.path}", asked)
+    scored = rerank(d.table(spark, sf_dir, "documents"), asked, "doc_id", "text", name, slice_chars=1 << 30)
+    return scored.select("doc_id", F.round("rerank_score", 6).alias("score"))
+
+
 @query("SELECT DISTINCT event_type AS result_id, CAST(user_id % 5 AS VARCHAR) AS source FROM events")
 def distinct_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = d.table(spark, sf_dir, "events").select(F.col("event_type").alias("result_id"), (F.col("user_id") % 5).cast("string").alias("source"), "value")

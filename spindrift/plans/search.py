@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.functions.models import EMBEDDERS, create, rerank
+from spindrift.functions.models import EMBEDDERS, RERANKERS, create, rerank
 from spindrift.functions.text import metadata_text
 from spindrift.operators import rank, vector
 from spindrift.operators.store import Store
-from spindrift.plans import learned, vector_index
+from spindrift.plans import learned, lexical, vector_index
 from spindrift.schemas import DIFFS, FILES, METADATA
 
 SCOPES = {"all": (True, True, True), "metadata": (True, False, False), "diffs": (False, True, False), "files": (False, False, True)}
@@ -138,6 +138,7 @@ class Engine:
     def search(self, params: QueryParams) -> DataFrame:
         """The results in the store's newest version. The best rows of each side (300 at most) come to the driver, and theirs alone are looked up."""
         at = self.store.snapshot()
+        given, params = params.reranker, replace(params, reranker=lexical.use(self.spark, params.reranker, params.prompt))
 
         def rows(found: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
             best = found.collect()
@@ -145,7 +146,11 @@ class Engine:
 
         near = (lambda collection, query, k: vector_index.top_k(at, collection, query, k, params.probes)) if params.probes else None
         tables = {t: at.table(t) for t in ("changelists", "file_chunks", "vectors")}
-        return search(tables, self.embed(params.prompt), params, near, rows)
+        try:
+            return search(tables, self.embed(params.prompt), params, near, rows)
+        finally:
+            if params.reranker != given:  # it was for this query alone
+                RERANKERS.pop(params.reranker, None)
 
 
 def table_rows(results: DataFrame, debug: bool = False) -> DataFrame:
