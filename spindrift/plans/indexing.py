@@ -48,24 +48,24 @@ def own_numbers(seq: int) -> tuple[int, int]:
     return seq << SEQ_BITS, (seq + 1 << SEQ_BITS) - 1
 
 
-def index_batch(store: Store, commits: DataFrame, seq: int, name: str, contents: Contents | None, tracked: DataFrame | None, model: str = "hashing", sanitize: bool = True, moves: bool = False) -> int:
-    """Writes one batch of changelists (ordinal, id, ts, author, message, diff, files) under the number ``seq``; returns how many. ``moves``: and moves the
-    index's cursor over them.
+def index_batch(store: Store, commits: DataFrame, seq: int, name: str, contents: Contents | None, tracked: DataFrame | None, model: str = "hashing", sanitize: bool = True, cursor: dict | None = None, revision: str | None = None) -> int:
+    """Writes one batch of changelists (ordinal, id, ts, author, message, diff, files) under the number ``seq``; returns how many. ``cursor``: and moves the
+    index's cursor over them; these are other columns of the index's row that change with it.
 
     All tables change in one commit. A replay with the same number replaces the same rows; between two batches there is room for other writes. Files are
-    read as of the batch's last changelist; a touched file's old chunks all go, whether it is there still or not.
+    read as of ``revision`` (none: the batch's last changelist); a touched file's old chunks all go, whether it is there still or not.
     """
     with store.transaction(*own_numbers(seq)) as own:
-        return _write_batch(own, commits, name, contents, tracked, model, sanitize, moves)
+        return _write_batch(own, commits, name, contents, tracked, model, sanitize, cursor, revision)
 
 
-def _write_batch(store: Transaction, commits: DataFrame, name: str, contents: Contents | None, tracked: DataFrame | None, model: str, sanitize: bool, moves: bool) -> int:
+def _write_batch(store: Transaction, commits: DataFrame, name: str, contents: Contents | None, tracked: DataFrame | None, model: str, sanitize: bool, cursor: dict | None, revision: str | None) -> int:
     at = store.own[0]
     rows = commits.withColumn("diff", t.filter_binary(F.col("diff"))["diff"])
-    if moves:
+    if cursor is not None:
         ends = commits.agg(F.min_by("id", "ordinal"), F.max_by("id", "ordinal")).first()
         if ends[0] is not None:
-            advance(store, name, *ends)
+            advance(store, name, *ends, **cursor)
     rows = rows.where(F.trim("diff") != "")
     rows = rows.withColumn("expert_name", F.lit(name)).withColumn("review_comments", F.lit(None).cast("string")).persist()
     try:
@@ -77,7 +77,8 @@ def _write_batch(store: Transaction, commits: DataFrame, name: str, contents: Co
         if contents is not None:
             touched = relational.touched_files(rows)
             there = touched if tracked is None else relational.split_by_tracked(touched, tracked)[0]
-            chunks = file_chunks(contents(there, last[0]), last[0]).persist()
+            at_revision = revision or last[0]
+            chunks = file_chunks(contents(there, at_revision), at_revision).persist()
             old = store.table("file_chunks").join(touched, "file_path", "left_semi").select("id")
             stale = old.join(chunks.select("id"), "id", "left_anti").persist()
             gone_vectors = stale.withColumn("collection", F.lit(FILES)).select("collection", "id")
@@ -86,7 +87,7 @@ def _write_batch(store: Transaction, commits: DataFrame, name: str, contents: Co
             store.delete("file_chunks", stale, at + 1)
             gone = store.table("file_contents").join(touched, "file_path", "left_semi").join(chunks.select("file_path"), "file_path", "left_anti").select("file_path")
             store.delete("file_contents", gone, at + 1)
-            summary = relational.file_summaries(chunks).withColumn("expert_name", F.lit(name)).withColumn("revision_id", F.lit(last[0])).withColumn("last_indexed_at", F.current_timestamp())
+            summary = relational.file_summaries(chunks).withColumn("expert_name", F.lit(name)).withColumn("revision_id", F.lit(at_revision)).withColumn("last_indexed_at", F.current_timestamp())
             store.upsert("file_contents", summary, at)
             store.upsert("file_chunks", chunks, at)
             vectors = _vectors(chunks, FILES, "id", "content", model, sanitize)
@@ -104,9 +105,11 @@ def _write_batch(store: Transaction, commits: DataFrame, name: str, contents: Co
         rows.unpersist()
 
 
-def advance(store: Store | Transaction, name: str, first: str, last: str) -> None:
-    """Moves the cursor; the first changelist ever processed stays, and so does the last of the first batch."""
+def advance(store: Store | Transaction, name: str, first: str, last: str, **changed: object) -> None:
+    """Moves the cursor; the first changelist ever processed stays, and so does the last of the first batch. ``changed``: other columns of the index's row."""
     e = store.table("experts").where(F.col("name") == name)
     moved = e.withColumn("last_processed", F.lit(last)).withColumn("first_processed", F.coalesce("first_processed", F.lit(first)))
     moved = moved.withColumn("first_batch_last", F.coalesce("first_batch_last", F.lit(last))).withColumn("last_indexed_at", F.current_timestamp())
+    for c, value in changed.items():
+        moved = moved.withColumn(c, F.array(*map(F.lit, value)).cast("array<string>") if isinstance(value, list) else F.lit(value))
     store.upsert("experts", moved)

@@ -1,7 +1,7 @@
 """Change histories as a Spark data source: ``spark.read.format("spindrift_history").option("path", …).option("table", "commits")``.
 
-Options: provider (git, p4), path, subdirs, table, revision, message (subject, full), slice_size, batch_size, start_after, start and stop (ordinals of a
-stream), command (of the p4 client). Tables: commits (ordinal, id, ts, author, message, diff, files), files (file_path), content (file_path, content). The listing of
+Options: provider (git, p4), path, subdirs, table, revision, message (subject, full), slice_size, batch_size, start_after, start and stop (places of a
+stream in its listing), until and known (the listing: what comes before one id, but not before others), base (added to ordinals), command (of the p4 client). Tables: commits (ordinal, id, ts, author, message, diff, files), files (file_path), content (file_path, content). The listing of
 ids is made once on the driver and cut into partitions; each partition asks for its own commits. As a stream, the offset is the
 ordinal of the last commit read, and a batch holds at most ``batch_size`` commits. The listing of a stream's run is read again only
 when the offset reaches its end.
@@ -29,7 +29,11 @@ class Provider(Protocol):
 
     def detect(self, path: str) -> bool: ...
 
-    def commit_ids(self, path: str, subdirs: tuple[str, ...] = ()) -> list[str]: ...
+    def commit_ids(self, path: str, subdirs: tuple[str, ...] = (), until: str = "HEAD", known: tuple[str, ...] = ()) -> list[str]: ...
+
+    def head(self, path: str) -> str | None: ...
+
+    def ancestors(self, path: str, ids: list[str], of: str) -> list[str]: ...
 
     def ids_after(self, path: str, after: str | None, n: int, subdirs: tuple[str, ...] = ()) -> list[str]: ...
 
@@ -48,6 +52,7 @@ class Git:
     """The functions of ``sources.git``."""
 
     detect, commit_ids, ids_after, read_commits = map(staticmethod, (git.is_git, git.commit_ids, git.ids_after, git.read_commits))
+    head, ancestors = map(staticmethod, (git.head, git.ancestors))
     tracked, contents, latest_time, count = map(staticmethod, (git.tracked, git.contents, git.latest_time, git.count))
 
 
@@ -84,6 +89,8 @@ class _Settings:
         self.slice = int(options.get("slice_size", options.get("slicesize", "200")))
         self.after = options.get("start_after", options.get("startafter"))
         self.start, self.stop = int(options.get("start", "0")), int(options.get("stop", "-1"))
+        self.until, self.base = options.get("until", "HEAD"), int(options.get("base", "0"))
+        self.known = tuple(k for k in options.get("known", "").split(",") if k)
         if self.table not in SCHEMAS:
             raise ValueError(f"table must be one of {', '.join(SCHEMAS)}")
 
@@ -91,13 +98,16 @@ class _Settings:
     def own(self) -> Provider:
         return provider(self.name, self.command)
 
+    def commit_ids(self) -> list[str]:
+        return self.own.commit_ids(self.path, self.subdirs, self.until, self.known)
+
     def slices(self, items: list[str], lo: int = 0) -> list[Slice]:
         return [Slice(lo + i, tuple(items[i : i + self.slice])) for i in range(0, len(items), self.slice)]
 
     def rows(self, part: Slice) -> Iterator[tuple]:
         if self.table == "commits":
             for i, row in enumerate(self.own.read_commits(self.path, list(part.items), self.subdirs, self.full)):
-                yield (part.lo + i, *row)
+                yield (self.base + part.lo + i, *row)
         elif self.table == "files":
             for p in part.items:
                 yield (p,)
@@ -111,7 +121,7 @@ class HistoryReader(DataSourceReader):
 
     def partitions(self) -> list[Slice]:
         s = self.settings
-        items = s.own.commit_ids(s.path, s.subdirs) if s.table == "commits" else s.own.tracked(s.path, s.revision, s.subdirs)
+        items = s.commit_ids() if s.table == "commits" else s.own.tracked(s.path, s.revision, s.subdirs)
         return s.slices(items) or [Slice(0, ())]
 
     def read(self, partition: Slice) -> Iterator[tuple]:
@@ -129,7 +139,7 @@ class HistoryStream(DataSourceStreamReader):
     def _listed(self, upto: int) -> list[str]:
         """The ids, listed anew where the last listing has no more than ``upto``."""
         if len(self.ids) <= upto:
-            self.ids = self.settings.own.commit_ids(self.settings.path, self.settings.subdirs)
+            self.ids = self.settings.commit_ids()
         return self.ids
 
     def _start(self) -> int:

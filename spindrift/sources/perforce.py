@@ -195,9 +195,20 @@ class Perforce:
         own = self.mapping(path)
         return tuple(f"{own.to_depot(s)}/" for s in subdirs or ("",))
 
-    def commit_ids(self, path: str, subdirs: tuple[str, ...] = ()) -> list[str]:
-        """Numbers of the submitted changelists under the subdirectories, in numeric order, each once."""
-        return changelist_ids("\n".join(self._run(path, "changes", "-s", "submitted", f"{p}...") for p in self._prefixes(path, subdirs)))
+    def commit_ids(self, path: str, subdirs: tuple[str, ...] = (), until: str = "HEAD", known: tuple[str, ...] = ()) -> list[str]:
+        """Numbers of the submitted changelists under the subdirectories, in numeric order, each once: to ``until``, and beyond all ``known`` ones (a changelist gets its number
+        when it is submitted)."""
+        ids = changelist_ids("\n".join(self._run(path, "changes", "-s", "submitted", f"{p}...") for p in self._prefixes(path, subdirs)))
+        least = max(map(int, known), default=-1)
+        return [i for i in ids if int(i) > least and (until == "HEAD" or int(i) <= int(until))]
+
+    def head(self, path: str) -> str | None:
+        """The newest changelist's number; None without any."""
+        return next(reversed(self.commit_ids(path)), None)
+
+    def ancestors(self, path: str, ids: list[str], of: str) -> list[str]:
+        """Those of ``ids`` that aren't after ``of``."""
+        return [i for i in ids if int(i) <= int(of)]
 
     def ids_after(self, path: str, after: str | None, n: int, subdirs: tuple[str, ...] = ()) -> list[str]:
         """The next ``n`` numbers after a changelist: none if it is outside the listing, an error if it is no number."""

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.operators import relational
 from spindrift.operators.relational import remaining
 from spindrift.operators.store import Store
 from spindrift.plans import learned
-from spindrift.plans.indexing import index_batch, own_numbers
+from spindrift.plans.indexing import advance, index_batch, own_numbers
 from spindrift.schemas import EXPERTS
 from spindrift.sources import history
 from spindrift.sources.git import UnknownCommitError
@@ -31,14 +32,39 @@ def contents_at(path: str, kind: str = "git", command: str | None = None):
     return read
 
 
-def _cursor(store: Store, name: str, ids: list[str], start_after: str | None) -> int:
-    """The ordinal of the first changelist to index."""
+@dataclass(frozen=True)
+class _Run:
+    """What a run goes through: the changelists before ``target`` that aren't before one of the frontier (the heads whose changelists are all
+    indexed), from place ``at`` on. ``listed``: how many all earlier runs went through."""
+
+    frontier: list[str]
+    target: str | None
+    listed: int
+    ids: list[str]
+    at: int
+
+    def moved(self, own: history.Provider, path: str, last: str) -> dict:
+        """The cursor's columns after the changelist ``last``: within the run, or with the target in the frontier in place of what comes before it."""
+        if last != self.ids[-1]:
+            return {"frontier": self.frontier, "target": self.target, "listed": self.listed}
+        before = own.ancestors(path, self.frontier, self.target)
+        return {"frontier": [*(f for f in self.frontier if f not in before), self.target], "target": None, "listed": self.listed + len(self.ids)}
+
+
+def _run(store: Store, name: str, own: history.Provider, path: str, subdirs: tuple[str, ...], start_after: str | None) -> _Run:
+    """The run that was under way, or one to the head as it is now."""
+    row = store.table("experts").where(F.col("name") == name).first()
     if start_after is not None:
+        head = own.head(path)
+        ids = own.commit_ids(path, subdirs, head or "HEAD")
         if start_after not in ids:
             raise UnknownCommitError(start_after)
-        return ids.index(start_after) + 1
-    row = relational.cursor_of(store.table("experts"), name).first()
-    return ids.index(row.last_processed) + 1 if row is not None and row.last_processed in ids else 0
+        return _Run([], head, 0, ids, ids.index(start_after) + 1)
+    frontier, listed, last = list(row.frontier or []), row.listed or 0, row.last_processed
+    target = row.target or own.head(path)
+    ids = own.commit_ids(path, subdirs, target, tuple(frontier)) if target else []
+    going = row.target is not None or not frontier  # or an index from before there were frontiers
+    return _Run(frontier, target, listed, ids, ids.index(last) + 1 if going and last in ids else 0)
 
 
 def index_workspace(
@@ -47,7 +73,8 @@ def index_workspace(
 ) -> int:
     """Indexes what is new in a workspace; returns how many changelists.
 
-    Each batch is a run of a stream from the index's cursor, which moves in the same commit as the batch's tables; its end is set beforehand, so a limit
+    What is new is what comes before the head and not before the heads that are indexed, so an older branch that is merged later is not missed, wherever a listing has it. Each batch
+    is a run of a stream from the index's cursor, which moves in the same commit as the batch's tables; its end is set beforehand, so a limit
     skips nothing. The run's checkpoint lies beside the tables: a batch that was cut off is replayed under its own number.
     """
     history.register(spark)
@@ -56,27 +83,32 @@ def index_workspace(
     if store.table("experts").where(F.col("name") == name).isEmpty():
         known = {"name": name, "workspace_path": path, "vcs_type": kind, "subdirs": list(subdirs), "max_commits": max_commits, "embedder": model}
         store.upsert("experts", spark.createDataFrame([tuple(known.get(c) for c in EXPERTS.fieldNames())], EXPERTS))
-    ids = own.commit_ids(path, subdirs)
-    done, indexed, at = 0, store.table("changelists").count(), _cursor(store, name, ids, start_after)
+    done, indexed = 0, store.table("changelists").count()
+    run = _run(store, name, own, path, subdirs, start_after)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         nonlocal done
         rows = batch.persist()
-        ends = rows.agg(F.min_by("id", "ordinal"), F.max_by("id", "ordinal"), F.min("ordinal")).first()
+        ends = rows.agg(F.max_by("id", "ordinal"), F.min("ordinal")).first()
         if ends[0] is not None:
-            tracked = spark.createDataFrame([(p,) for p in own.tracked(path, ends[1], subdirs)], "file_path string")
+            revision = run.target if run.frontier else ends[0]  # what a merge brings is older than what is indexed: files are as the head has them
+            tracked = spark.createDataFrame([(p,) for p in own.tracked(path, revision, subdirs)], "file_path string")
             # numbered by position, so a replay and a restart with another checkpoint write in the order of the history
-            done += index_batch(store, rows, ends[2] + 1, name, contents_at(path, kind, command), tracked, model, sanitize, moves=True)
+            done += index_batch(store, rows, ends[1] + 1, name, contents_at(path, kind, command), tracked, model, sanitize, run.moved(own, path, last), revision)
+        else:  # nothing in it can be described
+            advance(store, name, last, last, **run.moved(own, path, last))
         rows.unpersist()
 
     options = {"provider": kind, **({"command": command} if command else {}), "path": path, "subdirs": ",".join(subdirs), "batch_size": str(batch_size)}
-    while at < len(ids) and (room := remaining(max_commits, len(ids), indexed + done)) > 0:
-        stop = min(at + min(batch_size, room), len(ids))
-        stream = spark.readStream.format("spindrift_history").options(**options, start=str(at), stop=str(stop)).load()
-        checkpoint = f"{store.root}/_run-{at}-{stop}"
-        run = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        run.awaitTermination()
+    while run.at < len(run.ids) and (room := remaining(max_commits, run.listed + len(run.ids), indexed + done)) > 0:
+        at, stop = run.at, min(run.at + min(batch_size, room), len(run.ids))
+        last, own_options = run.ids[stop - 1], {"until": run.target, "known": ",".join(run.frontier), "base": str(run.listed), "start": str(at), "stop": str(stop)}
+        stream = spark.readStream.format("spindrift_history").options(**options, **own_options).load()
+        checkpoint = f"{store.root}/_run-{run.listed + at}-{run.listed + stop}"
+        query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
         store.remove(checkpoint)
-        store.tidy(last=own_numbers(at + 1)[0])
-        at = stop
+        store.tidy(last=own_numbers(run.listed + at + 1)[0])
+        # at the run's end the head is asked for anew: it may have moved
+        run = replace(run, at=stop) if stop < len(run.ids) else _run(store, name, own, path, subdirs, None)
     return done

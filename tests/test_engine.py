@@ -3,6 +3,8 @@ from __future__ import annotations
 import asyncio
 import io
 import json
+import os
+import subprocess
 import sys
 from datetime import UTC
 
@@ -14,8 +16,8 @@ from spindrift import api, cli, tools
 from spindrift.functions.models import EchoGenerator
 from spindrift.operators import rank, relational, vector
 from spindrift.operators.store import Store
-from spindrift.plans import conversation
-from spindrift.plans.search import QueryParams, export, json_rows, markdown, table_rows
+from spindrift.plans import conversation, vector_index
+from spindrift.plans.search import Engine, QueryParams, export, json_rows, markdown, table_rows
 from spindrift.sources import git, history, perforce
 from spindrift.sources.detect import detect
 from spindrift.streaming.feed import index_workspace
@@ -133,6 +135,64 @@ def test_index_after_compaction(spark, workspace, tmp_path):
         assert cells(s) == cells(whole), t
 
 
+def test_an_older_branch_that_is_merged_later(spark, workspace, tmp_path):
+    """Its commits stand before the cursor in the listing; they are indexed all the same, once, and files are as the merge has them."""
+
+    def run(*args, at=1_600_000_000):
+        who = {f"GIT_{r}_{k}": v for r in ("AUTHOR", "COMMITTER") for k, v in (("NAME", "Bob"), ("EMAIL", "bob@example.com"), ("DATE", f"{at} +0000"))}
+        return subprocess.run(["git", "-C", str(workspace), *args], check=True, capture_output=True, env={**os.environ, **who, "GIT_CONFIG_GLOBAL": "/dev/null"}).stdout.decode().strip()
+
+    s = Store(spark, str(tmp_path / "index"))
+    main = git.commit_ids(str(workspace))
+    run("checkout", "-q", "-b", "older", main[2])
+    for i in range(3):
+        (workspace / f"branch{i}.md").write_text(f"a line of the branch {i}\n" * 20)
+        (workspace / "src" / "mod2.py").write_text(f"old = {i}\n" * 40) if i == 1 else None
+        run("add", "-A")
+        run("commit", "-q", "-m", f"Branch {i}", at=1_600_000_000 + i)
+    run("checkout", "-q", "main")
+    assert index_workspace(spark, s, "w", str(workspace), batch_size=4) == 9
+    assert index_workspace(spark, s, "w", str(workspace)) == 0
+    run("merge", "-q", "-X", "ours", "-m", "Merge", "older", at=1_800_000_000)
+    ids = git.commit_ids(str(workspace))
+    assert len(ids) == 12 and ids.index(main[-1]) == 11 and ids[0] not in main  # all that is new is before the cursor
+    assert index_workspace(spark, s, "w", str(workspace), batch_size=2, max_commits=11) == 2  # a limit inside the run
+    (workspace / "late.md").write_text("written while the run was under way\n" * 9)
+    run("add", "-A")
+    run("commit", "-q", "-m", "Late", at=1_800_000_100)
+    assert index_workspace(spark, s, "w", str(workspace), batch_size=2) == 2
+    assert {r.id for r in s.table("changelists").collect()} == set(git.commit_ids(str(workspace)))
+    row = s.table("experts").first()
+    assert row.frontier == [git.head(str(workspace))] and row.target is None and row.listed == 13
+    want = {p for p in git.tracked(str(workspace)) if (workspace / p).stat().st_size >= 128 and p != "raw.bin"}
+    held = {}
+    for r in s.table("file_chunks").orderBy("file_path", "chunk_index").collect():
+        held[r.file_path] = held.get(r.file_path, "") + r.content
+    assert set(held) == want and held["src/mod2.py"].strip() == (workspace / "src" / "mod2.py").read_text().strip()
+    assert git.ancestors(str(workspace), [main[0], "0" * 40, git.head(str(workspace))], main[3]) == [main[0], "0" * 40]
+
+
+def test_a_batch_that_breaks_off_leaves_nothing(spark, workspace, tmp_path, monkeypatch):
+    from spindrift.plans import indexing
+
+    s, broken = Store(spark, str(tmp_path / "index")), []
+    tables = ("changelists", "changelist_files", "file_chunks", "file_contents", "vectors")
+
+    def fail(*_):
+        broken.append([Store(spark, s.root).table(t).count() for t in tables])  # all writes are made, and nobody sees them
+        raise RuntimeError("cut off")
+
+    with monkeypatch.context() as m:
+        m.setattr(indexing.vector_index, "maintain", fail)
+        with pytest.raises(Exception, match="cut off"):
+            index_workspace(spark, s, "w", str(workspace))
+    assert broken and all(b == [0] * 5 for b in broken) and s.table("experts").first().last_processed is None
+    assert index_workspace(spark, s, "w", str(workspace)) == 9
+    vector_index.build(s, "diffs", cells=3)
+    exact, near = (Engine(spark, s.root).search(QueryParams("def value_1_1", scope="diffs", probes=n, reranker=None, min_score=0.0)).collect() for n in (0, 3))
+    assert exact == near and exact
+
+
 def test_pages(spark):
     feed = spark.createDataFrame([(str(i), i) for i in range(5)], "id string, ordinal int")
     assert [r[0] for r in rows(relational.page_after(feed, "1", 2))] == ["2", "3"]
