@@ -153,9 +153,9 @@ def prompt_expert_stream(
             commits = commits.withColumnRenamed("result_id", "id")
             if paired:
                 make = generator if generator in GENERATORS else (lambda: own.prompt_generator)
-                made = conversation.generated_prompts(commits, own.store.table("prompt_cache"), make).persist()
-                own.store.upsert("prompt_cache", made.where(~F.col("hit")).select("id", "prompt"))
-                commits = commits.join(made.select("id", F.col("prompt").alias("generated_prompt")), "id")
+                conversation.keep_prompts(own.store, commits, make)
+                kept = own.store.lookup("prompt_cache", "id", [r.id for r in commits.select("id").collect()])
+                commits = commits.join(kept.select("id", F.col("prompt").alias("generated_prompt")), "id")
             system, messages = conversation.build(commits, prompt, chunks, playful, paired)
         finally:
             results.unpersist()

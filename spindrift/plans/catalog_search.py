@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.models import rerank
 from spindrift.operators import rank, relational
+from spindrift.operators.store import Store
 from spindrift.plans import conversation, lexical
 from spindrift.plans import derived as d
 from spindrift.plans import search as s
@@ -268,6 +269,16 @@ def generated_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.generated_prompts(commits, cache, "echo", 8)
 
 
+@query(f"WITH {_LISTED} SELECT id, CASE WHEN id::INTEGER % 3 = 0 THEN 'kept ' || id ELSE trim(substr({_REQUEST}, 1, 200)) END AS prompt FROM m")
+def kept_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in a store, whose cache grows round by round; equal requests are asked once."""
+    commits, own = d.changelists(spark, sf_dir).withColumn("diff", F.col("author")), Store(spark, folder(spark, "prompts"))
+    own.create()
+    own.upsert("prompt_cache", commits.where(F.col("id").cast("int") % 3 == 0).select("id", F.concat(F.lit("kept "), "id").alias("prompt")))
+    conversation.keep_prompts(own, commits, "echo", 8, round_size=4000)
+    return own.table("prompt_cache")
+
+
 @query(
     f"WITH {_LISTED} SELECT 0 AS seq, id, 'user' AS role, 'ask ' || id AS content FROM m UNION ALL SELECT 1, id, 'assistant', {_SAID} FROM m UNION ALL SELECT 0, '', 'user', 'why?'"
 )

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.models import TextGenerator, create, GENERATORS
+from spindrift.functions.models import GENERATORS, GenerationError, TextGenerator, create
 from spindrift.functions.text import language_of, truncate_bytes, unquoted
+from spindrift.operators.store import Store
+from spindrift.plans.scratch import folder
 
 SYSTEM = (
     "You advise developers from the history of their code base. Rely only on this conversation. Name the existing files that matter most, "
@@ -127,6 +130,50 @@ def generated_prompts(changelists: DataFrame, cache: DataFrame, generator: str |
     return hits.union(made)
 
 
+def keep_prompts(store: Store, changelists: DataFrame, generator: str | Callable[[], TextGenerator] = "echo", most: int = 8_000, round_size: int = 256) -> tuple[int, int]:
+    """Makes the prompts that the store's cache doesn't have, and keeps them as it goes; returns how many were there and how many were made.
+
+    Equal requests are asked once. Requests go in rounds of about ``round_size``, each a commit: a run that is killed, or whose generator fails, has kept what the rounds before had, and of
+    its own round whatever had an answer, so the next run asks only for the rest. GenerationError tells of failures after the round's answers are kept.
+    """
+    make = generator if callable(generator) else GENERATORS[generator] if generator in GENERATORS else create(GENERATORS, generator)
+    spark = changelists.sparkSession
+    asked = changelists.select("id", prompt_request(F.col("message"), F.col("files"), F.col("diff"), most).alias("request")).dropDuplicates(["id"])
+    known = store.table("prompt_cache").where(F.coalesce("prompt", F.lit("")) != "")
+    at = folder(spark, "requests")
+    asked.join(known, "id", "left_anti").withColumn("key", F.sha2(F.coalesce("request", F.lit("")), 256)).write.parquet(at)
+    missing = spark.read.parquet(at)
+    distinct = missing.groupBy("key").agg(F.min("request").alias("request"))
+    n, hits = missing.count(), asked.join(known, "id", "left_semi").count()
+    rounds = max(1, math.ceil(distinct.count() / round_size))
+
+    def run(frames):
+        model: TextGenerator = make()
+        for f in frames:
+            prompts, errors = [], []
+            for r in f.pop("request"):
+                try:
+                    prompts.append(model.generate(PROMPT_SYSTEM, [{"role": "user", "content": r}]).content)
+                    errors.append(None)
+                except Exception as e:  # told when the others are kept
+                    prompts.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            f["prompt"], f["error"] = prompts, errors
+            yield f
+
+    for i in range(rounds if n else 0):
+        mine = F.pmod(F.xxhash64("key"), F.lit(rounds)) == i
+        done = f"{at}-round{i}"
+        distinct.where(mine).mapInPandas(run, "key string, prompt string, error string").write.parquet(done)
+        answers = spark.read.schema("key string, prompt string, error string").parquet(done)
+        good = missing.join(answers.where("prompt is not null"), "key").select("id", unquoted(F.col("prompt")).alias("prompt"))
+        store.upsert("prompt_cache", good)
+        bad = answers.where("error is not null").agg(F.min("error"), F.count(F.lit(1))).first()
+        if bad[1]:
+            raise GenerationError(f"{bad[1]} requests failed; {bad[0]}")
+    return hits, n
+
+
 def transcripts(turns: DataFrame, key: str, order: str, role: str, content: str) -> DataFrame:
     """key, content: each conversation as lines ``role: content`` in its order; a turn without text is an empty line of its role."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(role).alias("r"), F.coalesce(content, F.lit("")).alias("t"))))

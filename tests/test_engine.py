@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import spindrift
 from spindrift import api, cli, tools
-from spindrift.functions.models import EchoGenerator
+from spindrift.functions.models import EchoGenerator, GenerationError
 from spindrift.operators import rank, relational, vector
 from spindrift.operators.store import Store
 from spindrift.plans import conversation, vector_index
@@ -374,6 +374,43 @@ def test_conversation(spark):
     assert EchoGenerator(3).generate("", [{"role": "user", "content": "hello"}]).content == "hel"
 
 
+class Scribe:
+    """A generator that notes every request in a file, and refuses those that say so while another file is there."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def generate(self, system, messages):
+        with open(f"{self.folder}/asked", "a") as f:
+            f.write(json.dumps(messages[-1]["content"]) + "\n")
+        if "refuse" in messages[-1]["content"] and os.path.exists(f"{self.folder}/down"):
+            raise RuntimeError("service is down")
+        return EchoGenerator(400).generate(system, messages)
+
+
+def test_prompts_are_kept_as_they_come(spark, tmp_path):
+    """A run that fails halfway has kept what had an answer; the next one asks for the rest alone, and for equal requests once."""
+    s, folder = Store(spark, str(tmp_path / "s")), str(tmp_path)
+    s.create()
+    rows = [(str(i), f"message {i % 20}" + (" refuse" if i in (7, 33) else ""), ["f"], "d") for i in range(40)] + [("40", "other", [], None), ("40", "other", [], None)]
+    changes = spark.createDataFrame(rows, "id string, message string, files array<string>, diff string").repartition(3)
+    s.upsert("prompt_cache", spark.createDataFrame([("1", "mine"), ("2", "")], "id string, prompt string"))
+    asked = lambda: [json.loads(x) for x in (tmp_path / "asked").read_text().splitlines()]
+    (tmp_path / "down").write_text("")
+    with pytest.raises(GenerationError, match="service is down"):
+        conversation.keep_prompts(s, changes, lambda: Scribe(folder), round_size=8)
+    first, kept = asked(), {r.id for r in s.table("prompt_cache").where("prompt != ''").collect()}
+    assert {"7", "33"}.isdisjoint(kept) and len(kept) > 1 and len(first) == len(set(first))
+    (tmp_path / "down").unlink()
+    hits, made = conversation.keep_prompts(s, changes, lambda: Scribe(folder), round_size=8)
+    assert (hits, made) == (len(kept), 41 - len(kept))
+    again = asked()[len(first) :]
+    assert len(again) == len(set(again)) and all("refuse" in r for r in set(first) & set(again))
+    got = {r.id: r.prompt for r in s.table("prompt_cache").collect()}
+    assert len(got) == 41 and got["1"] == "mine" and "message 2" in got["22"] and got["2"] == got["22"]
+    assert conversation.keep_prompts(s, changes, lambda: Scribe(folder)) == (41, 0) and len(asked()) == len(first) + len(again)
+
+
 def test_perforce(spark):
     out = (
         "Change 12 by ada@ws on 2024/01/15 14:30:00\n\n\tFix it\n\tnow\n\nAffected files ...\n\n... //depot/src/a.cpp#4 edit\n... //other/b.cpp#1 add\n\nDifferences ...\n\n"
