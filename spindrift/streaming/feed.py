@@ -15,6 +15,9 @@ from spindrift.schemas import EXPERTS
 from spindrift.sources import history
 from spindrift.sources.git import UnknownCommitError
 
+#: Versions of an index that stay readable after a run.
+KEPT_VERSIONS = 64
+
 
 def contents_at(path: str, kind: str = "git", command: str | None = None):
     """Reads files of a workspace at a revision, in partitions of their paths."""
@@ -111,4 +114,5 @@ def index_workspace(
         store.tidy(last=own_numbers(run.listed + at + 1)[0])
         # at the run's end the head is asked for anew: it may have moved
         run = replace(run, at=stop) if stop < len(run.ids) else _run(store, name, own, path, subdirs, None)
+    store.vacuum(keep=KEPT_VERSIONS, tombstones=False)  # what compactions left a day ago and longer
     return done
