@@ -125,7 +125,7 @@ def populate(
         raise ValueError(f"{workspace}: no version control found")
     store.create()
     if row is None:
-        new = (name, str(Path(workspace).resolve()), list(subdirs), kind, datetime.now(UTC), None, None, None, None, max_commits, True, True, embedder, None, None, None)
+        new = (name, str(Path(workspace).resolve()), list(subdirs), kind, datetime.now(UTC), None, None, None, None, max_commits, True, True, embedder, None, None, None, None)
         store.upsert("experts", spark.createDataFrame([new], EXPERTS))
     return index_workspace(spark, store, name, str(workspace), tuple(subdirs), batch_size, max_commits, start_at, embedder, kind=kind)
 

@@ -35,7 +35,7 @@ EXPERTS = _table(
     name=StringType, workspace_path=StringType, subdirs=STRINGS, vcs_type=StringType, created_at=TimestampType,
     last_indexed_at=TimestampType, last_processed=StringType, first_processed=StringType, first_batch_last=StringType,
     max_commits=IntegerType, embed_diffs=BooleanType, embed_metadata=BooleanType, embedder=StringType,
-    frontier=STRINGS, target=StringType, listed=LongType,
+    frontier=STRINGS, target=StringType, listed=LongType, place=LongType,
 )
 
 #: Collections of vectors, which partition their table.

@@ -3,8 +3,7 @@
 Options: provider (git, p4), path, subdirs, table, revision, message (subject, full), slice_size, batch_size, start_after, start and stop (places of a
 stream in its listing), until and known (the listing: what comes before one id, but not before others), base (added to ordinals), command (of the p4 client). Tables: commits (ordinal, id, ts, author, message, diff, files), files (file_path), content (file_path, content). The listing of
 ids is made once on the driver and cut into partitions; each partition asks for its own commits. As a stream, the offset is the
-ordinal of the last commit read, and a batch holds at most ``batch_size`` commits. The listing of a stream's run is read again only
-when the offset reaches its end.
+place of the next commit in the listing, and a batch holds at most ``batch_size`` commits: their ids alone are asked for.
 """
 
 from __future__ import annotations
@@ -31,6 +30,12 @@ class Provider(Protocol):
 
     def commit_ids(self, path: str, subdirs: tuple[str, ...] = (), until: str = "HEAD", known: tuple[str, ...] = ()) -> list[str]: ...
 
+    def count_ids(self, path: str, subdirs: tuple[str, ...] = (), until: str = "HEAD", known: tuple[str, ...] = ()) -> int: ...
+
+    def ids_between(self, path: str, lo: int, hi: int, subdirs: tuple[str, ...] = (), until: str = "HEAD", known: tuple[str, ...] = ()) -> list[str]: ...
+
+    def place_of(self, path: str, id: str, subdirs: tuple[str, ...] = (), until: str = "HEAD", known: tuple[str, ...] = ()) -> int | None: ...
+
     def head(self, path: str) -> str | None: ...
 
     def ancestors(self, path: str, ids: list[str], of: str) -> list[str]: ...
@@ -52,7 +57,7 @@ class Git:
     """The functions of ``sources.git``."""
 
     detect, commit_ids, ids_after, read_commits = map(staticmethod, (git.is_git, git.commit_ids, git.ids_after, git.read_commits))
-    head, ancestors = map(staticmethod, (git.head, git.ancestors))
+    head, ancestors, count_ids, ids_between, place_of = map(staticmethod, (git.head, git.ancestors, git.count_ids, git.ids_between, git.place_of))
     tracked, contents, latest_time, count = map(staticmethod, (git.tracked, git.contents, git.latest_time, git.count))
 
 
@@ -129,39 +134,38 @@ class HistoryReader(DataSourceReader):
 
 
 class HistoryStream(DataSourceStreamReader):
-    """Commits after the offset, at most a batch at a time."""
+    """Commits after the offset, at most a batch at a time; it holds the ids of one batch."""
 
     def __init__(self, settings: _Settings):
         self.settings = settings
-        self.ids: list[str] = []
         self.at = self._start()
 
-    def _listed(self, upto: int) -> list[str]:
-        """The ids, listed anew where the last listing has no more than ``upto``."""
-        if len(self.ids) <= upto:
-            self.ids = self.settings.commit_ids()
-        return self.ids
+    def _listing(self) -> tuple:
+        s = self.settings
+        return s.subdirs, s.until, s.known
 
     def _start(self) -> int:
         s = self.settings
         if not s.after:
             return s.start
-        ids = self._listed(0)
-        if s.after not in ids:
+        place = s.own.place_of(s.path, s.after, *self._listing())
+        if place is None:
             raise git.UnknownCommitError(s.after)
-        return ids.index(s.after) + 1
+        return place + 1
 
     def initialOffset(self) -> dict:
         return {"next": self._start()}
 
     def latestOffset(self) -> dict:
-        stop = self.settings.stop if self.settings.stop >= 0 else len(self._listed(self.at + self.settings.batch))
+        s = self.settings
+        stop = s.stop if s.stop >= 0 else s.own.count_ids(s.path, *self._listing())
         self.at = max(self.at, min(self.at + self.settings.batch, stop))
         return {"next": self.at}
 
     def partitions(self, start: dict, end: dict) -> list[Slice]:
         self.at = max(self.at, end["next"])
-        return self.settings.slices(self._listed(end["next"] - 1)[start["next"] : end["next"]], start["next"]) or [Slice(start["next"], ())]
+        s = self.settings
+        return s.slices(s.own.ids_between(s.path, start["next"], end["next"], *self._listing()), start["next"]) or [Slice(start["next"], ())]
 
     def read(self, partition: Slice) -> Iterator[tuple]:
         return self.settings.rows(partition)

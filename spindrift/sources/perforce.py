@@ -202,6 +202,17 @@ class Perforce:
         least = max(map(int, known), default=-1)
         return [i for i in ids if int(i) > least and (until == "HEAD" or int(i) <= int(until))]
 
+    def count_ids(self, path: str, subdirs: tuple[str, ...] = (), until: str = "HEAD", known: tuple[str, ...] = ()) -> int:
+        return len(self.commit_ids(path, subdirs, until, known))
+
+    def ids_between(self, path: str, lo: int, hi: int, subdirs: tuple[str, ...] = (), until: str = "HEAD", known: tuple[str, ...] = ()) -> list[str]:
+        """The numbers at some places of the listing: it is short text, and held for the call."""
+        return self.commit_ids(path, subdirs, until, known)[max(0, lo) : hi]
+
+    def place_of(self, path: str, id: str, subdirs: tuple[str, ...] = (), until: str = "HEAD", known: tuple[str, ...] = ()) -> int | None:
+        ids = self.commit_ids(path, subdirs, until, known)
+        return ids.index(id) if id in ids else None
+
     def head(self, path: str) -> str | None:
         """The newest changelist's number; None without any."""
         return next(reversed(self.commit_ids(path)), None)

@@ -37,21 +37,21 @@ def contents_at(path: str, kind: str = "git", command: str | None = None):
 
 @dataclass(frozen=True)
 class _Run:
-    """What a run goes through: the changelists before ``target`` that aren't before one of the frontier (the heads whose changelists are all
-    indexed), from place ``at`` on. ``listed``: how many all earlier runs went through."""
+    """What a run goes through: the ``n`` changelists before ``target`` that aren't before one of the frontier (the heads whose changelists are all
+    indexed), from place ``at`` on. ``listed``: how many all earlier runs went through. No list of ids is held."""
 
     frontier: list[str]
     target: str | None
     listed: int
-    ids: list[str]
+    n: int
     at: int
 
-    def moved(self, own: history.Provider, path: str, last: str) -> dict:
-        """The cursor's columns after the changelist ``last``: within the run, or with the target in the frontier in place of what comes before it."""
-        if last != self.ids[-1]:
-            return {"frontier": self.frontier, "target": self.target, "listed": self.listed}
+    def moved(self, own: history.Provider, path: str, to: int) -> dict:
+        """The cursor's columns at the place ``to``: within the run, or with the target in the frontier in place of what comes before it."""
+        if to < self.n:
+            return {"frontier": self.frontier, "target": self.target, "listed": self.listed, "place": to}
         before = own.ancestors(path, self.frontier, self.target)
-        return {"frontier": [*(f for f in self.frontier if f not in before), self.target], "target": None, "listed": self.listed + len(self.ids)}
+        return {"frontier": [*(f for f in self.frontier if f not in before), self.target], "target": None, "listed": self.listed + self.n, "place": None}
 
 
 def _run(store: Store, name: str, own: history.Provider, path: str, subdirs: tuple[str, ...], start_after: str | None) -> _Run:
@@ -59,15 +59,18 @@ def _run(store: Store, name: str, own: history.Provider, path: str, subdirs: tup
     row = store.table("experts").where(F.col("name") == name).first()
     if start_after is not None:
         head = own.head(path)
-        ids = own.commit_ids(path, subdirs, head or "HEAD")
-        if start_after not in ids:
+        place = own.place_of(path, start_after, subdirs, head) if head else None
+        if place is None:
             raise UnknownCommitError(start_after)
-        return _Run([], head, 0, ids, ids.index(start_after) + 1)
-    frontier, listed, last = list(row.frontier or []), row.listed or 0, row.last_processed
+        return _Run([], head, 0, own.count_ids(path, subdirs, head), place + 1)
+    frontier, listed = list(row.frontier or []), row.listed or 0
     target = row.target or own.head(path)
-    ids = own.commit_ids(path, subdirs, target, tuple(frontier)) if target else []
-    going = row.target is not None or not frontier  # or an index from before there were frontiers
-    return _Run(frontier, target, listed, ids, ids.index(last) + 1 if going and last in ids else 0)
+    n = own.count_ids(path, subdirs, target, tuple(frontier)) if target else 0
+    at = row.place or 0
+    if row.target is None and not frontier and row.last_processed and target:  # an index from before there were frontiers
+        place = own.place_of(path, row.last_processed, subdirs, target)
+        at = place + 1 if place is not None else 0
+    return _Run(frontier, target, listed, n, at)
 
 
 def index_workspace(
@@ -95,17 +98,19 @@ def index_workspace(
         ends = rows.agg(F.max_by("id", "ordinal"), F.min("ordinal")).first()
         if ends[0] is not None:
             revision = run.target if run.frontier else ends[0]  # what a merge brings is older than what is indexed: files are as the head has them
-            tracked = spark.createDataFrame([(p,) for p in own.tracked(path, revision, subdirs)], "file_path string")
+            # git says itself which files aren't there; Perforce is asked first
+            tracked = None if kind == "git" else spark.createDataFrame([(p,) for p in own.tracked(path, revision, subdirs)], "file_path string")
             # numbered by position, so a replay and a restart with another checkpoint write in the order of the history
-            done += index_batch(store, rows, ends[1] + 1, name, contents_at(path, kind, command), tracked, model, sanitize, run.moved(own, path, last), revision)
+            done += index_batch(store, rows, ends[1] + 1, name, contents_at(path, kind, command), tracked, model, sanitize, run.moved(own, path, stop), revision)
         else:  # nothing in it can be described
-            advance(store, name, last, last, **run.moved(own, path, last))
+            last = own.ids_between(path, stop - 1, stop, subdirs, run.target, tuple(run.frontier))[0]
+            advance(store, name, last, last, **run.moved(own, path, stop))
         rows.unpersist()
 
     options = {"provider": kind, **({"command": command} if command else {}), "path": path, "subdirs": ",".join(subdirs), "batch_size": str(batch_size)}
-    while run.at < len(run.ids) and (room := remaining(max_commits, run.listed + len(run.ids), indexed + done)) > 0:
-        at, stop = run.at, min(run.at + min(batch_size, room), len(run.ids))
-        last, own_options = run.ids[stop - 1], {"until": run.target, "known": ",".join(run.frontier), "base": str(run.listed), "start": str(at), "stop": str(stop)}
+    while run.at < run.n and (room := remaining(max_commits, run.listed + run.n, indexed + done)) > 0:
+        at, stop = run.at, min(run.at + min(batch_size, room), run.n)
+        own_options = {"until": run.target, "known": ",".join(run.frontier), "base": str(run.listed), "start": str(at), "stop": str(stop)}
         stream = spark.readStream.format("spindrift_history").options(**options, **own_options).load()
         checkpoint = f"{store.root}/_run-{run.listed + at}-{run.listed + stop}"
         query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -113,6 +118,6 @@ def index_workspace(
         store.remove(checkpoint)
         store.tidy(last=own_numbers(run.listed + at + 1)[0])
         # at the run's end the head is asked for anew: it may have moved
-        run = replace(run, at=stop) if stop < len(run.ids) else _run(store, name, own, path, subdirs, None)
+        run = replace(run, at=stop) if stop < run.n else _run(store, name, own, path, subdirs, None)
     store.vacuum(keep=KEPT_VERSIONS, tombstones=False)  # what compactions left a day ago and longer
     return done

@@ -172,6 +172,21 @@ def test_an_older_branch_that_is_merged_later(spark, workspace, tmp_path):
     assert git.ancestors(str(workspace), [main[0], "0" * 40, git.head(str(workspace))], main[3]) == [main[0], "0" * 40]
 
 
+def test_pages_of_a_listing(workspace):
+    """Any page is that part of the whole listing, from any head and without what others know."""
+    at = str(workspace)
+    ids = git.commit_ids(at)
+    for until, known in (("HEAD", ()), (ids[6], ()), ("HEAD", (ids[3],)), (ids[7], (ids[1], "0" * 40))):
+        whole = git.commit_ids(at, (), until, known)
+        assert git.count_ids(at, (), until, known) == len(whole) > 0
+        for lo, hi in ((0, 2), (1, 4), (3, 99), (5, 5), (-2, 1), (50, 60)):
+            assert git.ids_between(at, lo, hi, (), until, known) == whole[max(0, lo) : hi]
+        assert [git.place_of(at, i, (), until, known) for i in whole] == list(range(len(whole))) and git.place_of(at, "none", (), until, known) is None
+    under = git.commit_ids(at, ("src",))
+    assert git.ids_between(at, 1, 3, ("src",)) == under[1:3] and git.count_ids(at, ("src",)) == len(under) < len(ids)
+    assert git.ids_after(at, ids[2], 3) == ids[3:6] and git.ids_after(at, None, 0) == [] and git.ids_after(at, ids[-1], 5) == []
+
+
 def test_a_batch_that_breaks_off_leaves_nothing(spark, workspace, tmp_path, monkeypatch):
     from spindrift.plans import indexing
 
