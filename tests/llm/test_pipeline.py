@@ -3,7 +3,6 @@ from __future__ import annotations
 import hashlib
 
 import corpus_pipeline
-import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -15,19 +14,14 @@ from spindrift.llm.queries import ORACLES, QUERIES
 from spindrift.llm import bpe, toxicity
 
 from . import brute
+from .sql import same_as_sql
 
 SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, name):
-    con = duckdb.connect()
-    for t in ("documents", "embeddings"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    got = QUERIES[name](spark, SF)
-    columns = sorted(got.columns)
-    want = con.sql(ORACLES[name]).select(*columns).fetchall()
-    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want)
+    same_as_sql(spark, QUERIES[name], ORACLES[name])
 
 
 def test_stages(spark):
