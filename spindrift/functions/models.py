@@ -11,6 +11,7 @@ import math
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Protocol
 
 import pandas as pd
@@ -70,6 +71,11 @@ class Generated:
     stop_reason: str | None = None
 
 
+@lru_cache(maxsize=1 << 17)
+def _word_number(word: str) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+
+
 @dataclass(frozen=True)
 class HashingEmbedder:
     """Counts of words by the first 32 bits of their MD5, modulo the dimension, at unit length."""
@@ -81,7 +87,7 @@ class HashingEmbedder:
         for text in texts:
             v = [0.0] * self.dimension
             for w in re.findall(r"[a-z0-9]+", text.lower()):
-                v[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % self.dimension] += 1.0
+                v[_word_number(w) % self.dimension] += 1.0
             norm = math.sqrt(sum(x * x for x in v))
             out.append([x / norm for x in v] if norm else v)
         return out

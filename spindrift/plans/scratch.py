@@ -13,7 +13,8 @@ def folder(spark: SparkSession, name: str) -> str:
     machine, which does only where the executors are here too."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = f"file://{tempfile.mkdtemp(prefix='spindrift-')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
