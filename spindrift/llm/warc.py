@@ -238,8 +238,9 @@ def read(archive: DataFrame) -> DataFrame:
 def fetch(archive: DataFrame, ids: DataFrame) -> DataFrame:
     """RECORD rows of the records whose record_id is in ``ids``: the map chooses bundles, and of those only frames that hold one are decompressed."""
     wanted = record_map(archive).join(ids.select("record_id").distinct(), "record_id", "left_semi")
-    places = wanted.groupBy("bundle_id").agg(F.collect_list(F.struct("record_id", "frame", "offset", "length")).alias("records"))
-    return _read(archive.select("bundle_id", "content").dropDuplicates(["bundle_id"]).join(places, "bundle_id"))
+    places = wanted.groupBy("bundle_id").agg(F.collect_set(F.struct("record_id", "frame", "offset", "length")).alias("records"))
+    # bundles of the same bytes have the same name: one of them is read, and only those that are wanted are compared
+    return _read(archive.select("bundle_id", "content").join(places, "bundle_id").dropDuplicates(["bundle_id"]))
 
 
 def export(archive: DataFrame, folder: str) -> DataFrame:
