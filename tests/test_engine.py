@@ -172,6 +172,20 @@ def test_an_older_branch_that_is_merged_later(spark, workspace, tmp_path):
     assert git.ancestors(str(workspace), [main[0], "0" * 40, git.head(str(workspace))], main[3]) == [main[0], "0" * 40]
 
 
+def test_contents_of_odd_paths(workspace):
+    """A newline in a path, of a file that is there or not, shifts nobody else's answer."""
+    at = str(workspace)
+    (workspace / "two\nlines.md").write_text("odd name\n" * 3)
+    (workspace / "a b.md").write_text("blank in it\n")
+    for args in (("add", "-A"), ("-c", "user.name=a", "-c", "user.email=a@example.com", "commit", "-q", "-m", "Odd")):
+        subprocess.run(["git", "-C", at, *args], check=True, capture_output=True)
+    asked = ["no\nsuch", "two\nlines.md", "none missing\n", "a b.md", "src", "raw.bin", "src/mod2.py"]
+    got = dict(git.contents(at, asked))
+    want = {"two\nlines.md": "odd name\n" * 3, "a b.md": "blank in it\n", "src/mod2.py": (workspace / "src" / "mod2.py").read_text()}
+    assert got == {p: want.get(p) for p in asked} and "two\nlines.md" in git.tracked(at)
+    assert dict(git.contents(at, [p for p in asked if "\n" not in p])) == {p: want.get(p) for p in asked if "\n" not in p}
+
+
 def test_pages_of_a_listing(workspace):
     """Any page is that part of the whole listing, from any head and without what others know."""
     at = str(workspace)
