@@ -360,7 +360,7 @@ def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_batches_of_one_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as one group, in pieces that are numbered side by side."""
     one = _token_counts(spark, sf_dir).withColumn("source", F.lit("all"))
-    return packing.batch_numbers(one, "source", "doc_id", "tokens", 96 * 256, piece_rows=64, fan=4)
+    return packing.batch_numbers(one, "source", "doc_id", "tokens", 96 * 256, piece_rows=256, fan=16)
 
 
 

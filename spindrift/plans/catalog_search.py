@@ -139,7 +139,7 @@ def _question(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> lexical.Index:
-    return lexical.build(d.table(spark, sf_dir, "documents"), folder(spark, "postings"), "doc_id", segment=16)
+    return lexical.build(d.table(spark, sf_dir, "documents"), folder(spark, "postings"), "doc_id", segment=64)
 
 
 @query(f"{_BM25} SELECT doc_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 20")
