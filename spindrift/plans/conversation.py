@@ -26,6 +26,8 @@ PROMPT_BREVITY = "\n[... truncated for brevity ...]"
 STATE_HEAD = "=== CURRENT CODEBASE STATE (HEAD) ===\n"
 STATE_TAIL = "=== END CURRENT STATE ==="
 SHOWN_FILES = 10
+#: Rounds of a run that keeps prompts: each reads its own part and ends in a commit, so a round grows with the requests and not the number of rounds.
+MOST_ROUNDS = 16
 
 
 class NoChangelistsError(ValueError):
@@ -133,19 +135,25 @@ def generated_prompts(changelists: DataFrame, cache: DataFrame, generator: str |
 def keep_prompts(store: Store, changelists: DataFrame, generator: str | Callable[[], TextGenerator] = "echo", most: int = 8_000, round_size: int = 256) -> tuple[int, int]:
     """Makes the prompts that the store's cache doesn't have, and keeps them as it goes; returns how many were there and how many were made.
 
-    Equal requests are asked once. Requests go in rounds of about ``round_size``, each a commit: a run that is killed, or whose generator fails, has kept what the rounds before had, and of
-    its own round whatever had an answer, so the next run asks only for the rest. GenerationError tells of failures after the round's answers are kept.
+    Equal requests are asked once. Requests go in rounds of about ``round_size`` (a ``MOST_ROUNDS``-th of all, where that is more), each a commit: a run that is killed, or whose generator
+    fails, has kept what the rounds before had, and of its own round whatever had an answer, so the next run asks only for the rest. GenerationError tells of failures after the round's
+    answers are kept.
     """
     make = generator if callable(generator) else GENERATORS[generator] if generator in GENERATORS else create(GENERATORS, generator)
     spark = changelists.sparkSession
     asked = changelists.select("id", prompt_request(F.col("message"), F.col("files"), F.col("diff"), most).alias("request")).dropDuplicates(["id"])
-    known = store.table("prompt_cache").where(F.coalesce("prompt", F.lit("")) != "")
+    known = store.table("prompt_cache").where(F.coalesce("prompt", F.lit("")) != "").select("id", F.lit(True).alias("known"))
     at = folder(spark, "requests")
-    asked.join(known, "id", "left_anti").withColumn("key", F.sha2(F.coalesce("request", F.lit("")), 256)).write.parquet(at)
-    missing = spark.read.parquet(at)
-    distinct = missing.groupBy("key").agg(F.min("request").alias("request"))
-    n, hits = missing.count(), asked.join(known, "id", "left_semi").count()
-    rounds = max(1, math.ceil(distinct.count() / round_size))
+    request = F.when(F.col("known").isNull(), F.col("request"))
+    asked.join(known, "id", "left").select("id", "known", request.alias("request"), F.sha2(F.coalesce(request, F.lit("")), 256).alias("key")).write.parquet(at)
+    every = spark.read.parquet(at)
+    missing = every.where("known is null")
+    hits, n, keys = every.agg(F.count("known"), F.count_if(F.col("known").isNull()), F.approx_count_distinct(F.when(F.col("known").isNull(), F.col("key")))).first()
+    rounds = max(1, min(MOST_ROUNDS, math.ceil(keys / round_size)))
+    dealt = F.pmod(F.xxhash64("key"), F.lit(rounds)).cast("int").alias("round")
+    missing.select("id", "key", dealt).write.partitionBy("round").parquet(f"{at}-ids")
+    missing.groupBy("key").agg(F.min("request").alias("request")).select("*", dealt).write.partitionBy("round").parquet(f"{at}-distinct")
+    ids, distinct = (spark.read.schema(f"{own} string, {other} string, round int").parquet(f"{at}-{name}") for own, other, name in (("id", "key", "ids"), ("key", "request", "distinct")))
 
     def run(frames):
         model: TextGenerator = make()
@@ -162,11 +170,10 @@ def keep_prompts(store: Store, changelists: DataFrame, generator: str | Callable
             yield f
 
     for i in range(rounds if n else 0):
-        mine = F.pmod(F.xxhash64("key"), F.lit(rounds)) == i
-        done = f"{at}-round{i}"
-        distinct.where(mine).mapInPandas(run, "key string, prompt string, error string").write.parquet(done)
+        mine, done = F.col("round") == i, f"{at}-round{i}"
+        distinct.where(mine).select("key", "request").mapInPandas(run, "key string, prompt string, error string").write.parquet(done)
         answers = spark.read.schema("key string, prompt string, error string").parquet(done)
-        good = missing.join(answers.where("prompt is not null"), "key").select("id", unquoted(F.col("prompt")).alias("prompt"))
+        good = ids.where(mine).join(answers.where("prompt is not null"), "key").select("id", unquoted(F.col("prompt")).alias("prompt"))
         store.upsert("prompt_cache", good)
         bad = answers.where("error is not null").agg(F.min("error"), F.count(F.lit(1))).first()
         if bad[1]:

@@ -440,6 +440,18 @@ def test_prompts_are_kept_as_they_come(spark, tmp_path):
     assert conversation.keep_prompts(s, changes, lambda: Scribe(folder)) == (41, 0) and len(asked()) == len(first) + len(again)
 
 
+def test_rounds_of_prompts_do_not_grow_with_the_requests(spark, tmp_path):
+    """Rounds are bounded whatever there is to ask; every request is asked once."""
+    s, folder = Store(spark, str(tmp_path / "s")), str(tmp_path)
+    s.create()
+    rows = [(str(i), f"message {i % 40}", ["f"], "d") for i in range(60)]
+    changes = spark.createDataFrame(rows, "id string, message string, files array<string>, diff string")
+    assert conversation.keep_prompts(s, changes, lambda: Scribe(folder), round_size=1) == (0, 60)
+    assert len(s.snapshot().numbers("prompt_cache")) <= conversation.MOST_ROUNDS
+    asked = (tmp_path / "asked").read_text().splitlines()
+    assert len(asked) == len(set(asked)) == 40 and s.table("prompt_cache").count() == 60
+
+
 def test_perforce(spark):
     out = (
         "Change 12 by ada@ws on 2024/01/15 14:30:00\n\n\tFix it\n\tnow\n\nAffected files ...\n\n... //depot/src/a.cpp#4 edit\n... //other/b.cpp#1 add\n\nDifferences ...\n\n"
