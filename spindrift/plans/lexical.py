@@ -1,8 +1,8 @@
 """Lexical search: BM25 over block-compressed postings with impact bounds.
 
-Texts are counted inside their rows. Documents are dealt to segments of some ``SEGMENT`` by hash; a term's postings in a segment are one row, a block: arrays of ids, counts and lengths, and
-its impact, the most that one of its documents can get from the term before the term's rarity is multiplied in. Blocks are ordered by term, so a query reads the row groups that
-hold its terms; their bounds are read without the arrays.
+Documents are dealt to segments of some ``SEGMENT`` by hash, and only their texts are shuffled; a segment's postings are made where its texts are. A term's postings in a segment are one row, a
+block: arrays of ids, counts and lengths, and its impact, the most that one of its documents can get from the term before the term's rarity is multiplied in. A file has the blocks of some
+segments, ordered by term, so a query reads the pages that hold its terms; their bounds are read without the arrays.
 
 A search adds up each segment's bounds, scores the most promising segments exactly, and takes the k-th best score as threshold: segments that can't reach it are skipped (max-score), the others
 are scored exactly. The answer is that of scoring all documents; ``Found`` counts the blocks that were read and skipped.
@@ -15,18 +15,26 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from spindrift.functions import models
 
 K1, B = 1.2, 0.75
 #: Documents of a segment, give or take the hash; segments that give the threshold.
 SEGMENT, FIRST = 256, 16
+#: Terms of the texts of a task that makes blocks, give or take the hash; postings that it holds.
+PART_TERMS, HELD = 4_000_000, 1 << 17
 PREFIX = "bm25:"
+_TERM = re.compile("[a-z0-9]+")
 
 
 def terms_of(text: str) -> list[str]:
@@ -34,17 +42,7 @@ def terms_of(text: str) -> list[str]:
     return sorted(set(re.findall(r"[a-z0-9]+", text.lower())))
 
 
-def term_counts(texts: DataFrame, id: str, text: str) -> DataFrame:
-    """id, length (of the text, in terms), term, n. Terms are counted inside their row, nothing is shuffled."""
-    words = F.array_sort(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9]+", -1), lambda w: w != ""))
-    rows = texts.select(F.col(id).alias("id"), words.alias("w")).withColumn("length", F.size("w"))
-    begins = F.filter(F.transform("w", lambda x, i: F.when((i == 0) | (F.get("w", i - 1) != x), i)), lambda i: i.isNotNull())
-    cut = rows.select("id", "length", "w", begins.alias("s"))
-    each = F.transform("s", lambda i, k: F.struct(F.get("w", i).alias("term"), (F.coalesce(F.get("s", k + 1), F.col("length")) - i).cast("int").alias("n")))
-    return cut.select("id", "length", F.inline(each))
-
-
-def weight(n: Column, length: Column, average: float) -> Column:
+def weight(n: Column | np.ndarray, length: Column | np.ndarray, average: float) -> Column | np.ndarray:
     """What a document gets from a term before its rarity."""
     return n * (K1 + 1) / (n + K1 * (1 - B + B * length / (average or 1.0)))
 
@@ -81,18 +79,64 @@ class Found:
     read: int
 
 
+def _lengths(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents and terms of each batch of texts."""
+    for f in frames:
+        yield pa.RecordBatch.from_arrays([pa.array([f.num_rows], pa.int64()), pa.array([sum(len(_TERM.findall(x.as_py())) for x in f["t"])], pa.int64())], ["documents", "terms"])
+
+
+def _blocks(average: float, schema: pa.Schema) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The blocks of texts that come segment by segment, by id; some segments are held at a time, of ``HELD`` postings or one."""
+
+    def flat(docs: list[tuple], terms: list[str], counts: list[int]) -> pa.RecordBatch:
+        ids, segments, sizes, lengths = zip(*docs, strict=True)
+        coded = pa.array(terms, pa.string()).dictionary_encode()
+        doc, n = np.repeat(np.arange(len(docs)), sizes), np.array(counts, np.int32)
+        key = np.array(segments, np.int64)[doc] * max(1, len(coded.dictionary)) + coded.indices.to_numpy()
+        order = np.argsort(key, kind="stable")  # a block's postings stay by id
+        key, doc, n = key[order], doc[order], n[order]
+        length = np.array(lengths, np.int32)[doc]
+        begins = np.flatnonzero(np.diff(key, prepend=-1))
+        offsets = pa.array(np.append(begins, len(key)), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(ids, schema.field("id").type.value_type).take(pa.array(doc)), pa.array(n), pa.array(length))]
+        first = pa.array(order[begins])
+        impacts = np.maximum.reduceat(weight(n, length, average), begins)
+        told = [coded.take(first).cast(pa.string()), pa.array(np.array(segments, np.int32)[doc[begins]]), pa.array(impacts), pa.array(np.diff(np.append(begins, len(key))).astype(np.int32))]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip((*told, *lists), schema, strict=True)], schema=schema)
+
+    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, terms, counts = [], [], []
+        for f in frames:
+            for segment, id, text in zip(f["segment"].to_pylist(), f["id"].to_pylist(), f["t"], strict=True):
+                if len(terms) > HELD and segment != docs[-1][1]:
+                    yield flat(docs, terms, counts)
+                    docs, terms, counts = [], [], []
+                words = _TERM.findall(text.as_py())
+                if words:
+                    own = Counter(words)
+                    terms += own
+                    counts += own.values()
+                    docs.append((id, segment, len(own), len(words)))
+        if docs:
+            yield flat(docs, terms, counts)
+
+    return run
+
+
 def build(texts: DataFrame, path: str, id: str = "id", text: str = "text", segment: int = SEGMENT) -> Index:
     """Writes the postings of ``texts`` under ``path``."""
     spark = texts.sparkSession
-    counts = term_counts(texts, id, text)
-    first = F.size(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9]+", -1), lambda w: w != ""))
-    n, average = texts.agg(F.count(F.lit(1)), F.coalesce(F.avg(first), F.lit(0.0))).first()
+    docs = texts.select(F.col(id).alias("id"), F.lower(F.coalesce(text, F.lit(""))).alias("t"))
+    n, terms = docs.select("t").mapInArrow(_lengths, "documents long, terms long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("documents", "terms"))).first()
+    average = terms / n if n else 0.0
     segments = max(1, math.ceil(n / segment))
-    posting = F.struct("id", "n", "length")
-    dealt = counts.withColumn("segment", F.pmod(F.xxhash64("id"), F.lit(segments)).cast("int"))
-    blocks = dealt.groupBy("term", "segment").agg(F.array_sort(F.collect_list(posting)).alias("p"), F.max(weight(F.col("n"), F.col("length"), average)).alias("impact"))
-    flat = blocks.select("term", "segment", "impact", F.size("p").alias("documents"), "p.id", "p.n", "p.length")
-    flat.repartitionByRange("term", "segment").sortWithinPartitions("term", "segment").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/blocks")
+    parts = max(1, min(segments, max(spark.sparkContext.defaultParallelism, math.ceil(terms / PART_TERMS))))
+    dealt = docs.withColumn("segment", F.pmod(F.xxhash64("id"), F.lit(segments)).cast("int")).repartition(parts, "segment").sortWithinPartitions("segment", "id")
+    kind = docs.schema["id"].dataType
+    fields = [("term", T.StringType()), ("segment", T.IntegerType()), ("impact", T.DoubleType()), ("documents", T.IntegerType()), ("id", T.ArrayType(kind)), ("n", T.ArrayType(T.IntegerType())), ("length", T.ArrayType(T.IntegerType()))]
+    schema = T.StructType([T.StructField(*f) for f in fields])
+    blocks = dealt.mapInArrow(_blocks(average, to_arrow_schema(schema)), schema)
+    blocks.sortWithinPartitions("term", "segment").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/blocks")
     spark.createDataFrame([(n, average)], "documents long, average double").write.mode("overwrite").parquet(f"{path}/numbers")
     return Index(spark, path, n, average)
 
@@ -137,8 +181,8 @@ class Bm25Reranker:
         for text in texts:
             words = re.findall(r"[a-z0-9]+", text.lower())
             long = 1 - B + B * len(words) / (self.average or 1.0)
-            counts = {t: words.count(t) for t in asked if t in self.rare}
-            out.append(sum(self.rare[t] * n * (K1 + 1) / (n + K1 * long) for t, n in counts.items() if n))
+            counts = Counter(words)
+            out.append(sum(self.rare[t] * n * (K1 + 1) / (n + K1 * long) for t in asked if t in self.rare and (n := counts[t])))
         return out
 
 

@@ -7,6 +7,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from spindrift.functions import models
 from spindrift.functions.models import rerank
 from spindrift.operators.store import Store
@@ -73,3 +75,20 @@ def test_reranker(spark, workspace, tmp_path):
     own = lexical.build(store.table("changelists"), str(tmp_path / "own"), "id", "message")
     best = Engine(spark, store.root).search(QueryParams("scheduler notes", max_changes=1, scope="metadata", reranker=f"bm25:{own.path}", min_score=0)).collect()
     assert [r.message for r in best] == ["Add scheduler notes"] and not any(n.startswith("bm25:") for n in models.RERANKERS)
+
+
+def test_building_shuffles_texts_alone(spark, tmp_path):
+    """What is shuffled grows with the texts, not with their postings; files are ordered by term."""
+    rows = [(i, " ".join(f"w{(i * j) % 997}" for j in range(1, 200))) for i in range(400)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    status = spark.sparkContext._jsc.sc().statusStore()
+    shuffled = lambda: sum(status.executorList(False).apply(i).totalShuffleWrite() for i in range(status.executorList(False).size()))
+    before = shuffled()
+    index = lexical.build(texts, str(tmp_path / "i"), segment=16)
+    assert shuffled() - before < sum(len(t) for _, t in rows)
+    assert {r.id: round(r.score, 6) for r in lexical.search(index, "w1 w2 w996", 500).rows.collect()} == {i: round(x, 6) for i, x in plain(rows, "w1 w2 w996").items()}
+    blocks = index.blocks.select(F.input_file_name().alias("file"), "term", "segment", "documents", F.size("id").alias("size")).collect()
+    for file in {b.file for b in blocks}:
+        own = [(b.term, b.segment) for b in blocks if b.file == file]
+        assert own == sorted(set(own))
+    assert all(b.documents == b.size for b in blocks)
