@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
+#: Rows of an Arrow batch that are changed at a time.
+SLICE_ROWS = 256
+
 
 class CodecError(ValueError):
     """The bytes are no compressed UTF-8 text."""
@@ -24,11 +28,17 @@ def decompress_text(raw: bytes) -> str:
         raise CodecError(str(e)) from e
 
 
-@F.pandas_udf(BinaryType())
-def compress(texts: pd.Series) -> pd.Series:
-    return texts.map(compress_text, na_action="ignore")
+@F.arrow_udf(BinaryType())
+def compress(texts: pa.Array) -> pa.Array:
+    return _each(texts, compress_text, pa.binary())
+
+
+@F.arrow_udf(StringType())
+def decompress(raws: pa.Array) -> pa.Array:
+    return _each(raws, decompress_text, pa.string())
 
 
-@F.pandas_udf(StringType())
-def decompress(raws: pd.Series) -> pd.Series:
-    return raws.map(lambda r: decompress_text(bytes(r)), na_action="ignore")
+def _each(values: pa.Array, change: Callable, kind: pa.DataType) -> pa.Array:
+    """Some rows at a time: of a batch only these are Python's objects."""
+    parts = (values.slice(at, SLICE_ROWS).to_pylist() for at in range(0, len(values), SLICE_ROWS))
+    return pa.concat_arrays([pa.array([], kind), *(pa.array([None if v is None else change(v) for v in p], kind) for p in parts)])
