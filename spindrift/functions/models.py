@@ -14,13 +14,17 @@ from dataclasses import dataclass
 from functools import lru_cache
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Tokens of one unit of cost, tokens for each GB of memory when embedding and reranking, GB that a CPU counts as.
 UNIT_TOKENS, EMBED_TOKENS_PER_GB, RERANK_TOKENS_PER_GB, CPU_GB = 256, 12_288, 6_144, 2
 RERANK_CHARS = 2000
+#: Rows of an Arrow batch that are embedded at a time.
+SLICE_ROWS = 256
 
 
 class Embedder(Protocol):
@@ -213,15 +217,21 @@ def _embed_rows(model: Embedder, texts: list[str], most_tokens: int) -> list[lis
     return out
 
 
+def _vectors(rows: list[list[float]]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.asarray(v, np.float32) for v in rows])))
+
+
 def embedding(text: Column, name: str = "hashing", most_tokens: int = EMBED_TOKENS_PER_GB * CPU_GB) -> Column:
     """The text's vector; the model is made once in each worker."""
     make = EMBEDDERS[name] if name in EMBEDDERS else create(EMBEDDERS, name)
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = make()
         for texts in batches:
-            yield pd.Series(_embed_rows(model, texts.fillna("").tolist(), most_tokens), index=texts.index)
+            for at in range(0, len(texts), SLICE_ROWS):  # a vector takes many times its text's room as Python's numbers
+                yield _vectors(_embed_rows(model, [t or "" for t in texts.slice(at, SLICE_ROWS).to_pylist()], most_tokens))
 
     return run(text)
 

@@ -123,6 +123,28 @@ def test_embedding_and_rerank(spark):
         models.create(models.EMBEDDERS, "none")
 
 
+class Counted:
+    """An embedder that tells how many texts it got at once."""
+
+    dimension = 1
+
+    def embed_batch(self, texts):
+        return [[float(len(texts))] for _ in texts]
+
+
+def test_batches_are_embedded_by_slices(spark):
+    """However many rows an Arrow batch has, a few of their vectors are Python's numbers at a time; rows keep their order."""
+    models.EMBEDDERS["counted"] = Counted
+    df = spark.range(1500).coalesce(1).select("id", F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("t"))
+    got = df.select("id", models.embedding(F.col("t"), "counted").alias("v"), models.embedding(F.col("t")).alias("h"), codec.decompress(codec.compress("t")).alias("c"), "t").collect()
+    del models.EMBEDDERS["counted"]
+    assert max(r.v[0] for r in got) <= models.SLICE_ROWS and len(got) == 1500
+    assert all(r.c == r.t and any(r.h) == (r.t is not None) for r in got)
+    assert all(r.h == models.HashingEmbedder().embed_batch([r.t or ""])[0] for r in got)
+    nothing = df.where("id < 0").select(models.embedding(F.col("t")).alias("h"), codec.decompress(codec.compress("t")).alias("c"))
+    assert nothing.collect() == []
+
+
 def test_sanitizer_matches_a_plain_regex(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice("0af-,: xX\tGZ({)}h_/=") for _ in range(rng.randint(0, 60))) for _ in range(300)]
