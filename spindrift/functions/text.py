@@ -147,7 +147,9 @@ def filter_binary(diff: Column, split_at: str = "diff --git ") -> Column:
     gone = lambda x: x["binary"] & x["path"].isNotNull()
     note = lambda x: F.concat(F.lit("diff --git a/"), x["path"], F.lit(" b/"), x["path"], F.lit("\n[binary file: "), x["path"], F.lit("]"))
     kept = F.array_join(F.transform(found, lambda x: F.when(gone(x), note(x)).otherwise(x["text"])), "\n")
-    return F.struct(kept.alias("diff"), F.transform(F.filter(found, gone), lambda x: x["path"]).alias("binary_files"))
+    binary = F.transform(F.filter(found, gone), lambda x: x["path"])
+    plain = ~F.rlike(diff, F.lit(r"[^\x20-\x7E\t\n\r]"))  # no section of such a diff is binary, so it is read once and not taken apart
+    return F.struct(F.when(plain, diff).otherwise(kept).alias("diff"), F.when(plain, F.array().cast("array<string>")).otherwise(binary).alias("binary_files"))
 
 
 def metadata_text(message: Column, files: Column, comments: Column, most_files: int = 100, most_message: int = 4096, most_paths: int = 4096) -> Column:

@@ -11,8 +11,11 @@ from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from spindrift.functions.text import filter_binary, perforce_timestamp
 from spindrift.sources.git import looks_binary
@@ -22,6 +25,8 @@ _HEADER = re.compile(r"^Change (\d+) by (\S+) on (\d{4}/\d\d/\d\d)(?: (\d\d:\d\d
 _FILE = re.compile(r"^\.\.\. (//[^#\n]+)(?:#\d+)?", re.M)
 #: Actions that leave no file.
 GONE = ("delete", "move/delete", "purge", "archive")
+#: Captured outputs of an Arrow batch that are parsed at a time.
+SLICE_ROWS = 1024
 _SECTION = re.compile(r"(?m)^(?===== //)")
 
 
@@ -83,7 +88,7 @@ def described(output: str, mapping: Mapping | None = None, prefixes: tuple[str,
     """DESCRIBED rows from ``p4 describe -du`` output; files and diff sections only under the depot prefixes."""
     under = lambda path: not prefixes or path.startswith(prefixes)
     heads = list(_HEADER.finditer(output))
-    for head, after in zip(heads, [*heads[1:], None], strict=True):
+    for head, after in zip(heads, [*heads, None][1:], strict=True):
         try:
             ts = datetime.strptime(f"{head[3]} {head[4] or '00:00:00'}", "%Y/%m/%d %H:%M:%S").replace(tzinfo=UTC)
         except ValueError:
@@ -100,15 +105,17 @@ def described(output: str, mapping: Mapping | None = None, prefixes: tuple[str,
 def describe_rows(captured: DataFrame, column: str = "output", mapping: Mapping | None = None, prefixes: tuple[str, ...] = ()) -> DataFrame:
     """DESCRIBED rows from a table of captured output: binary sections replaced, changelists without diff dropped."""
 
-    def run(frames: Iterable) -> Iterator:
-        import pandas as pd
+    schema = to_arrow_schema(T.StructType.fromDDL(DESCRIBED))
 
+    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
-            rows = [r for text in f[column] for r in described(text or "", mapping, prefixes)]
-            yield pd.DataFrame(rows, columns=["id", "ts", "author", "message", "diff", "files"])
+            for at in range(0, f.num_rows, SLICE_ROWS):
+                rows = [r for text in f[column].slice(at, SLICE_ROWS) for r in described(text.as_py() or "", mapping, prefixes)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    rows = captured.select(column).mapInPandas(run, DESCRIBED)
-    return rows.withColumn("diff", filter_binary(F.col("diff"), "==== //")["diff"]).where(F.trim("diff") != "")
+    rows = captured.select(column).mapInArrow(run, DESCRIBED).where(F.trim("diff") != "")  # what stands for a binary section isn't blank, and neither is the section
+    return rows.withColumn("diff", filter_binary(F.col("diff"), "==== //")["diff"])
 
 
 def listed_rows(captured: DataFrame, column: str = "output") -> DataFrame:

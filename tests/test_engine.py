@@ -452,6 +452,17 @@ def test_rounds_of_prompts_do_not_grow_with_the_requests(spark, tmp_path):
     assert len(asked) == len(set(asked)) == 40 and s.table("prompt_cache").count() == 60
 
 
+def test_described_diffs_are_filtered_once(spark):
+    """Binary sections go, plain diffs stay as they are, blank ones are dropped; the filter isn't computed again to drop them."""
+    head = "Change {0} by ada@ws on 2024/01/15 14:30:00\n\n\tFix it\n\nAffected files ...\n\n... //depot/a#1 edit\n\nDifferences ...\n\n"
+    plain, odd = "==== //depot/a#1 (text) ====\n\n+x\n", "==== //depot/b#1 (text) ====\n\n+" + "\u00ff\x00" * 40 + "\n"
+    outputs = [(head.format(1) + plain * 2,), (head.format(2) + plain + odd + plain,), (head.format(3),), (None,), (head.format(4) + plain + head.format(5) + plain.replace("x", "caf\u00e9"),)]
+    rows = perforce.describe_rows(spark.createDataFrame(outputs, "output string"))
+    whole, note = (plain * 2).strip("\n"), "diff --git a///depot/b b///depot/b\n[binary file: //depot/b]\n"
+    assert {r.id: r.diff for r in rows.collect()} == {"1": whole, "2": plain + note + plain.strip("\n"), "4": plain.strip("\n"), "5": plain.replace("x", "caf\u00e9").strip("\n")}
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("//depot") + rows._jdf.queryExecution().optimizedPlan().toString().count("binary file") < 3
+
+
 def test_perforce(spark):
     out = (
         "Change 12 by ada@ws on 2024/01/15 14:30:00\n\n\tFix it\n\tnow\n\nAffected files ...\n\n... //depot/src/a.cpp#4 edit\n... //other/b.cpp#1 add\n\nDifferences ...\n\n"
